@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import language, licenses, mixing, quality, sharding, urls
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
+    "op2_licenses": licenses.op2_licenses,
+    "op3_language": language.op3_language,
+    "op4_urls": urls.op4_urls,
     "op7_mixing": mixing.op7_mixing,
     "op10_sharding": sharding.op10_sharding,
 }
 
 SQL = {
+    "op1_quality": quality.OP1_SQL,
+    "op2_licenses": licenses.OP2_SQL,
     "op7_mixing": mixing.OP7_SQL,
 }
