@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import language, licenses, mixing, quality, sharding, urls
+from . import language, licenses, mixing, quality, sharding, topk, urls
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_licenses": licenses.op2_licenses,
     "op3_language": language.op3_language,
     "op4_urls": urls.op4_urls,
+    "op5_topk": topk.op5_topk,
     "op7_mixing": mixing.op7_mixing,
     "op10_sharding": sharding.op10_sharding,
 }
@@ -16,5 +17,6 @@ QUERIES = {
 SQL = {
     "op1_quality": quality.OP1_SQL,
     "op2_licenses": licenses.OP2_SQL,
+    "op5_topk": topk.OP5_SQL,
     "op7_mixing": mixing.OP7_SQL,
 }
