@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, licenses, mixing, quality, sharding, topk, urls
+from . import jaccard, language, licenses, mixing, quality, sharding, suffixes, topk, urls
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_urls": urls.op4_urls,
     "op5_topk": topk.op5_topk,
     "op7_mixing": mixing.op7_mixing,
+    "op8_jaccard": jaccard.op8_jaccard,
+    "op9_suffixes": suffixes.op9_suffixes,
     "op10_sharding": sharding.op10_sharding,
 }
 
@@ -19,4 +21,5 @@ SQL = {
     "op2_licenses": licenses.OP2_SQL,
     "op5_topk": topk.OP5_SQL,
     "op7_mixing": mixing.OP7_SQL,
+    "op8_jaccard": jaccard.OP8_SQL,
 }
