@@ -56,3 +56,8 @@ def cut(frame: DataFrame) -> DataFrame:
 def columns(docs: DataFrame, **kinds: str) -> DataFrame:
     """Just the named columns with these types, so that extra columns can't clash with ours."""
     return docs.select(*(docs[name].cast(kind).alias(name) for name, kind in kinds.items()))
+
+
+def few(small: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Mark a materialized frame for broadcast if it has at most `most` (short) rows; else leave it to a shuffle."""
+    return F.broadcast(small) if small.limit(most + 1).count() <= most else small

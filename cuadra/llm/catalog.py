@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, licenses, mixing, quality, sharding, suffixes, topk, urls
+import corpus_pipeline
+
+from . import jaccard, language, licenses, mixing, pieces, quality, sharding, suffixes, topk, urls
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -10,10 +12,12 @@ QUERIES = {
     "op3_language": language.op3_language,
     "op4_urls": urls.op4_urls,
     "op5_topk": topk.op5_topk,
+    "op6_pieces": pieces.op6_pieces,
     "op7_mixing": mixing.op7_mixing,
     "op8_jaccard": jaccard.op8_jaccard,
     "op9_suffixes": suffixes.op9_suffixes,
     "op10_sharding": sharding.op10_sharding,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {

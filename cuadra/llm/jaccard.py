@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import UPPER, WORD, columns, cut, table
+from ._common import UPPER, WORD, columns, cut, few, table
 from .graph import components
 
 #: Bits of a parity sketch.
@@ -35,8 +35,6 @@ BAND = 1.2
 ENTRY_COST, CHANCE, OTHERS = 1.0, 0.05, 1e6
 #: Members of an entry that are compared in one block.
 BLOCK = 4096
-#: Ids up to which a list of documents is broadcast.
-BROADCAST_IDS = 1_000_000
 _LOWER = str.maketrans(UPPER, UPPER.lower())
 _WORD = re.compile(WORD)
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -163,16 +161,10 @@ def summarize(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return docs.mapInArrow(run, ddl)
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts of some documents; a short list of ids is broadcast, a long one is joined by shuffle."""
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["id"], "left_semi")
-
-
 def verify(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b), with `linked` as their words say."""
     ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-    texts = cut(_texts(docs, ids))
+    texts = cut(docs.join(few(ids), F.col("doc_id") == F.col("id"), "left_semi"))
     left, right = (texts.select(F.col("doc_id").alias(f"{k}_id"), F.col("text").alias(f"{k}_text")) for k in "lr")
     both = pairs.join(left, F.col("a") == F.col("l_id")).join(right, F.col("b") == F.col("r_id")).select("a", "b", "l_text", "r_text")
 

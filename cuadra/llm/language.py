@@ -97,7 +97,6 @@ def fit(labelled: DataFrame, per_lang: int = DOCS_PER_LANG) -> Model:
 
     The sample is drawn by a hash of the text, `per_lang` documents of each language (expected).
     """
-    spark = labelled.sparkSession
     rows = columns(labelled, text="string", lang="string").where("text IS NOT NULL AND lang IS NOT NULL")
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(sizes)
@@ -129,7 +128,6 @@ def fit(labelled: DataFrame, per_lang: int = DOCS_PER_LANG) -> Model:
     scores = np.log(grams / grams.sum(1, keepdims=True)).astype(np.float32)
     uses = scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(1, keepdims=True), 1)
     prior = np.log(np.array([sizes[k] for k in langs]) / sum(sizes.values()))
-    del spark
     return Model(langs, scores, uses, prior)
 
 
@@ -202,14 +200,15 @@ def viterbi(scores: np.ndarray, prior: np.ndarray, switch: float = SWITCH) -> np
     return path
 
 
-def detect(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFrame:
+def detect(docs: DataFrame, model: Model, with_spans: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Language of every whole text: the one with the most letters in the best path.
 
     `score` is its share of the letters times the certainty over the second language. A null text, or one
     without a letter, is `und` with score 0, as is every text where no language was learned. With
     `with_spans` a column `spans` lists (start, end, lang) in characters. Null ids and repeated rows are
-    judged like others, an empty table gives no rows, extra columns are not carried.
+    judged like others, an empty table gives no rows; of other columns those in `carry` come along unseen.
     """
+    kinds_of = {f.name: f.dataType.simpleString() for f in docs.schema if f.name in carry}
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())]
     ddl = "doc_id long, lang_pred string, score double"
@@ -217,6 +216,7 @@ def detect(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFrame
         fields.append(("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
         ddl += ", spans array<struct<start:int,end:int,lang:string>>"
     schema = pa.schema(fields)
+    ddl += "".join(f", `{c}` {kind}" for c, kind in kinds_of.items())
 
     def judge(batches):
         model = shared.value
@@ -245,9 +245,9 @@ def detect(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFrame
             cols = [batch.column("doc_id"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             if with_spans:
                 cols.append(pa.array([g[2] for g in got], schema.field("spans").type))
-            yield pa.RecordBatch.from_arrays(cols, schema=schema)
+            yield pa.RecordBatch.from_arrays([*cols, *(batch.column(c) for c in kinds_of)], names=[*schema.names, *kinds_of])
 
-    return columns(docs, doc_id="long", text="string").mapInArrow(judge, ddl)
+    return columns(docs, **({"doc_id": "long", "text": "string"} | kinds_of)).mapInArrow(judge, ddl)
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import columns, count_words, cut, table
+from ._common import columns, count_words, cut, few, table
 
 #: No source is taken more often than this.
 MOST = 3
@@ -72,6 +72,7 @@ def mix(docs: DataFrame, most: int = MOST) -> DataFrame:
 def emit(docs: DataFrame, most: int = MOST) -> DataFrame:
     """The mixed corpus itself: every document of `docs` as often as the mix takes it, with all its columns."""
     rates = targets(_sized(docs), most).select(F.col("source").alias("of"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"))
+    rates = few(cut(rates), 100_000)
     seen = F.concat_ws("|", F.lit(SEED), F.coalesce(docs["doc_id"].cast("long").cast("string"), F.lit("-")), F.md5(F.encode(F.coalesce(docs["text"], F.lit("")), "UTF-8")))
     unit = F.conv(F.substring(F.md5(F.encode(seen, "UTF-8")), 1, 12), 16, 10).cast("long") / F.lit(float(2**48))
     inside = docs.select(F.struct("*").alias("row"), docs["source"].cast("string").alias("source"), unit.alias("unit"), count_words(docs["text"]).alias("size"))

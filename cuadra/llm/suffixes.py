@@ -334,24 +334,25 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
     return out.union(more)
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove every byte covered by a string of `length` bytes that starts anywhere else too.
 
     Matches never cross documents and are judged on the input. A null text counts as empty: 0 bytes, nothing
     removed. Rows that are equal in id and text are places of their own, so both lose what they share. Null
-    ids are rows like others. An empty table gives no rows, extra columns are not carried. With `with_text`
-    a column `clean_text` holds what is left as a string (null stays null); bytes of characters that a cut
+    ids are rows like others. An empty table gives no rows; of other columns those in `carry` come along. With
+    `with_text` a column `clean_text` holds what is left as a string (null stays null); bytes of characters that a cut
     has split are left out of it.
     """
     if not 0 < gram <= length:
         raise ValueError("gram must be between 1 and length")
-    narrow = columns(docs, doc_id="long", text="string").withColumn("key", F.xxhash64("doc_id", "text"))
-    found = cut(spans(narrow.where(F.octet_length("text") >= length), length, gram, hot))
+    kinds_of = {f.name: f.dataType.simpleString() for f in docs.schema if f.name in carry}
+    narrow = columns(docs, doc_id="long", text="string", **kinds_of).withColumn("key", F.xxhash64("doc_id", "text"))
+    found = cut(spans(narrow.select("key", "doc_id", "text").where(F.octet_length("text") >= length), length, gram, hot))
     by = found.groupBy("key", "doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
     by = cut(by.select(F.col("key").alias("of"), F.col("doc_id").alias("of_id"), "spans"))
-    few = by.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0] <= BROADCAST_SPANS
-    joined = narrow.join(F.broadcast(by) if few else by, (F.col("key") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("of_id")), "left")
-    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", clean_text string" * with_text
+    short = by.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0] <= BROADCAST_SPANS
+    joined = narrow.join(F.broadcast(by) if short else by, (F.col("key") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("of_id")), "left")
+    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", clean_text string" * with_text + "".join(f", `{c}` {kind}" for c, kind in kinds_of.items())
 
     def apply(batches):
         for batch in batches:
@@ -371,9 +372,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
             kinds = [pa.int64()] * 3 + [pa.string()] * (1 + with_text)
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["clean_text"] * with_text
             cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols, *(batch.column(c) for c in kinds_of)], names=[*names, *kinds_of])
 
-    return joined.select("doc_id", "text", "spans").mapInArrow(apply, ddl)
+    return joined.select("doc_id", "text", "spans", *kinds_of).mapInArrow(apply, ddl)
 
 
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
