@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 WS = r"(?U)[\s\x{1C}-\x{1F}]"
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate `value` once per row for a body that uses it several times."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column) -> Column:
     """Without white space at either end; null counts as empty."""
     return F.regexp_replace(F.coalesce(c, F.lit("")), rf"{WS}+\z|\A{WS}+", "")
@@ -34,28 +39,39 @@ def norm_currency(c: Column, default: str | None = None) -> Column:
 def _amount_digits(c: Column) -> Column:
     """The amount as sign, digits and at most one point, or null. Of two kinds of separators the comma is
     the decimal one; one kind alone separates thousands. A backslash is kept, and then is no number."""
-    t = F.regexp_replace(strip(c), r"[^0-9,\\.\-]", "")
-    both = F.contains(t, F.lit(",")) & F.contains(t, F.lit("."))
-    t = F.when(both, F.translate(t, ",.", ".")).otherwise(F.translate(t, ",.", ""))
-    return F.when(t.rlike(r"\A-?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)\z"), t)
+    number = r"\A-?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)\z"
+
+    def joined(t: Column) -> Column:
+        both = F.contains(t, F.lit(",")) & F.contains(t, F.lit("."))
+        return F.when(both, F.translate(t, ",.", ".")).otherwise(F.translate(t, ",.", ""))
+
+    kept = F.regexp_replace(strip(c), r"[^0-9,\\.\-]", "")
+    return _let(_let(kept, joined), lambda t: F.when(t.rlike(number), t))
 
 
 def amount(c: Column) -> Column:
     """Text to a whole amount, halves to even; null if it is none or has more than 28 digits."""
-    t = _amount_digits(c)
-    whole = F.regexp_extract(t, r"\A-?0*([0-9]*)", 1)
-    rest = F.regexp_extract(t, r"\.([0-9]*)\z", 1)
-    n = F.when(whole == "", F.lit("0")).otherwise(whole).try_cast("decimal(38,0)")
-    up = rest.rlike(r"\A(?:[6-9]|5[0-9]*[1-9])") | (rest.rlike(r"\A50*\z") & F.substring(whole, -1, 1).isin("1", "3", "5", "7", "9"))
-    n = n + F.when(up, 1).otherwise(0)
-    n = F.when(F.startswith(t, F.lit("-")), -n).otherwise(n)
-    return F.when(F.length(whole) <= 28, n.cast("decimal(38,0)"))
+
+    def value(t: Column) -> Column:
+        rest = F.regexp_extract(t, r"\.([0-9]*)\z", 1)
+
+        def signed(whole: Column) -> Column:
+            n = F.when(whole == "", F.lit("0")).otherwise(whole).try_cast("decimal(38,0)")
+            odd = F.substring(whole, -1, 1).isin("1", "3", "5", "7", "9")
+            up = rest.rlike(r"\A(?:[6-9]|5[0-9]*[1-9])") | (rest.rlike(r"\A50*\z") & odd)
+            n = n + F.when(up, 1).otherwise(0)
+            n = n * F.when(F.startswith(t, F.lit("-")), -1).otherwise(1)
+            return F.when(F.length(whole) <= 28, n.cast("decimal(38,0)"))
+
+        return _let(F.regexp_extract(t, r"\A-?0*([0-9]*)", 1), signed)
+
+    return _let(_amount_digits(c), value)
 
 
 def amount_text(c: Column) -> Column:
     """The amount as it enters identities: like `amount`, but a negative zero keeps its sign."""
-    n = amount(c)
-    return F.when((n == 0) & F.startswith(_amount_digits(c), F.lit("-")), F.lit("-0")).otherwise(n.cast("string"))
+    signed = F.startswith(_amount_digits(c), F.lit("-"))
+    return _let(amount(c), lambda n: F.when((n == 0) & signed, F.lit("-0")).otherwise(n.cast("string")))
 
 
 def date(c: Column) -> Column:
@@ -63,13 +79,16 @@ def date(c: Column) -> Column:
 
     Two-digit years from 69 on are of the last century. Years below 100 written with four digits are of this one.
     """
-    t = strip(c)
     dmy, ymd = r"\A([0-9]{1,2})([-/])([0-9]{1,2})\2([0-9]{4}|[0-9]{2})\z", r"\A([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})\z"
-    first = F.regexp_extract(t, dmy, 4) != ""
-    y = F.when(first, F.regexp_extract(t, dmy, 4)).otherwise(F.regexp_extract(t, ymd, 1))
-    m = F.when(first, F.regexp_extract(t, dmy, 3)).otherwise(F.regexp_extract(t, ymd, 2))
-    d = F.when(first, F.regexp_extract(t, dmy, 1)).otherwise(F.regexp_extract(t, ymd, 3))
-    short = y.try_cast("int")
-    year = F.when(F.length(y) == 2, short + F.when(short >= 69, 1900).otherwise(2000)).when(short == 0, F.lit(None)).when(short < 100, short + 2000).otherwise(short)
-    text = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))
-    return F.when(year.isNotNull() & (m != ""), F.try_to_date(text, "yyyy-MM-dd"))
+
+    def parts(t: Column) -> Column:
+        order = lambda pattern, *groups: F.struct(*(F.regexp_extract(t, pattern, g).alias(n) for n, g in zip("ymd", groups, strict=True)))
+        return F.when(t.rlike(dmy), order(dmy, 4, 3, 1)).when(t.rlike(ymd), order(ymd, 1, 2, 3))
+
+    def built(p: Column) -> Column:
+        n = p["y"].try_cast("int")
+        year = F.when(F.length(p["y"]) == 2, n + F.when(n >= 69, 1900).otherwise(2000)).when(n == 0, F.lit(None)).when(n < 100, n + 2000).otherwise(n)
+        text = F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-"), F.lpad(p["m"], 2, "0"), F.lit("-"), F.lpad(p["d"], 2, "0"))
+        return F.try_to_date(text, "yyyy-MM-dd")
+
+    return _let(_let(strip(c), parts), built)
