@@ -21,7 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import UPPER, WORD, columns, cut, few, table
@@ -30,7 +30,7 @@ from .graph import components
 #: Bits of a parity sketch.
 SKETCH = 2048
 #: Each size band reaches up to so many times its start.
-BAND = 1.2
+BAND = 1.5
 #: What an index entry costs, against a candidate by chance; how likely another document has a given shingle, and how many there are.
 ENTRY_COST, CHANCE, OTHERS = 1.0, 0.05, 1e6
 #: Members of an entry that are compared in one block.
@@ -255,29 +255,38 @@ def link(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     named = every.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = cut(named.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     keys = classes.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("rep"))
-    sets = named.join(keys, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("doc_id") == F.col("rep")))
-    sets = sets.dropDuplicates(["rep", "f1", "f2"]).select("rep", "n_shingles", "entries", "sketch")
-    sets = cut(sets)
-    listed = sets.select(F.explode("entries").alias("entry"), "rep")
-    # entries with two members or more, and their smallest member
-    ends = listed.groupBy("entry").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select(F.col("entry").alias("of"), "low")
-    shared = cut(listed.join(ends, F.col("entry") == F.col("of")).select("entry", "rep", "low"))
-    sets = sets.drop("entries")
+    # a class stands by its smallest id; ids alone are sent around, the entries stay where they are
+    chosen = few(cut(classes.select("rep").distinct()))
+    own = named.join(chosen, F.col("doc_id") == F.col("rep"), "left_semi").withColumnRenamed("doc_id", "rep")
+    sets = cut(own.select("rep", "n_shingles", "sketch").dropDuplicates(["rep"]))
+    listed = own.select(F.explode("entries").alias("entry"), "rep")
+    # entries with two members or more, and their smallest member: one shuffle of narrow rows
+    together = Window.partitionBy("entry")
+    shared = listed.select("entry", "rep", F.min("rep").over(together).alias("low"), F.max("rep").over(together).alias("high"))
+    shared = cut(shared.where("low < high").drop("high"))
     texts = narrow.where("doc_id IS NOT NULL")
-    stars = shared.where("low < rep").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
-    pairs = cut(_near_pairs(stars, sets, num, den).distinct())
-    tried = None
-    while True:
-        if pairs.isEmpty():
-            break
+    # of the smallest members that it meets, each document is verified against the one it shares most entries with
+    stars = shared.where("low < rep").groupBy("low", "rep").agg(F.count("*").alias("n"))
+    stars = stars.groupBy("rep").agg(F.max(F.struct("n", (-F.col("low")).alias("low"))).alias("best"))
+    stars = stars.select((-F.col("best.low")).alias("a"), F.col("rep").alias("b"))
+    shared = shared.select("entry", "rep")
+    pairs = cut(_near_pairs(stars, sets, num, den))
+    tried, first = None, True
+    # the entries are looked through once at least, whatever the stars show
+    while first or not pairs.isEmpty():
         judged = verify(pairs, texts, n, num, den)
         tried = judged if tried is None else cut(tried.union(judged))
         roots = components(tried.where("linked").select("a", "b"))
-        pairs = cut(_open_pairs(shared.select("entry", "rep"), sets, roots, tried, num, den))
+        if not first:
+            # an entry whose proposed pairs were all linked has no components left to join
+            refused = cut(judged.where("NOT linked").select(F.col("a").alias("r")).distinct())
+            if refused.isEmpty():
+                break
+            again = shared.join(few(refused), F.col("rep") == F.col("r"), "left_semi").select(F.col("entry").alias("of")).distinct()
+            shared = cut(shared.join(again, F.col("entry") == F.col("of"), "left_semi"))
+        pairs, first = cut(_open_pairs(shared, sets, roots, tried, num, den)), False
     own = every.select("doc_id", "n_shingles", "f1", "f2").join(keys, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n_shingles") > 0), "left")
     own = own.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("class_id"))
-    if tried is None:
-        return own.withColumn("component_id", F.col("class_id"))
     own = own.join(roots, F.col("class_id") == F.col("node"), "left")
     return own.select("doc_id", "n_shingles", "class_id", F.coalesce("root", "class_id").alias("component_id"))
 
