@@ -32,8 +32,6 @@ HOT = 20_000
 RANGE_BYTES = 12 * 2**20
 #: Bounds of the filter of repeated anchors, in bits as powers of two.
 FILTER_BITS = (20, 28)
-#: Spans up to which the result is broadcast to the documents.
-BROADCAST_SPANS = 1_000_000
 _BASE = 0xD1342543DE82EF95
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)]
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -77,7 +75,10 @@ def anchors(data: np.ndarray, length: int, gram: int):
     at = (_sliding_min(packed, length - gram + 1) & np.uint64(2**24 - 1)).astype(np.int64)
     first = np.concatenate([[0], np.nonzero(np.diff(at))[0] + 1])
     last = np.concatenate([first[1:] - 1, [len(at) - 1]])
-    return h[at[first]], at[first], first, last
+    # anchors have small hashes; mixed again they spread over all ranges
+    name = h[at[first]]
+    name = (name ^ (name >> np.uint64(31))) * _M[1]
+    return name ^ (name >> np.uint64(33)), at[first], first, last
 
 
 def _chunks(raw: bytes, length: int):
@@ -349,9 +350,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
     narrow = columns(docs, doc_id="long", text="string", **kinds_of).withColumn("key", F.xxhash64("doc_id", "text"))
     found = cut(spans(narrow.select("key", "doc_id", "text").where(F.octet_length("text") >= length), length, gram, hot))
     by = found.groupBy("key", "doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    by = cut(by.select(F.col("key").alias("of"), F.col("doc_id").alias("of_id"), "spans"))
-    short = by.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0] <= BROADCAST_SPANS
-    joined = narrow.join(F.broadcast(by) if short else by, (F.col("key") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("of_id")), "left")
+    by = by.select(F.col("key").alias("of"), F.col("doc_id").alias("of_id"), "spans")
+    # spans grow with the corpus, so texts meet them by a shuffle at every size
+    joined = narrow.join(by, (F.col("key") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("of_id")), "left")
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", clean_text string" * with_text + "".join(f", `{c}` {kind}" for c, kind in kinds_of.items())
 
     def apply(batches):
