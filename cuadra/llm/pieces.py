@@ -165,8 +165,7 @@ def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     """(unit, ids) of distinct units."""
     bytes_ = F.array(*[F.lit(i) for i in pieces.bytes_])
     # units that hold no piece at all have no edges and no row here; they are encoded as bytes
-    full = lattice(units, pieces)
-    short = full.where(F.length("unit") <= FOLDED)
+    short, full = (lattice(units.where(which), pieces) for which in (F.length("unit") <= FOLDED, F.length("unit") > FOLDED))
 
     def solve(edges: Column) -> Column:
         n = F.length("unit")
@@ -188,12 +187,18 @@ def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
                 got = [_merge_long(u, e, own) for u, e in zip(batch.column("unit").to_pylist(), batch.column("edges").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array(got, pa.list_(pa.int32()))], names=["unit", "ids"])
 
-        done = done.union(full.where(F.length("unit") > FOLDED).mapInArrow(long_ones, "unit string, ids array<int>"))
+        done = done.union(full.mapInArrow(long_ones, "unit string, ids array<int>"))
     else:
-        done = done.union(full.where(F.length("unit") > FOLDED).select("unit", let(F.transform("edges", _open), solve).alias("ids")))
+        done = done.union(full.select("unit", let(F.transform("edges", _open), solve).alias("ids")))
     return done
 
 
+def _flat(chunk: pa.Array) -> memoryview:
+    """The bytes of a binary array, one value after the other."""
+    ends = np.frombuffer(chunk.buffers()[1], np.int32, len(chunk) + 1, chunk.offset * 4)
+    return memoryview(chunk.buffers()[2])[int(ends[0]) : int(ends[-1])] if ends[-1] > ends[0] else memoryview(b"")
+
+
 def _bare_ids(unit: str, bytes_: list[int]) -> list[int]:
     return [bytes_[b] for b in unit.encode()]
 
@@ -219,36 +224,36 @@ def encode(docs: DataFrame, pieces: Pieces, carry: tuple[str, ...] = ("doc_id",)
         got = coded.select("h", F.unhex(F.array_join(packed, "")).alias("ids")).sort("h").toArrow()
         h = got.column("h").to_numpy()
         if len(h) < 2 or (h[1:] != h[:-1]).all():
-            joined = got.column("ids").combine_chunks()
-            joined = joined.chunk(0) if isinstance(joined, pa.ChunkedArray) else joined
-            lens = pc.binary_length(joined).to_numpy(zero_copy_only=False).astype(np.int64) // 2
-            values = np.frombuffer(b"".join(joined.to_pylist()), ">u2").astype(np.uint16)
+            chunks = [c for c in got.column("ids").chunks if len(c)]
+            lens = np.concatenate([pc.binary_length(c).to_numpy(zero_copy_only=False) for c in chunks] or [np.zeros(0, np.int64)]).astype(np.int64) // 2
+            values = np.concatenate([np.frombuffer(_flat(c), ">u2") for c in chunks] or [np.zeros(0, ">u2")]).astype(np.uint16)
+            del got, chunks
             shared = spark.sparkContext.broadcast((h, np.concatenate([[0], np.cumsum(lens)]), values))
 
             def run(batches):
                 keys, ends, values = shared.value
                 kept: dict[str, bytes] = {}
 
-                def look(unit: str) -> bytes:
-                    if (hit := kept.get(unit)) is not None:
-                        return hit
-                    key = np.int64(np.uint64(xxhash.xxh64_intdigest(unit.encode(), seed=42)).astype(np.int64))
-                    at = int(np.searchsorted(keys, key))
-                    found = values[ends[at] : ends[at + 1]] if at < len(keys) and keys[at] == key else np.array(_bare_ids(unit, own), np.uint16)
-                    if len(kept) >= KEPT_UNITS:
-                        return found.tobytes()
-                    kept[unit] = hit = found.tobytes()
-                    return hit
+                def look(units: list[str]) -> dict[str, bytes]:
+                    """Encodings of some units, all found in one search."""
+                    hashed = np.array([xxhash.xxh64_intdigest(u.encode(), seed=42) for u in units], np.uint64).view(np.int64)
+                    at = np.searchsorted(keys, hashed)
+                    there = at < len(keys)
+                    there[there] = keys[at[there]] == hashed[there]
+                    return {u: values[ends[k] : ends[k + 1]].tobytes() if ok else np.array(_bare_ids(u, own), np.uint16).tobytes() for u, k, ok in zip(units, at.tolist(), there.tolist(), strict=True)}
 
                 for batch in batches:
-                    lists, sizes = [], []
-                    for text in batch.column("_text").to_pylist():
-                        ids = b"".join(map(look, find.findall(BLANK + text.replace(" ", BLANK)))) if text else b""
-                        lists.append(ids)
-                        sizes.append(len(ids) // 2)
-                    flat = np.frombuffer(b"".join(lists), np.uint16).astype(np.int32)
-                    ids = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), flat)
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), ids], names=[*carry, "ids"])
+                    for start in range(0, batch.num_rows, 500):
+                        part = batch.slice(start, 500)
+                        split = [find.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in part.column("_text").to_pylist()]
+                        new = list({u for units in split for u in units}.difference(kept))
+                        if len(kept) + len(new) > KEPT_UNITS:
+                            kept = {u: kept[u] for units in split for u in units if u in kept}
+                        kept.update(look(new))
+                        lists = [b"".join(map(kept.__getitem__, units)) for units in split]
+                        flat = np.frombuffer(b"".join(lists), np.uint16).astype(np.int32)
+                        ids = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) // 2 for x in lists])]).astype(np.int32), flat)
+                        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), ids], names=[*carry, "ids"])
 
             return rows.mapInArrow(run, f"{ddl}, ids array<int>")
     # the join: each text's distinct units with their encodings, gathered by text
@@ -274,15 +279,30 @@ def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
     Ids that aren't in the table, and bytes that aren't UTF-8, become U+FFFD.
     """
     raw = {i: p.replace(BLANK, " ").encode() for p, i, _ in pieces.rows} | {i: bytes([b]) for b, i in enumerate(pieces.bytes_)}
-    shared = encoded.sparkSession.sparkContext.broadcast(raw)
+    top = max(raw) + 1
+    each = [raw.get(i, b"\xef\xbf\xbd") for i in range(top + 1)]
+    sizes = np.array([len(x) for x in each])
+    shared = encoded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(each), np.uint8), sizes, np.cumsum(sizes) - sizes))
     names = encoded.columns
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
 
     def run(batches):
-        raw = shared.value
+        blob, sizes, starts = shared.value
         for batch in batches:
-            out = [None if ids is None else b"".join(raw.get(i, b"\xef\xbf\xbd") for i in ids).decode("utf-8", "replace")[1:] for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.string())], names=[*names, "decoded"])
+            for begin in range(0, batch.num_rows, 500):
+                part = batch.slice(begin, 500)
+                lists = part.column("ids")
+                ids = np.asarray(lists.flatten().fill_null(top), dtype=np.int64)
+                ids = np.where((ids < 0) | (ids > top), top, ids)
+                # every byte of every piece, by its place in the blob
+                n = sizes[ids]
+                ends = np.cumsum(n)
+                place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[ids] - (ends - n), n)
+                out = blob[place].tobytes()
+                edge = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+                at = np.concatenate([[0], ends])[edge]
+                texts = [None if null else out[a:b].decode("utf-8", "replace")[1:] for a, b, null in zip(at, at[1:], lists.is_null().to_pylist(), strict=False)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(texts, pa.string())], names=[*names, "decoded"])
 
     return encoded.mapInArrow(run, f"{ddl}, decoded string")
 
