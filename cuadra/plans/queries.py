@@ -329,7 +329,7 @@ QUERIES = {
     "blocking_reason": (blocking_reason, _with(_P2, f"SELECT found.tx_id, exp_id, {_MOTIVO} AS motivo FROM found JOIN tx ON tx.tx_id = found.tx_id")),
     "estado_decision": (estado_decision, _with(_P2, f"SELECT mat.tx_id, regla, score, CASE WHEN {_MOTIVO} IS NOT NULL THEN 'pendiente' ELSE estado END AS estado, {_MOTIVO} IS NOT NULL AS bloqueado_por_confianza FROM mat JOIN tx ON tx.tx_id = mat.tx_id")),
     "parse_monto": (parse_monto, f"SELECT o_orderkey, texto, round_even(TRY_CAST(CASE WHEN contains({_T}, ',') AND contains({_T}, '.') THEN replace(replace({_T}, '.', ''), ',', '.') ELSE replace(replace({_T}, '.', ''), ',', '') END AS DOUBLE), 0)::BIGINT AS monto FROM (SELECT o_orderkey, {_AMOUNT} AS texto FROM orders)"),
-    "parse_fecha": (parse_fecha, f"SELECT o_orderkey, texto, CASE WHEN regexp_matches(trim(texto), '[0-9]{4}') THEN try_strptime(trim(texto), ['%d-%m-%Y', '%d/%m/%Y', '%Y-%m-%d']) ELSE try_strptime(trim(texto), ['%d-%m-%y', '%d/%m/%y']) END::DATE AS fecha FROM (SELECT o_orderkey, {_DATE} AS texto FROM orders)"),
+    "parse_fecha": (parse_fecha, f"SELECT o_orderkey, texto, CASE WHEN regexp_matches(trim(texto), '[0-9]{{4}}') THEN try_strptime(trim(texto), ['%d-%m-%Y', '%d/%m/%Y', '%Y-%m-%d']) ELSE try_strptime(trim(texto), ['%d-%m-%y', '%d/%m/%y']) END::DATE AS fecha FROM (SELECT o_orderkey, {_DATE} AS texto FROM orders)"),
     "norm_texto": (norm_texto, rf"SELECT doc_id, trim(regexp_replace(' ' || chr(9) || chr(160) || text || chr(8195) || chr(10), '{_WS}', ' ', 'g'), ' ') AS texto FROM documents"),
     "norm_ref": (norm_ref, rf"SELECT c_custkey, upper(regexp_replace(lower(c_name) || chr(9) || '-' || chr(160) || lower(c_mktsegment), '{_WS}', '', 'g')) AS referencia FROM customer"),
     "norm_moneda": (norm_moneda, "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'CLP' WHEN 1 THEN 'CLP' WHEN 2 THEN 'USD' ELSE CASE WHEN regexp_full_match(upper(c_mktsegment), '[A-Z]{3}') THEN upper(c_mktsegment) END END AS moneda FROM customer"),
