@@ -23,7 +23,9 @@ DOCS_PER_LANG = 1500
 #: The model (languages x buckets x 4 bytes) is kept within this size: buckets are halved until it fits.
 MODEL_BYTES, MOST_BUCKETS = 32 * 2**20, 2**16
 #: What a switch of language costs, in nats.
-SWITCH = 14.0
+SWITCH = 12.0
+#: Grams of four lengths overlap, so their sum is divided; and no word speaks against a language by more than this.
+OVERLAP, LOUDEST = 4.0, 8.0
 SMOOTHING = 0.3
 #: A share of the training words from which on a script counts as used by a language.
 SCRIPT_SHARE = 0.02
@@ -164,40 +166,45 @@ class Scorer:
         # languages that don't use the word's script are no candidates; where none does, all are alike
         uses = self.model.uses[:, script].T
         none = ~uses.any(1)
-        sums = np.where(uses, sums, sums.min(1, keepdims=True) - 50)
+        sums = np.where(uses, sums / OVERLAP, -np.inf)
         sums[none] = 0
+        sums = np.maximum(sums, sums.max(1, keepdims=True) - np.where(uses, LOUDEST, 4 * LOUDEST))
         return sums.astype(np.float32)
 
 
 def viterbi(scores: np.ndarray, prior: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The best language of each word: the path with the highest sum of scores less `switch` for each change.
 
-    Where no stretch gains more than half a switch over the best single language, that language is the best
-    path, and the step-by-step search is left out.
+    The step-by-step search is left out where the best single language must be the best path. A stretch in
+    other languages pays a switch for each of its runs, and one more where it lies inside; so no path through
+    the best language gains anything if no run gains more than a switch. A path around it altogether pays one
+    switch less than it has runs, of which the first and the last lie at the ends of the text.
     """
     scores = scores.astype(np.float64)
     total = scores.sum(0) + prior
     best = int(total.argmax())
     gain = scores - scores[:, [best]]
+    gain[0] += prior - prior[best]
     run = np.cumsum(gain, axis=0)
-    low = np.minimum.accumulate(np.concatenate([np.zeros((1, run.shape[1])), run]), axis=0)[:-1]
-    most = (run - low).max(0) + np.maximum(0, prior - prior[best])
-    if (most <= switch / 2).all():
+    low = np.minimum(np.minimum.accumulate(run, axis=0), 0.0)
+    most = max((run[1:] - low[:-1]).max(initial=0.0), run[0].max())
+    ends = run.max() + (run[-1] - np.minimum(run.min(0), 0.0)).max()
+    if most <= switch and ends <= switch:
         return np.full(len(scores), best)
-    n, k = scores.shape
-    back = np.empty((n, k), np.int32)
-    own = np.arange(k)
-    state = prior + scores[0]
-    for t in range(1, n):
-        top = int(state.argmax())
-        stay = state >= state[top] - switch
-        back[t] = np.where(stay, own, top)
-        state = np.where(stay, state, state[top] - switch) + scores[t]
-    path = np.empty(n, np.int64)
-    path[-1] = state.argmax()
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path
+    # few languages: plain lists are faster than arrays of a handful of numbers
+    rows = scores.tolist()
+    states = [(prior + scores[0]).tolist()]
+    for row in rows[1:]:
+        least = max(states[-1]) - switch
+        states.append([(v if v >= least else least) + x for v, x in zip(states[-1], row, strict=True)])
+    at = states[-1].index(max(states[-1]))
+    path = [at]
+    for state in reversed(states[:-1]):
+        top = max(state)
+        if state[at] < top - switch:
+            at = state.index(top)
+        path.append(at)
+    return np.array(path[::-1])
 
 
 def detect(docs: DataFrame, model: Model, with_spans: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
