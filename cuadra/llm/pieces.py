@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-A text is cut into units, runs of blanks with the word that follows; no piece reaches over the end of one.
-Every distinct unit is encoded once: its substrings of bounded length are exploded and equi-joined to the
+A text is cut into units between which no piece reaches: runs of blanks with what follows, parted where the
+model has no piece with two such characters side by side (letters and digits, say). Every distinct unit is encoded once: its substrings of bounded length are exploded and equi-joined to the
 piece table, the edges that come back are grouped by unit, and a Spark higher-order aggregate folds them.
 
 For a unigram model the fold is Viterbi's: the path with the highest sum of scores. A BPE model's scores are
@@ -31,9 +31,9 @@ BLANK = "▁"
 BLOCK, FOLDED = 128, 256
 #: Distinct units up to which their encodings (20 bytes or so each) are broadcast to the tasks.
 BROADCAST_UNITS = 8_000_000
-#: Units whose encodings a worker keeps at hand.
-KEPT_UNITS = 200_000
-UNITS = f"{BLANK}*[^{BLANK}]+|{BLANK}+"
+#: Words whose encodings a worker keeps at hand.
+KEPT_WORDS = 200_000
+WORDS = f"{BLANK}*[^{BLANK}]+|{BLANK}+"
 # an edge in one number: rank, start, length, id
 _START, _LEN, _ID = 24, 5, 16
 
@@ -52,6 +52,49 @@ class Pieces:
         self.longest = max(len(r[0]) for r in self.rows)
         if self.longest >= 2**_LEN or max(r[1] for r in self.rows) >= 2**_ID or len(self.ranks) >= 2**16:
             raise ValueError("pieces are too long or too many")
+        if any(BLANK in r[0].lstrip(BLANK) for r in self.rows):
+            raise ValueError("pieces with a blank behind another character aren't supported")
+        self.units = self._units()
+
+    def _units(self) -> str:
+        """A pattern of units: blanks with characters that pieces connect, else single characters.
+
+        Characters are connected if they stand side by side in a piece, or are connected with one that both are
+        connected with. So each piece lies within a unit.
+        """
+        top: dict[str, str] = {}
+
+        def find(c: str) -> str:
+            while top.setdefault(c, c) != c:
+                top[c] = top[top[c]]
+                c = top[c]
+            return c
+
+        for piece, _, _ in self.rows:
+            bare = piece.lstrip(BLANK)
+            for a, b in zip(bare, bare[1:], strict=False):
+                top[find(a)] = find(b)
+            if bare != piece and bare:
+                find(bare[0])
+        kinds: dict[str, set[str]] = {}
+        for c in list(top):
+            kinds.setdefault(find(c), set()).add(c)
+
+        def ranges(chars: set[str]) -> str:
+            points, out = sorted(map(ord, chars)), []
+            for x in points:
+                if out and out[-1][1] + 1 == x:
+                    out[-1][1] = x
+                else:
+                    out.append([x, x])
+            shown = lambda x: ("" if chr(x).isalnum() or x > 127 else "\\") + chr(x)
+            return "".join(shown(a) if a == b else f"{shown(a)}-{shown(b)}" for a, b in out)
+
+        ordered = sorted(kinds.values(), key=lambda k: (-len(k), min(k)))
+        # characters that follow blanks only, each for itself, in one class
+        single = {c for k in ordered if len(k) == 1 for c in k}
+        parts = [f"{BLANK}*+[{ranges(k)}]+" for k in ordered if len(k) > 1] + ([f"{BLANK}*+[{ranges(single)}]"] if single else [])
+        return "(?s)" + "|".join([*parts, f"{BLANK}+", "."])
 
     @classmethod
     def load(cls, path: str = MODEL_FILE, bpe: bool = True) -> Pieces:
@@ -64,10 +107,10 @@ class Pieces:
         return cls([(sp.id_to_piece(i), i, sp.get_score(i)) for i in plain], [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], bpe)
 
 
-def units_of(text: Column) -> Column:
+def units_of(text: Column, pieces: Pieces) -> Column:
     """The units of a text, in order; null and empty texts have none."""
     marked = F.concat(F.lit(BLANK), F.replace(text, F.lit(" "), F.lit(BLANK)))
-    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(marked, F.lit(UNITS), F.lit(0)))
+    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(marked, F.lit(pieces.units), F.lit(0)))
 
 
 def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
@@ -104,6 +147,7 @@ def _merge_fold(n: Column, edges: Column) -> Column:
         fits = F.filter(edges, lambda x: (F.get(ends, x["s"]) > 0) & (F.get(ends, x["s"]) < x["e"]) & (F.get(ends, F.get(ends, x["s"])) == x["e"]))
         return let(F.get(fits, F.lit(0)), lambda x: F.when(x.isNull(), ends).otherwise(let(F.get(ends, x["s"]), lambda m: F.transform(ends, lambda old, i: F.when(i == x["s"], x["e"]).when(i == m, F.lit(0)).otherwise(old)))))
 
+    edges = F.filter(edges, lambda x: x["e"] > x["s"] + 1)
     return F.aggregate(F.sequence(F.lit(1), n), F.transform(F.sequence(F.lit(1), n), lambda i: i), step)
 
 
@@ -215,13 +259,13 @@ def encode(docs: DataFrame, pieces: Pieces, carry: tuple[str, ...] = ("doc_id",)
     """
     spark = docs.sparkSession
     rows = docs.select(*carry, docs["text"].cast("string").alias("_text"))
-    seen = rows.select(F.explode(F.array_distinct(units_of(F.col("_text")))).alias("unit")).distinct()
-    coded = cut(encode_units(seen, pieces).withColumn("h", F.xxhash64("unit")))
-    n, own, find = coded.count(), pieces.bytes_, re.compile(UNITS)
+    seen = rows.select(F.explode(F.array_distinct(units_of(F.col("_text"), pieces))).alias("unit")).distinct()
+    packed = F.expr("unhex(array_join(transform(ids, x -> lpad(hex(x), 4, '0')), ''))")
+    coded = cut(encode_units(cut(seen), pieces).select("unit", packed.alias("ids")))
+    n, own, words, find = coded.count(), pieces.bytes_, re.compile(WORDS), re.compile(pieces.units)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_text").schema)
     if n <= broadcast_units:
-        packed = F.expr("transform(ids, x -> lpad(hex(x), 4, '0'))")
-        got = coded.select("h", F.unhex(F.array_join(packed, "")).alias("ids")).sort("h").toArrow()
+        got = coded.select(F.xxhash64("unit").alias("h"), "ids").sort("h").toArrow()
         h = got.column("h").to_numpy()
         if len(h) < 2 or (h[1:] != h[:-1]).all():
             chunks = [c for c in got.column("ids").chunks if len(c)]
@@ -234,20 +278,23 @@ def encode(docs: DataFrame, pieces: Pieces, carry: tuple[str, ...] = ("doc_id",)
                 keys, ends, values = shared.value
                 kept: dict[str, bytes] = {}
 
-                def look(units: list[str]) -> dict[str, bytes]:
-                    """Encodings of some units, all found in one search."""
+                def look(new: list[str]) -> dict[str, bytes]:
+                    """Encodings of some words, those of all their units found in one search."""
+                    split = [find.findall(w) for w in new]
+                    units = list({u for parts in split for u in parts})
                     hashed = np.array([xxhash.xxh64_intdigest(u.encode(), seed=42) for u in units], np.uint64).view(np.int64)
                     at = np.searchsorted(keys, hashed)
                     there = at < len(keys)
                     there[there] = keys[at[there]] == hashed[there]
-                    return {u: values[ends[k] : ends[k + 1]].tobytes() if ok else np.array(_bare_ids(u, own), np.uint16).tobytes() for u, k, ok in zip(units, at.tolist(), there.tolist(), strict=True)}
+                    found = {u: values[ends[k] : ends[k + 1]].tobytes() if ok else np.array(_bare_ids(u, own), np.uint16).tobytes() for u, k, ok in zip(units, at.tolist(), there.tolist(), strict=True)}
+                    return {w: b"".join(map(found.__getitem__, parts)) for w, parts in zip(new, split, strict=True)}
 
                 for batch in batches:
                     for start in range(0, batch.num_rows, 500):
                         part = batch.slice(start, 500)
-                        split = [find.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in part.column("_text").to_pylist()]
+                        split = [words.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in part.column("_text").to_pylist()]
                         new = list({u for units in split for u in units}.difference(kept))
-                        if len(kept) + len(new) > KEPT_UNITS:
+                        if len(kept) + len(new) > KEPT_WORDS:
                             kept = {u: kept[u] for units in split for u in units if u in kept}
                         kept.update(look(new))
                         lists = [b"".join(map(kept.__getitem__, units)) for units in split]
@@ -258,14 +305,14 @@ def encode(docs: DataFrame, pieces: Pieces, carry: tuple[str, ...] = ("doc_id",)
             return rows.mapInArrow(run, f"{ddl}, ids array<int>")
     # the join: each text's distinct units with their encodings, gathered by text
     keyed = rows.withColumn("_key", F.sha2(F.coalesce("_text", F.lit("")), 256))
-    pairs = keyed.select("_key", F.explode(F.array_distinct(units_of(F.col("_text")))).alias("unit")).distinct()
+    pairs = keyed.select("_key", F.explode(F.array_distinct(units_of(F.col("_text"), pieces))).alias("unit")).distinct()
     gathered = pairs.join(coded.select("unit", "ids"), "unit").groupBy("_key").agg(F.collect_list(F.struct("unit", "ids")).alias("_coded")).withColumnRenamed("_key", "_of")
 
     def run_joined(batches):
         for batch in batches:
             got = []
             for text, coded_ in zip(batch.column("_text").to_pylist(), batch.column("_coded").to_pylist(), strict=True):
-                by = {c["unit"]: c["ids"] for c in coded_ or ()}
+                by = {c["unit"]: np.frombuffer(c["ids"], ">u2").tolist() for c in coded_ or ()}
                 got.append([i for u in (find.findall(BLANK + text.replace(" ", BLANK)) if text else ()) for i in (by[u] if u in by else _bare_ids(u, own))])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(got, pa.list_(pa.int32()))], names=[*carry, "ids"])
 
