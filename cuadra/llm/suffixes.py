@@ -330,7 +330,8 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
             yield pa.RecordBatch.from_arrays([pa.array([x for g in got for x in g[1]], pa.int64()) if i == 1 else pa.array(np.concatenate([g[i] for g in got])) for i in range(5)], names=["key", "doc_id", "start", "h1", "h2"])
 
     dense = docs.select("key", "doc_id", "text").mapInArrow(windows, "key long, doc_id long, start long, h1 long, h2 long")
-    twice = dense.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"))
+    # written first: a join of two exchanges is one whose large groups Spark can split
+    twice = cut(dense.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h1").alias("g1"), F.col("h2").alias("g2")))
     more = dense.join(twice, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).select("key", "doc_id", "start", (F.col("start") + length).alias("end"))
     return out.union(more)
 
