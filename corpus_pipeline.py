@@ -12,6 +12,8 @@ from cuadra.llm._common import columns, cut, few, shared_dir
 
 #: Texts whose language is less certain than this go, as do those without a letter.
 LEAST_CERTAIN = 0.2
+#: Passages of so many words in a row that occur twice are taken out, as are repeated strings of op9's length.
+PASSAGE_WORDS = 51
 DOCUMENTS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
 
 
@@ -45,7 +47,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take repeated passages out of every text; a document of which nothing is left goes."""
-    found = suffixes.dedup(_documents(docs), with_text=True, carry=("lang", "source"))
+    found = suffixes.dedup(_documents(docs), with_text=True, carry=("lang", "source"), words=PASSAGE_WORDS)
     kept = found.where((F.col("n_removed") == 0) | (F.trim("clean_text") != ""))
     return _documents(kept.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.length("clean_text").alias("n_chars")))
 

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from ._common import columns, cut, table
 
 LENGTH, GRAM = 400, 128
+#: Bytes that stand for a word where windows are counted in words, and words of such a window's anchor (at most).
+TOKEN, GRAM_WORDS = 8, 16
 #: Bytes of a text that are hashed at a time, and bytes of suffixes that a task sorts as one run.
 CHUNK, RUN = 2**20, 32 * 2**20
 #: Anchors that occur more often are counted window by window.
@@ -86,6 +88,33 @@ def _chunks(raw: bytes, length: int):
         yield start, np.frombuffer(raw, np.uint8, min(CHUNK + length - 1, len(raw) - start), start)
 
 
+def _raw(text: str | bytes | None) -> bytes:
+    return text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+
+
+def _word_edges(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word and the byte after it."""
+    data = np.frombuffer(raw, np.uint8)
+    inside = np.concatenate([[False], (data != 0x20) & ((data < 0x09) | (data > 0x0D)), [False]])
+    turns = np.nonzero(inside[1:] != inside[:-1])[0]
+    return turns[::2], turns[1::2]
+
+
+def tokens(raw: bytes) -> bytes:
+    """`TOKEN` bytes for each word, a hash of its bytes and their places."""
+    starts, ends = _word_edges(raw)
+    if not len(starts):
+        return b""
+    lens = ends - starts
+    firsts = np.cumsum(lens) - lens
+    place = np.arange(lens.sum()) - np.repeat(firsts, lens)
+    h = (np.frombuffer(raw, np.uint8)[place + np.repeat(starts, lens)].astype(np.uint64) + place.astype(np.uint64) * np.uint64(257) + np.uint64(1)) * _M[0]
+    h ^= h >> np.uint64(29)
+    h *= _M[1]
+    h = np.add.reduceat(h ^ (h >> np.uint64(32)), firsts) * _M[0]
+    return (h ^ (h >> np.uint64(32))).astype(">u8").tobytes()
+
+
 def common(x: bytes, y: bytes, known: int = 0) -> int:
     """Length of the common prefix, of which `known` bytes are known."""
     n = min(len(x), len(y))
@@ -212,13 +241,13 @@ def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(key, doc_id, start, end): byte ranges of documents covered by strings that occur elsewhere too.
 
-    `docs` has key, doc_id and text; rows with an equal key are equal.
+    `docs` has key, doc_id and text (a string or its bytes); rows with an equal key are equal.
     """
     spark = docs.sparkSession
 
     def count(batches):
         for batch in batches:
-            found = [anchors(data, length, gram)[0] for t in batch.column("text").to_pylist() if t for _, data in _chunks(t.encode("utf-8", "surrogatepass"), length)]
+            found = [anchors(data, length, gram)[0] for t in batch.column("text").to_pylist() if t for _, data in _chunks(_raw(t), length)]
             h, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
@@ -237,7 +266,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
         for batch in batches:
             ids = zip(batch.column("key").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)
             for key, doc_id, text in ids:
-                raw = text.encode("utf-8", "surrogatepass") if text else b""
+                raw = _raw(text)
                 for start, data in _chunks(raw, length):
                     h, at, first, last = anchors(data, length, gram)
                     pick = _has(wanted.value, h)
@@ -336,9 +365,30 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
     return out.union(more)
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def word_spans(docs: DataFrame, words: int, hot: int = HOT) -> DataFrame:
+    """(key, doc_id, start, end): ranges of words covered by `words` words in a row that occur elsewhere too.
+
+    The same search over one token a word; of the windows it finds, those that start where a word does count.
+    """
+
+    def tokenize(batches):
+        for batch in batches:
+            found = pa.array([tokens(_raw(t)) for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), found], names=["key", "doc_id", "text"])
+
+    length = TOKEN * words
+    rows = docs.select("key", "doc_id", "text").where(F.octet_length("text") >= 2 * words - 1)
+    found = spans(rows.mapInArrow(tokenize, "key long, doc_id long, text binary"), length, TOKEN * min(GRAM_WORDS, words), hot)
+    first, last = F.ceil(F.col("start") / TOKEN), F.floor((F.col("end") - length) / TOKEN)
+    return found.select("key", "doc_id", first.cast("long").alias("start"), (last + words).cast("long").alias("end")).where(F.col("end") - F.col("start") >= words)
+
+
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, with_text: bool = False, carry: tuple[str, ...] = (), words: int = 0) -> DataFrame:
     """Remove every byte covered by a string of `length` bytes that starts anywhere else too.
 
+    With `words`, so goes every passage of that many words in a row, however short, that starts anywhere else too;
+    what separates the words may differ.
+
     Matches never cross documents and are judged on the input. A null text counts as empty: 0 bytes, nothing
     removed. Rows that are equal in id and text are places of their own, so both lose what they share. Null
     ids are rows like others. An empty table gives no rows; of other columns those in `carry` come along. With
@@ -349,8 +399,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
         raise ValueError("gram must be between 1 and length")
     kinds_of = {f.name: f.dataType.simpleString() for f in docs.schema if f.name in carry}
     narrow = columns(docs, doc_id="long", text="string", **kinds_of).withColumn("key", F.xxhash64("doc_id", "text"))
-    found = cut(spans(narrow.select("key", "doc_id", "text").where(F.octet_length("text") >= length), length, gram, hot))
-    by = found.groupBy("key", "doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    found = cut(spans(narrow.select("key", "doc_id", "text").where(F.octet_length("text") >= length), length, gram, hot)).withColumn("in_words", F.lit(False))
+    if words:
+        found = found.unionByName(cut(word_spans(narrow, words, hot)).withColumn("in_words", F.lit(True)))
+    by = found.groupBy("key", "doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end", "in_words"))).alias("spans"))
     by = by.select(F.col("key").alias("of"), F.col("doc_id").alias("of_id"), "spans")
     # spans grow with the corpus, so texts meet them by a shuffle at every size
     joined = narrow.join(by, (F.col("key") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("of_id")), "left")
@@ -361,6 +413,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
             rows = []
             for text, cuts in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
+                if words and cuts and any(c["in_words"] for c in cuts):
+                    starts, ends = _word_edges(raw)
+                    cuts = [{"start": int(starts[c["start"]]), "end": int(ends[c["end"] - 1])} if c["in_words"] else c for c in cuts]
+                    cuts.sort(key=lambda c: (c["start"], c["end"]))
                 kept, at, n = [], 0, 0
                 end = -1
                 for c in cuts or ():

@@ -37,3 +37,22 @@ def test_stages_in_order(spark, tmp_path):
 def test_run_reads_documents(spark, tmp_path):
     documents(spark).write.parquet(str(tmp_path / "documents.parquet"))
     assert pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_repeats_of_51_short_words_go(spark, tmp_path):
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    text = lambda n, size: " ".join(word(size) for _ in range(n))
+    short, letters, longer, near, run = text(51, 4), text(60, 1), text(60, 5), text(50, 5), word(450)
+    shared = [(short, short), (letters, letters), (longer, longer.replace(" ", "\n", 9)), (near, near), (run, run)]
+    rows = [(2 * k + side, f"{text(30, 6)} {part} {text(30, 6)}") for k, pair in enumerate(shared) for side, part in enumerate(pair)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("aa"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+    got = {r["doc_id"]: r["text"] for r in pipeline.repeats_stage(spark, docs, str(tmp_path)).collect()}
+    for k, pair in enumerate(shared):
+        for side, part in enumerate(pair):
+            i = 2 * k + side
+            if part is run:
+                # one word of over 400 bytes is a repeated string, which may reach into its neighbours
+                assert 300 < len(got[i]) < 450
+            else:
+                assert got[i].split() == (dict(rows)[i] if part is near else dict(rows)[i].replace(part, "")).split(), i
