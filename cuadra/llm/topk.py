@@ -75,7 +75,8 @@ def search(vectors: DataFrame, is_query, k: int = 5, pivots: int = PIVOTS) -> Da
 
     placed = cut(full.mapInArrow(assign, "vec_id long, v array<long>, cell int, far double"))
     cells = {r["cell"]: (r["n"], r["radius"]) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect()}
-    queries = placed.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    # `own`: rows with a query's id, none of which is a candidate
+    queries = placed.groupBy("vec_id").agg(F.min(F.when(is_query, F.col("v"))).alias("v"), F.count("*").alias("own")).where("v IS NOT NULL")
     n_queries = queries.count()
     order = sorted(cells)
     sizes, radii = np.array([cells[c][0] for c in order]), np.array([cells[c][1] for c in order]) * (1 + 1e-9) + 1e-6
@@ -88,9 +89,10 @@ def search(vectors: DataFrame, is_query, k: int = 5, pivots: int = PIVOTS) -> Da
             slack = 1e-9 * (np.abs(mid) + reach) + 1e-6
             low, high = mid - reach - slack, mid + reach + slack
             by = np.argsort(-low, axis=1)
-            # k + 1 rows, one of which may be the query's own, score at least this
-            enough = (np.cumsum(sizes[by], axis=1) >= k + 1).argmax(1)
-            bound = np.where(sizes.sum() > k, np.take_along_axis(low, by, 1)[np.arange(len(q)), enough], -np.inf)
+            # k rows besides those that may be the query's own score at least this
+            need = k + batch.column("own").to_numpy()
+            enough = (np.cumsum(sizes[by], axis=1) >= need[:, None]).argmax(1)
+            bound = np.where(sizes.sum() >= need, np.take_along_axis(low, by, 1)[np.arange(len(q)), enough], -np.inf)
             row, cell = np.nonzero(high >= bound[:, None])
             yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(row)), batch.column("v").take(pa.array(row)), pa.array(np.array(order, np.int32)[cell])], names=["query_id", "q", "cell"])
 

@@ -114,6 +114,18 @@ def test_topk_equals_brute_force(spark):
     assert topk.search(topk.quantized(frame.where("false")), F.lit(True)).count() == 0
 
 
+def test_topk_of_a_query_repeated_more_than_k_times(spark):
+    rows = [(10, [9.0, 9.0])] * 8 + [(20, [8.0, 1.0])] * 2 + [(k, [float(k % 5), 1.0]) for k in range(1, 10)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in topk.search(topk.quantized(frame), F.col("vec_id") % 10 == 0, 5, 64).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["score"], r["vec_id"]))
+    for q, a in ((10, [9, 9]), (20, [8, 1])):
+        assert got[q] == sorted(((sum(2**16 * x * int(y) for x, y in zip(a, b, strict=True)), i) for i, b in rows if i != q), key=lambda s: (-s[0], s[1]))[:5]
+    # fewer candidates than k: all of them
+    assert topk.search(topk.quantized(frame.where("vec_id IN (1, 2, 10)")), F.col("vec_id") == 10, 5, 64).count() == 2
+
+
 def test_pieces_equal_the_library_and_come_back(spark):
     sentencepiece = pytest.importorskip("sentencepiece")
     model = pieces.Pieces.load()
