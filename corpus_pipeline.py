@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cuadra.llm import jaccard, language, mixing, pieces, suffixes
 from cuadra.llm._common import columns, cut, few, shared_dir
 
-#: Texts whose language is less certain than this go, as do those without a letter.
+#: Texts whose main language is less certain than this go, as do those without a letter; other languages in them don't count.
 LEAST_CERTAIN = 0.2
 #: Passages of so many words in a row that occur twice are taken out, as are repeated strings of op9's length.
 PASSAGE_WORDS = 51
@@ -25,8 +25,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Keep documents in a language that is recognized, learned from the labels of those not held out; `lang` becomes it."""
     docs = _documents(docs)
     model = language.fit(docs.where(~language.held_out() & F.col("doc_id").isNotNull()))
-    found = language.detect(docs, model, carry=tuple(c for c in DOCUMENTS if c != "doc_id"))
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_CERTAIN))
+    found = language.detect(docs, model, carry=tuple(c for c in DOCUMENTS if c != "doc_id"), with_certainty=True)
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("certainty") >= LEAST_CERTAIN))
     return _documents(kept.drop("lang").withColumnRenamed("lang_pred", "lang"))
 
 

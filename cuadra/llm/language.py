@@ -207,12 +207,14 @@ def viterbi(scores: np.ndarray, prior: np.ndarray, switch: float = SWITCH) -> np
     return np.array(path[::-1])
 
 
-def detect(docs: DataFrame, model: Model, with_spans: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def detect(docs: DataFrame, model: Model, with_spans: bool = False, carry: tuple[str, ...] = (), with_certainty: bool = False) -> DataFrame:
     """Language of every whole text: the one with the most letters in the best path.
 
-    `score` is its share of the letters times the certainty over the second language. A null text, or one
+    `score` is its share of the letters times the certainty over the second language in the words that the path
+    gives to it, so other languages in a text lower the share alone. A null text, or one
     without a letter, is `und` with score 0, as is every text where no language was learned. With
-    `with_spans` a column `spans` lists (start, end, lang) in characters. Null ids and repeated rows are
+    `with_spans` a column `spans` lists (start, end, lang) in characters, with `with_certainty` a column
+    `certainty` has the second factor. Null ids and repeated rows are
     judged like others, an empty table gives no rows; of other columns those in `carry` come along unseen.
     """
     kinds_of = {f.name: f.dataType.simpleString() for f in docs.schema if f.name in carry}
@@ -222,6 +224,9 @@ def detect(docs: DataFrame, model: Model, with_spans: bool = False, carry: tuple
     if with_spans:
         fields.append(("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
         ddl += ", spans array<struct<start:int,end:int,lang:string>>"
+    if with_certainty:
+        fields.append(("certainty", pa.float64()))
+        ddl += ", certainty double"
     schema = pa.schema(fields)
     ddl += "".join(f", `{c}` {kind}" for c, kind in kinds_of.items())
 
@@ -232,26 +237,32 @@ def detect(docs: DataFrame, model: Model, with_spans: bool = False, carry: tuple
         def one(text):
             hits = [] if not text or not model.langs else list(LETTERS.finditer(text)) if with_spans else LETTERS.findall(text.lower())
             if not hits:
-                return "und", 0.0, []
+                return "und", 0.0, [], 0.0
             found = [h[0].lower() for h in hits] if with_spans else hits
             scores = scorer.of(found)
             path = viterbi(scores, model.prior)
             letters = np.bincount(path, np.fromiter(map(len, found), np.int64, len(found)), minlength=len(model.langs))
             best = int(letters.argmax())
-            total = scores.sum(0, dtype=np.float64) + model.prior
+            own = path == best
+            total = scores[own].sum(0, dtype=np.float64)
+            if own[0]:
+                total += model.prior
             others = np.delete(total, best)
             margin = float(total[best] - others.max()) if len(others) else 50.0
             spans = []
             if with_spans:
                 edges = [0, *(np.nonzero(np.diff(path))[0] + 1), len(path)]
                 spans = [{"start": hits[a].start(), "end": hits[b - 1].end(), "lang": model.langs[path[a]]} for a, b in zip(edges, edges[1:], strict=False)]
-            return model.langs[best], float(letters[best] / letters.sum()) / (1 + math.exp(-max(-50.0, min(50.0, margin)))), spans
+            doubt = 1 + math.exp(-max(-50.0, min(50.0, margin)))
+            return model.langs[best], float(letters[best] / letters.sum()) / doubt, spans, 1 / doubt
 
         for batch in batches:
             got = [one(x) for x in batch.column("text").to_pylist()]
             cols = [batch.column("doc_id"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             if with_spans:
                 cols.append(pa.array([g[2] for g in got], schema.field("spans").type))
+            if with_certainty:
+                cols.append(pa.array([g[3] for g in got], pa.float64()))
             yield pa.RecordBatch.from_arrays([*cols, *(batch.column(c) for c in kinds_of)], names=[*schema.names, *kinds_of])
 
     return columns(docs, **({"doc_id": "long", "text": "string"} | kinds_of)).mapInArrow(judge, ddl)

@@ -56,3 +56,17 @@ def test_repeats_of_51_short_words_go(spark, tmp_path):
                 assert 300 < len(got[i]) < 450
             else:
                 assert got[i].split() == (dict(rows)[i] if part is near else dict(rows)[i].replace(part, "")).split(), i
+
+
+def test_texts_in_several_languages_stay(spark, tmp_path):
+    rng = random.Random(3)
+    vocab = {l: ["".join(rng.choice("abcdefghijklmnop") for _ in range(4)) for _ in range(8)] for l in ("aa", "bb", "cc", "dd", "ee", "ff")}
+    text = lambda l, n: " ".join(rng.choice(vocab[l]) + rng.choice(vocab[l]) for _ in range(n))
+    rows = [(k, text(l, 60), l) for k, l in enumerate(l for l in vocab for _ in range(12))]
+    # more letters in aa, more words in bb
+    both = [(1000 + k, text("aa", 30) + " " + " ".join(rng.choice(vocab["bb"]) for _ in range(50)), None) for k in range(40)]
+    several = [(2000, " ".join(text(l, 20) for l in vocab), None)]
+    frame = spark.createDataFrame([*rows, *both, *several, (3000, "12 34", None)], "doc_id long, text string, lang string").withColumns({"source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+    got = {r["doc_id"]: r["lang"] for r in pipeline.language_stage(spark, frame, str(tmp_path)).collect()}
+    assert set(got) == {r[0] for r in [*rows, *both, *several]}
+    assert all(got[i] == l for i, _, l in rows) and {got[i] for i, _, _ in both} == {"aa"}
