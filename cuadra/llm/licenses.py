@@ -52,6 +52,50 @@ SHAPES = [
 ]
 
 
+#: Sentences of the licenses' own texts and notices, for texts that name no license: label, keyword, wording.
+WORDINGS = [
+    ("mit", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "deal", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute"),
+    ("mit", "substantial", "the above copyright notice and this permission notice (including the next paragraph )?shall be included in all copies or substantial portions of the software"),
+    ("isc", "hereby", "permission to use copy modify and (or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice"),
+    ("bsd", "hereby", "permission to use copy modify and (or )?distribute this software for any purpose with or without fee is hereby granted the software is provided"),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistributions", "redistributions of source code must retain the above copyright notice"),
+    ("bsd", "redistributions", "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd", "endorse", "(contributors|author|university) may (not )?be used to endorse or promote products derived from this software"),
+    ("bsd", "contributors", "this software is provided by the (copyright holders|regents|authors|author) and contributors as is"),
+    ("apache", "compliance", "you may not use this file except in compliance with the license"),
+    ("apache", "applicable", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache", "hereby", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable (copyright|except as stated in this section patent) license"),
+    ("gpl", "general", "you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "copyleft", "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("lgpl", "lesser", "you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("lgpl", "lesser", "this version of the gnu lesser general public license incorporates the terms and conditions of version 3"),
+    ("agpl", "affero", "you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("agpl", "copyleft", "the gnu affero general public license is a free copyleft license for software and other kinds of works"),
+    ("mpl", "mozilla", "this source code form is subject to the terms of the mozilla public license"),
+    ("mpl", "mozilla", "the contents of this file are subject to the mozilla public license"),
+    ("mpl", "mpl", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("epl", "eclipse", "made available under the terms of the eclipse public license"),
+    ("cc", "creative", "this work is licensed under (a|the) creative commons"),
+    ("cc", "waived", "has waived all copyright and related or neighboring rights"),
+    ("cc", "redistribute", "you are free to share copy and redistribute the material in any medium or format"),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("zlib", "misrepresented", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("zlib", "liable", "in no event will the (authors|author) be held liable for any damages arising from the use of this software"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "anyone", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("boost", "hereby", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("artistic", "intent", "the intent of this document is to state the conditions under which a package may be copied"),
+    ("artistic", "establishes", "this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed"),
+    ("eupl", "european", "european union public (licence|license)"),
+    ("cddl", "development", "common development and distribution license"),
+    ("psf", "hereby", "psf hereby grants licensee a nonexclusive royalty free world wide license to reproduce"),
+    ("ofl", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of the font software"),
+    ("ofl", "font", "the font software may be modified altered or added to"),
+]
+
+
 def rules() -> list[tuple[int, str, str, str]]:
     """(priority, label, keyword, pattern) of every rule, in order; patterns see each word as ` word `."""
     out = []
@@ -79,6 +123,10 @@ def _spaced(shape: str) -> str:
 
 
 RULES = rules()
+#: What a scan tries: those rules, but names with cc0 by that word (they don't hold ' cc '), then the wordings. OP2_SQL
+#: keeps to RULES and their keywords as they are.
+SCANNED = [(p, label, "cc0" if " cc0 " in pattern else keyword, pattern) for p, label, keyword, pattern in RULES]
+SCANNED += [(5, label, keyword, _spaced(wording)) for label, keyword, wording in WORDINGS]
 
 
 def spaced_words(text: Column) -> Column:
@@ -126,7 +174,7 @@ def _survivors(hits: Column) -> Column:
 
 def _detections(spaced: Column) -> Column:
     by_keyword: dict[str, list] = {}
-    for k, (priority, label, keyword, pattern) in enumerate(RULES):
+    for k, (priority, label, keyword, pattern) in enumerate(SCANNED):
         by_keyword.setdefault(keyword, []).append(F.struct(F.lit(pattern).alias("pattern"), F.lit(priority).alias("priority"), F.lit(label).alias("label"), F.lit(k).alias("rule")))
     groups = F.array(*[F.struct(F.lit(f" {k} ").alias("keyword"), F.array(*v).alias("rules")) for k, v in by_keyword.items()])
     tried = F.flatten(F.transform(F.filter(groups, lambda g: F.contains(spaced, g["keyword"])), lambda g: g["rules"]))

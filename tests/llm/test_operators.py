@@ -60,6 +60,31 @@ def test_license_places_and_suppression(spark):
     assert len(licenses.RULES) > 200 and licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_license_keywords_are_in_all_that_their_rules_match():
+    for _, _, keyword, pattern in licenses.SCANNED:
+        texts = [re.sub(r"\(\?:[^()]*\)\?", "", pattern)]
+        while any("(" in t for t in texts):
+            texts = [t.replace(m[0], part, 1) for t in texts for m in [re.search(r"\(\?:([^()]*)\)", t)] for part in m[1].split("|")]
+        assert all(re.fullmatch(pattern, t) and f" {keyword} " in t for t in texts), (keyword, pattern)
+
+
+def test_license_cc0_and_wordings(spark):
+    rows = [
+        (1, "SPDX-License-Identifier: CC0-1.0", "cc"),
+        (2, "licensed under CC0 1.0", "cc"),
+        (3, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal", "mit"),
+        (4, "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that", "bsd"),
+        (5, "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice", "isc"),
+        (6, "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "boost"),
+        (7, "This is free and unencumbered software released into the public domain.", "unlicense"),
+        (8, "permission is hereby granted to leave; free of charge, to any person", ""),
+        (9, "licensed under CC BY 4.0 and CC0 1.0", "cc"),
+    ]
+    got = {r["doc_id"]: r for r in licenses.scan(docs(spark, [r[:2] for r in rows])).collect()}
+    assert {i: got[i]["labels"] for i, _, _ in rows} == {i: label for i, _, label in rows}
+    assert (got[1]["score"], got[3]["n_base"], got[3]["score"]) == (0.5, 0, 0.5)
+
+
 def test_language_viterbi_equals_plain_search():
     import numpy as np
 
