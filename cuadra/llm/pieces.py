@@ -5,14 +5,15 @@ model has no piece with two such characters side by side (letters and digits, sa
 piece table, the edges that come back are grouped by unit, and a Spark higher-order aggregate folds them.
 
 For a unigram model the fold is Viterbi's: the path with the highest sum of scores. A BPE model's scores are
-merge ranks and no sum of them gives its segmentation, so for such a model the fold applies the edges in
-the order of their ranks wherever an edge joins two neighbouring symbols, which is what the model defines.
-Characters without a piece become their bytes.
+merge ranks and no sum of them gives its segmentation, so for such a model the fold goes once through the
+edges in the order of their ranks and applies each that joins two neighbouring symbols. Once is enough where
+every piece is two symbols when the pieces of lower rank have been applied to it, as is checked when a model
+is loaded: what merges within a stretch that no symbol leaves is what merges there alone. Characters without
+a piece become their bytes.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from dataclasses import dataclass, field
 
@@ -27,15 +28,18 @@ from ._common import columns, cut, let, table
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-#: Characters of a unit whose substrings are made at a time, and up to which a unit is folded by an aggregate.
-BLOCK, FOLDED = 128, 256
-#: Distinct units up to which their encodings (20 bytes or so each) are broadcast to the tasks.
-BROADCAST_UNITS = 8_000_000
+#: Characters up to which a unit's symbols are bits of one number; of longer units, characters whose substrings are made at a time.
+SHORT, BLOCK = 62, 128
+#: Distinct units whose lattice one task makes, roughly.
+UNITS_A_TASK = 25_000
+#: Encodings of the distinct units are broadcast to the tasks up to so many bytes.
+BROADCAST_BYTES = 96 * 2**20
 #: Words whose encodings a worker keeps at hand.
 KEPT_WORDS = 200_000
 WORDS = f"{BLANK}*[^{BLANK}]+|{BLANK}+"
-# an edge in one number: rank, start, length, id
-_START, _LEN, _ID = 24, 5, 16
+# an edge of a short unit in one number: rank, end, length, id; those of single characters come last
+_END, _LEN, _ID = 6, 5, 16
+_SINGLE = 2**16 - 1
 
 
 @dataclass
@@ -54,8 +58,26 @@ class Pieces:
             raise ValueError("pieces are too long or too many")
         if any(BLANK in r[0].lstrip(BLANK) for r in self.rows):
             raise ValueError("pieces with a blank behind another character aren't supported")
+        if self.bpe and (odd := [p for p, _, _ in self.rows if len(p) > 1 and not self._closed(p)]):
+            raise ValueError(f"pieces that lower ranks don't make of two: {odd[:5]}")
         self.units = self._units()
 
+    def _closed(self, piece: str) -> bool:
+        """Whether the pieces of lower rank leave two symbols of this one, or it is a run of one character of the last rank.
+
+        Such runs grow from the left: the edges of one rank are in the order of their ends, shorter ones first.
+        """
+        rank = self._rank_of = getattr(self, "_rank_of", None) or {p: self.ranks[s] for p, _, s in self.rows}
+        if rank[piece] == len(self.ranks) - 1:
+            return piece == piece[0] * len(piece)
+        symbols = list(piece)
+        while True:
+            pairs = [(rank[a + b], k) for k, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)) if rank.get(a + b, rank[piece]) < rank[piece]]
+            if not pairs:
+                return len(symbols) == 2
+            k = min(pairs)[1]
+            symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+
     def _units(self) -> str:
         """A pattern of units: blanks with characters that pieces connect, else single characters.
 
@@ -107,48 +129,106 @@ class Pieces:
         return cls([(sp.id_to_piece(i), i, sp.get_score(i)) for i in plain], [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], bpe)
 
 
-def units_of(text: Column, pieces: Pieces) -> Column:
-    """The units of a text, in order; null and empty texts have none."""
+def words_of(text: Column) -> Column:
+    """A text's words, each behind its blanks (one more before the first); null and empty texts have none."""
     marked = F.concat(F.lit(BLANK), F.replace(text, F.lit(" "), F.lit(BLANK)))
-    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(marked, F.lit(pieces.units), F.lit(0)))
+    plain = F.transform(F.split(F.replace(text, F.lit(BLANK), F.lit(" ")), " "), lambda w: F.concat(F.lit(BLANK), w))
+    # most texts have single blanks only, which need no pattern
+    several = F.contains(marked, F.lit(BLANK * 2)) | F.endswith(marked, F.lit(BLANK))
+    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).when(several, F.regexp_extract_all(marked, F.lit(WORDS), F.lit(0))).otherwise(plain)
+
+
+def units_of(word: Column, pieces: Pieces) -> Column:
+    """The units of a word, in order."""
+    return F.regexp_extract_all(word, F.lit(pieces.units), F.lit(0))
+
+
+def _grouped(units: DataFrame, parts: int) -> DataFrame:
+    """Units dealt out so that what comes of them can be grouped by unit without another shuffle."""
+    return units.repartition(parts, "unit")
 
 
-def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """(unit, edges): for each unit the pieces it holds, as packed numbers, by explode, equi-join and group."""
+def lattice(units: DataFrame, pieces: Pieces, parts: int) -> DataFrame:
+    """(unit, edges): the pieces that each unit of up to SHORT characters holds, as packed numbers in the order of
+    ranks, by explode, equi-join and group."""
     spark = units.sparkSession
-    # a fixed table of at most 2^16 rows
-    rows = [(p, (pieces.ranks[s] << _START + _LEN + _ID) | (len(p) << _ID) | i) for p, i, s in pieces.rows]
+    # fixed tables: at most 2^16 pieces, and the substrings of each length
+    rows = [(p, ((pieces.ranks[s] if len(p) > 1 else _SINGLE) << _END + _LEN + _ID) | (len(p) << _ID) | i) for p, i, s in pieces.rows]
     known = F.broadcast(spark.createDataFrame(rows, "piece string, packed long"))
-    blocks = units.withColumn(
-        "block",
-        F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.length("unit") - 1) / BLOCK).cast("int")), lambda b: F.struct((b * BLOCK).alias("base"), F.substring(F.col("unit"), b * BLOCK + 1, F.lit(BLOCK + pieces.longest - 1)).alias("t")))),
-    )
+    cuts = [(size, [i << _LEN | n for i in range(size) for n in range(1, min(pieces.longest, size - i) + 1)]) for size in range(1, SHORT + 1)]
+    spans = F.broadcast(spark.createDataFrame(cuts, "size int, cuts array<int>"))
+    each = _grouped(units, parts).join(spans, F.length("unit") == F.col("size")).select("unit", F.explode("cuts").alias("cut"))
+    subs = each.select("unit", F.expr(f"shiftright(cut, {_LEN}) + (cut & {2**_LEN - 1})").alias("e"), F.expr(f"substring(unit, shiftright(cut, {_LEN}) + 1, cut & {2**_LEN - 1})").alias("sub"))
+    edges = subs.join(known, F.col("sub") == F.col("piece"))
+    edge = F.col("packed").bitwiseOR(F.shiftleft(F.col("e").cast("long"), _LEN + _ID))
+    return edges.select("unit", edge.alias("edge")).groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+
+
+def long_lattice(units: DataFrame, pieces: Pieces, parts: int) -> DataFrame:
+    """The same for units of any length; an edge is (rank, e, size, s, id). Substrings are made block by block."""
+    spark = units.sparkSession
+    rows = [(p, pieces.ranks[s] if len(p) > 1 else _SINGLE, len(p), i) for p, i, s in pieces.rows]
+    known = F.broadcast(spark.createDataFrame(rows, "piece string, rank int, size int, id int"))
+    bases = F.sequence(F.lit(0), F.floor((F.length("unit") - 1) / BLOCK).cast("int"))
+    blocks = _grouped(units, parts).select("unit", F.explode(F.transform(bases, lambda b: F.struct((b * BLOCK).alias("base"), F.substring(F.col("unit"), b * BLOCK + 1, F.lit(BLOCK + pieces.longest - 1)).alias("t")))).alias("block"))
 
     def subs(t: Column) -> Column:
         starts = F.sequence(F.lit(0), F.least(F.lit(BLOCK), F.length(t)) - 1)
         return F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length(t) - i)), lambda n: F.struct(i.alias("i"), F.substring(t, i + 1, n).alias("sub")))))
 
-    parts = blocks.select("unit", F.col("block.base").alias("base"), F.explode(subs(F.col("block.t"))).alias("s"))
-    edges = parts.join(known, F.col("s.sub") == F.col("piece"))
-    start = F.shiftleft((F.col("base") + F.col("s.i")).cast("long"), _LEN + _ID)
-    return edges.select("unit", F.col("packed").bitwiseOR(start).alias("edge")).groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    found = blocks.select("unit", F.col("block.base").alias("base"), F.explode(subs(F.col("block.t"))).alias("s"))
+    edges = found.join(known, F.col("s.sub") == F.col("piece")).withColumn("s", F.col("base") + F.col("s.i"))
+    edge = F.struct("rank", (F.col("s") + F.col("size")).alias("e"), "size", "s", "id")
+    return edges.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def _open(edge: Column) -> Column:
-    start = F.shiftright(edge, _LEN + _ID).bitwiseAND(F.lit(2**_START - 1)).cast("int")
+    end = F.shiftright(edge, _LEN + _ID).bitwiseAND(F.lit(2**_END - 1)).cast("int")
     size = F.shiftright(edge, _ID).bitwiseAND(F.lit(2**_LEN - 1)).cast("int")
-    return F.struct(start.alias("s"), (start + size).alias("e"), edge.bitwiseAND(F.lit(2**_ID - 1)).cast("int").alias("id"))
+    return F.struct((end - size).alias("s"), end.alias("e"), edge.bitwiseAND(F.lit(2**_ID - 1)).cast("int").alias("id"))
+
+
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i)
+
 
+def _merge_bits(n: Column, edges: Column) -> Column:
+    """Start << 16 | id of the symbols of a short unit, in order, where each has a piece; else null.
 
-def _merge_fold(n: Column, edges: Column) -> Column:
-    """End of the symbol at each position, 0 where none starts: the first applicable edge, again and again."""
+    The state is a number whose bit i says that a symbol starts (or the unit ends) at i. An edge applies if its
+    ends are set and exactly one bit between them is; that bit goes.
+    """
+
+    def masks(edge):
+        x = _open(edge)
+        return let(x, lambda x: F.struct(_bit(x["s"]).bitwiseOR(_bit(x["e"])).alias("ends"), (_bit(x["e"]) - _bit(x["s"] + 1)).alias("inner"), F.shiftleft(x["s"].cast("long"), _ID).bitwiseOR(x["id"].cast("long")).alias("out"), (x["e"] - x["s"]).alias("size")))
+
+    def step(state, x):
+        between = state.bitwiseAND(x["inner"])
+        fits = (state.bitwiseAND(x["ends"]) == x["ends"]) & (between != 0) & (between.bitwiseAND(between - 1) == 0)
+        return F.when(fits, state - between).otherwise(state)
+
+    def symbols(edges):
+        state = F.aggregate(edges, _bit(n + 1) - 1, step)
+        left = let(state, lambda z: F.filter(edges, lambda x: (z.bitwiseAND(x["ends"]) == x["ends"]) & (z.bitwiseAND(x["inner"]) == 0)))
+        whole = lambda y: F.aggregate(y, F.lit(0), lambda a, x: a + x["size"]) == n
+        return let(left, lambda y: F.when(whole(y), F.array_sort(F.transform(y, lambda x: x["out"]))))
 
-    def step(ends, _):
-        fits = F.filter(edges, lambda x: (F.get(ends, x["s"]) > 0) & (F.get(ends, x["s"]) < x["e"]) & (F.get(ends, F.get(ends, x["s"])) == x["e"]))
-        return let(F.get(fits, F.lit(0)), lambda x: F.when(x.isNull(), ends).otherwise(let(F.get(ends, x["s"]), lambda m: F.transform(ends, lambda old, i: F.when(i == x["s"], x["e"]).when(i == m, F.lit(0)).otherwise(old)))))
+    return let(F.transform(edges, masks), symbols)
 
-    edges = F.filter(edges, lambda x: x["e"] > x["s"] + 1)
-    return F.aggregate(F.sequence(F.lit(1), n), F.transform(F.sequence(F.lit(1), n), lambda i: i), step)
+
+def _merge_long(n: Column, edges: Column) -> Column:
+    """End of the symbol at each position, 0 where none starts, of units of any length.
+
+    The state is the ends as an array, which each merge writes anew: a unit of n characters takes n * n steps.
+    """
+
+    def step(ends, x):
+        mid = F.get(ends, x["s"])
+        fits = (mid > 0) & (mid < x["e"]) & (F.get(ends, mid) == x["e"])
+        return F.when(fits, F.transform(ends, lambda old, i: F.when(i == x["s"], x["e"]).when(i == mid, F.lit(0)).otherwise(old))).otherwise(ends)
+
+    return F.aggregate(F.filter(edges, lambda x: x["e"] > x["s"] + 1), F.transform(F.sequence(F.lit(1), n), lambda i: i), step)
 
 
 def _viterbi_fold(n: Column, edges: Column, scores: Column, missing: float) -> Column:
@@ -167,33 +247,6 @@ def _viterbi_fold(n: Column, edges: Column, scores: Column, missing: float) -> C
     return let(last, lambda z: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when((i == 0) | (F.get(z, i - 1) > 0), F.get(F.filter(F.slice(z, i + 1, n - i), lambda x: x > 0), F.lit(0))).otherwise(F.lit(0))))
 
 
-def _merge_long(unit: str, edges: list[int], bytes_: list[int]) -> list[int]:
-    """The merges of `_merge_fold` with a heap, for units that are too long to scan again and again."""
-    n = len(unit)
-    by = {}
-    for edge in edges:
-        s, size = edge >> (_LEN + _ID) & (2**_START - 1), edge >> _ID & (2**_LEN - 1)
-        by[s, s + size] = (edge >> _START + _LEN + _ID, edge & (2**_ID - 1))
-    end, start = list(range(1, n + 1)), list(range(n))  # of the symbol that starts, and of the one that ends, here
-    heap = [(by[i, i + 2][0], i, i + 2, i + 1) for i in range(n - 1) if (i, i + 2) in by]
-    heapq.heapify(heap)
-    while heap:
-        _, s, e, m = heapq.heappop(heap)
-        if end[s] != m or m >= n or end[m] != e or start[e - 1] != m:
-            continue
-        end[s], end[m], start[e - 1] = e, 0, s
-        if e < n and (s, end[e]) in by:
-            heapq.heappush(heap, (by[s, end[e]][0], s, end[e], e))
-        if s and (start[s - 1], e) in by:
-            heapq.heappush(heap, (by[start[s - 1], e][0], start[s - 1], e, s))
-    out, i = [], 0
-    while i < n:
-        hit = by.get((i, end[i]))
-        out += [hit[1]] if hit else [bytes_[b] for b in unit[i].encode()]
-        i = end[i]
-    return out
-
-
 def _ids(unit: Column, ends: Column, edges: Column, bytes_: Column) -> Column:
     def one(i: Column) -> Column:
         hit = F.get(F.filter(edges, lambda x: (x["s"] == i) & (x["e"] == F.get(ends, i))), F.lit(0))["id"]
@@ -205,36 +258,30 @@ def _ids(unit: Column, ends: Column, edges: Column, bytes_: Column) -> Column:
     return F.flatten(F.transform(starts, one))
 
 
-def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """(unit, ids) of distinct units."""
+def encode_units(units: DataFrame, pieces: Pieces, n_units: int) -> DataFrame:
+    """(unit, ids) of distinct units, about `n_units`; those that hold no piece at all have no row and are their bytes."""
     bytes_ = F.array(*[F.lit(i) for i in pieces.bytes_])
-    # units that hold no piece at all have no edges and no row here; they are encoded as bytes
-    short, full = (lattice(units.where(which), pieces) for which in (F.length("unit") <= FOLDED, F.length("unit") > FOLDED))
+    parts = max(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_units // UNITS_A_TASK))
+    n = F.length("unit")
+    short = lattice(units.where(n <= SHORT), pieces, parts)
+    full = long_lattice(units.where(n > SHORT), pieces, parts)
+    if not pieces.bpe:
+        scores = [0.0] * (max(r[1] for r in pieces.rows) + 1)
+        for _, i, s in pieces.rows:
+            scores[i] = s
 
     def solve(edges: Column) -> Column:
-        n = F.length("unit")
-        if pieces.bpe:
-            ends = _merge_fold(n, edges)
-        else:
-            scores = [0.0] * (max(r[1] for r in pieces.rows) + 1)
-            for _, i, s in pieces.rows:
-                scores[i] = s
-            ends = _viterbi_fold(n, edges, F.array(*[F.lit(float(s)) for s in scores]), min(scores) - 10.0)
+        ends = _merge_long(n, edges) if pieces.bpe else _viterbi_fold(n, edges, F.array(*[F.lit(float(s)) for s in scores]), min(scores) - 10.0)
         return let(ends, lambda z: _ids(F.col("unit"), z, edges, bytes_))
 
-    done = short.select("unit", let(F.transform("edges", _open), solve).alias("ids"))
+    opened = F.transform("edges", _open)
     if pieces.bpe:
-        own = pieces.bytes_
-
-        def long_ones(batches):
-            for batch in batches:
-                got = [_merge_long(u, e, own) for u, e in zip(batch.column("unit").to_pylist(), batch.column("edges").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array(got, pa.list_(pa.int32()))], names=["unit", "ids"])
-
-        done = done.union(full.mapInArrow(long_ones, "unit string, ids array<int>"))
+        own = F.transform(_merge_bits(n, F.col("edges")), lambda x: x.bitwiseAND(F.lit(2**_ID - 1)).cast("int"))
+        # a unit with a character that has no piece takes the general way
+        done = short.select("unit", F.coalesce(own, let(opened, solve)).alias("ids"))
     else:
-        done = done.union(full.select("unit", let(F.transform("edges", _open), solve).alias("ids")))
-    return done
+        done = short.select("unit", let(opened, solve).alias("ids"))
+    return done.union(full.select("unit", solve(F.col("edges")).alias("ids")))
 
 
 def _flat(chunk: pa.Array) -> memoryview:
@@ -247,24 +294,29 @@ def _bare_ids(unit: str, bytes_: list[int]) -> list[int]:
     return [bytes_[b] for b in unit.encode()]
 
 
-def encode(docs: DataFrame, pieces: Pieces, carry: tuple[str, ...] = ("doc_id",), broadcast_units: int = BROADCAST_UNITS) -> DataFrame:
+def encode(docs: DataFrame, pieces: Pieces, carry: tuple[str, ...] = ("doc_id",), broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Add `ids`, the piece ids of every whole text, to the columns in `carry`.
 
     Blanks are spaces; a text is encoded behind one more space. A null or empty text has no ids. A text that
     holds the mark U+2581 itself decodes to a space there. Null ids and repeated rows are encoded like
     others, an empty table gives no rows, columns that aren't carried are dropped.
 
-    The encodings of all distinct units are broadcast where there are at most `broadcast_units` of them and
-    their hashes differ; beyond that they are joined to the units of each text and gathered by text.
+    The encodings of all distinct units are broadcast where they take at most `broadcast_bytes` and their
+    hashes differ; beyond that they are joined to the units of each text and gathered by text. A unit of n
+    characters that can't be parted takes n * n steps (see `_merge_long`), so one of a million is slow.
     """
     spark = docs.sparkSession
     rows = docs.select(*carry, docs["text"].cast("string").alias("_text"))
-    seen = rows.select(F.explode(F.array_distinct(units_of(F.col("_text"), pieces))).alias("unit")).distinct()
+    # words first: they are fewer than places, and the pattern of units is costly
+    seen = rows.select(F.explode(words_of(F.col("_text"))).alias("word")).distinct()
+    seen = cut(seen.select(F.explode(units_of(F.col("word"), pieces)).alias("unit")).distinct())
     packed = F.expr("unhex(array_join(transform(ids, x -> lpad(hex(x), 4, '0')), ''))")
-    coded = cut(encode_units(cut(seen), pieces).select("unit", packed.alias("ids")))
-    n, own, words, find = coded.count(), pieces.bytes_, re.compile(WORDS), re.compile(pieces.units)
+    coded = cut(encode_units(seen, pieces, seen.count()).select("unit", packed.alias("ids")))
+    n, size = coded.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()
+    own, words, find = pieces.bytes_, re.compile(WORDS), re.compile(pieces.units)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_text").schema)
-    if n <= broadcast_units:
+    # a hash of 8 bytes and an end of 4 for each unit
+    if 12 * n + size <= broadcast_bytes:
         got = coded.select(F.xxhash64("unit").alias("h"), "ids").sort("h").toArrow()
         h = got.column("h").to_numpy()
         if len(h) < 2 or (h[1:] != h[:-1]).all():
@@ -272,7 +324,7 @@ def encode(docs: DataFrame, pieces: Pieces, carry: tuple[str, ...] = ("doc_id",)
             lens = np.concatenate([pc.binary_length(c).to_numpy(zero_copy_only=False) for c in chunks] or [np.zeros(0, np.int64)]).astype(np.int64) // 2
             values = np.concatenate([np.frombuffer(_flat(c), ">u2") for c in chunks] or [np.zeros(0, ">u2")]).astype(np.uint16)
             del got, chunks
-            shared = spark.sparkContext.broadcast((h, np.concatenate([[0], np.cumsum(lens)]), values))
+            shared = spark.sparkContext.broadcast((h, np.concatenate([[0], np.cumsum(lens)]).astype(np.uint32), values))
 
             def run(batches):
                 keys, ends, values = shared.value
@@ -305,7 +357,7 @@ def encode(docs: DataFrame, pieces: Pieces, carry: tuple[str, ...] = ("doc_id",)
             return rows.mapInArrow(run, f"{ddl}, ids array<int>")
     # the join: each text's distinct units with their encodings, gathered by text
     keyed = rows.withColumn("_key", F.sha2(F.coalesce("_text", F.lit("")), 256))
-    pairs = keyed.select("_key", F.explode(F.array_distinct(units_of(F.col("_text"), pieces))).alias("unit")).distinct()
+    pairs = keyed.select("_key", F.explode(F.array_distinct(F.flatten(F.transform(words_of(F.col("_text")), lambda w: units_of(w, pieces))))).alias("unit")).distinct()
     gathered = pairs.join(coded.select("unit", "ids"), "unit").groupBy("_key").agg(F.collect_list(F.struct("unit", "ids")).alias("_coded")).withColumnRenamed("_key", "_of")
 
     def run_joined(batches):

@@ -157,13 +157,13 @@ def test_pieces_equal_the_library_and_come_back(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_FILE)
     rng = random.Random(4)
     parts = ["the", "ing", " ", "  ", "\n", "é", "🦙", "a", "<0x0A>", "中文", " " * 20, "x" * 30]
-    rows = [*ODD, *((10 + k, "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))) for k in range(40)), (99, "thequick" * 60)]
-    for limit in (8_000_000, 0):
+    rows = [*ODD, *((10 + k, "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))) for k in range(40)), (98, "a" + "中" * 3 + "the" * 25 + " end "), (99, "thequick" * 60), (100, "aaab" * 500), (101, "▁ ▁the  ▁▁ the "), *((200 + k, " " * k + "the" + " " * (3 * k)) for k in range(50))]
+    for limit in (96 * 2**20, 0):
         got = pieces.decode(pieces.encode(docs(spark, rows), model, ("doc_id", "text"), limit), model).collect()
         assert len(got) == len(rows)
         for r in got:
             assert list(r["ids"]) == (library.encode(r["text"]) if r["text"] else [])
-            assert r["decoded"] == (r["text"] or "")
+            assert r["decoded"] == (r["text"] or "").replace("▁", " ")
     assert pieces.encode(docs(spark, []), model).count() == 0
 
 
