@@ -2,7 +2,7 @@
 
 Records are put in the order of a key that equal texts share, a size-weighted sample of the keys gives
 quantile boundaries, and what the boundaries part is range-partitioned. Ranges that are still too full
-(one key with very many records) are subdivided by a hash of the record. Ranges are then laid end to end
+(one key with very many records) are subdivided by a hash of the record and its place in the input. Ranges are then laid end to end
 over the shards, so that shards hold nearly the same number of bytes.
 """
 
@@ -30,7 +30,8 @@ def _records(docs: DataFrame) -> DataFrame:
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
     )
-    return narrow.withColumn("mix", F.xxhash64("doc_id", "size", "text_crc32"))
+    # repeated rows differ in their place only; it is written with the records, so that retries agree
+    return narrow.withColumn("place", F.monotonically_increasing_id()).withColumn("mix", F.xxhash64("doc_id", "size", "text_crc32", "place"))
 
 
 def _range_of(splitters: list[int]):
@@ -49,8 +50,9 @@ def shard(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     """Put every record into one of `n_shards` shards of nearly equal bytes (law `bytes`).
 
     Size is the UTF-8 length of the text plus 1; a null text counts as empty. Equal texts share a key and
-    so lie together unless a boundary or a subdivided range parts them. Records that are equal in every
-    column get different slots. Null ids are records like others. An empty table gives no rows. Extra
+    so lie together unless a boundary or a subdivided range parts them; how a range is subdivided depends on
+    the order of the input. Records that are equal in every column get different slots, and very many of
+    them are dealt out like others. Null ids are records like others. An empty table gives no rows. Extra
     columns are not carried. `slot` counts from 0 within a shard without gaps.
     """
     spark = docs.sparkSession
