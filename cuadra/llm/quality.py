@@ -15,12 +15,22 @@ SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\f\r"
 #: A line's words may be followed by this much before its end and still close a sentence.
 CLOSED = r"""[.!?;:\x{2026}\x{3002}\x{FF01}\x{FF1F}]['")\]\x{201D}\x{2019}\x{00BB}]*[\x20\x09-\x0D]*\z"""
-#: Words of menus; a short line of which half or more are such words is navigation.
-MENU = r"(?i)\b(?:home|menu|login|log in|sign in|sign up|register|about us|contact|contact us|next|previous|search|sitemap|share|tweet|archive|archives|categories|tags|faq|help)\b"
+#: Marks that a long line of prose has inside or at its end.
+INSIDE = r"[.!?,;:\x{2026}\x{3001}\x{3002}\x{FF01}\x{FF0C}\x{FF1A}\x{FF1B}\x{FF1F}\x{060C}\x{061F}\x{06D4}\x{0964}]"
+#: Words of menus in English, French, German and Spanish; a short line of which half or more are such words is navigation.
+MENU = (
+    r"(?i)\b(?:home|menu|login|log in|sign in|sign up|register|about us|contact|contact us|next|previous|search|sitemap|share|tweet|archive|archives|categories|tags|faq|help"
+    r"|accueil|connexion|se connecter|rechercher|suivant|retour|plan du site|aide|partager"
+    r"|startseite|anmelden|registrieren|kontakt|impressum|suche|weiter|hilfe|teilen"
+    r"|inicio|entrar|registrarse|contacto|buscar|siguiente|anterior|ayuda|compartir)\b"
+)
 BOILERPLATE = (
     r"(?i)(?:all rights reserved|privacy policy|terms of (?:use|service)|cookie policy|we use cookies|accept cookies|enable javascript"
     r"|javascript is (?:disabled|required)|click here|read more|subscribe (?:now|to our)|lorem ipsum|powered by \w+|skip to (?:main )?content"
-    r"|follow us on|share this (?:post|page|article)|leave a (?:comment|reply)|add to cart)"
+    r"|follow us on|share this (?:post|page|article)|leave a (?:comment|reply)|add to cart"
+    r"|tous droits r\x{00E9}serv\x{00E9}s|mentions l\x{00E9}gales|politique de confidentialit\x{00E9}|lire la suite|cliquez ici|acceptez? les cookies"
+    r"|alle rechte vorbehalten|datenschutzerkl\x{00E4}rung|allgemeine gesch\x{00E4}ftsbedingungen|weiterlesen|hier klicken|cookies akzeptieren"
+    r"|todos los derechos reservados|pol\x{00ED}tica de (?:privacidad|cookies)|aviso legal|leer m\x{00E1}s|haga clic aqu\x{00ED}|aceptar (?:las )?cookies)"
 )
 MIN_WORDS = 50
 #: Percent of the words that may lie in repeated 3-word windows.
@@ -44,17 +54,16 @@ def _symbols(text: Column, which: str = SYMBOLS) -> Column:
     return F.length(text) - F.length(F.translate(text, which, ""))
 
 
-def punctuation_fails(line: Column) -> Column:
-    """Too many symbols, a run of marks after word upon word, or a long line that no mark closes and that has none inside."""
+def punctuation_fails(line: Column, words: Column) -> Column:
+    """Too many symbols, a run of marks after word upon word, or a long line without a mark inside or at its end."""
     symbols = F.lit(100) * _symbols(line) > F.lit(MOST_SYMBOLS) * _chars(line)
-    shouts = F.lit(2) * F.regexp_count(line, F.lit(r"[!?]{2}")) > F.regexp_count(line, F.lit(WORD))
-    loose = (F.regexp_count(line, F.lit(WORD)) > LONGEST_HEADING) & ~line.rlike(r"[.!?,;:]")
+    shouts = F.lit(2) * F.regexp_count(line, F.lit(r"[!?]{2}")) > words
+    loose = (words > LONGEST_HEADING) & ~line.rlike(INSIDE)
     return symbols | shouts | loose
 
 
-def navigation_fails(line: Column) -> Column:
+def navigation_fails(line: Column, words: Column) -> Column:
     """Cells between bars or arrows, or a short open line made of menu words."""
-    words = F.regexp_count(line, F.lit(WORD))
     bars = _symbols(line, "|>»›•")
     menu = (words <= LONGEST_HEADING) & ~line.rlike(CLOSED) & (F.lit(2) * F.regexp_count(line, F.lit(MENU)) >= words)
     return ((bars >= 2) & (F.lit(4) * bars >= words)) | menu
@@ -65,7 +74,8 @@ def boilerplate_fails(line: Column) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    return line.rlike(WORD) & (punctuation_fails(line) | navigation_fails(line) | boilerplate_fails(line))
+    """Whether a line breaks a rule; one without words breaks none."""
+    return let(F.regexp_count(line, F.lit(WORD)), lambda words: (words > 0) & (punctuation_fails(line, words) | navigation_fails(line, words) | boilerplate_fails(line)))
 
 
 def _repeated(words: Column) -> Column:
@@ -117,7 +127,6 @@ def clean(docs: DataFrame) -> DataFrame:
     rows are judged like others, an empty table gives no rows, extra columns are not carried.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.split(text, "\n", -1)
     row = columns(docs, doc_id="long", text="string").select("doc_id", text.alias("text"))
     row = row.select("doc_id", "text", let(F.filter(F.split(F.col("text"), SPACES), lambda w: w != ""), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeated(w).alias("n_repeat_words"))).alias("of_words"), let(F.split(F.col("text"), "\n", -1), lambda ls: F.struct(
         let(F.filter(ls, lambda x: x.rlike(WORD)), lambda full: (F.size(full) - F.size(F.array_distinct(full))).cast("long")).alias("n_dup_lines"),
@@ -159,7 +168,7 @@ judged AS (
   FROM (SELECT doc_id, unnest(ls) AS l FROM w)),
 lost AS (
   SELECT doc_id, sum(chars)::BIGINT AS n FROM judged
-  WHERE 100 * symbols > {MOST_SYMBOLS} * chars OR 2 * shouts > n OR (n > {LONGEST_HEADING} AND NOT regexp_matches(l, '[.!?,;:]'))
+  WHERE 100 * symbols > {MOST_SYMBOLS} * chars OR 2 * shouts > n OR (n > {LONGEST_HEADING} AND NOT regexp_matches(l, '{INSIDE}'))
      OR (bars >= 2 AND 4 * bars >= n)
      OR (n <= {LONGEST_HEADING} AND NOT regexp_matches(l, '{_CLOSED_SQL}') AND 2 * len(regexp_extract_all(l, '{_MENU_SQL}')) >= n)
      OR regexp_matches(l, '{_BOILER_SQL}')

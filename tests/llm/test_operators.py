@@ -50,6 +50,21 @@ def test_quality_lines(spark):
     assert quality.clean(docs(spark, [])).count() == 0
 
 
+def test_quality_lines_in_other_languages(spark):
+    prose = lambda end: "\n".join(" ".join(f"wort{k}x{i}" for i in range(14)) + end for k in range(8))
+    rows = [(k, prose(end)) for k, end in enumerate((".", "…", "。", "！", "", "؟"))]
+    rows += [(10, prose(".") + "\nStartseite Kontakt Impressum\nTous droits réservés 2020.\nPolítica de privacidad y más texto."), (11, prose(".") + "\nTodos los derechos\nKontakt, sagte er, war gut.")]
+    got = {r["doc_id"]: r for r in quality.clean(docs(spark, rows)).collect()}
+    assert [got[k]["kept"] for k in range(6)] == [True, True, True, True, False, True]
+    assert got[10]["clean_text"] == prose(".") and got[11]["lost_chars"] == 0
+
+
+def test_repeated_words_of_more_positions_than_packed(spark, monkeypatch):
+    monkeypatch.setattr(quality, "PACKED", 4)
+    text = "a b c d a b c x y z q r"
+    assert [r["n_repeat_words"] for r in quality.clean(docs(spark, [(1, text), (2, "a b c")])).collect()] == [6, 0]
+
+
 def test_license_places_and_suppression(spark):
     rows = [*ODD, (10, "Under the MIT-License. MIT license; the GNU General Public License, version 3."), (11, "Licensed under the Apache License, Version 2.0."), (12, "SPDX-License-Identifier: BSD 3 Clause")]
     got = {r["doc_id"]: r for r in licenses.scan(docs(spark, rows)).collect()}
@@ -363,3 +378,15 @@ def test_shards_are_even_and_gapless(spark):
     text = dict(rows)
     assert all(r["size"] == len((text[r["doc_id"]] or "").encode()) + 1 and r["text_crc32"] == zlib.crc32((text[r["doc_id"]] or "").encode()) for r in got)
     assert sharding.shard(docs(spark, [])).count() == 0
+
+
+def test_repeated_rows_are_dealt_over_shards(spark):
+    rows = [(None, "same text")] * 6000 + [(7, "other")] * 3000 + [(k, "y" * (k % 90)) for k in range(500)]
+    got = sharding.shard(docs(spark, rows).repartition(5)).collect()
+    load, slots = collections.Counter(), collections.defaultdict(list)
+    for r in got:
+        load[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert len(got) == len(rows) and len(load) == 8
+    assert max(load.values()) < 1.2 * min(load.values())
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
