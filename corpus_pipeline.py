@@ -22,7 +22,11 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in a language that is recognized, learned from the labels of those not held out; `lang` becomes it."""
+    """Keep documents in a language that is recognized, learned from the labels of those not held out; `lang` becomes it.
+
+    Null, empty and letterless texts go. Null ids, null labels and repeated rows stay as they are; an empty
+    table gives none. Columns other than those of documents are dropped here and in every stage.
+    """
     docs = _documents(docs)
     model = language.fit(docs.where(~language.held_out() & F.col("doc_id").isNotNull()))
     found = language.detect(docs, model, carry=tuple(c for c in DOCUMENTS if c != "doc_id"), with_certainty=True)
@@ -31,34 +35,65 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of five-word shingles at 0.8 join, the one with the smallest id stays."""
+    """Of documents that links of five-word shingles at 0.8 join, the one with the smallest id stays (null ids last).
+
+    Rows with a null id, or an id that other rows have too, count as documents of their own by their text, so
+    that a clash of ids removes nothing; of rows that are equal in id and text one stays. Null and wordless
+    texts are linked with nothing. An empty table gives none.
+    """
     docs = _documents(docs)
-    linked = jaccard.link(docs, n=5, num=80, den=100)
-    gone = few(cut(linked.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()))
-    kept = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
-    # rows that share an id are one document; only where there are any are whole rows shuffled
-    shared = cut(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("shared")))
-    if shared.isEmpty():
-        return kept
-    several = kept.join(few(shared), F.col("doc_id") == F.col("shared"), "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row"))
-    once = kept.join(few(shared), F.col("doc_id") == F.col("shared"), "left_anti")
-    return _documents(once.unionByName(several.select("doc_id", "row.*")))
+    clashing = cut(docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select("doc_id"))
+    several = clashing.count() > 0
+    keyed = docs.withColumn("key", F.col("doc_id"))
+    if several:
+        known = few(clashing.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("of"), F.lit(True).alias("clash")))
+        own = F.when(F.col("clash") | F.col("doc_id").isNull(), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id"))
+        keyed = docs.join(known, F.col("doc_id") == F.col("of"), "left").withColumn("key", own).drop("of", "clash")
+    linked = jaccard.link(keyed.select(F.col("key").alias("doc_id"), "text"), n=5, num=80, den=100)
+    groups = cut(linked.select("doc_id", "component_id").withColumnsRenamed({"doc_id": "key", "component_id": "group"}).distinct())
+    large = cut(groups.groupBy("group").count().where("count > 1").select(F.col("group").alias("of")))
+    inside = groups.join(few(large), F.col("group") == F.col("of"), "left_semi")
+    if several:
+        # keys of clashing ids are hashes: the ids themselves decide
+        ids = keyed.select(F.col("key").alias("k"), "doc_id").distinct()
+        inside = inside.join(ids, F.col("key") == F.col("k"))
+    else:
+        inside = inside.withColumn("doc_id", F.col("key"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    inside = cut(inside.select("group", order.alias("o")))
+    first = few(cut(inside.groupBy("group").agg(F.min("o.key").alias("same"), F.min("o").alias("o")).select(F.col("o.key").alias("stays"))))
+    gone = few(cut(inside.select(F.col("o.key").alias("gone")).distinct().join(first, F.col("gone") == F.col("stays"), "left_anti")))
+    kept = keyed.join(gone, F.col("key") == F.col("gone"), "left_anti")
+    if several:
+        # rows that are equal in id and text have one key; only these are shuffled whole
+        twice = kept.join(known.withColumn("null_too", F.lit(1)), F.col("doc_id") == F.col("of"), "left")
+        again = F.col("clash") | F.col("doc_id").isNull()
+        kept = twice.where(~F.coalesce(again, F.lit(False))).select(*DOCUMENTS).union(twice.where(again).dropDuplicates(["key"]).select(*DOCUMENTS))
+    return _documents(kept)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take repeated passages out of every text; a document of which nothing is left goes."""
+    """Take repeated passages out of every text; a document of which nothing is left goes.
+
+    A null or blank text loses nothing and stays. Rows with equal ids, or none, are documents of their own, so
+    repeated rows take each other's passages out. An empty table gives none.
+    """
     found = suffixes.dedup(_documents(docs), with_text=True, carry=("lang", "source"), words=PASSAGE_WORDS)
     kept = found.where((F.col("n_removed") == 0) | (F.trim("clean_text") != ""))
     return _documents(kept.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.length("clean_text").alias("n_chars")))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Emit each document as often as its source's target asks for."""
+    """Emit each document as often as its source's target asks for.
+
+    A null source is a source; null and wordless texts have size 0 and aren't emitted. Repeated rows draw
+    alike. An empty table gives none.
+    """
     return mixing.emit(_documents(docs))
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The piece ids of every document."""
+    """The piece ids of every document: doc_id, lang, source, ids. A null or empty text has no ids; rows stay as many."""
     return pieces.encode(_documents(docs), pieces.Pieces.load(), ("doc_id", "lang", "source"))
 
 
