@@ -8,15 +8,18 @@ its own and the partial lists are merged.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import columns, cut, table
+from ._common import columns, cut, few, table
 
-PIVOTS = 64
+#: Pivots: the square root of the rows, so that groups and their number grow alike, within these bounds.
+PIVOTS = (64, 1024)
 #: Rows of a data block and of a query block.
 BLOCK, QUERY_BLOCK = 8192, 2048
 SCALE = 256
@@ -28,9 +31,13 @@ def _matrix(lists, dim: int) -> np.ndarray:
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products: by floating point where every partial sum fits 53 bits."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64) if most < 2**53 else a @ b.T
+    """Exact integer products: by floating point where every partial sum fits 53 bits; what no long holds is the nearest long."""
+    most = float(np.abs(a.astype(np.float64)).max(initial=0)) * float(np.abs(b.astype(np.float64)).max(initial=0)) * a.shape[1]
+    if most < 2**53:
+        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+    if most < 2**62:
+        return a @ b.T
+    return np.clip(a.astype(object) @ b.T.astype(object), -(2**63), 2**63 - 1).astype(np.int64)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -42,28 +49,35 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def quantized(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id and v = floor(scale * x), for rows with an id whose components are all finite."""
+    """vec_id and v = floor(scale * x), for rows with an id whose components are all finite; what no long holds is the nearest long."""
     x = columns(vectors, vec_id="long", embedding="array<double>")
     fine = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     x = x.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(fine & (F.size("embedding") > 0))
     return x.select("vec_id", F.transform("embedding", lambda c: F.floor(c * scale)).alias("v"))
 
 
-def search(vectors: DataFrame, is_query, k: int = 5, pivots: int = PIVOTS) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 5, pivots: int | None = None) -> DataFrame:
     """The k rows with the highest inner product for each query, which is a row where `is_query` holds.
 
     `vectors` has vec_id and v (array<long>), no nulls. Candidates are all rows with another id. Vectors
     shorter than the longest count as filled up with zeros. Of several rows with one id that is a query,
     the smallest vector asks; as candidates each counts. Without queries or candidates there are no rows.
+    Scores that no long holds become the nearest long and tie there. `pivots` is the square root of the
+    number of rows unless given.
     """
     spark = vectors.sparkSession
     out = "query_id long, vec_id long, score long"
-    dim = vectors.agg(F.max(F.size("v"))).first()[0]
+    dim, n = vectors.agg(F.max(F.size("v")), F.count("*")).first()
     if dim is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     full = vectors.select("vec_id", F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(dim) - F.size("v"))).alias("v"))
-    # bounded: `pivots` rows, drawn by hash
-    centre = _matrix([r[0] for r in full.select("v", F.xxhash64("v").alias("h")).dropDuplicates(["h"]).orderBy("h").limit(pivots).collect()], dim).astype(np.float64)
+    pivots = pivots or min(max(PIVOTS[0], math.isqrt(n)), PIVOTS[1])
+    # bounded: `pivots` rows, those with the lowest hashes of a sample of about 32 times as many
+    hashed = full.select("v", F.xxhash64("v").alias("h"))
+    drawn = hashed.where(F.pmod("h", F.lit(2**40)) < F.lit(int(2**40 * min(1.0, 32 * pivots / n))))
+    lowest = drawn.dropDuplicates(["h"]).orderBy(F.pmod("h", F.lit(2**40)), "h").limit(pivots).collect()
+    # very few distinct vectors may leave the sample empty; any row serves then
+    centre = _matrix([r[0] for r in lowest or hashed.limit(1).collect()], dim).astype(np.float64)
 
     def assign(batches):
         norm = (centre**2).sum(1)
@@ -101,7 +115,8 @@ def search(vectors: DataFrame, is_query, k: int = 5, pivots: int = PIVOTS) -> Da
     q_blocks = max(1, -(-n_queries // QUERY_BLOCK))
     asked = queries.mapInArrow(route, "query_id long, q array<long>, cell int").withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"))
     asked = cut(asked)
-    needed = asked.select(F.col("cell").alias("needed_cell"), F.col("q_block").alias("needed_by")).distinct()
+    # a row for each cell and block of queries: a hot cell is not shuffled as long as these are few
+    needed = few(cut(asked.select(F.col("cell").alias("needed_cell"), F.col("q_block").alias("needed_by")).distinct()))
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), blocks[F.col("cell")] - 1)))
     data = placed.select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id", "v"), blocks[F.col("cell")]).cast("int").alias("part"))
     data = data.join(needed, F.col("cell") == F.col("needed_cell")).drop("cell")
