@@ -1,6 +1,8 @@
 """URL filters: rules first, then gradient-boosted trees on lexical features.
 
-Features are column expressions; the trees are Spark ML's, trained on a bounded sample of labelled URLs.
+Features are column expressions; the trees are Spark ML's, trained on a bounded sample of labelled URLs. The
+labels of one half of the labelled URLs give the statistics of suffixes, those of the other half train the
+trees, so that no label is in a feature of its own row.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import columns, cut, let, lower_ascii, table
+from ._common import columns, cut, few, let, lower_ascii, table
 
 #: (rule, verdict): a host with its subdomains, and the start of a path.
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -71,9 +73,14 @@ def lexical(rows: DataFrame) -> DataFrame:
     )
 
 
+def _half() -> Column:
+    return F.pmod(F.xxhash64("url", F.lit("half")), F.lit(2))
+
+
 def suffix_statistics(rows: DataFrame, key: str) -> DataFrame:
-    """For each value of `key` its share of all rows and its smoothed block rate among labelled ones."""
-    by = rows.groupBy(key).agg(F.count("*").alias("n"), F.count("label").alias("known"), F.sum("label").alias("blocked"))
+    """For each value of `key` its share of all rows and its smoothed block rate among labelled ones of the first half."""
+    label = F.when(_half() == 0, F.col("label"))
+    by = cut(rows.groupBy(key).agg(F.count("*").alias("n"), F.count(label).alias("known"), F.sum(label).alias("blocked")))
     total = by.agg(F.sum("n").alias("all_n"), F.sum("known").alias("all_known"), F.coalesce(F.sum("blocked"), F.lit(0.0)).alias("all_blocked")).first()
     n, known, blocked = (total["all_n"] or 1, total["all_known"] or 0, total["all_blocked"])
     rate = (blocked + 1) / (known + 2)
@@ -106,7 +113,7 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules: list[tuple
     rows = cut(rows)
     known = cut(rows.withColumn("label", F.col("by_rule"))) if labelled is None else known
     for key in ("suffix", "first"):
-        stats = suffix_statistics(known, key)
+        stats = few(cut(suffix_statistics(known, key)))
         rate = {f"{key}_share": 0.0, f"{key}_blocked": 0.5}
         rows = rows.join(stats, rows[key] == stats[f"{key}_of"], "left").drop(f"{key}_of").fillna(rate)
         known = known.join(stats, known[key] == stats[f"{key}_of"], "left").drop(f"{key}_of").fillna(rate)
@@ -115,11 +122,15 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules: list[tuple
     if len(kinds) < 2:
         only = "block" if kinds.get(1.0) else "allow"
         return rows.select("page_id", "host", "path", "rule", F.coalesce(verdict, F.lit(only)).alias("verdict"), F.lit(float(only == "block")).alias("probability"))
-    share = min(1.0, trained_on / sum(kinds.values()))
-    drawn = known.where(F.col("label").isNotNull() & (F.pmod(F.xxhash64("url"), F.lit(2**30)) < share * 2**30)).select("label", *FEATURES)
+    # one half of the labelled rows, or all of them where that half has labels of one kind only
+    halves = known.where(F.col("label").isNotNull() & (_half() == 1))
+    if halves.select("label").distinct().count() < 2:
+        halves = known.where("label IS NOT NULL")
+    share = min(1.0, trained_on / max(1, halves.count()))
+    drawn = halves.where(F.pmod(F.xxhash64("url"), F.lit(2**30)) < share * 2**30).select("label", *FEATURES)
     assemble = VectorAssembler(inputCols=FEATURES, outputCol="features")
     # the sample is bounded by trained_on; one partition makes the sums, and so the trees, the same each time
-    sample = cut(assemble.transform(drawn).select("label", "features").coalesce(1))
+    sample = cut(assemble.transform(drawn).select("label", "features").repartition(1).sortWithinPartitions("label", F.xxhash64(vector_to_array("features"))))
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7).fit(sample)
     judged = trees.transform(assemble.transform(rows)).withColumn("probability", F.get(vector_to_array("probability"), F.lit(1)))
     model = F.when(F.col("probability") >= 0.5, F.lit("block")).otherwise(F.lit("allow"))

@@ -140,7 +140,42 @@ def test_url_rules(spark):
     assert {r["verdict"] for r in urls.judge(frame.where("page_id = 3 OR page_id = 5")).collect()} == {"allow"}
 
 
-def test_topk_equals_brute_force(spark):
+def test_url_parts_and_rules_equal_brute_force(spark):
+    rng = random.Random(23)
+    bits = ["http", "://", "://", "A.org", "org", "example.org", "Example.ORG", "com", "x.com", "xcom", ".", "/", "/", "/es/", "/en/1", "/fr/", "/de/", "?", "#", "q=1", "é", ""]
+    rows = [(k, "".join(rng.choice(bits) for _ in range(rng.randint(0, 8)))) for k in range(600)] + [(600, None), (None, "https://org/x"), (601, "https://org/x"), (601, "https://org/x")]
+    frame = spark.createDataFrame(rows, "page_id long, url string").withColumns({"host": F.lit(1), "suffix": F.lit("x"), "label": F.lit(2), "n": F.lit(0)})
+    want = collections.Counter()
+    for i, url in rows:
+        after = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.split("[/?#]", after)[0]
+        path = re.split("[?#]", after[len(host) :])[0]
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        fits = [r for r, _ in urls.RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])]
+        want[i, host, path, max(fits, key=len, default=None)] += 1
+    got = urls.judge(frame).collect()
+    assert collections.Counter((r["page_id"], r["host"], r["path"], r["rule"]) for r in got) == want
+    assert all(r["verdict"] == dict(urls.RULES)[r["rule"]] for r in got if r["rule"])
+
+
+def test_trees_judge_urls_they_have_not_seen(spark):
+    rng = random.Random(24)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    good = lambda: f"https://{word(6)}.{rng.choice(['edu', 'net'])}/{word(5)}/{word(7)}"
+    bad = lambda: f"http://{word(3)}-{word(3)}-{rng.randint(100, 999)}.{rng.choice(['biz', 'net'])}/{word(2)}{rng.randint(1000, 99999)}?id={rng.randint(0, 9999)}&s={word(2)}"
+    rows = [(k, (bad if k % 2 else good)()) for k in range(600)]
+    frame = spark.createDataFrame(rows, "page_id long, url string")
+    labelled = spark.createDataFrame([(u, float(k % 2)) for k, u in rows[:400]], "url string, label double")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(frame, labelled).collect()}
+    assert sum(got[k] == ("block" if k % 2 else "allow") for k in range(400, 600)) >= 190
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_topk_equals_brute_force(spark, monkeypatch, small):
+    if small:
+        # several blocks of data and of queries in a cell
+        monkeypatch.setattr(topk, "BLOCK", 16)
+        monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
     rng = random.Random(3)
     rows = [(i, [rng.choice([-0.5, 0.25, 0.1, 1.0]) for _ in range(6)]) for i in range(150)] + [(200, None), (201, [1.0, None]), (202, [float("nan")]), (None, [1.0] * 6), (203, []), (3, [0.5] * 6)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit("clash"))
@@ -154,6 +189,16 @@ def test_topk_equals_brute_force(spark):
     assert topk.search(topk.quantized(frame.where("false")), F.lit(True)).count() == 0
 
 
+def test_topk_of_very_large_components(spark):
+    rows = [(0, [1e17, 3.0]), (1, [2.0, 5.0]), (2, [1e17, -1e17]), (3, [-1e30, 1.0]), (4, [1.5e16, 0.0]), (5, [1e12, 7.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    long = lambda x: max(-(2**63), min(2**63 - 1, x))
+    whole = {i: [long(int(256 * x // 1)) for x in v] for i, v in rows}
+    want = sorted(((long(sum(x * y for x, y in zip(whole[0], whole[i], strict=True))), i) for i in range(1, 6)), key=lambda s: (-s[0], s[1]))
+    got = topk.search(topk.quantized(frame), F.col("vec_id") == 0, 5).orderBy("rank").collect()
+    assert [(r["score"], r["vec_id"]) for r in got] == want
+
+
 def test_topk_of_a_query_repeated_more_than_k_times(spark):
     rows = [(10, [9.0, 9.0])] * 8 + [(20, [8.0, 1.0])] * 2 + [(k, [float(k % 5), 1.0]) for k in range(1, 10)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
