@@ -31,7 +31,8 @@ FAMILIES = [
     ("mpl", "mpl", ["mpl"], ["1 1", "2 0", "v2"]),
     ("epl", "eclipse", ["eclipse public"], ["", "version 1 0", "version 2 0", "1 0", "2 0"]),
     ("cc", "creative", ["creative commons attribution", "creative commons", "creative commons zero"], ["", "4 0", "3 0", "2 0"]),
-    ("cc", "cc", ["cc by", "cc by sa", "cc by nc", "cc by nd", "cc by nc sa", "cc0"], ["4 0", "3 0", "1 0"]),
+    ("cc", "cc", ["cc by", "cc by sa", "cc by nc", "cc by nd", "cc by nc sa"], ["4 0", "3 0", "1 0"]),
+    ("cc", "cc0", ["cc0"], ["", "1 0"]),
     ("isc", "isc", ["isc"], [""]),
     ("zlib", "zlib", ["zlib", "zlib libpng"], [""]),
     ("unlicense", "unlicense", ["unlicense", "the unlicense"], [""]),
@@ -40,59 +41,112 @@ FAMILIES = [
     ("eupl", "eupl", ["eupl"], ["", "1 1", "1 2"]),
     ("wtfpl", "wtfpl", ["wtfpl"], ["", "2"]),
     ("cddl", "cddl", ["cddl"], ["", "1 0", "1 1"]),
-    ("psf", "python", ["python software foundation", "python"], ["", "2 0"]),
+    ("psf", "python", ["python software foundation"], ["", "2 0"]),
+    ("psf", "psf", ["psf"], ["", "2 0"]),
     ("ofl", "ofl", ["sil ofl", "ofl"], ["", "1 1"]),
 ]
-#: Shapes of a grant around a license's name, by priority (1 is highest).
+#: Shapes of a grant around a license's name, by priority (1 is highest; sentences of a license's own text have 2 to 4).
 SHAPES = [
     (1, "spdx license identifier {name}"),
-    (2, "(licensed|released|distributed|published|available|provided) under (the )?(terms of )?(the )?{name}( license| licence)?"),
-    (3, "(under|to|of|by|in) (the )?{name} (license|licence)"),
-    (4, "{name} (license|licence)"),
+    (5, "(licensed|released|distributed|published|available|provided) under (the )?(terms of )?(the )?{name}( license| licence)?"),
+    (6, "(under|to|of|by|in) (the )?{name} (license|licence)"),
+    (7, "{name} (license|licence)"),
 ]
 
 
-#: Sentences of the licenses' own texts and notices, for texts that name no license: label, keyword, wording.
+#: Sentences of the licenses' own texts and notices, for texts that name no license: priority, label, keyword, wording.
+#: 2: what a license grants or is called in its own text; 3: conditions, warranty and liability; 4: notices that refer to a license.
 WORDINGS = [
-    ("mit", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("mit", "deal", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute"),
-    ("mit", "substantial", "the above copyright notice and this permission notice (including the next paragraph )?shall be included in all copies or substantial portions of the software"),
-    ("isc", "hereby", "permission to use copy modify and (or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice"),
-    ("bsd", "hereby", "permission to use copy modify and (or )?distribute this software for any purpose with or without fee is hereby granted the software is provided"),
-    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd", "redistributions", "redistributions of source code must retain the above copyright notice"),
-    ("bsd", "redistributions", "redistributions in binary form must reproduce the above copyright notice"),
-    ("bsd", "endorse", "(contributors|author|university) may (not )?be used to endorse or promote products derived from this software"),
-    ("bsd", "contributors", "this software is provided by the (copyright holders|regents|authors|author) and contributors as is"),
-    ("apache", "compliance", "you may not use this file except in compliance with the license"),
-    ("apache", "applicable", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
-    ("apache", "hereby", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable (copyright|except as stated in this section patent) license"),
-    ("gpl", "general", "you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("gpl", "copyleft", "the gnu general public license is a free copyleft license for software and other kinds of works"),
-    ("lgpl", "lesser", "you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
-    ("lgpl", "lesser", "this version of the gnu lesser general public license incorporates the terms and conditions of version 3"),
-    ("agpl", "affero", "you can redistribute it and or modify it under the terms of the gnu affero general public license"),
-    ("agpl", "copyleft", "the gnu affero general public license is a free copyleft license for software and other kinds of works"),
-    ("mpl", "mozilla", "this source code form is subject to the terms of the mozilla public license"),
-    ("mpl", "mozilla", "the contents of this file are subject to the mozilla public license"),
-    ("mpl", "mpl", "if a copy of the mpl was not distributed with this file you can obtain one at"),
-    ("epl", "eclipse", "made available under the terms of the eclipse public license"),
-    ("cc", "creative", "this work is licensed under (a|the) creative commons"),
-    ("cc", "waived", "has waived all copyright and related or neighboring rights"),
-    ("cc", "redistribute", "you are free to share copy and redistribute the material in any medium or format"),
-    ("zlib", "misrepresented", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
-    ("zlib", "misrepresented", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
-    ("zlib", "liable", "in no event will the (authors|author) be held liable for any damages arising from the use of this software"),
-    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
-    ("unlicense", "anyone", "anyone is free to copy modify publish use compile sell or distribute this software"),
-    ("boost", "hereby", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
-    ("artistic", "intent", "the intent of this document is to state the conditions under which a package may be copied"),
-    ("artistic", "establishes", "this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed"),
-    ("eupl", "european", "european union public (licence|license)"),
-    ("cddl", "development", "common development and distribution license"),
-    ("psf", "hereby", "psf hereby grants licensee a nonexclusive royalty free world wide license to reproduce"),
-    ("ofl", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of the font software"),
-    ("ofl", "font", "the font software may be modified altered or added to"),
+    (2, "mit", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    (2, "mit", "deal", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute"),
+    (3, "mit", "substantial", "the above copyright notice and this permission notice (including the next paragraph )?shall be included in all copies or substantial portions of the software"),
+    (3, "mit", "noninfringement", "the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    (3, "mit", "dealings", "out of or in connection with the software or the use or other dealings in the software"),
+    (3, "mit", "advertising", "the name of (the above copyright holders|a copyright holder) shall not be used in advertising or otherwise to promote the sale"),
+    (2, "isc", "hereby", "permission to use copy modify and (or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice"),
+    (3, "isc", "disclaims", "the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    (3, "isc", "disclaims", "isc disclaims all warranties with regard to this software"),
+    (3, "isc", "tortious", "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    (2, "bsd", "hereby", "permission to use copy modify and (or )?distribute this software for any purpose with or without fee is hereby granted the software is provided"),
+    (2, "bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
+    (3, "bsd", "redistributions", "redistributions of source code must retain the above copyright notice"),
+    (3, "bsd", "redistributions", "redistributions in binary form must reproduce the above copyright notice"),
+    (3, "bsd", "endorse", "(contributors|author|university) may (not )?be used to endorse or promote products derived from this software"),
+    (3, "bsd", "contributors", "this software is provided by the (copyright holders|regents|authors|author) and contributors as is"),
+    (3, "bsd", "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    (3, "bsd", "procurement", "procurement of substitute goods or services loss of use data or profits or business interruption"),
+    (4, "bsd", "bsd", "use of this source code is governed by a bsd style license"),
+    (2, "apache", "hereby", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable (copyright|except as stated in this section patent) license"),
+    (3, "apache", "prominent", "you must cause any modified files to carry prominent notices stating that you changed the files"),
+    (3, "apache", "derivative", "you must give any other recipients of the work or derivative works a copy of this license"),
+    (3, "apache", "notice", "if the work includes a notice text file as part of its distribution"),
+    (3, "apache", "licensor", "unless required by applicable law or agreed to in writing licensor provides the work"),
+    (4, "apache", "compliance", "you may not use this file except in compliance with the license"),
+    (4, "apache", "applicable", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    (4, "apache", "apache", "you may obtain a copy of the license at (http|https) www apache org licenses"),
+    (4, "apache", "asf", "licensed to the apache software foundation asf under one or more contributor license agreements"),
+    (2, "gpl", "copyleft", "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    (2, "gpl", "copyleft", "we have designed this general public license to use copyleft"),
+    (3, "gpl", "verbatim", "you may (copy and distribute|convey) verbatim copies of the program s source code as you receive it"),
+    (3, "gpl", "freedom", "the licenses for most software are designed to take away your freedom to share and change it"),
+    (3, "gpl", "affirms", "this license explicitly affirms your unlimited permission to run the unmodified program"),
+    (3, "gpl", "merchantability", "without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license"),
+    (4, "gpl", "general", "you can redistribute it and or modify it under the terms of the gnu general public license"),
+    (4, "gpl", "general", "you should have received a copy of the gnu general public license along with this program"),
+    (2, "lgpl", "lesser", "this version of the gnu lesser general public license incorporates the terms and conditions of version 3"),
+    (2, "lgpl", "lesser", "this license the lesser general public license applies to some specially designated software packages"),
+    (3, "lgpl", "combined", "you may convey a combined work under terms of your choice that taken together effectively do not restrict modification"),
+    (3, "lgpl", "lesser", "see the gnu lesser general public license for more details"),
+    (4, "lgpl", "lesser", "you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    (4, "lgpl", "lesser", "you should have received a copy of the gnu lesser general public license"),
+    (2, "agpl", "affero", "the gnu affero general public license is a free copyleft license for software and other kinds of works"),
+    (3, "agpl", "interacting", "your modified version must prominently offer all users interacting with it remotely through a computer network"),
+    (3, "agpl", "affero", "see the gnu affero general public license for more details"),
+    (4, "agpl", "affero", "you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    (4, "agpl", "affero", "you should have received a copy of the gnu affero general public license"),
+    (2, "mpl", "hereby", "the initial developer hereby grants you a world wide royalty free non exclusive license subject to third party intellectual property claims"),
+    (3, "mpl", "covered", "any modifications that you create or to which you contribute must be under the terms of this license covered software"),
+    (3, "mpl", "secondary", "this source code form is incompatible with secondary licenses as defined by the mozilla public license"),
+    (4, "mpl", "mozilla", "this source code form is subject to the terms of the mozilla public license"),
+    (4, "mpl", "mozilla", "the contents of this file are subject to the mozilla public license"),
+    (4, "mpl", "mpl", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    (2, "epl", "agreement", "the accompanying program is provided under the terms of this eclipse public license agreement"),
+    (3, "epl", "recipient", "each contributor hereby grants recipient a non exclusive worldwide royalty free copyright license"),
+    (4, "epl", "eclipse", "made available under the terms of the eclipse public license"),
+    (2, "cc", "waived", "has waived all copyright and related or neighboring rights"),
+    (2, "cc", "affirmer", "affirmer hereby overtly fully permanently irrevocably and unconditionally waives"),
+    (3, "cc", "redistribute", "you are free to share copy and redistribute the material in any medium or format"),
+    (3, "cc", "appropriate", "you must give appropriate credit provide a link to the license and indicate if changes were made"),
+    (3, "cc", "remix", "if you remix transform or build upon the material you must distribute your contributions under the same license"),
+    (3, "cc", "commercial", "you may not use the material for commercial purposes"),
+    (4, "cc", "creative", "this work is licensed under (a|the) creative commons"),
+    (4, "cc", "creativecommons", "to view a copy of this license visit (http|https) creativecommons org licenses"),
+    (2, "zlib", "misrepresented", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    (3, "zlib", "misrepresented", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    (3, "zlib", "liable", "in no event will the (authors|author) be held liable for any damages arising from the use of this software"),
+    (3, "zlib", "altered", "this notice may not be removed or altered from any source distribution"),
+    (2, "unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    (3, "unlicense", "anyone", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    (3, "unlicense", "relinquishment", "we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights"),
+    (2, "boost", "hereby", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    (3, "boost", "object", "solely in the form of machine executable object code generated by a source language processor"),
+    (4, "boost", "boost", "distributed under the boost software license version 1 0 see accompanying file"),
+    (2, "artistic", "intent", "the intent of this document is to state the conditions under which a package may be copied"),
+    (2, "artistic", "establishes", "this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed"),
+    (3, "artistic", "artistic", "you may distribute the modified version under the terms of the artistic license"),
+    (4, "artistic", "perl", "you can redistribute it and or modify it under the same terms as perl itself"),
+    (2, "eupl", "european", "european union public (licence|license)"),
+    (4, "eupl", "compliance", "you may not use this work except in compliance with the licence"),
+    (2, "wtfpl", "verbatim", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed"),
+    (2, "cddl", "development", "common development and distribution license"),
+    (3, "cddl", "contents", "the contents of this file are subject to the terms of the common development and distribution license"),
+    (2, "psf", "psf", "psf hereby grants licensee a nonexclusive royalty free world wide license to reproduce"),
+    (3, "psf", "psf", "psf is making python available to licensee on an as is basis"),
+    (3, "psf", "psf", "psf s license agreement and psf s notice of copyright"),
+    (2, "ofl", "font", "permission is hereby granted free of charge to any person obtaining a copy of the font software"),
+    (3, "ofl", "font", "the font software may be modified altered or added to"),
+    (3, "ofl", "font", "neither the font software nor any of its individual components in original or modified versions may be sold by itself"),
+    (4, "ofl", "reserved", "no modified version of the font software may use the reserved font name"),
 ]
 
 
@@ -104,7 +158,8 @@ def rules() -> list[tuple[int, str, str, str]]:
             for name in names:
                 for version in versions:
                     out.append((priority, label, keyword, _spaced(shape.replace("{name}", f"{name} {version}".strip()))))
-    return out
+    out += [(priority, label, keyword, _spaced(wording)) for priority, label, keyword, wording in WORDINGS]
+    return sorted(out, key=lambda r: r[0])
 
 
 def _spaced(shape: str) -> str:
@@ -123,16 +178,13 @@ def _spaced(shape: str) -> str:
 
 
 RULES = rules()
-#: What a scan tries: those rules, but names with cc0 by that word (they don't hold ' cc '), then the wordings. OP2_SQL
-#: keeps to RULES and their keywords as they are.
-SCANNED = [(p, label, "cc0" if " cc0 " in pattern else keyword, pattern) for p, label, keyword, pattern in RULES]
-SCANNED += [(5, label, keyword, _spaced(wording)) for label, keyword, wording in WORDINGS]
+#: A rule is tried only in texts that hold its keyword as a word; `license` gates the contract's phrases.
+KEYWORDS = sorted({keyword for _, _, keyword, _ in RULES} | {"license"})
 
 
-def spaced_words(text: Column) -> Column:
-    """The words, each between two spaces of its own: ` mit  license `."""
-    body = F.trim(F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), NO_WORD, " "))
-    return F.when(body == "", F.lit("")).otherwise(F.concat(F.lit(" "), F.replace(body, F.lit(" "), F.lit("  ")), F.lit(" ")))
+def plain_words(text: Column) -> Column:
+    """The words with one space between them."""
+    return F.trim(F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), NO_WORD, " "))
 
 
 def _n(spaced: Column) -> Column:
@@ -172,12 +224,12 @@ def _survivors(hits: Column) -> Column:
     return F.aggregate(F.array_sort(hits), start, step, lambda a: F.struct(a["n"].alias("n"), a["labels"].alias("labels")))
 
 
-def _detections(spaced: Column) -> Column:
+def _detections(spaced: Column, present: Column) -> Column:
     by_keyword: dict[str, list] = {}
-    for k, (priority, label, keyword, pattern) in enumerate(SCANNED):
+    for k, (priority, label, keyword, pattern) in enumerate(RULES):
         by_keyword.setdefault(keyword, []).append(F.struct(F.lit(pattern).alias("pattern"), F.lit(priority).alias("priority"), F.lit(label).alias("label"), F.lit(k).alias("rule")))
-    groups = F.array(*[F.struct(F.lit(f" {k} ").alias("keyword"), F.array(*v).alias("rules")) for k, v in by_keyword.items()])
-    tried = F.flatten(F.transform(F.filter(groups, lambda g: F.contains(spaced, g["keyword"])), lambda g: g["rules"]))
+    groups = F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*v).alias("rules")) for k, v in by_keyword.items()])
+    tried = F.flatten(F.transform(F.filter(groups, lambda g: F.array_contains(present, g["keyword"])), lambda g: g["rules"]))
     return F.flatten(F.transform(tried, lambda r: _hits(spaced, r["pattern"], r["priority"], r["label"], r["rule"])))
 
 
@@ -189,24 +241,31 @@ def scan(docs: DataFrame) -> DataFrame:
     score 0. Ties between equal intervals of equal priority go to the first rule. Null ids and repeated rows
     are scanned like others, an empty table gives no rows, extra columns are not carried.
     """
-    rows = columns(docs, doc_id="long", text="string").select("doc_id", spaced_words(F.col("text")).alias("spaced"))
+    rows = columns(docs, doc_id="long", text="string").select("doc_id", plain_words(F.col("text")).alias("body"))
     empty = F.array().cast("array<struct<start:int,minus_end:int,priority:int,rule:int,label:string>>")
+    known = F.array(*[F.lit(k) for k in KEYWORDS])
 
     def base(s: Column) -> Column:
-        phrases = F.array(*[F.struct(F.lit(p.split()[-1]).alias("gate"), F.lit(_spaced(p)).alias("pattern"), F.lit(label).alias("label")) for p, label in BASE.items()])
+        phrases = F.array(*[F.struct(F.lit(_spaced(p)).alias("pattern"), F.lit(label).alias("label")) for p, label in BASE.items()])
         hit = F.filter(phrases, lambda p: F.contains(s, p["pattern"]))
         return F.array_sort(F.flatten(F.transform(hit, lambda p: _hits(s, p["pattern"], F.lit(0), p["label"], F.lit(-1)))))
 
-    def found(s: Column) -> Column:
-        gated = F.when(F.contains(s, F.lit(" license ")), base(s)).otherwise(empty)
-        return F.struct(_n(s).cast("long").alias("n_words"), gated.alias("base"), _survivors(_detections(s)).alias("method"))
+    def found(w: Column) -> Column:
+        return F.struct(F.when(F.col("body") == "", F.lit(0)).otherwise(F.size(w)).cast("long").alias("n_words"), F.array_intersect(w, known).alias("present"))
 
-    rows = rows.select("doc_id", let(F.col("spaced"), found).alias("x"))
+    def judged(s: Column) -> Column:
+        gated = F.when(F.array_contains(F.col("w.present"), "license"), base(s)).otherwise(empty)
+        return F.struct(gated.alias("base"), _survivors(_detections(s, F.col("w.present"))).alias("method"))
+
+    rows = rows.select("doc_id", "body", let(F.split("body", " "), found).alias("w"))
+    # the places of words are looked for only where a keyword stands
+    spaced = F.when(F.size("w.present") > 0, F.concat(F.lit(" "), F.replace("body", F.lit(" "), F.lit("  ")), F.lit(" "))).otherwise(F.lit(""))
+    rows = rows.select("doc_id", F.col("w.n_words").alias("n_words"), let(spaced, judged).alias("x"))
     labels = F.transform(F.col("x.base"), lambda h: h["label"])
     n = F.size("x.base") + F.col("x.method.n")
     return rows.select(
         "doc_id",
-        F.col("x.n_words").alias("n_words"),
+        "n_words",
         F.size("x.base").cast("long").alias("n_base"),
         F.get("x.base", F.lit(0))["start"].cast("long").alias("first_word"),
         F.when(F.size("x.base") > 0, F.element_at("x.base", -1)["start"]).cast("long").alias("last_word"),

@@ -76,7 +76,7 @@ def test_license_places_and_suppression(spark):
 
 
 def test_license_keywords_are_in_all_that_their_rules_match():
-    for _, _, keyword, pattern in licenses.SCANNED:
+    for _, _, keyword, pattern in licenses.RULES:
         texts = [re.sub(r"\(\?:[^()]*\)\?", "", pattern)]
         while any("(" in t for t in texts):
             texts = [t.replace(m[0], part, 1) for t in texts for m in [re.search(r"\(\?:([^()]*)\)", t)] for part in m[1].split("|")]
@@ -94,10 +94,17 @@ def test_license_cc0_and_wordings(spark):
         (7, "This is free and unencumbered software released into the public domain.", "unlicense"),
         (8, "permission is hereby granted to leave; free of charge, to any person", ""),
         (9, "licensed under CC BY 4.0 and CC0 1.0", "cc"),
+        (10, "He bought the Python license of a zoo.", ""),
+        (11, "You should have received a copy of the GNU General Public License along with this program.", "gpl"),
+        (12, "Neither the Font Software nor any of its individual components, in Original or Modified Versions, may be sold by itself.", "ofl"),
+        (13, "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0", "apache"),
+        (14, "SPDX-License-Identifier: PSF-2.0", "psf"),
     ]
     got = {r["doc_id"]: r for r in licenses.scan(docs(spark, [r[:2] for r in rows])).collect()}
     assert {i: got[i]["labels"] for i, _, _ in rows} == {i: label for i, _, label in rows}
     assert (got[1]["score"], got[3]["n_base"], got[3]["score"]) == (0.5, 0, 0.5)
+    # hand-written wordings stand beside those that follow from names, with priorities of their own
+    assert {p for p, _, _, _ in licenses.RULES} == {1, 2, 3, 4, 5, 6, 7} and len(licenses.RULES) > 500
 
 
 def test_language_viterbi_equals_plain_search():
