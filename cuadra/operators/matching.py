@@ -4,22 +4,31 @@ Phase 1 joins on the normalized reference. With unique expected ids it needs no
 expected rows share a reference nothing is ever consumed; where one has it, the transaction with the
 smallest id and an equal amount takes it, and those before it see a different amount.
 
-Phase 2 joins what is left on the amount with a bound on the days between. Taking an expected row may turn
-a later transaction from ambiguous to unique, so each group of rows that can influence one another (same
+Phase 2 looks for expected rows of equal amount with a bound on the days between. Taking an expected row may
+turn a later transaction from ambiguous to unique, so each group of rows that can influence one another (same
 amount, dates within the window of the next) is folded in order of id: by a Spark aggregate, or in pandas
-where the group is large.
+where the group is large. Pairs are never listed.
+
+Expected ids that occur twice tie rows of different references and amounts together. Rows that can influence
+one another then form components of shared ids, references and islands; those that hold such an id are walked
+through in order, each on its own.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..storage import cut
+from .graph import components
 
-#: Edges of a group up to which it is folded by an aggregate.
-FOLDED = 512
+#: Pairs (transactions times expected rows) of a group up to which it is folded by an aggregate.
+FOLDED = 2048
 
 
 def flat_bank(bank: DataFrame) -> DataFrame:
@@ -97,47 +106,76 @@ def date_islands(tx: DataFrame, exp: DataFrame, window: int) -> DataFrame:
 
 
 def band_candidates(tx: DataFrame, exp: DataFrame, window: int) -> DataFrame:
-    """Pairs of equal amount whose dates lie within the window: an equi-join on the amount with a bound."""
+    """Pairs of equal amount whose dates lie within the window.
+
+    Days are cut into spans of the window's width, so what lies within it is in the same span or the next to
+    either side: an equi-join on amount and span, however many dates an amount has.
+    """
+    width = max(1, window)
+    span = lambda day: F.floor(F.datediff(day, F.lit("1970-01-01")) / width)
+    left = tx.withColumn("tx_span", span("tx_fecha"))
+    right = exp.withColumn("exp_span", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: span("exp_fecha") + i)))
     close = F.abs(F.datediff("tx_fecha", "exp_fecha"))
-    return tx.join(exp, (F.col("tx_monto") == F.col("exp_monto")) & (close <= window)).withColumn("delta", close)
+    pairs = left.join(right, (F.col("tx_monto") == F.col("exp_monto")) & (F.col("tx_span") == F.col("exp_span")) & (close <= window))
+    return pairs.withColumn("delta", close).drop("tx_span", "exp_span")
 
 
-def _fold() -> Column:
+def _fold(window: int) -> Column:
     """Outcomes of a group's transactions, in order of id."""
 
     def step(acc, t):
-        left = F.filter(t["cands"], lambda c: ~F.array_contains(acc["used"], c["exp_id"]))
-        one = F.size(left) == 1
-        out = F.struct(t["tx_id"].alias("tx_id"), left.alias("cands"))
-        return F.struct(F.when(one, F.concat(acc["used"], F.array(left[0]["exp_id"]))).otherwise(acc["used"]).alias("used"), F.concat(acc["out"], F.array(out)).alias("out"))
+        near = F.filter("exps", lambda c: (F.abs(c["day"] - t["day"]) <= window) & ~F.array_contains(acc["used"], c["exp_id"]))
+        left = F.transform(near, lambda c: F.struct(c["exp_id"].alias("exp_id"), F.abs(c["day"] - t["day"]).alias("delta")))
+        return F.transform(F.array(left), lambda x: _took(acc, t, x))[0]
 
     kind = "array<struct<tx_id:string,cands:array<struct<exp_id:string,delta:int>>>>"
     return F.aggregate("txs", F.struct(F.array().cast("array<string>").alias("used"), F.array().cast(kind).alias("out")), step, lambda a: a["out"])
 
 
-def _fold_pandas(pdf: pd.DataFrame) -> pd.DataFrame:
-    used: set = set()
-    rows = []
-    for tx_id, cands in pdf.sort_values(["tx_id", "exp_id"]).groupby("tx_id", sort=True):
-        left = [(e, int(d)) for e, d in zip(cands["exp_id"], cands["delta"], strict=True) if e not in used]
-        if len(left) == 1:
-            used.add(left[0][0])
-        rows.append((tx_id, [{"exp_id": e, "delta": d} for e, d in left]))
-    return pd.DataFrame(rows, columns=["tx_id", "cands"])
+def _took(acc: Column, t: Column, left: Column) -> Column:
+    used = F.when(F.size(left) == 1, F.concat(acc["used"], F.transform(left, lambda c: c["exp_id"]))).otherwise(acc["used"])
+    return F.struct(used.alias("used"), F.concat(acc["out"], F.array(F.struct(t["tx_id"].alias("tx_id"), left.alias("cands")))).alias("out"))
+
+
+def _fold_pandas(window: int):
+    """The same with the expected rows in order of days: what is near is a slice."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        txs = pdf[pdf["side"] == 0].sort_values("id", kind="stable")
+        exps = pdf[pdf["side"] == 1].sort_values(["day", "id"], kind="stable")
+        ids, days, alive, rows = exps["id"].to_numpy(), exps["day"].to_numpy(), np.ones(len(exps), bool), []
+        for tx_id, day in zip(txs["id"], txs["day"], strict=True):
+            low = bisect_left(days, day - window)
+            at = low + np.flatnonzero(alive[low : bisect_right(days, day + window)])
+            if len(at) == 1:
+                alive[at] = False
+            rows.append((tx_id, [{"exp_id": ids[k], "delta": abs(int(days[k] - day))} for k in sorted(at, key=lambda k: ids[k])]))
+        return pd.DataFrame(rows, columns=["tx_id", "cands"])
+
+    return fold
+
+
+def with_islands(rows: DataFrame, islands: DataFrame) -> DataFrame:
+    """Add `isla` to rows (monto, fecha, ...)."""
+    i = islands.withColumnsRenamed({"monto": "i_monto", "fecha": "i_fecha"})
+    return rows.join(i, (F.col("monto") == F.col("i_monto")) & (F.col("fecha") == F.col("i_fecha"))).drop("i_monto", "i_fecha")
 
 
 def by_amount(tx: DataFrame, exp: DataFrame, window: int, folded: int = FOLDED) -> DataFrame:
     """Phase 2 outcome of each transaction with a candidate: (tx_id, cands) with what was left for it."""
-    edges = band_candidates(tx.select("tx_id", "tx_monto", "tx_fecha"), exp.select("exp_id", "exp_monto", "exp_fecha"), window)
-    islands = date_islands(tx, exp, window)
-    edges = edges.join(islands, (F.col("tx_monto") == F.col("monto")) & (F.col("tx_fecha") == F.col("fecha"))).select("monto", "isla", "tx_id", "exp_id", F.col("delta").cast("int").alias("delta"))
-    sizes = edges.groupBy("monto", "isla").agg(F.count("*").alias("n")).withColumnsRenamed({"monto": "m", "isla": "i"})
-    edges = edges.join(sizes, (F.col("monto") == F.col("m")) & (F.col("isla") == F.col("i"))).drop("m", "i")
-    small = edges.where(F.col("n") <= folded).groupBy("monto", "isla", "tx_id").agg(F.sort_array(F.collect_list(F.struct("exp_id", "delta"))).alias("cands"))
-    small = small.groupBy("monto", "isla").agg(F.sort_array(F.collect_list(F.struct("tx_id", "cands"))).alias("txs"))
-    small = small.select(F.explode(_fold()).alias("o")).select("o.*")
+    left = tx.select(F.col("tx_monto").alias("monto"), F.col("tx_fecha").alias("fecha"), F.lit(0).alias("side"), F.col("tx_id").alias("id"))
+    right = exp.select(F.col("exp_monto").alias("monto"), F.col("exp_fecha").alias("fecha"), F.lit(1).alias("side"), F.col("exp_id").alias("id"))
+    rows = with_islands(left.union(right), date_islands(tx, exp, window))
+    rows = rows.select("monto", "isla", "side", "id", F.datediff("fecha", F.lit("1970-01-01")).alias("day"))
+    both = rows.groupBy("monto", "isla").agg(F.sum(F.col("side").cast("long")).alias("n_exp"), F.count("*").alias("n"))
+    both = both.where((F.col("n_exp") > 0) & (F.col("n_exp") < F.col("n")))
+    both = cut(both.select(F.col("monto").alias("m"), F.col("isla").alias("i"), ((F.col("n") - F.col("n_exp")) * F.col("n_exp") <= folded).alias("small")))
+    rows = rows.join(both, (F.col("monto") == F.col("m")) & (F.col("isla") == F.col("i")))
+    listed = lambda side, name: F.sort_array(F.collect_list(F.when(F.col("side") == side, F.struct(F.col("id").alias(name), "day"))))
+    small = rows.where("small").groupBy("monto", "isla").agg(listed(0, "tx_id").alias("txs"), listed(1, "exp_id").alias("exps"))
+    small = small.select(F.explode(_fold(window)).alias("o")).select("o.*")
     kind = "tx_id string, cands array<struct<exp_id:string,delta:int>>"
-    large = edges.where(F.col("n") > folded).groupBy("monto", "isla").applyInPandas(_fold_pandas, kind)
+    large = rows.where("NOT small").groupBy("monto", "isla").applyInPandas(_fold_pandas(window), kind)
     return small.unionByName(large).where(F.size("cands") > 0)
 
 
@@ -145,15 +183,36 @@ def repeated_ids(expected: DataFrame) -> DataFrame:
     return expected.groupBy("exp_id").count().where("count > 1")
 
 
+def tied(tx: DataFrame, exp: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """(tx_id, grupo) and (exp_id, grupo) of the rows whose component of shared ids, references and islands holds a
+    repeated expected id."""
+    key = lambda kind, *c: F.xxhash64(F.lit(kind), *c)
+    islands = cut(date_islands(tx, exp, window))
+    sides = []
+    for frame, side in ((tx, "tx"), (exp, "exp")):
+        rows = frame.select(key(side, F.col(f"{side}_id")).alias("a"), F.col(f"{side}_ref").alias("ref"), F.col(f"{side}_monto").alias("monto"), F.col(f"{side}_fecha").alias("fecha"))
+        sides.append(rows.where("coalesce(ref, '') <> ''").select("a", key("ref", F.col("ref")).alias("b")))
+        sides.append(with_islands(rows, islands).select("a", key("isla", F.col("monto"), F.col("isla")).alias("b")))
+    edges = sides[0].union(sides[1]).union(sides[2]).union(sides[3])
+    roots = components(edges)
+    twice = repeated_ids(exp).select(key("exp", F.col("exp_id")).alias("n"))
+    hit = cut(roots.join(twice, F.col("node") == F.col("n")).select(F.col("root").alias("hit")).distinct())
+    within = cut(roots.join(hit, F.col("root") == F.col("hit"), "left_semi"))
+    out = []
+    for frame, side in ((tx, "tx"), (exp, "exp")):
+        ids = frame.select(f"{side}_id").distinct()
+        out.append(cut(ids.join(within, key(side, F.col(f"{side}_id")) == F.col("node")).select(f"{side}_id", F.col("root").alias("grupo"))))
+    return out[0], out[1]
+
+
 def in_order(tx: DataFrame, exp: DataFrame, window: int) -> DataFrame:
-    """Both phases for expected rows that share ids, by one exact pass over the run in order.
+    """Both phases for expected rows that share ids, by one exact pass in order over each `grupo` (see `tied`).
 
-    A shared id ties rows of different references and amounts together, so the run isn't divisible. Returns
-    (tx_id, fase, outcome, candidatos, exp_id, exp_monto_texto, exp_conf, delta).
+    Returns (tx_id, fase, outcome, candidatos, exp_id, exp_monto_texto, exp_conf, delta).
     """
-    left = tx.select(F.lit(0).alias("one"), "tx_id", F.to_json(F.struct("tx_ref", F.col("tx_monto").cast("string").alias("m"), F.datediff("tx_fecha", F.lit("1970-01-01")).alias("d"))).alias("body"))
+    left = tx.select("grupo", "tx_id", F.to_json(F.struct("tx_ref", F.col("tx_monto").cast("string").alias("m"), F.datediff("tx_fecha", F.lit("1970-01-01")).alias("d"))).alias("body"))
     conf = F.to_json(F.struct("exp_ref", F.col("exp_monto").cast("string").alias("m"), F.datediff("exp_fecha", F.lit("1970-01-01")).alias("d"), F.col("exp_monto_texto").alias("t"), F.to_json("exp_conf").alias("c")))
-    right = exp.select(F.lit(0).alias("one"), "exp_id", conf.alias("body"))
+    right = exp.select("grupo", "exp_id", conf.alias("body"))
     out = "tx_id string, fase int, outcome string, candidatos array<string>, exp_id string, exp_monto_texto string, exp_conf string, delta int"
 
     def walk(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -191,4 +250,4 @@ def in_order(tx: DataFrame, exp: DataFrame, window: int) -> DataFrame:
                 used.add(e_id)
         return pd.DataFrame(rows, columns=[c.split()[0] for c in out.split(", ")]).astype({"delta": "Int32", "fase": "int32"})
 
-    return left.groupBy("one").cogroup(right.groupBy("one")).applyInPandas(walk, out)
+    return left.groupBy("grupo").cogroup(right.groupBy("grupo")).applyInPandas(walk, out)

@@ -4,17 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(frame: DataFrame) -> DataFrame:
     """Write a frame to the checkpoint folder and read it from there; the copy outlives lost executors.
 
-    The folder is the one that `spark.checkpoint.dir` names, or one of our own where none is named (tests).
     Spark deletes the copy once nothing refers to it.
     """
-    spark = frame.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="cuadra-checkpoint-"))
+    shared_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder: the one that `spark.checkpoint.dir` names, or in local mode a temporary one of our own."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cuadra-checkpoint-"))
+    return context.getCheckpointDir()
