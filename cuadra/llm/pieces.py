@@ -35,7 +35,7 @@ UNITS_A_TASK = 25_000
 #: Encodings of the distinct units are broadcast to the tasks up to so many bytes.
 BROADCAST_BYTES = 96 * 2**20
 #: Words whose encodings a worker keeps at hand.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 120_000
 WORDS = f"{BLANK}*[^{BLANK}]+|{BLANK}+"
 # an edge of a short unit in one number: rank, end, length, id; those of single characters come last
 _END, _LEN, _ID = 6, 5, 16
@@ -130,17 +130,18 @@ class Pieces:
 
 
 def words_of(text: Column) -> Column:
-    """A text's words, each behind its blanks (one more before the first); null and empty texts have none."""
-    marked = F.concat(F.lit(BLANK), F.replace(text, F.lit(" "), F.lit(BLANK)))
-    plain = F.transform(F.split(F.replace(text, F.lit(BLANK), F.lit(" ")), " "), lambda w: F.concat(F.lit(BLANK), w))
+    """A text's words without the first of the blanks that each stands behind; null and empty texts have none."""
+    blank = F.lit(BLANK)
+    several = F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" ")) | F.contains(text, F.lit("  ")) | F.contains(text, blank)
     # most texts have single blanks only, which need no pattern
-    several = F.contains(marked, F.lit(BLANK * 2)) | F.endswith(marked, F.lit(BLANK))
-    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).when(several, F.regexp_extract_all(marked, F.lit(WORDS), F.lit(0))).otherwise(plain)
+    marked = F.concat(blank, F.replace(text, F.lit(" "), blank))
+    found = F.transform(F.regexp_extract_all(marked, F.lit(WORDS), F.lit(0)), lambda w: F.substr(w, F.lit(2)))
+    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).when(several, found).otherwise(F.split(text, " "))
 
 
 def units_of(word: Column, pieces: Pieces) -> Column:
-    """The units of a word, in order."""
-    return F.regexp_extract_all(word, F.lit(pieces.units), F.lit(0))
+    """The units of a word behind its blank, in order."""
+    return F.regexp_extract_all(F.concat(F.lit(BLANK), word), F.lit(pieces.units), F.lit(0))
 
 
 def _grouped(units: DataFrame, parts: int) -> DataFrame:
@@ -153,13 +154,14 @@ def lattice(units: DataFrame, pieces: Pieces, parts: int) -> DataFrame:
     ranks, by explode, equi-join and group."""
     spark = units.sparkSession
     # fixed tables: at most 2^16 pieces, and the substrings of each length
-    rows = [(p, ((pieces.ranks[s] if len(p) > 1 else _SINGLE) << _END + _LEN + _ID) | (len(p) << _ID) | i) for p, i, s in pieces.rows]
-    known = F.broadcast(spark.createDataFrame(rows, "piece string, packed long"))
+    rows = [(p, len(p), ((pieces.ranks[s] if len(p) > 1 else _SINGLE) << _END + _LEN + _ID) | (len(p) << _ID) | i) for p, i, s in pieces.rows]
+    known = F.broadcast(spark.createDataFrame(rows, "piece string, size int, packed long").withColumn("h", F.xxhash64("piece")))
     cuts = [(size, [i << _LEN | n for i in range(size) for n in range(1, min(pieces.longest, size - i) + 1)]) for size in range(1, SHORT + 1)]
     spans = F.broadcast(spark.createDataFrame(cuts, "size int, cuts array<int>"))
     each = _grouped(units, parts).join(spans, F.length("unit") == F.col("size")).select("unit", F.explode("cuts").alias("cut"))
     subs = each.select("unit", F.expr(f"shiftright(cut, {_LEN}) + (cut & {2**_LEN - 1})").alias("e"), F.expr(f"substring(unit, shiftright(cut, {_LEN}) + 1, cut & {2**_LEN - 1})").alias("sub"))
-    edges = subs.join(known, F.col("sub") == F.col("piece"))
+    # a join on numbers is several times faster than one on strings; equal hashes are checked
+    edges = subs.join(known, (F.xxhash64("sub") == F.col("h")) & F.startswith("sub", "piece") & (F.length("sub") <= F.col("size")))
     edge = F.col("packed").bitwiseOR(F.shiftleft(F.col("e").cast("long"), _LEN + _ID))
     return edges.select("unit", edge.alias("edge")).groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
 
@@ -290,17 +292,28 @@ def _flat(chunk: pa.Array) -> memoryview:
     return memoryview(chunk.buffers()[2])[int(ends[0]) : int(ends[-1])] if ends[-1] > ends[0] else memoryview(b"")
 
 
+def _words(text: str | None, pattern: re.Pattern) -> list[str]:
+    """The same as `words_of`."""
+    if not text:
+        return []
+    if "  " in text or text[0] == " " or text[-1] == " " or BLANK in text:
+        return [w[1:] for w in pattern.findall(BLANK + text.replace(" ", BLANK))]
+    return text.split(" ")
+
+
 def _bare_ids(unit: str, bytes_: list[int]) -> list[int]:
     return [bytes_[b] for b in unit.encode()]
 
 
-def encode(docs: DataFrame, pieces: Pieces, carry: tuple[str, ...] = ("doc_id",), broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def encode(docs: DataFrame, pieces: Pieces, carry: tuple[str, ...] = ("doc_id",), broadcast_bytes: int = BROADCAST_BYTES, decoded: bool = False) -> DataFrame:
     """Add `ids`, the piece ids of every whole text, to the columns in `carry`.
 
     Blanks are spaces; a text is encoded behind one more space. A null or empty text has no ids. A text that
     holds the mark U+2581 itself decodes to a space there. Null ids and repeated rows are encoded like
     others, an empty table gives no rows, columns that aren't carried are dropped.
 
+    With `decoded`, the texts that the ids stand for come along (see `decode`), made by the same workers.
+
     The encodings of all distinct units are broadcast where they take at most `broadcast_bytes` and their
     hashes differ; beyond that they are joined to the units of each text and gathered by text. A unit of n
     characters that can't be parted takes n * n steps (see `_merge_long`), so one of a million is slow.
@@ -315,6 +328,8 @@ def encode(docs: DataFrame, pieces: Pieces, carry: tuple[str, ...] = ("doc_id",)
     n, size = coded.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()
     own, words, find = pieces.bytes_, re.compile(WORDS), re.compile(pieces.units)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_text").schema)
+    back = _decoder(spark, pieces) if decoded else iter
+    out = f"{ddl}, ids array<int>" + ", decoded string" * decoded
     # a hash of 8 bytes and an end of 4 for each unit
     if 12 * n + size <= broadcast_bytes:
         got = coded.select(F.xxhash64("unit").alias("h"), "ids").sort("h").toArrow()
@@ -328,11 +343,12 @@ def encode(docs: DataFrame, pieces: Pieces, carry: tuple[str, ...] = ("doc_id",)
 
             def run(batches):
                 keys, ends, values = shared.value
+                # encodings of words, each without the first of its blanks
                 kept: dict[str, bytes] = {}
 
                 def look(new: list[str]) -> dict[str, bytes]:
                     """Encodings of some words, those of all their units found in one search."""
-                    split = [find.findall(w) for w in new]
+                    split = [find.findall(BLANK + w) for w in new]
                     units = list({u for parts in split for u in parts})
                     hashed = np.array([xxhash.xxh64_intdigest(u.encode(), seed=42) for u in units], np.uint64).view(np.int64)
                     at = np.searchsorted(keys, hashed)
@@ -344,7 +360,7 @@ def encode(docs: DataFrame, pieces: Pieces, carry: tuple[str, ...] = ("doc_id",)
                 for batch in batches:
                     for start in range(0, batch.num_rows, 500):
                         part = batch.slice(start, 500)
-                        split = [words.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in part.column("_text").to_pylist()]
+                        split = [_words(t, words) for t in part.column("_text").to_pylist()]
                         new = list({u for units in split for u in units}.difference(kept))
                         if len(kept) + len(new) > KEPT_WORDS:
                             kept = {u: kept[u] for units in split for u in units if u in kept}
@@ -354,7 +370,7 @@ def encode(docs: DataFrame, pieces: Pieces, carry: tuple[str, ...] = ("doc_id",)
                         ids = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) // 2 for x in lists])]).astype(np.int32), flat)
                         yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), ids], names=[*carry, "ids"])
 
-            return rows.mapInArrow(run, f"{ddl}, ids array<int>")
+            return rows.mapInArrow(lambda batches: back(run(batches)), out)
     # the join: each text's distinct units with their encodings, gathered by text
     keyed = rows.withColumn("_key", F.sha2(F.coalesce("_text", F.lit("")), 256))
     pairs = keyed.select("_key", F.explode(F.array_distinct(F.flatten(F.transform(words_of(F.col("_text")), lambda w: units_of(w, pieces))))).alias("unit")).distinct()
@@ -369,21 +385,16 @@ def encode(docs: DataFrame, pieces: Pieces, carry: tuple[str, ...] = ("doc_id",)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(got, pa.list_(pa.int32()))], names=[*carry, "ids"])
 
     joined = keyed.join(gathered, F.col("_key") == F.col("_of"), "left").select(*carry, "_text", "_coded")
-    return joined.mapInArrow(run_joined, f"{ddl}, ids array<int>")
+    return joined.mapInArrow(lambda batches: back(run_joined(batches)), out)
 
 
-def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
-    """Add `decoded`, the text that `ids` stands for; null ids give null, no ids an empty text.
-
-    Ids that aren't in the table, and bytes that aren't UTF-8, become U+FFFD.
-    """
+def _decoder(spark: SparkSession, pieces: Pieces):
+    """A function that adds `decoded` to batches with `ids`."""
     raw = {i: p.replace(BLANK, " ").encode() for p, i, _ in pieces.rows} | {i: bytes([b]) for b, i in enumerate(pieces.bytes_)}
     top = max(raw) + 1
     each = [raw.get(i, b"\xef\xbf\xbd") for i in range(top + 1)]
     sizes = np.array([len(x) for x in each])
-    shared = encoded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(each), np.uint8), sizes, np.cumsum(sizes) - sizes))
-    names = encoded.columns
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
+    shared = spark.sparkContext.broadcast((np.frombuffer(b"".join(each), np.uint8), sizes, np.cumsum(sizes) - sizes))
 
     def run(batches):
         blob, sizes, starts = shared.value
@@ -401,15 +412,22 @@ def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
                 edge = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
                 at = np.concatenate([[0], ends])[edge]
                 texts = [None if null else out[a:b].decode("utf-8", "replace")[1:] for a, b, null in zip(at, at[1:], lists.is_null().to_pylist(), strict=False)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(texts, pa.string())], names=[*names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, f"{ddl}, decoded string")
+    return run
+
+
+def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
+    """Add `decoded`, the text that `ids` stands for; null ids give null, no ids an empty text.
+
+    Ids that aren't in the table, and bytes that aren't UTF-8, become U+FFFD.
+    """
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
+    return encoded.mapInArrow(_decoder(encoded.sparkSession, pieces), f"{ddl}, decoded string")
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = columns(table(spark, sf_dir, "documents"), doc_id="long", text="string")
-    pieces = Pieces.load()
-    coded = encode(docs.withColumn("crc", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))), pieces, ("doc_id", "crc"))
-    back = decode(coded, pieces)
+    back = encode(docs.withColumn("crc", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))), Pieces.load(), ("doc_id", "crc"), decoded=True)
     exact = F.crc32(F.encode("decoded", "UTF-8")) == F.col("crc")
     return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", exact.alias("exact"))
