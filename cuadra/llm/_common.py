@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import cut, shared_dir  # noqa: F401
+
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,23 +36,6 @@ def count_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def shared_dir(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder, or a folder of our own where none is named (tests)."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cuadra-checkpoint-"))
-
-
-def cut(frame: DataFrame) -> DataFrame:
-    """Write a frame to the shared checkpoint folder and read it from there from now on.
-
-    The copy outlives lost executors, and Spark deletes it once nothing refers to it.
-    """
-    shared_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
-
-
 def columns(docs: DataFrame, **kinds: str) -> DataFrame:
     """Just the named columns with these types, so that extra columns can't clash with ours."""
     return docs.select(*(docs[name].cast(kind).alias(name) for name, kind in kinds.items()))

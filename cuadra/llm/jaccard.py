@@ -17,9 +17,7 @@ components is missed, no pair is compared twice by its words, and of a group no
 
 from __future__ import annotations
 
-import hashlib
 import math
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -27,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import UPPER, WORD, columns, count_words, cut, few, table
-from .graph import components
+from ..operators.graph import components
+from ._bytes import utf8, word_hashes
+from ._common import columns, count_words, cut, few, table
 
 #: Bits of a parity sketch.
 SKETCH = 2048
@@ -42,18 +41,17 @@ BLOCK, BUCKET = 4096, 256
 BLOCK_SHINGLES = 300_000
 #: Entries of so many members aren't gathered to find the smallest one; a sample of documents tells which these may be.
 HOT, SAMPLE = 50_000, 512
-_LOWER = str.maketrans(UPPER, UPPER.lower())
-_WORD = re.compile(WORD)
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
-def tokens(text: str | None) -> list[str]:
-    return _WORD.findall(text.translate(_LOWER)) if text else []
+def lower(text: str | None) -> bytes:
+    """UTF-8 with A-Z in lower case and every other byte as it is."""
+    return utf8(text).lower()
 
 
 def shingle_set(text: str | None, n: int) -> set:
     """Distinct n-word shingles; with fewer words the whole sequence is one; without words none."""
-    found = tokens(text)
+    found = lower(text).split()
     if not found:
         return set()
     return set(zip(*(found[i:] for i in range(n)), strict=False)) if len(found) >= n else {tuple(found)}
@@ -65,14 +63,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=300_000)
-def _word_hash(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-
-
-def hashes(found: list[str], n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of some words."""
-    h = np.fromiter(map(_word_hash, found), np.uint64, len(found))
+def hashes(text: str | None, n: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of a text."""
+    h = word_hashes(lower(text))
     if not len(h):
         return h
     width = min(n, len(h))
@@ -181,7 +174,7 @@ def signatures(h: np.ndarray, num: int, den: int, plan: list[tuple[int, int]]) -
     out, mixed = [], _mix(h + _M[0])
     for band in range(band_of(n), band_of(n * den // num) + 1):
         segments, deletions = plan[band]
-        at = ((h >> np.uint64(11)) % np.uint64(segments)).astype(np.int64)
+        at = ((h >> np.uint64(11)) % np.uint64(segments)).astype(np.uint16 if segments < 2**16 else np.int64)
         filled = np.bincount(at, minlength=segments)
         order = np.argsort(at, kind="stable")
         run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed[order], dtype=np.uint64)])
@@ -199,7 +192,7 @@ def signatures(h: np.ndarray, num: int, den: int, plan: list[tuple[int, int]]) -
 
 
 def _sketch(h: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((_mix(h + _M[1]) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
+    return np.packbits(np.bincount((_mix(h + _M[1]) & np.uint64(SKETCH - 1)).view(np.int64), minlength=SKETCH) & 1).tobytes()
 
 
 def summarize(docs: DataFrame, n: int, num: int, den: int, plan: list[tuple[int, int]]) -> DataFrame:
@@ -208,7 +201,7 @@ def summarize(docs: DataFrame, n: int, num: int, den: int, plan: list[tuple[int,
     schema = pa.schema(kinds)
 
     def one(text):
-        h = hashes(tokens(text), n)
+        h = hashes(text, n)
         f1, f2 = (int(_mix(h * m + m).sum(dtype=np.uint64).astype(np.int64)) for m in (_M[0], _M[2]))
         return len(h), f1, f2, signatures(h, num, den, plan).astype(np.int64), _sketch(h)
 
@@ -381,7 +374,7 @@ def true_edges(members: DataFrame, sets: DataFrame, texts: DataFrame, n: int, nu
         rep, root, part = (table.column(c).to_numpy() for c in ("rep", "root", "part"))
         cross = table.column("x")[0] != table.column("y")[0]
         column = table.column("text")
-        found = [hashes(tokens(t.as_py()), n) for t in column]
+        found = [hashes(t.as_py(), n) for t in column]
         size = np.array([len(h) for h in found])
         # a bit for each shingle that two members or more have; each other one counts by itself
         _, code, count = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)

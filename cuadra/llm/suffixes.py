@@ -8,7 +8,12 @@ Each task sorts the suffixes of its documents and sends them front-coded: the le
 suffix shares with the one before it, and the rest. The sorted runs that meet in a range of anchors are
 merged by a loser tree that carries the known common prefixes along and only ever compares what lies beyond
 them. The merged order with its common prefixes, and the bytes before each anchor, tell which windows occur
-twice. Anchors that occur very often aren't gathered: their windows are counted by hash instead.
+twice.
+
+No group grows with the number of copies. Suffixes of a run that are equal in all that windows need of them
+are repeated as they are: their spans are known in the run, and one of them goes on to be merged for the sake of
+other runs. Suffixes at an anchor that occurs very often are ranged by more of the bytes around it: windows are
+parted by how far before the anchor they start, and each part is keyed by the bytes that all its windows have.
 """
 
 from __future__ import annotations
@@ -21,15 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._bytes import utf8, word_edges, word_hashes
 from ._common import columns, cut, table
 
 LENGTH, GRAM = 400, 128
+#: Bytes from which on a repeated passage is reported by op9 (fewer than nearly all 51 words of prose have), and of its anchors.
+PASSAGE, PASSAGE_GRAM = 240, 64
 #: Bytes that stand for a word where windows are counted in words, and words of such a window's anchor (at most).
 TOKEN, GRAM_WORDS = 8, 16
 #: Bytes of a text that are hashed at a time, and bytes of suffixes that a task sorts as one run.
 CHUNK, RUN = 2**20, 32 * 2**20
-#: Anchors that occur more often are counted window by window.
-HOT = 20_000
+#: Anchors that occur more often have their windows ranged in so many parts.
+HOT, PARTS = 20_000, 16
 #: Bytes of suffixes that meet in one range of anchors (expected).
 RANGE_BYTES = 12 * 2**20
 #: Bounds of the filter of repeated anchors, in bits as powers of two.
@@ -83,36 +91,14 @@ def anchors(data: np.ndarray, length: int, gram: int):
     return name ^ (name >> np.uint64(33)), at[first], first, last
 
 
-def _chunks(raw: bytes, length: int):
-    for start in range(0, len(raw) - length + 1, CHUNK):
-        yield start, np.frombuffer(raw, np.uint8, min(CHUNK + length - 1, len(raw) - start), start)
-
-
-def _raw(text: str | bytes | None) -> bytes:
-    return text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
-
+def _chunks(raw: bytes, length: int, chunk: int):
+    for start in range(0, len(raw) - length + 1, chunk):
+        yield start, np.frombuffer(raw, np.uint8, min(chunk + length - 1, len(raw) - start), start)
 
-def _word_edges(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """First byte of each word and the byte after it."""
-    data = np.frombuffer(raw, np.uint8)
-    inside = np.concatenate([[False], (data != 0x20) & ((data < 0x09) | (data > 0x0D)), [False]])
-    turns = np.nonzero(inside[1:] != inside[:-1])[0]
-    return turns[::2], turns[1::2]
 
-
-def tokens(raw: bytes) -> bytes:
-    """`TOKEN` bytes for each word, a hash of its bytes and their places."""
-    starts, ends = _word_edges(raw)
-    if not len(starts):
-        return b""
-    lens = ends - starts
-    firsts = np.cumsum(lens) - lens
-    place = np.arange(lens.sum()) - np.repeat(firsts, lens)
-    h = (np.frombuffer(raw, np.uint8)[place + np.repeat(starts, lens)].astype(np.uint64) + place.astype(np.uint64) * np.uint64(257) + np.uint64(1)) * _M[0]
-    h ^= h >> np.uint64(29)
-    h *= _M[1]
-    h = np.add.reduceat(h ^ (h >> np.uint64(32)), firsts) * _M[0]
-    return (h ^ (h >> np.uint64(32))).astype(">u8").tobytes()
+def tokens(text: bytes) -> bytes:
+    """`TOKEN` bytes for each word, a hash of it."""
+    return word_hashes(text).astype(">u8").tobytes()
 
 
 def common(x: bytes, y: bytes, known: int = 0) -> int:
@@ -238,42 +224,65 @@ def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(key, doc_id, start, end): byte ranges of documents covered by strings that occur elsewhere too.
+def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, passage: int = 0, run: int = RUN, chunk: int = CHUNK) -> DataFrame:
+    """(key, doc_id, start, end, shorter): byte ranges of documents covered by strings that occur elsewhere too.
 
-    `docs` has key, doc_id and text (a string or its bytes); rows with an equal key are equal.
+    `docs` has key, doc_id and text (a string or its bytes); rows with an equal key are equal. With `passage`, a
+    smaller length, strings of that many bytes are found by the way; their ranges have `shorter`.
     """
     spark = docs.sparkSession
+    least = passage or length
 
     def count(batches):
         for batch in batches:
-            found = [anchors(data, length, gram)[0] for t in batch.column("text").to_pylist() if t for _, data in _chunks(_raw(t), length)]
+            found = [anchors(data, least, gram)[0] for t in batch.column("text").to_pylist() if t for _, data in _chunks(utf8(t), least, chunk)]
             h, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
     seen = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     seen = cut(seen)
     n_kinds, n_all, n_hot = seen.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") > hot).cast("int")), F.lit(0))).first()
-    empty = "key long, doc_id long, start long, end long"
+    empty = "key long, doc_id long, start long, end long, shorter boolean"
     if not n_kinds:
         return spark.createDataFrame([], empty)
     wanted = spark.sparkContext.broadcast(_filter(seen.select("h"), n_kinds))
     often = spark.sparkContext.broadcast(_filter(seen.where(F.col("n") > hot).select("h"), n_hot)) if n_hot else None
     parts = max(1, min(2**20, -(-n_all * (length + 150) // RANGE_BYTES)))
 
-    def occurrences(batches, hot_ones: bool):
-        """(row, bytes, hash, anchor, first window, last window) in whole texts."""
+    def occurrences(batches):
+        """(row, bytes, hash, whether it is hot, anchor, first window, last window) in whole texts."""
         for batch in batches:
             ids = zip(batch.column("key").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)
             for key, doc_id, text in ids:
-                raw = _raw(text)
-                for start, data in _chunks(raw, length):
-                    h, at, first, last = anchors(data, length, gram)
-                    pick = _has(wanted.value, h)
-                    if often is not None:
-                        pick &= _has(often.value, h) == hot_ones
-                    for i in np.nonzero(pick)[0]:
-                        yield (key, doc_id), raw, start, int(h[i]), start + int(at[i]), start + int(first[i]), start + int(last[i])
+                raw, held = utf8(text), None
+                for start, data in _chunks(raw, least, chunk):
+                    h, at, first, last = anchors(data, least, gram)
+                    pick = np.nonzero(_has(wanted.value, h))[0]
+                    many = _has(often.value, h[pick]) if often is not None else np.zeros(len(pick), bool)
+                    for i, warm in zip(pick, many, strict=True):
+                        # windows on both sides of a border of chunks may have one anchor
+                        if held and held[4] == start + int(at[i]):
+                            held = *held[:6], start + int(last[i])
+                            continue
+                        if held:
+                            yield held
+                        held = (key, doc_id), raw, int(h[i]), warm, start + int(at[i]), start + int(first[i]), start + int(last[i])
+                if held:
+                    yield held
+
+    step = -(-(least - gram + 1) // PARTS)
+
+    def suffixes_of(raw, h, warm, at, first, last):
+        """(suffix behind its key, bytes before it backwards): what windows at some offsets before the anchor need."""
+        low, high = at - last, at - first
+        if not warm:
+            yield h.to_bytes(8, "big") + raw[at : at + length - low], raw[first:at][::-1]
+            return
+        for begin in range(low // step * step, high + 1, step):
+            end = min(begin + step - 1, least - gram)
+            a, b = max(low, begin), min(high, end)
+            around = b"%d %d " % (h, begin) + raw[at - begin : at + least - end]
+            yield hashlib.blake2b(around, digest_size=8).digest() + raw[at : at + length - a], raw[at - b : at][::-1]
 
     kinds = [("part", pa.int32()), ("run", pa.int64()), ("seq", pa.int32()), ("shared", pa.int32()), ("rest", pa.binary()), ("b_shared", pa.int32()), ("b_rest", pa.binary()), ("key", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64())]
     schema = pa.schema(kinds)
@@ -284,52 +293,63 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
         task, n_runs = TaskContext.get().partitionId(), 0
         held, size = [], 0
 
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)], schema=schema)
+
         def flush():
             held.sort(key=lambda r: r[:2])
-            rows, before, part_before = [], (b"", b""), None
-            for seq, (s, back, key, doc_id, at) in enumerate(held):
-                part = (int.from_bytes(s[:3], "big") * parts) >> 24
-                if part != part_before:
-                    before, part_before = (b"", b""), part
-                shared = common(before[0], s)
-                b_shared = common(before[1], back)
-                rows.append((part, task * 2**20 + n_runs, seq, shared, s[shared:], b_shared, back[b_shared:], key, doc_id, at))
-                before = s, back
-                if len(rows) == 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)], schema=schema)
+            rows, before, part_before, seq = [], (b"", b""), None, 0
+            for i, (s, back, key, doc_id, at) in enumerate(held):
+                again = i > 0 and held[i - 1][0] == s and held[i - 1][1] == back
+                if again or (i + 1 < len(held) and held[i + 1][0] == s and held[i + 1][1] == back):
+                    # repeated within the run: its spans travel by themselves, dealt out by place
+                    for size in (length, passage) if passage else (length,):
+                        if len(s) - 8 + len(back) >= size:
+                            rows.append(((key ^ at) % parts, 0, len(s) - 8 + len(back), -1, b"", int(size < length), b"", key, doc_id, at - len(back)))
+                if not again:
+                    part = (int.from_bytes(s[:3], "big") * parts) >> 24
+                    if part != part_before:
+                        before, part_before = (b"", b""), part
+                    shared = common(before[0], s)
+                    b_shared = common(before[1], back)
+                    rows.append((part, task * 2**20 + n_runs, seq, shared, s[shared:], b_shared, back[b_shared:], key, doc_id, at))
+                    before, seq = (s, back), seq + 1
+                if len(rows) >= 5000:
+                    yield batch_of(rows)
                     rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)], schema=schema)
+                yield batch_of(rows)
 
-        for (key, doc_id), raw, _, h, at, first, last in occurrences(batches, False):
-            s, back = h.to_bytes(8, "big") + raw[at : last + length], raw[first:at][::-1]
-            held.append((s, back, key, doc_id, at))
-            size += len(s) + len(back)
-            if size > RUN:
+        for (key, doc_id), raw, h, warm, at, first, last in occurrences(batches):
+            for s, back in suffixes_of(raw, h, warm, at, first, last):
+                held.append((s, back, key, doc_id, at))
+                size += len(s) + len(back)
+            if size > run:
                 yield from flush()
                 held, size, n_runs = [], 0, n_runs + 1
         if held:
             yield from flush()
 
     def combine(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["run", "seq"])
+        known = pdf["shared"] < 0
+        done, pdf = pdf[known], pdf[~known].sort_values(["run", "seq"])
         runs: list[list] = []
         last_run, s, back = None, b"", b""
-        for run, shared, rest, b_shared, b_rest, key, doc_id, at in zip(*(pdf[c].to_list() for c in ("run", "shared", "rest", "b_shared", "b_rest", "key", "doc_id", "at")), strict=True):
-            if run != last_run:
+        for run_, shared, rest, b_shared, b_rest, key, doc_id, at in zip(*(pdf[c].to_list() for c in ("run", "shared", "rest", "b_shared", "b_rest", "key", "doc_id", "at")), strict=True):
+            if run_ != last_run:
                 runs.append([])
-                last_run, s, back = run, b"", b""
+                last_run, s, back = run_, b"", b""
             s, back = s[:shared] + rest, back[:b_shared] + b_rest
             runs[-1].append((s, shared, (back, key, doc_id, at)))
         found: list[tuple] = []
         group: list[tuple] = []
 
         def resolve():
-            if len(group) > 1:
-                windows = repeated_windows([g[1] - 8 for g in group], [len(g[0]) - 8 for g in group], [g[2][0] for g in group], length)
+            for size in ((length, passage) if passage else (length,)) if len(group) > 1 else ():
+                windows = repeated_windows([g[1] - 8 for g in group], [len(g[0]) - 8 for g in group], [g[2][0] for g in group], size)
                 for (_, _, (_, key, doc_id, at)), offsets in zip(group, windows, strict=True):
                     for low, high in offsets:
-                        found.append((key, doc_id, at - high, at - low + length))
+                        found.append((key, doc_id, at - high, at - low + size, size < length))
 
         for item in merge(runs):
             if item[1] < 8 + gram:
@@ -337,32 +357,13 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
                 group = []
             group.append(item)
         resolve()
-        out = pd.DataFrame(found, columns=["key", "doc_id", "start", "end"])
-        return out.astype({"key": "int64", "doc_id": "Int64", "start": "int64", "end": "int64"}).drop_duplicates()
+        out = pd.DataFrame(found, columns=["key", "doc_id", "start", "end", "shorter"])
+        known = pd.DataFrame({"key": done["key"], "doc_id": done["doc_id"], "start": done["at"], "end": done["at"] + done["seq"], "shorter": done["b_shared"] > 0})
+        out = pd.concat([x for x in (out, known) if len(x)] or [out])
+        return out.astype({"key": "int64", "doc_id": "Int64", "start": "int64", "end": "int64", "shorter": "bool"}).drop_duplicates()
 
     runs = docs.select("key", "doc_id", "text").mapInArrow(sort, "part int, run long, seq int, shared int, rest binary, b_shared int, b_rest binary, key long, doc_id long, at long")
-    out = runs.groupBy("part").applyInPandas(combine, empty)
-    if often is None:
-        return out
-
-    def windows(batches):
-        got, size = [], 0
-        for (key, doc_id), raw, _, _, _, first, last in occurrences(batches, True):
-            data = np.frombuffer(raw, np.uint8, last + length - first, first)
-            h1, h2 = (_hash_grams(data, length, base).view(np.int64) for base in (_BASE, 0xA0761D6478BD642F))
-            got.append((np.full(len(h1), key), [doc_id] * len(h1), np.arange(first, last + 1), h1, h2))
-            size += len(h1)
-            if size > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array([x for g in got for x in g[1]], pa.int64()) if i == 1 else pa.array(np.concatenate([g[i] for g in got])) for i in range(5)], names=["key", "doc_id", "start", "h1", "h2"])
-                got, size = [], 0
-        if got:
-            yield pa.RecordBatch.from_arrays([pa.array([x for g in got for x in g[1]], pa.int64()) if i == 1 else pa.array(np.concatenate([g[i] for g in got])) for i in range(5)], names=["key", "doc_id", "start", "h1", "h2"])
-
-    dense = docs.select("key", "doc_id", "text").mapInArrow(windows, "key long, doc_id long, start long, h1 long, h2 long")
-    # written first: a join of two exchanges is one whose large groups Spark can split
-    twice = cut(dense.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h1").alias("g1"), F.col("h2").alias("g2")))
-    more = dense.join(twice, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).select("key", "doc_id", "start", (F.col("start") + length).alias("end"))
-    return out.union(more)
+    return runs.groupBy("part").applyInPandas(combine, empty)
 
 
 def word_spans(docs: DataFrame, words: int, hot: int = HOT) -> DataFrame:
@@ -373,7 +374,7 @@ def word_spans(docs: DataFrame, words: int, hot: int = HOT) -> DataFrame:
 
     def tokenize(batches):
         for batch in batches:
-            found = pa.array([tokens(_raw(t)) for t in batch.column("text").to_pylist()], pa.binary())
+            found = pa.array([tokens(utf8(t)) for t in batch.column("text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), found], names=["key", "doc_id", "text"])
 
     length = TOKEN * words
@@ -383,11 +384,12 @@ def word_spans(docs: DataFrame, words: int, hot: int = HOT) -> DataFrame:
     return found.select("key", "doc_id", first.cast("long").alias("start"), (last + words).cast("long").alias("end")).where(F.col("end") - F.col("start") >= words)
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, with_text: bool = False, carry: tuple[str, ...] = (), words: int = 0) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, with_text: bool = False, carry: tuple[str, ...] = (), words: int = 0, passage: int = 0, run: int = RUN, chunk: int = CHUNK) -> DataFrame:
     """Remove every byte covered by a string of `length` bytes that starts anywhere else too.
 
     With `words`, so goes every passage of that many words in a row, however short, that starts anywhere else too;
-    what separates the words may differ.
+    what separates the words may differ. With `passage`, a smaller length, a column `n_repeated` counts the bytes
+    covered by strings of that many bytes that start anywhere else too; they aren't removed for it.
 
     Matches never cross documents and are judged on the input. A null text counts as empty: 0 bytes, nothing
     removed. Rows that are equal in id and text are places of their own, so both lose what they share. Null
@@ -395,40 +397,47 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
     `with_text` a column `clean_text` holds what is left as a string (null stays null); bytes of characters that a cut
     has split are left out of it.
     """
-    if not 0 < gram <= length:
-        raise ValueError("gram must be between 1 and length")
+    if not 0 < gram <= (passage or length) or passage >= length:
+        raise ValueError("gram must be between 1 and the lengths, and passage below length")
     kinds_of = {f.name: f.dataType.simpleString() for f in docs.schema if f.name in carry}
     narrow = columns(docs, doc_id="long", text="string", **kinds_of).withColumn("key", F.xxhash64("doc_id", "text"))
-    found = cut(spans(narrow.select("key", "doc_id", "text").where(F.octet_length("text") >= length), length, gram, hot)).withColumn("in_words", F.lit(False))
+    long_ones = narrow.select("key", "doc_id", "text").where(F.octet_length("text") >= (passage or length))
+    # of a range: 0 in bytes, 1 in words, 2 in bytes and only counted
+    found = cut(spans(long_ones, length, gram, hot, passage, run, chunk)).withColumn("kind", F.when(F.col("shorter"), F.lit(2)).otherwise(F.lit(0))).drop("shorter")
     if words:
-        found = found.unionByName(cut(word_spans(narrow, words, hot)).withColumn("in_words", F.lit(True)))
-    by = found.groupBy("key", "doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end", "in_words"))).alias("spans"))
+        found = found.unionByName(cut(word_spans(narrow, words, hot)).withColumn("kind", F.lit(1)))
+    by = found.groupBy("key", "doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end", "kind"))).alias("spans"))
     by = by.select(F.col("key").alias("of"), F.col("doc_id").alias("of_id"), "spans")
     # spans grow with the corpus, so texts meet them by a shuffle at every size
     joined = narrow.join(by, (F.col("key") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("of_id")), "left")
-    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", clean_text string" * with_text + "".join(f", `{c}` {kind}" for c, kind in kinds_of.items())
+    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", n_repeated long" * bool(passage) + ", clean_text string" * with_text + "".join(f", `{c}` {kind}" for c, kind in kinds_of.items())
 
     def apply(batches):
         for batch in batches:
             rows = []
             for text, cuts in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                if words and cuts and any(c["in_words"] for c in cuts):
-                    starts, ends = _word_edges(raw)
-                    cuts = [{"start": int(starts[c["start"]]), "end": int(ends[c["end"] - 1])} if c["in_words"] else c for c in cuts]
+                repeated, upto = 0, 0
+                for c in (cuts or ()) if passage else ():
+                    repeated += max(0, c["end"] - max(c["start"], upto))
+                    upto = max(upto, c["end"])
+                cuts = [c for c in cuts or () if c["kind"] < 2]
+                if any(c["kind"] == 1 for c in cuts):
+                    starts, ends = word_edges(raw)
+                    cuts = [{"start": int(starts[c["start"]]), "end": int(ends[c["end"] - 1])} if c["kind"] == 1 else c for c in cuts]
                     cuts.sort(key=lambda c: (c["start"], c["end"]))
                 kept, at, n = [], 0, 0
                 end = -1
-                for c in cuts or ():
+                for c in cuts:
                     if c["start"] > end:
                         n += 1
                     if c["start"] > at:
                         kept.append(raw[at : c["start"]])
                     at = end = max(at, end, c["end"])
                 left = b"".join([*kept, raw[at:]]) if cuts else raw
-                rows.append((len(raw), len(raw) - len(left), n, hashlib.sha256(left).hexdigest(), *([None if text is None else text if not cuts else left.decode("utf-8", "ignore")] if with_text else [])))
-            kinds = [pa.int64()] * 3 + [pa.string()] * (1 + with_text)
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["clean_text"] * with_text
+                rows.append((len(raw), len(raw) - len(left), n, hashlib.sha256(left).hexdigest(), *([repeated] if passage else []), *([None if text is None else text if not cuts else left.decode("utf-8", "ignore")] if with_text else [])))
+            kinds = [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * bool(passage) + [pa.string()] * with_text
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["n_repeated"] * bool(passage) + ["clean_text"] * with_text
             cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols, *(batch.column(c) for c in kinds_of)], names=[*names, *kinds_of])
 
@@ -436,4 +445,4 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
 
 
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents"))
+    return dedup(table(spark, sf_dir, "documents"), gram=PASSAGE_GRAM, passage=PASSAGE)

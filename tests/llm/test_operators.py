@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuadra.llm import jaccard, language, licenses, mixing, pieces, quality, sharding, suffixes, topk, urls
-from cuadra.llm.graph import components
+from cuadra.operators.graph import components
 
 ODD = [(None, "some text without an id"), (1, None), (2, ""), (3, " \n\t "), (4, "one"), (4, "one"), (5, "palabra " * 3000), (6, "🦙é|#" * 50)]
 
@@ -227,7 +227,8 @@ def test_pieces_equal_the_library_and_come_back(spark):
     rows = [*ODD, *((10 + k, "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))) for k in range(40)), (98, "a" + "中" * 3 + "the" * 25 + " end "), (99, "thequick" * 60), (100, "aaab" * 500), (101, "▁ ▁the  ▁▁ the "), *((200 + k, " " * k + "the" + " " * (3 * k)) for k in range(50))]
     for limit in (96 * 2**20, 0):
         got = pieces.decode(pieces.encode(docs(spark, rows), model, ("doc_id", "text"), limit), model).collect()
-        assert len(got) == len(rows)
+        at_once = pieces.encode(docs(spark, rows), model, ("doc_id",), limit, decoded=True).select("ids", "decoded").collect()
+        assert len(got) == len(rows) and sorted((r["ids"], r["decoded"]) for r in at_once) == sorted((r["ids"], r["decoded"]) for r in got)
         for r in got:
             assert list(r["ids"]) == (library.encode(r["text"]) if r["text"] else [])
             assert r["decoded"] == (r["text"] or "").replace("▁", " ")
@@ -391,15 +392,22 @@ def _brute_spans(rows, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("alphabet", "length", "gram"), [("ab é", 24, 8), ("abcdefgh ", 40, 10)])
-def test_suffixes_equal_brute_force(spark, alphabet, length, gram):
+@pytest.mark.parametrize(("alphabet", "length", "gram", "passage"), [("ab é", 24, 8, 0), ("abcdefgh ", 40, 10, 25)])
+@pytest.mark.parametrize(("hot", "run", "chunk"), [(10**6, 2**25, 2**20), (5, 2**25, 64), (5, 2000, 2**20)])
+def test_suffixes_equal_brute_force(spark, monkeypatch, alphabet, length, gram, passage, hot, run, chunk):
+    # anchors that count as frequent, several runs in a task, borders of chunks in texts; chunk and run are read in the workers
     rng = random.Random(8)
     shared = ["".join(rng.choice(alphabet) for _ in range(rng.randint(15, 90))) for _ in range(12)]
     rows = [(i, "".join(rng.choice(shared) if rng.random() < 0.5 else "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 60))) for _ in range(rng.randint(0, 6)))) for i in range(50)]
-    rows += [(None, rows[3][1]), (3, rows[3][1]), (100, None), (101, "ab" * 100), *((i, t) for i, t in ODD if i != 5)]
-    frame = docs(spark, rows).repartition(3)
-    for hot in (10**6, 5):
-        assert sorted(map(tuple, suffixes.dedup(frame, length, gram, hot).collect()), key=str) == _brute_spans(rows, length)
+    rows += [(None, rows[3][1]), (3, rows[3][1]), (100, None), (101, "ab" * 100), *ODD]
+    rows += [(200 + k, f"{k}" * 9 + shared[0] + shared[1] + f"{k}" * 9) for k in range(12)]
+    got = suffixes.dedup(docs(spark, rows).repartition(3), length, gram, hot, passage=passage, run=run, chunk=chunk).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=str) == _brute_spans(rows, length)
+    if passage:
+        assert sorted(((r["doc_id"], r["n_repeated"]) for r in got), key=str) == sorted(((d, n) for d, _, n, _, _ in _brute_spans(rows, passage)), key=str)
+
+
+def test_suffixes_of_an_empty_table(spark):
     assert suffixes.dedup(docs(spark, [])).count() == 0
 
 

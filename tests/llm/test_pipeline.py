@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -34,6 +35,71 @@ def test_stages_in_order(spark, tmp_path):
     assert len(seen["SentencePiece"]) == len(seen["mixing sources"]) and all(r["ids"] for r in seen["SentencePiece"])
 
 
+def test_clashing_and_null_ids_are_documents_of_their_own(spark, tmp_path):
+    rng = random.Random(5)
+    text = lambda: " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(80))
+    a, b, c, d = (text() for _ in range(4))
+    near = a.split()
+    near[40] = "other"
+    near = " ".join(near)
+    rows = [(1, a), (1, b), (2, near), (None, a), (None, c), (None, c), (3, d), (3, d), (4, d), (5, None), (5, None), (6, ""), (7, "few words"), (8, "few words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("aa"), "source": F.lit("s"), "n_chars": F.length("text").cast("long"), "key": F.lit("clash"), "rep": F.lit(0)})
+    got = sorted(((r["doc_id"], r["text"]) for r in pipeline.near_duplicate_stage(spark, docs, str(tmp_path)).collect()), key=str)
+    # of a and near: the row with the smallest id; rows without an id stay if nothing is like them; equal rows are one
+    assert got == sorted([(1, a), (1, b), (None, c), (3, d), (5, None), (6, ""), (7, "few words")], key=str)
+
+
+def test_every_stage_takes_an_empty_table_and_odd_rows(spark, tmp_path):
+    odd = [(None, "word one two three"), (1, None), (2, ""), (3, "same text of words"), (3, "same text of words"), (4, "x" * 3000), (5, " \n ")]
+    frame = spark.createDataFrame(odd, "doc_id long, text string").withColumns({"lang": F.when(F.col("doc_id") > 1, F.lit("aa")), "source": F.lit(None).cast("string"), "n_chars": F.length("text").cast("long"), "ids": F.lit(1), "n_words": F.lit("x")})
+    for docs in (frame, frame.where("false")):
+        for k, (_, stage) in enumerate(pipeline.STAGES):
+            got = stage(spark, docs, str(tmp_path)).collect()
+            assert len(got) <= 3 * len(odd) and (docs is frame or not got)
+
+
+def test_near_duplicates_and_repeats_equal_brute_force(spark, tmp_path):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6)))
+    base = [[word() for _ in range(rng.randint(60, 140))] for _ in range(8)]
+    passage = [word() for _ in range(58)]
+    rows = []
+    for k in range(40):
+        ws = list(rng.choice(base))
+        for _ in range(rng.choice([0, 1, 2, 8])):
+            ws[rng.randrange(len(ws))] = word()
+        rows.append((k, " ".join(ws[:20] + passage + ws[20:] if k % 7 == 0 else ws)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("aa"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+    sets = {i: set(zip(*(t.split()[j:] for j in range(5)), strict=False)) for i, t in rows}
+    root = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if len(sets[a] & sets[b]) * 10 >= 8 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    kept = pipeline.near_duplicate_stage(spark, docs, str(tmp_path))
+    left = {i: t for i, t in rows if root[i] == i}
+    assert {r["doc_id"]: r["text"] for r in kept.collect()} == left and 8 < len(left) < 30
+    places = {}
+    for i, t in left.items():
+        ws = t.split()
+        for p in range(len(ws) - 50):
+            places.setdefault(tuple(ws[p : p + 51]), []).append((i, p))
+    raw = {i: t.encode() for i, t in left.items()}
+    strings = {}
+    for i, t in raw.items():
+        for p in range(len(t) - 399):
+            strings.setdefault(t[p : p + 400], []).append((i, p))
+    gone = {(i, q) for at in strings.values() if len(at) > 1 for i, p in at for q in range(p, p + 400)}
+    for at in places.values():
+        for i, p in at if len(at) > 1 else ():
+            ends = [m.span() for m in re.finditer(r"\S+", left[i])]
+            gone |= {(i, q) for q in range(ends[p][0], ends[p + 50][1])}
+    want = {i: bytes(x for q, x in enumerate(t) if (i, q) not in gone).decode() for i, t in raw.items()}
+    got = {r["doc_id"]: r["text"] for r in pipeline.repeats_stage(spark, kept, str(tmp_path)).collect()}
+    assert got == {i: t for i, t in want.items() if t.strip()} and any(want[i] != left[i] for i in left)
+
+
 def test_run_reads_documents(spark, tmp_path):
     documents(spark).write.parquet(str(tmp_path / "documents.parquet"))
     assert pipeline.run(spark, str(tmp_path)).count() > 0
