@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import logging
 import sys
 import traceback
 from dataclasses import fields
@@ -12,13 +13,14 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from .config import Limits, load
-from .errors import CODES, ReconError, classify
+from .errors import KIND_CODES, ReconError, classify
 from .plans import run as plans
 
 
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="cuadra")
     parser.add_argument("--debug", action="store_true")
+    parser.add_argument("--log-level", default="WARNING")
     commands = parser.add_subparsers(dest="command", required=True)
     commands.add_parser("init").add_argument("--out-dir", type=Path, required=True)
     for name in ("validate", "run"):
@@ -38,12 +40,20 @@ def _parser() -> argparse.ArgumentParser:
     return parser
 
 
-def _spark() -> SparkSession:
+def _spark(level: str) -> SparkSession:
     spark = SparkSession.builder.appName("cuadra").getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    set_log_level(level, spark)
     return spark
 
 
+def set_log_level(level: str, spark: SparkSession | None = None) -> None:
+    """The level of this package's loggers and of Spark's; an unknown one is INFO."""
+    level = level.upper()
+    logging.basicConfig(level=getattr(logging, level, logging.INFO), format="%(message)s")
+    if spark is not None:
+        spark.sparkContext.setLogLevel({"WARNING": "ERROR", "CRITICAL": "FATAL"}.get(level, level if level in ("DEBUG", "INFO", "ERROR") else "INFO"))
+
+
 def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
     try:
@@ -55,18 +65,18 @@ def main(argv: list[str] | None = None) -> int:
             return 0
         caps = {f.name: getattr(args, f.name) for f in fields(Limits)}
         if args.command == "validate":
-            result = plans.validate(_spark(), args.config, args.bank, args.expected, enable_ocr=args.enable_ocr, **caps)
+            result = plans.validate(_spark(args.log_level), args.config, args.bank, args.expected, enable_ocr=args.enable_ocr, **caps)
             print(json.dumps(result, indent=2, ensure_ascii=False, sort_keys=True, default=str))
-            return 0 if result["ok"] else CODES.get(result["error_type"], CODES["ingestion"])
+            return 0 if result["ok"] else KIND_CODES.get(result["error_type"], KIND_CODES["ingestion"])
         mask = load(args.config).mask_por_defecto if args.mask is None else args.mask
-        document = plans.run(_spark(), args.config, args.bank, args.expected, args.out, mask=mask, dry_run=args.dry_run, enable_ocr=args.enable_ocr, **caps)
+        document = plans.run(_spark(args.log_level), args.config, args.bank, args.expected, args.out, mask=mask, dry_run=args.dry_run, enable_ocr=args.enable_ocr, **caps)
         print(json.dumps({"run_id": document["run_id"], "matches": len(document["matches"]), "hallazgos": len(document["hallazgos"])}))
         return 0
     except Exception as error:
         category, code = classify(error)
         if args.command == "run":
             try:
-                plans.AuditLog(args.out / "audit.jsonl", None).write("cli_error", str(error), {"categoria": category, "codigo": code})
+                plans.AuditLog(args.out / "audit.jsonl", None).write("cli_error", "Ejecucion CLI fallida", {"command": args.command, "category": category, "exit_code": code, "error": str(error)})
             except OSError:
                 pass
         print(f"[{category}] {error}", file=sys.stderr)

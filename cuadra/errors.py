@@ -6,7 +6,7 @@ from typing import Any
 
 
 class ReconError(Exception):
-    category, code = "internal", 10
+    category, code = "interno", 10
 
     def __init__(self, message: str, details: dict[str, Any] | None = None, hint: str | None = None):
         super().__init__(message)
@@ -14,11 +14,11 @@ class ReconError(Exception):
 
 
 class UserInputError(ReconError):
-    category, code = "user_input", 2
+    category, code = "entrada", 2
 
 
 class ConfigError(ReconError):
-    category, code = "config", 3
+    category, code = "configuracion", 3
 
 
 class IngestionError(ReconError):
@@ -26,7 +26,7 @@ class IngestionError(ReconError):
 
 
 class ContractError(ReconError):
-    category, code = "contract", 5
+    category, code = "contrato", 5
 
 
 class IoError(ReconError):
@@ -41,7 +41,18 @@ def classify(error: BaseException) -> tuple[str, int]:
     if isinstance(error, ReconError):
         return error.category, error.code
     if isinstance(error, FileNotFoundError | IsADirectoryError):
-        return "user_input", CODES["user_input"]
+        return "entrada", CODES["entrada"]
     if isinstance(error, OSError):
         return "io", CODES["io"]
-    return "internal", CODES["internal"]
+    return "interno", CODES["interno"]
+
+
+def kind_of(error: BaseException) -> str:
+    """What the result of `validate` calls an error (fixed values)."""
+    if isinstance(error, OSError):
+        return "io"
+    return next((kind for cls, kind in ((ConfigError, "config"), (IngestionError, "ingestion"), (ContractError, "contract"), (IoError, "io")) if isinstance(error, cls)), "internal")
+
+
+#: Exit codes by those names; any other is like ingestion.
+KIND_CODES = {"config": 3, "ingestion": 4, "contract": 5, "io": 6}

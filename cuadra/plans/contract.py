@@ -85,6 +85,15 @@ def validate_for_reader(payload: dict[str, Any], accept_major: int | None = None
     return out
 
 
+#: The major version of the document that this version of the package reads.
+SUPPORTED_MAJOR = semver(SCHEMA_VERSION)[0]
+
+
+def validate_for_this_version(payload: dict[str, Any]) -> dict[str, Any]:
+    """For readers that go with this package: its own major version, extra fields passed over."""
+    return validate_for_reader(payload, SUPPORTED_MAJOR)
+
+
 def canonical(payload: dict[str, Any]) -> str:
     """ASCII, sorted keys, no spaces, a line feed at the end."""
     return json.dumps(payload, ensure_ascii=True, sort_keys=True, separators=(",", ":")) + "\n"

@@ -6,6 +6,8 @@ and bank rows with dropped rows, shifted dates, changed amounts and blank refere
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,8 @@ from ..config import Config
 from ..functions import identity, mask, parse
 from ..operators import matching, model
 from ..operators import reconcile as rec
-from ..sources import pdf, tabular
+from ..sources import notes, pdf, tabular, xml
+from ..storage import delete, shared_dir
 from . import report
 
 CFG, RUN = Config(cliente="Cliente"), "r0"
@@ -245,6 +248,63 @@ def report_matches(spark, sf_dir):
     return report.tables(b, e, r.matches, r.findings, CFG, RUN, True)["Matches"]
 
 
+def _sheet(name: str):
+    def query(spark, sf_dir):
+        b, e = relations(spark, sf_dir)
+        r = rec.reconcile(b, e, CFG, RUN)
+        return report.tables(b, e, r.matches, r.findings, CFG, RUN, True)[name]
+
+    return query
+
+
+# A table written as files of a format and read back; readers keep a copy of what they parse, so the files can go.
+_GOOD = "o_orderkey % 8 < 5"
+
+
+def _files(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+
+
+def csv_bank(spark, sf_dir):
+    cells = _sql(spark, sf_dir, f"SELECT {_DATE} AS `Fecha Operacion`, {_AMOUNT} AS importe, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE ' clp ' END AS moneda, '  Pago,  cliente ; ' || CAST(o_orderkey AS STRING) AS glosa, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE ' fac-' || CAST(o_orderkey AS STRING) || ' ' END AS folio, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey + 10000000 AS STRING) ELSE '' END AS cuenta FROM orders WHERE {_GOOD}")
+    folder = _files(spark)
+    cells.write.csv(folder, header=True, sep=";", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    rows = model.normalize_bank(tabular.read_bank(spark, folder, CFG, "csv"))
+    delete(spark, folder)
+    return rows.select(F.col("fecha_operacion.valor").alias("fecha"), F.col("monto.valor").cast("long").alias("monto"), "moneda", F.col("descripcion.valor").alias("descripcion"), F.col("referencia.valor").alias("referencia"), "cuenta_mask", "origen", F.col("monto.confianza.score").alias("score"))
+
+
+def csv_expected(spark, sf_dir):
+    cells = _sql(spark, sf_dir, _EXP).selectExpr("exp_id AS id", "date_format(exp_fecha, 'dd/MM/yyyy') AS fecha", "CAST(exp_monto AS STRING) AS monto", "'usd' AS moneda", "'Factura   de ' || k AS descripcion", "lower(exp_ref) AS referencia", "CASE WHEN k % 4 = 0 THEN '' ELSE '  Cliente  ' || k END AS tercero")
+    folder = _files(spark)
+    cells.write.csv(folder, header=True, emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    rows = model.normalize_expected(tabular.read_expected(spark, folder, CFG, "csv"))
+    delete(spark, folder)
+    return rows.select("id", F.col("fecha.valor").alias("fecha"), F.col("monto.valor").cast("long").alias("monto"), "moneda", F.col("descripcion.valor").alias("descripcion"), F.col("referencia.valor").alias("referencia"), F.col("tercero.valor").alias("tercero"), F.round("tercero.confianza.score", 6).alias("score"))
+
+
+def xml_bank(spark, sf_dir):
+    node = f"'<movimiento><fecha_operacion>' || {_DD} || '/' || {_MM} || '/' || {_YY} || '</fecha_operacion><monto>' || {_DOTS} || '</monto><descripcion> Pago  ' || CAST(o_orderkey AS STRING) || '</descripcion><referencia>fac-' || CAST(o_orderkey AS STRING) || '</referencia></movimiento>'"
+    nodes = _sql(spark, sf_dir, f"SELECT o_orderkey % 8 AS cuenta, {node} AS nodo FROM orders")
+    # a file for each account; in a group of files of some thousand movements
+    files = nodes.groupBy("cuenta").agg(F.array_join(F.collect_list("nodo"), "").alias("t"))
+    folder = _files(spark)
+    files.select(F.concat(F.lit('<cartola banco=" Uno " cuenta="9000'), F.col("cuenta").cast("string"), F.lit('">'), "t", F.lit("</cartola>")).alias("value"), "cuenta").repartition(8, "cuenta").write.partitionBy("cuenta").text(folder)
+    rows = model.normalize_bank(xml.read_bank(spark, f"{folder}/*/part-*", CFG))
+    delete(spark, folder)
+    return rows.select("banco", "cuenta_mask", F.col("fecha_operacion.valor").alias("fecha"), F.col("monto.valor").cast("long").alias("monto"), "moneda", F.col("descripcion.valor").alias("descripcion"), F.col("referencia.valor").alias("referencia"), F.col("monto.confianza.score").alias("score"))
+
+
+def ingestion_events(spark, sf_dir):
+    folder = _files(spark)
+    cells = _sql(spark, sf_dir, "SELECT c_nationkey, '05/01/2026' AS fecha, CAST(c_custkey AS STRING) AS monto, c_name AS glosa FROM customer", "customer")
+    cells.repartition(1).write.partitionBy("c_nationkey").csv(folder, header=True, sep="\t")
+    raw = tabular.raw_table(spark, f"{folder}/*/part-*", "banco", tabular.csv_records, tabular.BANK_ALIASES, CFG)
+    delete(spark, folder)
+    seen = notes.events(raw, notes.MESSAGES["csv", "banco"])
+    return seen.select("mensaje", F.get_json_object("detalles", "$.delimiter").alias("delimiter")).groupBy("mensaje", "delimiter").agg(F.count("*").alias("archivos"))
+
+
 def pdf_line_parse(spark, sf_dir):
     lines = _sql(spark, sf_dir, f"SELECT 'orders' AS archivo, o_orderkey AS linea, {_LINE} AS texto FROM orders")
     rows = pdf.parse_text_lines(lines.withColumn("texto", parse.norm_text(F.col("texto"))))
@@ -348,6 +408,25 @@ QUERIES = {
     "audit_sequence": (audit_sequence, _with(f"{_P2}, {_AUDIT}", "SELECT row_number() OVER (ORDER BY orden, clave, tipo) - 1 AS seq, tipo, mensaje, detalles FROM ev")),
     "explain_lookup": (explain_lookup, _with(_P2, "SELECT 'hallazgo' AS clase, id, tipo, mensaje AS texto FROM finding WHERE tipo = 'pendiente_banco' ORDER BY id LIMIT 1")),
     "report_matches": (report_matches, _with(_P2, "SELECT id AS match_id, estado, score, regla, tx_id AS tx_ids, exp_id AS exp_ids, FALSE AS bloqueado_por_confianza, texto AS explicacion FROM mat")),
+    "report_resumen": (_sheet("Resumen"), _with(_P2, f"""SELECT 'Run ID' AS Campo, '{RUN}' AS Valor UNION ALL SELECT 'Cliente', '{CFG.cliente}' UNION ALL SELECT 'Mask', 'True' UNION ALL SELECT 'Transacciones (banco)', count(*)::VARCHAR FROM tx
+      UNION ALL SELECT 'Movimientos (esperados)', count(*)::VARCHAR FROM exp UNION ALL SELECT 'Matches', count(*)::VARCHAR FROM mat UNION ALL SELECT 'Hallazgos', count(*)::VARCHAR FROM finding""")),
+    "report_transacciones": (_sheet("Transacciones"), f"""SELECT tx_id, tx_fecha::VARCHAR AS fecha_operacion, '' AS fecha_contable, tx_monto::VARCHAR AS monto, 'CLP' AS moneda, 'Pago' AS descripcion, coalesce(tx_ref, '') AS referencia, 'csv' AS origen, 'orders' AS archivo_origen,
+      k::VARCHAR AS fila_origen, '' AS cuenta_mask, '' AS banco, FALSE AS bloquea_autoconcilia, '' AS motivo_bloqueo FROM ({_TX})"""),
+    "report_esperados": (_sheet("Esperados"), f"SELECT exp_id, exp_fecha::VARCHAR AS fecha, exp_monto::VARCHAR AS monto, 'CLP' AS moneda, 'Factura' AS descripcion, coalesce(exp_ref, '') AS referencia, '' AS tercero FROM ({_EXP})"),
+    "report_hallazgos": (_sheet("Hallazgos"), _with(_P2, "SELECT id AS hallazgo_id, severidad, tipo, mensaje, entidad, entidad_id, detalles AS detalles_json FROM finding")),
+    "csv_bank": (csv_bank, f"""SELECT p.fecha, m.monto, 'CLP' AS moneda, 'Pago, cliente ; ' || o_orderkey AS descripcion, CASE WHEN o_orderkey % 5 <> 0 THEN 'FAC-' || o_orderkey END AS referencia,
+      CASE WHEN o_orderkey % 2 = 0 THEN '****' || right((o_orderkey + 10000000)::VARCHAR, 4) END AS cuenta_mask, 'csv' AS origen, 0.9::DOUBLE AS score
+      FROM (__FECHA__) p JOIN (__MONTO__) m USING (o_orderkey) WHERE {_GOOD}"""),
+    "csv_expected": (csv_expected, f"""SELECT exp_id AS id, exp_fecha AS fecha, exp_monto AS monto, 'USD' AS moneda, 'Factura de ' || k AS descripcion, upper(exp_ref) AS referencia, CASE WHEN k % 4 <> 0 THEN 'Cliente ' || k END AS tercero,
+      CASE WHEN k % 4 <> 0 THEN 0.7::DOUBLE END AS score FROM ({_EXP})"""),
+    "xml_bank": (xml_bank, f"SELECT 'Uno' AS banco, {_D} AS fecha, {_N} AS monto, 'CLP' AS moneda, 'Pago ' || o_orderkey AS descripcion, 'FAC-' || o_orderkey AS referencia, 0.95::DOUBLE AS score, '*' || '000' || (o_orderkey % 8) AS cuenta_mask FROM orders"),
+    "ingestion_events": (ingestion_events, "SELECT 'Detectado delimitador CSV' AS mensaje, chr(9) AS delimiter, count(DISTINCT c_nationkey) AS archivos FROM customer"),
     "pdf_line_parse": (pdf_line_parse, f"""SELECT o_orderkey AS linea, {_D} AS fecha, {_N} AS monto, 'Pago cliente' || CASE WHEN o_orderkey % 2 = 0 THEN ' fac-' || (o_orderkey + 10) ELSE '' END AS descripcion,
       CASE WHEN o_orderkey % 2 = 0 THEN 'FAC-' || (o_orderkey + 10) END AS referencia FROM orders WHERE o_orderkey % 7 <> 0"""),
 }
+# a file's cells are read like the texts of these two queries
+_PARSED = {"__FECHA__": QUERIES["parse_fecha"][1], "__MONTO__": QUERIES["parse_monto"][1]}
+for _name, (_query, _text) in list(QUERIES.items()):
+    for _mark, _inner in _PARSED.items():
+        _text = _text.replace(_mark, _inner)
+    QUERIES[_name] = (_query, _text)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import MODEL_VERSION, VERSION, Config, load, with_overrides
-from ..errors import ContractError, IngestionError, IoError, UserInputError, classify
+from ..errors import ContractError, IngestionError, IoError, UserInputError, kind_of
 from ..operators.model import normalize_bank, normalize_expected
 from ..operators.reconcile import Result, invariant_violations, numbered, reconcile
 from ..sources import detector
@@ -63,10 +63,10 @@ class AuditLog:
         self.write_all((r["tipo"], r["mensaje"], json.loads(r["detalles"])) for r in rows)
 
 
-def _read(spark: SparkSession, cfg: Config, bank: Path, expected: Path, extract, recognize) -> tuple[DataFrame, DataFrame]:
+def _read(spark: SparkSession, cfg: Config, bank: Path, expected: Path, extract, recognize, audit=None) -> tuple[DataFrame, DataFrame]:
     more = {"extract": extract} if extract else {}
-    b = detector.read_bank(spark, str(bank), cfg, recognize=recognize, **more)
-    return normalize_bank(b), normalize_expected(detector.read_expected(spark, str(expected), cfg))
+    b = detector.read_bank(spark, str(bank), cfg, recognize=recognize, audit=audit, **more)
+    return normalize_bank(b), normalize_expected(detector.read_expected(spark, str(expected), cfg, audit))
 
 
 def validate(spark: SparkSession, config: Path, bank: Path, expected: Path, *, enable_ocr: bool = False, extract=None, recognize=None, **caps: int | None) -> dict[str, Any]:
@@ -84,7 +84,7 @@ def validate(spark: SparkSession, config: Path, bank: Path, expected: Path, *, e
         if not n_e:
             raise IngestionError("No se detectaron movimientos esperados.")
     except Exception as error:
-        return {"ok": False, "errores": [str(error)], "error_type": classify(error)[0], "config": cfg.as_dict()}
+        return {"ok": False, "errores": [str(error)], "error_type": kind_of(error), "config": cfg.as_dict()}
     return {"ok": True, "config": cfg.as_dict(), "resumen": {"txs": n_b, "esperados": n_e}}
 
 
@@ -106,14 +106,13 @@ def run(spark: SparkSession, config: Path, bank: Path, expected: Path, out: Path
     except OSError as e:
         raise IoError("No se pudo preparar audit.jsonl.", {"archivo": str(out / "audit.jsonl")}, "Verifique permisos de escritura en --out.") from e
     try:
-        b, e = _read(spark, cfg, bank, expected, extract, recognize)
+        b, e = _read(spark, cfg, bank, expected, extract, recognize, audit.write)
     except IngestionError as error:
         if "limit" in error.details:
             audit.write("ingestion_limit", "Limite de ingesta excedido", error.details)
         raise
     b, e = b.cache(), e.cache()
     try:
-        audit.write("ingestion", "Entradas cargadas", {"banco": Path(bank).name, "esperados": Path(expected).name, "movimientos": b.count(), "filas": e.count()})
         result = reconcile(b, e, cfg, run_id)
         if not invariant_violations(result.matches).isEmpty():
             raise ContractError("Invariante violada: id repetido en matches.")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..config import Config
 from ..errors import IngestionError
-from . import limits, pdf, tabular, xml
+from . import limits, notes, pdf, tabular, xml
 
 BANK_SUFFIXES, EXPECTED_SUFFIXES = {".csv", ".xlsx", ".xml", ".pdf"}, {".csv", ".xlsx"}
 
@@ -16,27 +16,29 @@ def suffix_of(path: str) -> str:
     return "." + name.rsplit(".", 1)[-1].lower() if "." in name else ""
 
 
-def read_bank(spark: SparkSession, path: str, cfg: Config, extract: pdf.Extractor = pdf.default_extractor, recognize: pdf.Extractor | None = None) -> DataFrame:
+def read_bank(spark: SparkSession, path: str, cfg: Config, extract: pdf.Extractor = pdf.default_extractor, recognize: pdf.Extractor | None = None, audit: notes.Audit | None = None) -> DataFrame:
     """A statement of any supported format. A PDF without text is recognized only if the configuration allows it."""
     suffix = suffix_of(path)
     if suffix not in BANK_SUFFIXES:
         raise IngestionError(f"Formato banco no soportado: {suffix or '(sin sufijo)'}")
     limits.check_size(spark, path, cfg, f"{suffix[1:].upper()} banco")
     if suffix == ".xml":
-        return xml.read_bank(spark, path, cfg)
+        return xml.read_bank(spark, path, cfg, audit)
     if suffix != ".pdf":
-        return tabular.read_bank(spark, path, cfg, suffix[1:])
-    rows, scanned = pdf.read_text(spark, path, cfg, extract)
+        return tabular.read_bank(spark, path, cfg, suffix[1:], audit)
+    rows, scanned = pdf.read_text(spark, path, cfg, extract, audit)
     if not scanned:
         return rows
     if not cfg.permitir_ocr:
         raise IngestionError("PDF sin texto extraible y OCR no habilitado.")
-    return pdf.read_ocr(spark, path, cfg, recognize)
+    return pdf.read_ocr(spark, path, cfg, recognize, audit)
 
 
-def read_expected(spark: SparkSession, path: str, cfg: Config) -> DataFrame:
+def read_expected(spark: SparkSession, path: str, cfg: Config, audit: notes.Audit | None = None) -> DataFrame:
     suffix = suffix_of(path)
     if suffix not in EXPECTED_SUFFIXES:
+        if audit is not None:
+            audit("ingestion", notes.UNSUPPORTED, {"archivo": path.rsplit("/", 1)[-1]})
         raise IngestionError(f"Formato esperados no soportado: {suffix or '(sin sufijo)'}")
     limits.check_size(spark, path, cfg, f"{suffix[1:].upper()} esperados")
-    return tabular.read_expected(spark, path, cfg, suffix[1:])
+    return tabular.read_expected(spark, path, cfg, suffix[1:], audit)

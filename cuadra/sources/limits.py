@@ -1,4 +1,4 @@
-"""Input caps: going over one fails the read and names the way to raise it."""
+"""Input caps: going over one ends the read there, fails it, and names the way to raise the cap."""
 
 from __future__ import annotations
 
@@ -24,8 +24,37 @@ def check_size(spark: SparkSession, path: str, cfg: Config, label: str) -> None:
         enforce(label, "max_input_bytes", largest["length"], cfg, largest["path"].rsplit("/", 1)[-1])
 
 
-def check_table(raw: DataFrame, cfg: Config, label: str) -> None:
-    per_file = raw.where("fila > 0").groupBy("archivo").agg(F.count("*").alias("rows"), F.sum("n").alias("cells"))
-    rows, cells = per_file.agg(F.max("rows"), F.max("cells")).first()
-    enforce(label, "max_tabular_rows", rows or 0, cfg)
-    enforce(label, "max_tabular_cells", cells or 0, cfg)
+#: Marks the error of a read that ran into a cap; what follows is its name and the count at which it stopped.
+MARK = "limite:"
+
+
+class Exceeded(Exception):
+    """A reader's own stop at a cap."""
+
+    def __init__(self, name: str, value: int):
+        super().__init__(f"{MARK}{name}:{value}")
+
+
+class Counter:
+    """Counts what a reader has taken from one file; going over a cap ends the read there."""
+
+    def __init__(self, **most: int):
+        self.most, self.seen = most, dict.fromkeys(most, 0)
+
+    def add(self, **counts: int) -> None:
+        for name, n in counts.items():
+            self.seen[name] += n
+            if self.seen[name] > self.most[name]:
+                raise Exceeded(name, self.seen[name])
+
+
+def caps(cfg: Config, *names: str) -> dict[str, int]:
+    return {name: getattr(cfg.limites_ingesta, name) for name in names}
+
+
+def check(raw: DataFrame, cfg: Config, label: str) -> None:
+    """Fail for the first file whose read stopped at a cap."""
+    bad = raw.where(F.startswith("error", F.lit(MARK))).agg(F.min(F.struct("archivo", "error"))).first()[0]
+    if bad is not None:
+        _, name, value = bad["error"].split(":")
+        enforce(label, name, int(value), cfg, bad["archivo"])

@@ -13,7 +13,8 @@ from ..errors import IngestionError
 from ..functions import parse
 from ..functions.identity import json_object, json_string, row_id
 from ..operators.model import BANK, plain, with_confidence
-from . import limits
+from ..storage import cut
+from . import limits, notes
 
 #: bytes of a file -> text of each page
 Extractor = Callable[[bytes], list[str]]
@@ -36,16 +37,19 @@ def default_extractor(content: bytes) -> list[str]:
     return [p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages]
 
 
-def pages(spark: SparkSession, path: str, extract: Extractor) -> DataFrame:
-    """(archivo, pagina, texto, error)"""
+def pages(spark: SparkSession, path: str, extract: Extractor, caps: dict[str, int] | None = None) -> DataFrame:
+    """(archivo, pagina, texto, error); the text of whole files, page by page. A file over a cap has its error only."""
     ddl = "archivo string, pagina int, texto string, error string"
+    caps = caps or {}
 
     def read(batches):
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                name = name.rsplit("/", 1)[-1]
+                name, rows, counter = name.rsplit("/", 1)[-1], [], limits.Counter(**caps)
                 try:
-                    rows = [(name, k, t, None) for k, t in enumerate(extract(content), start=1)]
+                    for k, t in enumerate(extract(content), start=1):
+                        counter.add(**{n: x for n, x in (("max_pdf_pages", 1), ("max_pdf_text_chars", len(t))) if n in caps})
+                        rows.append((name, k, t, None))
                 except Exception as e:
                     rows = [(name, 0, None, str(e))]
                 if rows:
@@ -109,21 +113,34 @@ def _typed(rows: DataFrame, cfg: Config, origin: str, data: Column, ref: Column,
 
 
 def _checked(spark: SparkSession, path: str, cfg: Config, extract: Extractor, label: str) -> DataFrame:
-    got = pages(spark, path, extract)
+    got = cut(pages(spark, path, extract, limits.caps(cfg, "max_pdf_pages", "max_pdf_text_chars")))
+    limits.check(got, cfg, label)
     bad = got.where("error IS NOT NULL").agg(F.min("error")).first()[0]
     if bad is not None:
         raise IngestionError(f"{label}: {bad}")
-    n, chars = got.groupBy("archivo").agg(F.count("*").alias("n"), F.sum(F.length("texto")).alias("c")).agg(F.max("n"), F.max("c")).first()
-    limits.enforce(label, "max_pdf_pages", n or 0, cfg)
-    limits.enforce(label, "max_pdf_text_chars", chars or 0, cfg)
     return got
 
 
-def read_text(spark: SparkSession, path: str, cfg: Config, extract: Extractor = default_extractor) -> tuple[DataFrame, bool]:
+def _noted(files: DataFrame, counts: DataFrame, name: str) -> DataFrame:
+    """A note with a count, which may be 0, for each file."""
+    by = counts.groupBy("archivo").agg(F.count("*").alias("n")).withColumnRenamed("archivo", "of")
+    found = files.select("archivo").distinct().join(by, F.col("archivo") == F.col("of"), "left")
+    return found.select("archivo", F.concat(F.lit(f'{{"{name}":'), F.coalesce("n", F.lit(0)).cast("string"), F.lit("}")).alias("nota"))
+
+
+def read_text(spark: SparkSession, path: str, cfg: Config, extract: Extractor = default_extractor, audit: notes.Audit | None = None) -> tuple[DataFrame, bool]:
     """(bank rows, whether the file looks like a scan)"""
     got = _checked(spark, path, cfg, extract, "PDF banco")
     chars = got.agg(F.coalesce(F.sum(F.length(parse.strip(F.col("texto")))), F.lit(0))).first()[0]
-    rows = parse_text_lines(lines_of(got))
+    files = got.select("archivo", F.lit("{}").alias("nota")).distinct()
+    lines = lines_of(got)
+    rows = parse_text_lines(lines)
+    if audit is not None:
+        if chars < LEAST_TEXT:
+            notes.tell(files, notes.SCANNED, audit)
+        else:
+            notes.tell(_noted(files, lines, "lineas"), notes.EXTRACTED, audit)
+            notes.tell(files.join(rows.select("archivo"), "archivo", "left_anti"), notes.NOTHING, audit)
     js = json_string
     data = json_object(fecha_operacion=js(F.col("fecha").cast("string")), monto=js(F.col("monto_texto")), descripcion=js(F.col("descripcion")), ref=js(F.col("referencia")))
     degrade = F.when(F.col("descripcion") == "", 0.10).otherwise(0.0)
@@ -131,11 +148,15 @@ def read_text(spark: SparkSession, path: str, cfg: Config, extract: Extractor =
     return (typed.where("false"), True) if chars < LEAST_TEXT else (typed, False)
 
 
-def read_ocr(spark: SparkSession, path: str, cfg: Config, recognize: Extractor | None) -> DataFrame:
+def read_ocr(spark: SparkSession, path: str, cfg: Config, recognize: Extractor | None, audit: notes.Audit | None = None) -> DataFrame:
     """Rows of a scan; every one is blocked from settling by itself, and none at all is an error."""
     if recognize is None:
         raise IngestionError("OCR no disponible: entregue un reconocedor de texto.")
+    name = F.element_at(F.split("path", "/"), -1)
+    files = spark.read.format("binaryFile").load(path).select(name.alias("archivo"), F.lit("{}").alias("nota"))
+    notes.tell(files, notes.OCR_BEGUN, audit)
     rows = parse_ocr_lines(lines_of(_checked(spark, path, cfg, recognize, "PDF banco (OCR)")))
+    notes.tell(_noted(files, rows, "txs"), notes.OCR_ENDED, audit)
     js = json_string
     data = json_object(fecha_operacion=js(F.col("fecha").cast("string")), monto=js(F.col("monto_texto")), descripcion=js(F.col("descripcion")))
     typed = _typed(rows, cfg, "pdf_ocr", data, F.lit(None).cast("string"), 0.05, 0.0, "OCR")

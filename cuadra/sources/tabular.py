@@ -8,6 +8,7 @@ from __future__ import annotations
 import csv
 import datetime as dt
 import io
+import json
 import re
 import zipfile
 from xml.etree import ElementTree as ET
@@ -22,7 +23,8 @@ from ..functions import parse
 from ..functions.identity import json_object, json_string, row_id
 from ..functions.mask import mask_account
 from ..operators.model import BANK, EXPECTED, plain, with_confidence
-from . import limits
+from ..storage import cut
+from . import limits, notes
 
 #: Header aliases by field, in order of priority (fixed values).
 BANK_ALIASES = {
@@ -44,7 +46,7 @@ EXPECTED_ALIASES = {
     "tercero": ["tercero", "proveedor", "cliente"],
 }
 REQUIRED = {"banco": ["fecha_operacion", "monto", "descripcion"], "esperados": ["fecha", "monto", "descripcion"]}
-RAW = "archivo string, fila long, celdas map<string,string>, n long, error string"
+RAW = "archivo string, fila long, celdas map<string,string>, n long, error string, nota string"
 _SPACES = re.compile(r"\s+")
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -63,10 +65,11 @@ def delimiter_of(text: str) -> str:
         return ","
 
 
-def csv_records(content: bytes, required: list[list[str]], kind: str):
+def csv_records(content: bytes, required: list[list[str]], kind: str, note: dict):
     """(row number, cells) of a CSV file, the header being row 1; records without any text are left out."""
     text = content.decode("utf-8")
-    reader = csv.DictReader(io.StringIO(text, newline=""), delimiter=delimiter_of(text))
+    note["delimiter"] = delimiter_of(text)
+    reader = csv.DictReader(io.StringIO(text, newline=""), delimiter=note["delimiter"])
     if not reader.fieldnames:
         raise ValueError("CSV sin encabezados (fieldnames vacios)")
     keys = {header_key(h): h for h in reader.fieldnames}
@@ -138,15 +141,16 @@ def xlsx_sheets(content: bytes):
         yield sheet.get("name"), _sheet_rows(book, part, shared, dates)
 
 
-def xlsx_records(content: bytes, required: list[list[str]], kind: str):
+def xlsx_records(content: bytes, required: list[list[str]], kind: str, note: dict):
     """Records of the first sheet whose first row has every required column."""
-    for _, rows in xlsx_sheets(content):
+    for name, rows in xlsx_sheets(content):
         header = next(rows, None)
         if header is None or header[0] != 1:
             continue
         keys = {header_key(v): at for at, v in header[1].items() if header_key(v)}
         if not all(any(a in keys for a in group) for group in required):
             continue
+        note["hoja"] = name
         for k, cells in rows:
             row = {key: cells.get(at) for key, at in keys.items()}
             if any((v or "").strip() for v in cells.values()):
@@ -155,27 +159,38 @@ def xlsx_records(content: bytes, required: list[list[str]], kind: str):
     raise ValueError(f"XLSX {kind} sin hoja con columnas requeridas: {', '.join(g[0] for g in required)}")
 
 
-def raw_table(spark: SparkSession, path: str, kind: str, reader, aliases: dict[str, list[str]]) -> DataFrame:
-    """Records of every file under a path; a file that can't be read gives one row with its error."""
+def raw_table(spark: SparkSession, path: str, kind: str, reader, aliases: dict[str, list[str]], cfg: Config) -> DataFrame:
+    """Records of every file under a path, parsed once and written.
+
+    A file that can't be read gives a row with its error; one that goes over a cap is left there. What the
+    reader noticed about a file is a row of its own with `nota`.
+    """
     required = [aliases[name] for name in REQUIRED[kind]]
-    schema = pa.schema([("archivo", pa.string()), ("fila", pa.int64()), ("celdas", pa.map_(pa.string(), pa.string())), ("n", pa.int64()), ("error", pa.string())])
+    schema = pa.schema([("archivo", pa.string()), ("fila", pa.int64()), ("celdas", pa.map_(pa.string(), pa.string())), ("n", pa.int64()), ("error", pa.string()), ("nota", pa.string())])
+    most = limits.caps(cfg, "max_tabular_rows", "max_tabular_cells")
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def read(batches):
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                name, rows = name.rsplit("/", 1)[-1], []
+                name, rows, note, counter = name.rsplit("/", 1)[-1], [], {}, limits.Counter(**most)
                 try:
-                    for k, cells, n in reader(content, required, kind):
-                        rows.append((name, k, list(cells.items()), n, None))
+                    for k, cells, n in reader(content, required, kind, note):
+                        counter.add(max_tabular_rows=1, max_tabular_cells=n)
+                        rows.append((name, k, list(cells.items()), n, None, None))
                         if len(rows) == 5000:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                            yield batch_of(rows)
                             rows = []
                 except Exception as e:
-                    rows.append((name, 0, [], 0, str(e) or type(e).__name__))
+                    rows.append((name, 0, [], 0, str(e) or type(e).__name__, None))
+                if note:
+                    rows.append((name, 0, [], 0, None, json.dumps(note, separators=(",", ":"))))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    yield batch_of(rows)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, RAW)
+    return cut(spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, RAW))
 
 
 def pick(name: str, aliases: dict[str, list[str]]) -> Column:
@@ -250,18 +265,21 @@ def expected_rows(raw: DataFrame, cfg: Config, origin: str) -> DataFrame:
     )
 
 
-def read_bank(spark: SparkSession, path: str, cfg: Config, kind: str) -> DataFrame:
+def _read(spark: SparkSession, path: str, cfg: Config, kind: str, side: str, aliases: dict[str, list[str]], audit: notes.Audit | None) -> DataFrame:
+    raw = raw_table(spark, path, side, csv_records if kind == "csv" else xlsx_records, aliases, cfg)
+    notes.tell(raw, notes.MESSAGES[kind, side], audit)
+    limits.check(raw, cfg, f"{kind.upper()} {side}")
+    return raw.where("nota IS NULL")
+
+
+def read_bank(spark: SparkSession, path: str, cfg: Config, kind: str, audit: notes.Audit | None = None) -> DataFrame:
     """Bank rows of a CSV or XLSX file; the first bad row fails the read."""
-    raw = raw_table(spark, path, "banco", csv_records if kind == "csv" else xlsx_records, BANK_ALIASES)
-    limits.check_table(raw, cfg, f"{kind.upper()} banco")
-    typed = bank_rows(raw, cfg, kind, strict_second_date=kind == "xlsx")
+    typed = bank_rows(_read(spark, path, cfg, kind, "banco", BANK_ALIASES, audit), cfg, kind, strict_second_date=kind == "xlsx")
     first_error(typed, "Fila")
     return plain(typed, BANK)
 
 
-def read_expected(spark: SparkSession, path: str, cfg: Config, kind: str) -> DataFrame:
-    raw = raw_table(spark, path, "esperados", csv_records if kind == "csv" else xlsx_records, EXPECTED_ALIASES)
-    limits.check_table(raw, cfg, f"{kind.upper()} esperados")
-    typed = expected_rows(raw, cfg, kind)
+def read_expected(spark: SparkSession, path: str, cfg: Config, kind: str, audit: notes.Audit | None = None) -> DataFrame:
+    typed = expected_rows(_read(spark, path, cfg, kind, "esperados", EXPECTED_ALIASES, audit), cfg, kind)
     first_error(typed, "Fila")
     return plain(typed, EXPECTED)

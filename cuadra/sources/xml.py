@@ -13,7 +13,8 @@ from ..functions import parse
 from ..functions.identity import json_object, json_string, row_id
 from ..functions.mask import mask_account
 from ..operators.model import BANK, plain, with_confidence
-from . import limits
+from ..storage import cut
+from . import limits, notes
 from .tabular import first_error
 
 FIELDS = ["fecha_operacion", "fecha_contable", "monto", "moneda", "descripcion", "referencia"]
@@ -31,24 +32,30 @@ def movements(content: bytes):
         yield root.get("banco", ""), root.get("cuenta", ""), k, {f: (found.text or "") if (found := node.find(f)) is not None else "" for f in FIELDS}
 
 
-def read_bank(spark: SparkSession, path: str, cfg: Config) -> DataFrame:
-    names = ["archivo", "fila", "banco", "cuenta", *FIELDS, "error"]
+def read_bank(spark: SparkSession, path: str, cfg: Config, audit: notes.Audit | None = None) -> DataFrame:
+    """Rows of XML statements, parsed once and written; a file over its cap is left there."""
+    names = ["archivo", "fila", "banco", "cuenta", *FIELDS, "error", "nota"]
+    most = limits.caps(cfg, "max_xml_movimientos")
     ddl = ", ".join(f"{n} {'long' if n == 'fila' else 'string'}" for n in names)
 
     def read(batches):
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                name, rows = name.rsplit("/", 1)[-1], []
+                name, rows, counter = name.rsplit("/", 1)[-1], [], limits.Counter(**most)
                 try:
-                    rows = [(name, k, bank, account, *texts.values(), None) for bank, account, k, texts in movements(content)]
-                except ValueError as e:
-                    rows = [(name, 0, *[None] * 8, str(e))]
+                    for bank, account, k, texts in movements(content):
+                        counter.add(max_xml_movimientos=1)
+                        rows.append((name, k, bank, account, *texts.values(), None, None))
+                    rows.append((name, 0, *[None] * 9, f'{{"movimientos":{len(rows)}}}'))
+                except (ValueError, limits.Exceeded) as e:
+                    rows = [(name, 0, *[None] * 8, str(e), None)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n == "fila" else pa.string()) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
 
-    raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, ddl)
-    most = raw.where("fila > 0").groupBy("archivo").count().agg(F.max("count")).first()[0]
-    limits.enforce("XML banco", "max_xml_movimientos", most or 0, cfg)
+    raw = cut(spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, ddl))
+    notes.tell(raw, notes.MESSAGES["xml", "banco"], audit)
+    limits.check(raw, cfg, "XML banco")
+    raw = raw.where("nota IS NULL")
     c = F.col
     second_text = parse.norm_text(c("fecha_contable"))
     day, second, value = parse.date(c("fecha_operacion")), parse.date(second_text), parse.amount(c("monto"))

@@ -25,3 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cuadra-checkpoint-"))
     return context.getCheckpointDir()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)

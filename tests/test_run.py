@@ -34,6 +34,7 @@ def test_run_is_repeatable_and_explains(spark, inputs, tmp_path):
     events = [json.loads(x) for x in (out / "audit.jsonl").read_text().splitlines()]
     assert {e["run_id"] for e in events} == {document["run_id"]}
     assert [e["seq"] for e in events] == [*range(len(events) // 2)] * 2
+    assert [(e["tipo"], e["mensaje"], e["detalles"]) for e in events[:2]] == [("ingestion", "Detectado delimitador CSV", {"archivo": "banco.csv", "delimiter": ";"}), ("ingestion", "Detectado delimitador CSV (esperados)", {"archivo": "esp.csv", "delimiter": ","})]
     assert plans.explain(out, document["matches"][0]["id"]) == document["matches"][0]
     with pytest.raises(UserInputError):
         plans.explain(out, "M-none")
@@ -111,7 +112,8 @@ def test_command_line(spark, inputs, tmp_path, capsys):
     flags = [x for k, v in inputs.items() for x in (f"--{k}", str(v))]
     assert cli.main(["validate", *flags]) == 0
     assert cli.main(["run", *flags, "--out", str(tmp_path / "o"), "--dry-run", "--max-tabular-rows", "1"]) == 4
-    assert "cli_error" in (tmp_path / "o" / "audit.jsonl").read_text()
+    failed = json.loads((tmp_path / "o" / "audit.jsonl").read_text().splitlines()[-1])
+    assert (failed["tipo"], failed["mensaje"], failed["detalles"]["command"], failed["detalles"]["category"], failed["detalles"]["exit_code"]) == ("cli_error", "Ejecucion CLI fallida", "run", "ingestion", 4)
     inputs["config"].write_text("nada: 1\n")
     assert cli.main(["validate", *flags]) == 3
     assert cli.main(["explain", "--run-dir", str(tmp_path), "M-1"]) == 5
@@ -119,6 +121,45 @@ def test_command_line(spark, inputs, tmp_path, capsys):
     capsys.readouterr()
 
 
+def test_events_of_readers(spark, tmp_path):
+    seen = []
+    audit = lambda kind, message, details: seen.append((kind, message, details))
+    (tmp_path / "b.xml").write_text(XML, encoding="utf-8")
+    (tmp_path / "b.pdf").write_bytes(b"%PDF")
+    report.write_workbook(tmp_path / "b.xlsx", {"Banco": spark.createDataFrame([("05/01/2026", "1", "Pago")], "fecha string, monto string, glosa string")})
+    text = lambda content: ["Cartola de prueba larga\n05/01/2026 Transferencia FAC-1001 $ 150.000\n"]
+    cfg = Config("A", permitir_ocr=True)
+    detector.read_bank(spark, str(tmp_path / "b.xml"), cfg, audit=audit)
+    detector.read_bank(spark, str(tmp_path / "b.xlsx"), cfg, audit=audit)
+    detector.read_bank(spark, str(tmp_path / "b.pdf"), cfg, extract=text, audit=audit)
+    detector.read_bank(spark, str(tmp_path / "b.pdf"), cfg, extract=lambda content: ["a text without any movement"], audit=audit)
+    detector.read_bank(spark, str(tmp_path / "b.pdf"), cfg, extract=lambda content: [""], recognize=lambda content: ["05/01/2026 Pago 150000"], audit=audit)
+    with pytest.raises(IngestionError):
+        detector.read_expected(spark, str(tmp_path / "e.txt"), cfg, audit)
+    pdf = {"archivo": "b.pdf"}
+    assert seen == [
+        ("ingestion", "XML cartola cargado", {"archivo": "b.xml", "movimientos": 1}),
+        ("ingestion", "XLSX banco cargado", {"archivo": "b.xlsx", "hoja": "Banco"}),
+        ("ingestion", "PDF texto extraido", {**pdf, "lineas": 2}),
+        ("ingestion", "PDF texto extraido", {**pdf, "lineas": 1}),
+        ("ingestion", "PDF texto procesado sin transacciones detectadas (heuristica no encontro lineas)", pdf),
+        ("ingestion", "PDF sin texto extraible (posible escaneado)", pdf),
+        ("ingestion", "OCR iniciado", pdf),
+        ("ingestion", "OCR finalizado", {**pdf, "txs": 1}),
+        ("ingestion", "Formato de movimientos esperados no soportado", {"archivo": "e.txt"}),
+    ]
+
+
+def test_a_read_ends_at_its_cap_and_names_the_file(spark, tmp_path):
+    (tmp_path / "b.csv").write_text("fecha,monto,glosa\n" + "05/01/2026,1,x\n" * 50, encoding="utf-8")
+    (tmp_path / "b.xml").write_text("<r>" + XML[XML.index("<g>") : -4] * 5 + "</r>", encoding="utf-8")
+    (tmp_path / "b.pdf").write_bytes(b"%PDF")
+    for name, caps, limit, value in (("b.csv", {"max_tabular_rows": 7}, "max_tabular_rows", 8), ("b.csv", {"max_tabular_cells": 10}, "max_tabular_cells", 12), ("b.xml", {"max_xml_movimientos": 3}, "max_xml_movimientos", 4), ("b.pdf", {"max_pdf_pages": 2}, "max_pdf_pages", 3), ("b.pdf", {"max_pdf_text_chars": 9}, "max_pdf_text_chars", 12)):
+        with pytest.raises(IngestionError) as error:
+            detector.read_bank(spark, str(tmp_path / name), Config("A", limites_ingesta=Limits(**caps)), extract=lambda content: ["text"] * 9)
+        assert (error.value.details["archivo"], error.value.details["limit"], error.value.details["value"]) == (name, limit, value)
+
+
 def test_delimiters_and_headers():
     assert [tabular.delimiter_of(t) for t in ("a;b\n1;2\n", "a\tb\n1\t2\n", "x")] == [";", "\t", ","]
     assert tabular.header_key("  Fecha  Operacion ") == "fecha_operacion"
