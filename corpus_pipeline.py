@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cuadra.llm import jaccard, language, mixing, pieces, suffixes
 from cuadra.llm._common import columns, cut, few, shared_dir
+from cuadra.storage import delete
 
 #: Texts whose main language is less certain than this go, as do those without a letter; other languages in them don't count.
 LEAST_CERTAIN = 0.2
@@ -123,12 +124,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
             if k:
-                _delete(spark, f"{folder}/{k - 1}")
+                delete(spark, f"{folder}/{k - 1}")
     return docs
 
-
-def _delete(spark: SparkSession, path: str) -> None:
-    """Delete a folder in whatever store it lies."""
-    context = spark.sparkContext
-    place = context._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
