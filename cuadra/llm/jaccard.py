@@ -10,7 +10,8 @@ index entry are candidates. They are verified on their words, exactly.
 Documents with equal sets form one class, and classes take part by their smallest id. Each is first verified
 against the smallest member of an entry. The entries that still hold several components are searched by
 parity sketches, whose distance never exceeds the true difference: what is near by sketch ends in one
-cluster. A cluster's texts are then compared in blocks, each text sent once a block: exact differences
+cluster, around members that are near to many, and is verified against these. What is still apart in a cluster
+is compared by its texts in blocks, each text sent once a block: exact differences
 come from bit sets over the block's shingles, and what they say links is checked on words. So no link between
 components is missed, no pair is compared twice by its words, and of a group no more pairs than members come out.
 """
@@ -37,6 +38,8 @@ BAND = 1.5
 CANDIDATE_COST, CHANCE = 10.0, 0.001
 #: Members of an entry whose sketches are compared in one block, and texts that are verified with one hub at a time.
 BLOCK, BUCKET = 4096, 256
+#: Members of a block that tell how many each is near to; any choice gives the same components.
+PROBES = 64
 #: Shingles (with repeats) in a block of texts.
 BLOCK_SHINGLES = 300_000
 #: Entries of so many members aren't gathered to find the smallest one; a sample of documents tells which these may be.
@@ -259,7 +262,7 @@ def _edges(a: list, b: list) -> pa.Table:
 
 
 def verify_stars(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b), each b in one, that link, as their words say.
+    """Those of the pairs (a, b) that link, as their words say; each b is in one or a few.
 
     A hub's partners are dealt into buckets, so that its text travels once a bucket, and each other text once.
     """
@@ -332,8 +335,12 @@ def _forest(rep: np.ndarray, root: np.ndarray, n: np.ndarray, part: np.ndarray,
     a, b = [], []
     rows = np.arange(len(rep))
     heavy = np.bincount(label).argmax()
-    # each pair has one that isn't of the commonest root
-    for i in rows[label != heavy]:
+    # each pair has one that isn't of the commonest root; those that are near to many come first
+    rows = rows[label != heavy]
+    degree = np.zeros(len(rows), np.int64)
+    for j in np.linspace(0, len(rep) - 1, min(PROBES, len(rep))).astype(int):
+        degree += _far(bits[rows], bits[j]) + lone[rows] + lone[j] <= (n[rows] + n[j]) * (den - num) // (den + num)
+    for i in rows[np.argsort(-degree, kind="stable")]:
         ok = (label != label[i]) & (np.minimum(n, n[i]) * den >= np.maximum(n, n[i]) * num)
         if cross:
             ok &= part != part[i]
@@ -444,9 +451,13 @@ def link(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     stars = stars.groupBy("rep").agg(F.max(F.struct("n", (-F.col("low")).alias("low"))).alias("best"))
     stars = cut(_near_pairs(stars.select((-F.col("best.low")).alias("a"), F.col("rep").alias("b")), sets, num, den))
     texts = narrow.where("doc_id IS NOT NULL")
-    met = cut(stars.select(F.col("a").alias("id")).union(stars.select(F.col("b").alias("id"))).distinct())
-    links = cut(verify_stars(stars, texts.join(few(met), F.col("doc_id") == F.col("id"), "left_semi"), n, num, den))
-    roots = near = components(links)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        met = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+        return cut(verify_stars(pairs, texts.join(few(met), F.col("doc_id") == F.col("id"), "left_semi"), n, num, den))
+
+    links = verified(stars)
+    near = components(links)
     # entries with several components: first the largest one of each document, then what these leave apart
     joined = links
     for largest in (True, False):
@@ -458,8 +469,12 @@ def link(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
         if largest:
             best = cut(members.groupBy("rep").agg(F.max(F.struct("n", "group")).alias("m")).select(F.col("m.group").alias("of")).distinct())
             members = members.join(few(best), F.col("group") == F.col("of"), "left_semi")
-        joined = cut(joined.union(near_edges(members.select("group", "rep", "root"), sets, num, den)))
+        found = cut(near_edges(members.select("group", "rep", "root"), sets, num, den))
+        links = links.union(verified(found))
+        joined = joined.union(found)
         near = components(joined)
+    links = cut(links)
+    roots = components(links)
     # clusters of what is near by sketch and not known to be linked
     clusters = _rooted(_rooted(sets.select("rep"), near, "group"), roots, "root")
     open_ = cut(clusters.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select(F.col("group").alias("of")))
