@@ -65,6 +65,28 @@ def test_outcomes_equal_the_sequential_model(spark, seed, repeated):
     assert got == sequential(txs, exps, 3)
 
 
+def test_repeated_ids_tie_only_what_they_reach(spark):
+    # three worlds that share no reference, amount or id; ids are repeated in one
+    txs, exps = [], []
+    for w, repeated in enumerate((True, False, False)):
+        t, e = random_case(10 + w, repeated)
+        txs += [(f"{w}{i}", r and f"{w}{r}", m + 100 * w, d) for i, r, m, d in t]
+        exps += [(f"{w}{i}", r and f"{w}{r}", m + 100 * w, d) for i, r, m, d in e]
+    bank, expected = frames(spark, txs, exps)
+    got = sorted((r["tx_id"], r["fase"], r["outcome"], [r["exp_id"]] if r["outcome"] != "ambigua" else r["candidatos"]) for r in rec.outcomes(bank, expected, Config("c")).collect())
+    assert got == sequential(txs, exps, 3)
+    in_tx, in_exp = matching.tied(matching.flat_bank(bank), matching.flat_expected(expected), 3)
+    assert {r["tx_id"][0] for r in in_tx.collect()} == {r["exp_id"][0] for r in in_exp.collect()} == {"0"}
+
+
+def test_events_are_numbered_over_partitions(spark):
+    rows = [(k % 3, f"{(k * 7919) % 1000:04d}", "t", str(k), "{}") for k in range(1000)]
+    events = spark.createDataFrame(rows, "orden int, clave string, tipo string, mensaje string, detalles string").repartition(7)
+    got = rec.numbered(events, 5).orderBy("seq").collect()
+    assert [r["seq"] for r in got] == list(range(5, 1005))
+    assert [r["mensaje"] for r in got] == [r[3] for r in sorted(rows)]
+
+
 def test_large_groups_fold_alike(spark):
     bank, expected = frames(spark, *random_case(5))
     tx, exp = matching.flat_bank(bank), matching.flat_expected(expected)
