@@ -392,7 +392,7 @@ def true_edges(members: DataFrame, sets: DataFrame, texts: DataFrame, n: int, nu
         keep = count[code] > 1
         at = slot[code[keep]]
         np.bitwise_or.at(bits, (owner[keep], at >> 3), (1 << (at & 7)).astype(np.uint8))
-        kept = lru_cache(maxsize=64)(lambda i: shingle_set(column[i].as_py(), n))
+        kept = lru_cache(maxsize=4)(lambda i: shingle_set(column[i].as_py(), n))
         accept = lambda i, j: _linked(kept(int(i)), kept(int(j)), num, den)
         lone = size - np.bincount(owner[keep], minlength=len(found))
         return _edges(*_forest(rep, root, size, part, cross, bits.view(np.uint64), lone, num, den, accept))
