@@ -23,7 +23,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytes import utf8, word_edges, word_hashes
@@ -42,6 +42,8 @@ HOT, PARTS = 20_000, 16
 RANGE_BYTES = 12 * 2**20
 #: Bounds of the filter of repeated anchors, in bits as powers of two.
 FILTER_BITS = (20, 28)
+#: Merged spans (40 bytes or so each) up to which they are broadcast to the texts.
+BROADCAST_SPANS = 500_000
 _BASE = 0xD1342543DE82EF95
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)]
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -384,6 +386,18 @@ def word_spans(docs: DataFrame, words: int, hot: int = HOT) -> DataFrame:
     return found.select("key", "doc_id", first.cast("long").alias("start"), (last + words).cast("long").alias("end")).where(F.col("end") - F.col("start") >= words)
 
 
+def _merged(spans: Column) -> Column:
+    """Sorted spans (kind, start, end) of a document, with those that overlap or touch made one."""
+
+    def step(done, x):
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(last["kind"].alias("kind"), last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        joins = (last["kind"] == x["kind"]) & (x["start"] <= last["end"])
+        return F.when(joins, F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(spans, F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>"), step)
+
+
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, with_text: bool = False, carry: tuple[str, ...] = (), words: int = 0, passage: int = 0, run: int = RUN, chunk: int = CHUNK) -> DataFrame:
     """Remove every byte covered by a string of `length` bytes that starts anywhere else too.
 
@@ -406,9 +420,11 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
     found = cut(spans(long_ones, length, gram, hot, passage, run, chunk)).withColumn("kind", F.when(F.col("shorter"), F.lit(2)).otherwise(F.lit(0))).drop("shorter")
     if words:
         found = found.unionByName(cut(word_spans(narrow, words, hot)).withColumn("kind", F.lit(1)))
-    by = found.groupBy("key", "doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end", "kind"))).alias("spans"))
-    by = by.select(F.col("key").alias("of"), F.col("doc_id").alias("of_id"), "spans")
-    # spans grow with the corpus, so texts meet them by a shuffle at every size
+    by = found.groupBy("key", "doc_id").agg(F.sort_array(F.collect_set(F.struct("kind", "start", "end"))).alias("spans"))
+    by = cut(by.select(F.col("key").alias("of"), F.col("doc_id").alias("of_id"), _merged(F.col("spans")).alias("spans")))
+    # texts stay where they are as long as the spans are few; beyond that they meet by a shuffle
+    few_spans = by.agg(F.coalesce(F.sum(F.size("spans") + 1), F.lit(0))).first()[0] <= BROADCAST_SPANS
+    by = F.broadcast(by) if few_spans else by
     joined = narrow.join(by, (F.col("key") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("of_id")), "left")
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", n_repeated long" * bool(passage) + ", clean_text string" * with_text + "".join(f", `{c}` {kind}" for c, kind in kinds_of.items())
 
@@ -418,7 +434,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
             for text, cuts in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 repeated, upto = 0, 0
-                for c in (cuts or ()) if passage else ():
+                for c in sorted((c for c in cuts or () if c["kind"] != 1), key=lambda c: c["start"]) if passage else ():
                     repeated += max(0, c["end"] - max(c["start"], upto))
                     upto = max(upto, c["end"])
                 cuts = [c for c in cuts or () if c["kind"] < 2]
