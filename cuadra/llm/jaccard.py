@@ -30,8 +30,8 @@ from ..operators.graph import components
 from ._bytes import utf8, word_hashes
 from ._common import columns, count_words, cut, few, table
 
-#: Bits of a parity sketch.
-SKETCH = 2048
+#: Bits of a parity sketch, at least, and for each difference that a linked set may have: unrelated sets stay apart at any size.
+SKETCH, SKETCH_EACH = 2048, 8
 #: Each size band reaches up to so many times its start.
 BAND = 1.5
 #: What a candidate by chance costs, in index entries; how likely an unrelated document of a band has a given shingle.
@@ -194,8 +194,23 @@ def signatures(h: np.ndarray, num: int, den: int, plan: list[tuple[int, int]]) -
     return np.unique(np.concatenate(out))
 
 
-def _sketch(h: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((_mix(h + _M[1]) & np.uint64(SKETCH - 1)).view(np.int64), minlength=SKETCH) & 1).tobytes()
+def _sketch(h: np.ndarray, num: int, den: int) -> bytes:
+    """Parities of a set's shingles over a power of two of bins, more for larger sets."""
+    bins = SKETCH
+    while bins < SKETCH_EACH * most_different(2 * len(h), num, den):
+        bins *= 2
+    return np.packbits(np.bincount((_mix(h + _M[1]) & np.uint64(bins - 1)).view(np.int64), minlength=bins) & 1).tobytes()
+
+
+def _folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """Sketches as rows of `size` bytes: a longer one's parts are added up, which gives the sketch with fewer bins."""
+    out = np.empty((len(sketches), size), np.uint8)
+    lens = np.array([len(x) for x in sketches])
+    for n in np.unique(lens):
+        at = np.nonzero(lens == n)[0]
+        parts = np.frombuffer(b"".join(sketches[i] for i in at), np.uint8).reshape(len(at), n // size, size)
+        out[at] = np.bitwise_xor.reduce(parts, axis=1)
+    return out.view(np.uint64)
 
 
 def summarize(docs: DataFrame, n: int, num: int, den: int, plan: list[tuple[int, int]]) -> DataFrame:
@@ -206,7 +221,7 @@ def summarize(docs: DataFrame, n: int, num: int, den: int, plan: list[tuple[int,
     def one(text):
         h = hashes(text, n)
         f1, f2 = (int(_mix(h * m + m).sum(dtype=np.uint64).astype(np.int64)) for m in (_M[0], _M[2]))
-        return len(h), f1, f2, signatures(h, num, den, plan).astype(np.int64), _sketch(h)
+        return len(h), f1, f2, signatures(h, num, den, plan).astype(np.int64), _sketch(h, num, den)
 
     def run(batches):
         for batch in batches:
@@ -294,8 +309,13 @@ def _near_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
     def run(batches):
         for batch in batches:
             n = [batch.column(c).to_numpy() for c in ("l_n", "r_n")]
-            s = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, SKETCH // 64) for c in ("l_sketch", "r_sketch")]
-            ok = (_far(*s) <= (n[0] + n[1]) * (den - num) // (den + num)) & (np.minimum(*n) * den >= np.maximum(*n) * num)
+            s = [batch.column(c).to_pylist() for c in ("l_sketch", "r_sketch")]
+            least = np.array([min(len(x), len(y)) for x, y in zip(*s, strict=True)])
+            far = np.zeros(len(least), np.int64)
+            for size in np.unique(least):
+                at = np.nonzero(least == size)[0]
+                far[at] = _far(*(_folded([x[i] for i in at], size) for x in s))
+            ok = (far <= (n[0] + n[1]) * (den - num) // (den + num)) & (np.minimum(*n) * den >= np.maximum(*n) * num)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
     left, right = (sets.select(F.col("rep").alias(f"{k}_id"), F.col("n_shingles").alias(f"{k}_n"), F.col("sketch").alias(f"{k}_sketch")) for k in "lr")
@@ -365,7 +385,8 @@ def near_edges(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
 
     def solve(table: pa.Table) -> pa.Table:
         rep, root, n, part = (table.column(c).to_numpy() for c in ("rep", "root", "n_shingles", "part"))
-        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(rep), -1)
+        sketches = table.column("sketch").to_pylist()
+        bits = _folded(sketches, min(map(len, sketches)))
         return _edges(*_forest(rep, root, n, part, table.column("x")[0] != table.column("y")[0], bits, np.zeros(len(rep), np.int64), num, den, lambda i, j: True))
 
     return by_runs(rows, ["group", "x", "y"], ["rep"], solve, _EDGES).distinct()
@@ -465,11 +486,15 @@ def link(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
         by = marked.groupBy("entry").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.expr("sum(cast(xxhash64(rep) as decimal(38,0)))").alias("who"))
         # entries with the same members are looked at once
         by = cut(by.where("low < high").groupBy("n", "who").agg(F.min("entry").alias("group")))
+        if by.isEmpty():
+            break
         members = marked.join(few(by), F.col("entry") == F.col("group")).select("group", "n", "rep", "root")
         if largest:
             best = cut(members.groupBy("rep").agg(F.max(F.struct("n", "group")).alias("m")).select(F.col("m.group").alias("of")).distinct())
             members = members.join(few(best), F.col("group") == F.col("of"), "left_semi")
         found = cut(near_edges(members.select("group", "rep", "root"), sets, num, den))
+        if found.isEmpty():
+            continue
         links = links.union(verified(found))
         joined = joined.union(found)
         near = components(joined)
@@ -478,10 +503,10 @@ def link(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     # clusters of what is near by sketch and not known to be linked
     clusters = _rooted(_rooted(sets.select("rep"), near, "group"), roots, "root")
     open_ = cut(clusters.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select(F.col("group").alias("of")))
-    members = cut(clusters.join(few(open_), F.col("group") == F.col("of"), "left_semi").select("group", "rep", "root"))
-    inside = texts.join(few(members.select(F.col("rep").alias("id"))), F.col("doc_id") == F.col("id"), "left_semi")
-    more = true_edges(members, sets, inside, n, num, den)
-    roots = components(links.union(more))
+    if not open_.isEmpty():
+        members = cut(clusters.join(few(open_), F.col("group") == F.col("of"), "left_semi").select("group", "rep", "root"))
+        inside = texts.join(few(members.select(F.col("rep").alias("id"))), F.col("doc_id") == F.col("id"), "left_semi")
+        roots = components(links.union(true_edges(members, sets, inside, n, num, den)))
     own = every.select("doc_id", "n_shingles", "f1", "f2").join(keys, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n_shingles") > 0), "left")
     own = own.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("class_id"))
     own = own.join(roots, F.col("class_id") == F.col("node"), "left")

@@ -355,6 +355,21 @@ def test_entries_find_what_they_promise():
     assert met > 100 and {(1e9, True), (0, False)} <= ways
 
 
+def test_sketches_never_exceed_the_difference_and_tell_unrelated_sets_apart():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n in (5, 300, 1400, 9000, 40_000):
+        a, b, c = (np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for _ in range(3))
+        b = np.unique(np.concatenate([a[: len(a) - n // 20], b[: n // 15]]))
+        s = [jaccard._sketch(x, 80, 100) for x in (a, b, c)]
+        size = min(map(len, s))
+        bits = jaccard._folded(s, size)
+        assert jaccard._far(bits[0], bits[1]) <= len(np.setxor1d(a, b))
+        assert n < 300 or jaccard._far(bits[0], bits[2]) > jaccard.most_different(2 * n, 80, 100)
+        assert (jaccard._folded(s, size // 2)[0] == jaccard._folded([bits[0].tobytes()], size // 2)[0]).all()
+
+
 def test_allocation_counts_all_texts(spark):
     rows = [(k, " ".join(f"w{k}x{i}" for i in range(4 + k % 30))) for k in range(300)]
     plan = jaccard.allocation(docs(spark, rows), 3, 90, 100)
