@@ -292,8 +292,8 @@ def verify_stars(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int)
     def solve(table: pa.Table) -> pa.Table:
         hub = table.column("a")[0].as_py()
         ids, got = table.column("id").to_pylist(), table.column("text").to_pylist()
-        own = shingle_set(got[ids.index(hub)], n)
-        hits = [i for i, t in zip(ids, got, strict=True) if i != hub and _linked(own, shingle_set(t, n), num, den)]
+        own = [shingle_set(t, n) for i, t in zip(ids, got, strict=True) if i == hub]
+        hits = [i for i, t in zip(ids, got, strict=True) if i != hub and any(_linked(x, shingle_set(t, n), num, den) for x in own)]
         return _edges([hub] * len(hits), hits)
 
     return by_runs(rows, ["a", "bucket"], ["id"], solve, _EDGES)
@@ -452,8 +452,9 @@ def link(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
 
     Returns doc_id, n_shingles, class_id (smallest id with an equal set) and component_id (smallest id that
     links reach). A null or wordless text has an empty set and is linked with nothing. A null id takes no
-    part: its row comes back with null class and component. Rows that share an id count as one node. An
-    empty table gives no rows; extra columns are not carried.
+    part: its row comes back with null class and component. Rows that share an id count as one node; where
+    their texts differ, the size and sketch of the smaller one decide what is compared, so give rows ids of
+    their own (the pipeline does). An empty table gives no rows; extra columns are not carried.
     """
     narrow = columns(docs, doc_id="long", text="string")
     plan = [(b["segments"], b["deletions"]) for b in allocation(narrow, n, num, den)]
@@ -466,7 +467,7 @@ def link(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     own = named.join(chosen, F.col("doc_id") == F.col("rep"), "left_semi").withColumnRenamed("doc_id", "rep")
     shared = shared_entries(own)
     sets = own.select("rep", "n_shingles", "sketch").join(few(cut(shared.select("rep").distinct())), "rep", "left_semi")
-    sets = cut(sets.dropDuplicates(["rep"]))
+    sets = cut(sets.groupBy("rep").agg(F.min(F.struct("n_shingles", "sketch")).alias("x")).select("rep", "x.*"))
     # of the smallest members that it meets, each document is verified against the one it shares most entries with
     stars = shared.where("low < rep").groupBy("low", "rep").agg(F.count("*").alias("n"))
     stars = stars.groupBy("rep").agg(F.max(F.struct("n", (-F.col("low")).alias("low"))).alias("best"))
