@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import jaccard, language, licenses, mixing, pieces, quality, sharding, suffixes, topk, urls
+from . import filter_audit, jaccard, language, licenses, line_dedup, mixing, pieces, quality, resampling, sharding, suffixes, topk, urls
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -17,6 +17,9 @@ QUERIES = {
     "op8_jaccard": jaccard.op8_jaccard,
     "op9_suffixes": suffixes.op9_suffixes,
     "op10_sharding": sharding.op10_sharding,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_resampling": resampling.op12_resampling,
+    "op13_line_dedup": line_dedup.op13_line_dedup,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -26,4 +29,7 @@ SQL = {
     "op5_topk": topk.OP5_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op8_jaccard": jaccard.OP8_SQL,
+    "op11_filter_audit": filter_audit.OP11_SQL,
+    "op12_resampling": resampling.OP12_SQL,
+    "op13_line_dedup": line_dedup.OP13_SQL,
 }
