@@ -101,7 +101,7 @@ class Index:
 def interactions(flags: DataFrame, filters: str, labels: list[str]) -> DataFrame:
     """(part, before, filter, kept, removed, ...labels) from rows (part, fails, ...labels): counts for every subset
     `before` of the filters (bits) and every next filter (a number) outside it."""
-    n = len(filters)
+    n, most = len(filters), HELD
     names = ["part", "before", "filter", "kept", "removed", *labels]
     # every subset and the filters outside it
     subset, last = np.array([(s, f) for s in range(2**n) for f in range(n) if not s >> f & 1]).T
@@ -119,7 +119,7 @@ def interactions(flags: DataFrame, filters: str, labels: list[str]) -> DataFrame
             index = Index(batch.column("part"), batch.column("fails").to_numpy(False), [batch.column(x).to_numpy(False) for x in labels], n)
             for part, sums in zip(index.parts, index.sums(), strict=True):
                 held[part] = held[part] + sums if part in held else sums
-            if len(held) > HELD:
+            if len(held) > most:
                 yield from handed(held)
                 held = {}
         yield from handed(held)

@@ -82,7 +82,7 @@ def filter_bits(docs: DataFrame) -> int:
 def seen_twice(docs: DataFrame, least: int, bits: int) -> np.ndarray:
     """The merged filter of hashes that two documents may hold; at most MOST_BITS reach the driver."""
     spark = docs.sparkSession
-    piece = max(2**12, min(PIECE, bits // 256))
+    piece, chunk = max(2**12, min(PIECE, bits // 256)), CHUNK
 
     def note(batches):
         seen, waiting = Seen(bits), []
@@ -90,7 +90,7 @@ def seen_twice(docs: DataFrame, least: int, bits: int) -> np.ndarray:
             for text in batch.column("text"):
                 # a key counts once a document
                 waiting.extend({d for _, d in keyed_lines(text.as_py() or b"", least)})
-                if len(waiting) >= CHUNK:
+                if len(waiting) >= chunk:
                     seen.add(waiting)
                     waiting = []
         if waiting:
@@ -125,7 +125,7 @@ def seen_twice(docs: DataFrame, least: int, bits: int) -> np.ndarray:
 
 def suspects(docs: DataFrame, twice: np.ndarray, least: int, *carry: str) -> DataFrame:
     """(key, ...carry) for every document and every key of it that the filter holds."""
-    shared, bits = docs.sparkSession.sparkContext.broadcast(twice), len(twice) * 64
+    shared, bits, chunk = docs.sparkSession.sparkContext.broadcast(twice), len(twice) * 64, CHUNK
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema if f.name in carry}
 
     def find(batches):
@@ -137,7 +137,7 @@ def suspects(docs: DataFrame, twice: np.ndarray, least: int, *carry: str) -> Dat
                 own = {d for _, d in keyed_lines(text.as_py() or b"", least)}
                 digests.extend(own)
                 owner.extend([at] * len(own))
-                if digests and (len(digests) >= CHUNK or at == batch.num_rows - 1):
+                if digests and (len(digests) >= chunk or at == batch.num_rows - 1):
                     yield hit(batch, digests, owner, twice)
                     digests, owner = [], []
             if digests:
@@ -197,7 +197,7 @@ def dedup(docs: DataFrame, least_docs: int = LEAST_DOCS, least_chars: int = LEAS
     schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept", pa.binary())])
     if confirmed.limit(most + 1).count() > most:
         return _joined(docs, twice, confirmed, least_chars, ddl, schema)
-    shared = spark.sparkContext.broadcast(Confirmed(confirmed.toArrow()))
+    shared, chunk = spark.sparkContext.broadcast(Confirmed(confirmed.toArrow())), CHUNK
 
     def apply(batches):
         known = shared.value
@@ -213,7 +213,7 @@ def dedup(docs: DataFrame, least_docs: int = LEAST_DOCS, least_chars: int = LEAS
                 found = list(keyed_lines(texts[-1], least_chars))
                 lines.extend(found)
                 at.extend([k] * len(found))
-                if len(lines) >= CHUNK or k == batch.num_rows - 1:
+                if len(lines) >= chunk or k == batch.num_rows - 1:
                     owner = np.array(at, np.int64)
                     gone: dict[int, set[int]] = {}
                     for i in np.flatnonzero(known.drops([d for _, d in lines], of[owner], no_id[owner])).tolist():

@@ -40,16 +40,16 @@ def features(text: bytes | None, runs: int) -> list[bytes]:
 
 
 class Buckets(dict):
-    """Bucket of a feature, remembered for short ones."""
+    """Bucket of a feature, remembered for `most` short ones."""
 
-    def __init__(self, size: int):
+    def __init__(self, size: int, most: int):
         super().__init__()
-        self.size = size
+        self.size, self.most = size, most
 
     def __missing__(self, feature: bytes) -> int:
         at = zlib.crc32(feature) % self.size
         if len(feature) <= 64:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.most:
                 self.clear()
             self[feature] = at
         return at
@@ -60,9 +60,10 @@ class Buckets(dict):
 
 def counts(texts: DataFrame, runs: int, buckets: int) -> np.ndarray:
     """Features of all texts by bucket; no more than a number for each bucket reaches the driver."""
+    most = REMEMBERED
 
     def count(batches):
-        of, sums = Buckets(buckets), np.zeros(buckets, np.int64)
+        of, sums = Buckets(buckets, most), np.zeros(buckets, np.int64)
         for batch in batches:
             for text in batch.column("text"):
                 sums += np.bincount(of.of(features(text.as_py(), runs)), minlength=buckets)
@@ -90,11 +91,11 @@ def noise(doc_id: int | None, seed: str) -> int:
 
 def scored(docs: DataFrame, gain: np.ndarray, runs: int = RUNS, seed: str = SEED) -> DataFrame:
     """(doc_id, n_features, n_words, weight, score) of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(gain)
+    shared, most = docs.sparkSession.sparkContext.broadcast(gain), REMEMBERED
 
     def score(batches):
         gain = shared.value
-        of = Buckets(len(gain))
+        of = Buckets(len(gain), most)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
