@@ -89,15 +89,15 @@ def _join(column: str):
 
 
 def match_ref_exacta(spark, sf_dir):
-    return matching.by_reference(*_flat(spark, sf_dir)).where("outcome = 'match'").select("tx_id", F.col("exp.exp_id").alias("exp_id"), F.col("tx_ref").alias("ref"))
+    return matching.by_reference(*_flat(spark, sf_dir))[0].where("outcome = 'match'").select("tx_id", F.col("exp.exp_id").alias("exp_id"), F.col("tx_ref").alias("ref"))
 
 
 def finding_amb_ref(spark, sf_dir):
-    return matching.by_reference(*_flat(spark, sf_dir)).where("outcome = 'ambigua'").select("tx_id", F.col("tx_ref").alias("ref"), _join("candidatos"))
+    return matching.listed(*matching.by_reference(*_flat(spark, sf_dir))).where("outcome = 'ambigua'").select("tx_id", F.col("tx_ref").alias("ref"), _join("candidatos"))
 
 
 def finding_monto_difiere(spark, sf_dir):
-    return matching.by_reference(*_flat(spark, sf_dir)).where("outcome = 'monto_difiere'").select("tx_id", F.col("exp.exp_id").alias("exp_id"), F.col("tx_monto_texto").alias("monto_tx"), F.col("exp.exp_monto_texto").alias("monto_exp"))
+    return matching.by_reference(*_flat(spark, sf_dir))[0].where("outcome = 'monto_difiere'").select("tx_id", F.col("exp.exp_id").alias("exp_id"), F.col("tx_monto_texto").alias("monto_tx"), F.col("exp.exp_monto_texto").alias("monto_exp"))
 
 
 def band_candidates(spark, sf_dir):

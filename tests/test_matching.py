@@ -87,11 +87,47 @@ def test_events_are_numbered_over_partitions(spark):
     assert [r["mensaje"] for r in got] == [r[3] for r in sorted(rows)]
 
 
-def test_large_groups_fold_alike(spark):
-    bank, expected = frames(spark, *random_case(5))
+def hot_case(seed, amounts, days, n_tx, n_exp):
+    """Frequent amounts on consecutive days: mostly single expected rows, so that takes set off others."""
+    rng = random.Random(seed)
+    txs = [(f"T{rng.randint(0, 10**6):07d}-{k}", None, rng.randint(1, amounts), rng.randint(0, days)) for k in range(n_tx)]
+    exps = [(f"E{k:04d}", None, rng.randint(1, amounts), rng.randint(0, days)) for k in range(n_exp)]
+    return txs, exps
+
+
+@pytest.mark.parametrize(("case", "most"), [((1, 2, 60, 120, 60), 64), ((2, 1, 200, 900, 90), 1), ((3, 3, 40, 300, 12), 1), ((4, 1, 30, 400, 60), 0), ((5, 2, 300, 700, 240), 2)])
+def test_hot_islands_equal_the_sequential_fold(spark, case, most):
+    txs, exps = hot_case(*case)
+    bank, expected = frames(spark, txs, exps)
+    found, sets = matching.by_amount(matching.flat_bank(bank), matching.flat_expected(expected), 3, most)
+    got = sorted((r["tx_id"], 2, r["outcome"], [r["exp_id"]] if r["outcome"] == "match" else r["candidatos"]) for r in matching.listed(found, sets).collect())
+    assert got == sequential(txs, exps, 3)
+
+
+def test_rounds_and_rows_of_islands(spark):
+    # expected rows three days apart: each take leaves the next days one row, in turn
+    txs = [(f"T{k:05d}", None, 7, 2 * (k % 40)) for k in range(2000)]
+    exps = [(f"E{k:03d}", None, 7, 4 * k) for k in range(20)]
+    bank, expected = frames(spark, txs, exps)
     tx, exp = matching.flat_bank(bank), matching.flat_expected(expected)
-    rows = lambda f: sorted((r["tx_id"], [c["exp_id"] for c in r["cands"]]) for r in f.collect())
-    assert rows(matching.by_amount(tx, exp, 3)) == rows(matching.by_amount(tx, exp, 3, folded=0))
+    days = matching.cut(matching.by_day(tx, exp, 3))
+    assert days.count() == 40 and days.where("abierta").count() == 40
+    few, one = matching.takes(tx, days, 3)
+    many, rounds = matching.takes(tx, days, 3, most=0)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+    # a day is asked for once at most
+    assert one == 1 and 1 < rounds <= 41
+
+
+def test_a_frequent_reference_keeps_its_candidates_once(spark):
+    txs = [(f"T{k:04d}", "SIN-REF", 1 + k % 5, k % 9) for k in range(300)]
+    exps = [(f"E{k:04d}", "SIN-REF", 1 + k % 7, k % 9) for k in range(200)]
+    bank, expected = frames(spark, txs, exps)
+    found, sets = matching.by_reference(matching.flat_bank(bank), matching.flat_expected(expected))
+    assert found.count() == 300 and "candidatos" not in found.columns
+    assert [(r["conjunto"], len(r["candidatos"])) for r in sets.collect()] == [("R|SIN-REF", 200)]
+    got = sorted((r["tx_id"], r["fase"], r["outcome"], [r["exp_id"]] if r["outcome"] != "ambigua" else r["candidatos"]) for r in rec.outcomes(bank, expected, Config("c")).collect())
+    assert got == sequential(txs, exps, 3)
 
 
 def test_states_findings_and_audit(spark):
