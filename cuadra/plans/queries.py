@@ -6,8 +6,13 @@ and bank rows with dropped rows, shifted dates, changed amounts and blank refere
 
 from __future__ import annotations
 
+import datetime as dt
+import io
 import uuid
+import zipfile
+from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -258,7 +263,10 @@ def _sheet(name: str):
 
 
 # A table written as files of a format and read back; readers keep a copy of what they parse, so the files can go.
-_GOOD = "o_orderkey % 8 < 5"
+#: Rows of a file, well under the readers' caps.
+_A_FILE = 50_000
+# the texts above without those that can't be read
+_GOOD_DATE, _GOOD_AMOUNT = (t.replace("o_orderkey % 8", "o_orderkey % 5") for t in (_DATE, _AMOUNT))
 
 
 def _files(spark: SparkSession) -> str:
@@ -266,9 +274,9 @@ def _files(spark: SparkSession) -> str:
 
 
 def csv_bank(spark, sf_dir):
-    cells = _sql(spark, sf_dir, f"SELECT {_DATE} AS `Fecha Operacion`, {_AMOUNT} AS importe, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE ' clp ' END AS moneda, '  Pago,  cliente ; ' || CAST(o_orderkey AS STRING) AS glosa, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE ' fac-' || CAST(o_orderkey AS STRING) || ' ' END AS folio, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey + 10000000 AS STRING) ELSE '' END AS cuenta FROM orders WHERE {_GOOD}")
+    cells = _sql(spark, sf_dir, f"SELECT {_GOOD_DATE} AS `Fecha Operacion`, {_GOOD_AMOUNT} AS importe, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE ' clp ' END AS moneda, '  Pago,  cliente ; ' || CAST(o_orderkey AS STRING) AS glosa, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE ' fac-' || CAST(o_orderkey AS STRING) || ' ' END AS folio, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey + 10000000 AS STRING) ELSE '' END AS cuenta FROM orders")
     folder = _files(spark)
-    cells.write.csv(folder, header=True, sep=";", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    cells.write.option("maxRecordsPerFile", _A_FILE).csv(folder, header=True, sep=";", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     rows = model.normalize_bank(tabular.read_bank(spark, folder, CFG, "csv"))
     delete(spark, folder)
     return rows.select(F.col("fecha_operacion.valor").alias("fecha"), F.col("monto.valor").cast("long").alias("monto"), "moneda", F.col("descripcion.valor").alias("descripcion"), F.col("referencia.valor").alias("referencia"), "cuenta_mask", "origen", F.col("monto.confianza.score").alias("score"))
@@ -277,7 +285,7 @@ def csv_bank(spark, sf_dir):
 def csv_expected(spark, sf_dir):
     cells = _sql(spark, sf_dir, _EXP).selectExpr("exp_id AS id", "date_format(exp_fecha, 'dd/MM/yyyy') AS fecha", "CAST(exp_monto AS STRING) AS monto", "'usd' AS moneda", "'Factura   de ' || k AS descripcion", "lower(exp_ref) AS referencia", "CASE WHEN k % 4 = 0 THEN '' ELSE '  Cliente  ' || k END AS tercero")
     folder = _files(spark)
-    cells.write.csv(folder, header=True, emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    cells.write.option("maxRecordsPerFile", _A_FILE).csv(folder, header=True, emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     rows = model.normalize_expected(tabular.read_expected(spark, folder, CFG, "csv"))
     delete(spark, folder)
     return rows.select("id", F.col("fecha.valor").alias("fecha"), F.col("monto.valor").cast("long").alias("monto"), "moneda", F.col("descripcion.valor").alias("descripcion"), F.col("referencia.valor").alias("referencia"), F.col("tercero.valor").alias("tercero"), F.round("tercero.confianza.score", 6).alias("score"))
@@ -285,21 +293,76 @@ def csv_expected(spark, sf_dir):
 
 def xml_bank(spark, sf_dir):
     node = f"'<movimiento><fecha_operacion>' || {_DD} || '/' || {_MM} || '/' || {_YY} || '</fecha_operacion><monto>' || {_DOTS} || '</monto><descripcion> Pago  ' || CAST(o_orderkey AS STRING) || '</descripcion><referencia>fac-' || CAST(o_orderkey AS STRING) || '</referencia></movimiento>'"
-    nodes = _sql(spark, sf_dir, f"SELECT o_orderkey % 8 AS cuenta, {node} AS nodo FROM orders")
-    # a file for each account; in a group of files of some thousand movements
-    files = nodes.groupBy("cuenta").agg(F.array_join(F.collect_list("nodo"), "").alias("t"))
+    nodes = _sql(spark, sf_dir, f"SELECT o_orderkey % 8 AS cuenta, floor(o_orderkey / 8000) AS archivo, {node} AS nodo FROM orders")
+    # files of up to a thousand movements of an account
+    files = nodes.groupBy("cuenta", "archivo").agg(F.array_join(F.collect_list("nodo"), "").alias("t"))
     folder = _files(spark)
-    files.select(F.concat(F.lit('<cartola banco=" Uno " cuenta="9000'), F.col("cuenta").cast("string"), F.lit('">'), "t", F.lit("</cartola>")).alias("value"), "cuenta").repartition(8, "cuenta").write.partitionBy("cuenta").text(folder)
-    rows = model.normalize_bank(xml.read_bank(spark, f"{folder}/*/part-*", CFG))
+    text = F.concat(F.lit('<cartola banco=" Uno " cuenta="9000'), F.col("cuenta").cast("string"), F.lit('">'), "t", F.lit("</cartola>"))
+    files.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    rows = model.normalize_bank(xml.read_bank(spark, folder, CFG))
     delete(spark, folder)
     return rows.select("banco", "cuenta_mask", F.col("fecha_operacion.valor").alias("fecha"), F.col("monto.valor").cast("long").alias("monto"), "moneda", F.col("descripcion.valor").alias("descripcion"), F.col("referencia.valor").alias("referencia"), F.col("monto.confianza.score").alias("score"))
 
 
+def _workbook(header: list[str], rows: list[list]) -> bytes:
+    """A workbook whose second sheet holds the rows: texts shared, numbers as they are, days as styled numbers."""
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    texts: dict[str, int] = {}
+
+    def cell(v) -> str:
+        if isinstance(v, dt.date):
+            return f'<c s="1"><v>{(v - dt.date(1899, 12, 30)).days}</v></c>'
+        return f"<c><v>{v}</v></c>" if isinstance(v, int) else f'<c t="s"><v>{texts.setdefault(v, len(texts))}</v></c>'
+
+    sheet = lambda lines: f"<worksheet {ns}><sheetData>" + "".join(f'<row r="{k}">{"".join(map(cell, r))}</row>' for k, r in enumerate(lines, 1)) + "</sheetData></worksheet>"
+    parts = {
+        "xl/workbook.xml": f'<workbook {ns} xmlns:r="{rel}"><sheets><sheet name="Notas" r:id="a"/><sheet name="Datos" r:id="b"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="a" Target="worksheets/sheet1.xml"/><Relationship Id="b" Target="/xl/worksheets/sheet2.xml"/></Relationships>',
+        "xl/styles.xml": f'<styleSheet {ns}><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>',
+        "xl/worksheets/sheet1.xml": sheet([["nota", "fecha"], ["x", "y"]]),
+        "xl/worksheets/sheet2.xml": sheet([header, *rows]),
+    }
+    parts["xl/sharedStrings.xml"] = f"<sst {ns}>" + "".join(f"<si><t>{escape(t)}</t></si>" for t in texts) + "</sst>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        for name, body in parts.items():
+            book.writestr(name, body)
+    return out.getvalue()
+
+
+def _workbooks(cells: DataFrame, header: list[str]) -> DataFrame:
+    """(path, content): a workbook for each value of `libro`, a bounded number of rows, in order of `k`."""
+
+    def build(pdf):
+        rows = pdf.sort_values("k")[header].values.tolist()
+        return pd.DataFrame({"path": [f"libros/{pdf['libro'].iat[0]}.xlsx"], "content": [_workbook(header, rows)]})
+
+    return cells.groupBy("libro").applyInPandas(build, "path string, content binary")
+
+
+_BOOK = "CAST(floor(o_orderkey / 4000) AS BIGINT)"
+
+
+def xlsx_bank(spark, sf_dir):
+    cells = _sql(spark, sf_dir, f"SELECT {_BOOK} AS libro, o_orderkey AS k, {_D} AS fecha, {_N} AS importe, 'Pago  ' || CAST(o_orderkey % 50 AS STRING) AS glosa, CASE WHEN o_orderkey % 5 = 0 THEN ' ' ELSE ' fac-' || CAST(o_orderkey AS STRING) END AS folio, 'usd' AS moneda FROM orders")
+    books = _workbooks(cells, ["fecha", "importe", "glosa", "folio", "moneda"])
+    rows = model.normalize_bank(tabular.bank_of(tabular.xlsx_table(books, "libros", "banco", tabular.BANK_ALIASES, CFG), CFG, "xlsx"))
+    return rows.select(F.col("archivo_origen").alias("archivo"), F.col("fila_origen").alias("fila"), F.col("fecha_operacion.valor").alias("fecha"), F.col("monto.valor").cast("long").alias("monto"), "moneda", F.col("descripcion.valor").alias("descripcion"), F.col("referencia.valor").alias("referencia"), "origen", F.col("monto.confianza.score").alias("score"))
+
+
+def xlsx_expected(spark, sf_dir):
+    cells = _sql(spark, sf_dir, f"SELECT {_BOOK} AS libro, o_orderkey AS k, 'E' || CAST(o_orderkey AS STRING) AS id, {_DD} || '/' || {_MM} || '/' || {_YY} AS fecha, {_DOTS} AS monto, 'Factura' AS detalle, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'fac-' || CAST(o_orderkey % 97 AS STRING) END AS referencia, CASE WHEN o_orderkey % 4 = 0 THEN ' ' ELSE 'Cliente ' || CAST(o_orderkey % 9 AS STRING) END AS cliente FROM orders")
+    books = _workbooks(cells, ["id", "fecha", "monto", "detalle", "referencia", "cliente"])
+    rows = model.normalize_expected(tabular.expected_of(tabular.xlsx_table(books, "libros", "esperados", tabular.EXPECTED_ALIASES, CFG), CFG, "xlsx"))
+    return rows.select("id", F.col("fecha.valor").alias("fecha"), F.col("monto.valor").cast("long").alias("monto"), "moneda", F.col("descripcion.valor").alias("descripcion"), F.col("referencia.valor").alias("referencia"), F.col("tercero.valor").alias("tercero"), F.round("tercero.confianza.score", 6).alias("score"))
+
+
 def ingestion_events(spark, sf_dir):
     folder = _files(spark)
     cells = _sql(spark, sf_dir, "SELECT c_nationkey, '05/01/2026' AS fecha, CAST(c_custkey AS STRING) AS monto, c_name AS glosa FROM customer", "customer")
     cells.repartition(1).write.partitionBy("c_nationkey").csv(folder, header=True, sep="\t")
-    raw = tabular.raw_table(spark, f"{folder}/*/part-*", "banco", tabular.csv_records, tabular.BANK_ALIASES, CFG)
+    raw = tabular.raw_table(spark, f"{folder}/*/part-*", "csv", "banco", tabular.BANK_ALIASES, CFG)
     delete(spark, folder)
     seen = notes.events(raw, notes.MESSAGES["csv", "banco"])
     return seen.select("mensaje", F.get_json_object("detalles", "$.delimiter").alias("delimiter")).groupBy("mensaje", "delimiter").agg(F.count("*").alias("archivos"))
@@ -416,16 +479,20 @@ QUERIES = {
     "report_hallazgos": (_sheet("Hallazgos"), _with(_P2, "SELECT id AS hallazgo_id, severidad, tipo, mensaje, entidad, entidad_id, detalles AS detalles_json FROM finding")),
     "csv_bank": (csv_bank, f"""SELECT p.fecha, m.monto, 'CLP' AS moneda, 'Pago, cliente ; ' || o_orderkey AS descripcion, CASE WHEN o_orderkey % 5 <> 0 THEN 'FAC-' || o_orderkey END AS referencia,
       CASE WHEN o_orderkey % 2 = 0 THEN '****' || right((o_orderkey + 10000000)::VARCHAR, 4) END AS cuenta_mask, 'csv' AS origen, 0.9::DOUBLE AS score
-      FROM (__FECHA__) p JOIN (__MONTO__) m USING (o_orderkey) WHERE {_GOOD}"""),
+      FROM (__FECHA__) p JOIN (__MONTO__) m USING (o_orderkey)"""),
     "csv_expected": (csv_expected, f"""SELECT exp_id AS id, exp_fecha AS fecha, exp_monto AS monto, 'USD' AS moneda, 'Factura de ' || k AS descripcion, upper(exp_ref) AS referencia, CASE WHEN k % 4 <> 0 THEN 'Cliente ' || k END AS tercero,
       CASE WHEN k % 4 <> 0 THEN 0.7::DOUBLE END AS score FROM ({_EXP})"""),
+    "xlsx_bank": (xlsx_bank, f"""SELECT {_BOOK} || '.xlsx' AS archivo, (row_number() OVER (PARTITION BY {_BOOK} ORDER BY o_orderkey) + 1)::BIGINT AS fila, {_D} AS fecha, {_N} AS monto, 'USD' AS moneda, 'Pago ' || (o_orderkey % 50) AS descripcion,
+      CASE WHEN o_orderkey % 5 <> 0 THEN 'FAC-' || o_orderkey END AS referencia, 'xlsx' AS origen, 0.9::DOUBLE AS score FROM orders"""),
+    "xlsx_expected": (xlsx_expected, f"""SELECT 'E' || o_orderkey AS id, {_D} AS fecha, {_N} AS monto, 'CLP' AS moneda, 'Factura' AS descripcion, CASE WHEN o_orderkey % 5 <> 0 THEN 'FAC-' || (o_orderkey % 97) END AS referencia,
+      CASE WHEN o_orderkey % 4 <> 0 THEN 'Cliente ' || (o_orderkey % 9) END AS tercero, CASE WHEN o_orderkey % 4 <> 0 THEN 0.7::DOUBLE END AS score FROM orders"""),
     "xml_bank": (xml_bank, f"SELECT 'Uno' AS banco, {_D} AS fecha, {_N} AS monto, 'CLP' AS moneda, 'Pago ' || o_orderkey AS descripcion, 'FAC-' || o_orderkey AS referencia, 0.95::DOUBLE AS score, '*' || '000' || (o_orderkey % 8) AS cuenta_mask FROM orders"),
     "ingestion_events": (ingestion_events, "SELECT 'Detectado delimitador CSV' AS mensaje, chr(9) AS delimiter, count(DISTINCT c_nationkey) AS archivos FROM customer"),
     "pdf_line_parse": (pdf_line_parse, f"""SELECT o_orderkey AS linea, {_D} AS fecha, {_N} AS monto, 'Pago cliente' || CASE WHEN o_orderkey % 2 = 0 THEN ' fac-' || (o_orderkey + 10) ELSE '' END AS descripcion,
       CASE WHEN o_orderkey % 2 = 0 THEN 'FAC-' || (o_orderkey + 10) END AS referencia FROM orders WHERE o_orderkey % 7 <> 0"""),
 }
 # a file's cells are read like the texts of these two queries
-_PARSED = {"__FECHA__": QUERIES["parse_fecha"][1], "__MONTO__": QUERIES["parse_monto"][1]}
+_PARSED = {"__FECHA__": QUERIES["parse_fecha"][1].replace(_DATE, _GOOD_DATE), "__MONTO__": QUERIES["parse_monto"][1].replace(_AMOUNT, _GOOD_AMOUNT)}
 for _name, (_query, _text) in list(QUERIES.items()):
     for _mark, _inner in _PARSED.items():
         _text = _text.replace(_mark, _inner)

@@ -34,7 +34,8 @@ def default_extractor(content: bytes) -> list[str]:
         from pypdf import PdfReader
     except ImportError as e:
         raise ValueError("extraccion de texto PDF no disponible (instale pypdf o entregue un extractor)") from e
-    return [p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages]
+    # page by page, so that a cap ends the extraction
+    return (p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages)
 
 
 def pages(spark: SparkSession, path: str, extract: Extractor, caps: dict[str, int] | None = None) -> DataFrame:

@@ -1,17 +1,14 @@
 """CSV and XLSX tables: one row per record with its number and its cells by normalized header.
 
-A path may name one file, a folder or a pattern; files are read in parallel, the records of one in order.
+A path may name one file, a folder or a pattern; files are read in parallel, delimited ones over RANGED bytes in ranges.
 """
 
 from __future__ import annotations
 
 import csv
-import datetime as dt
 import io
 import json
 import re
-import zipfile
-from xml.etree import ElementTree as ET
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +21,8 @@ from ..functions.identity import json_object, json_string, row_id
 from ..functions.mask import mask_account
 from ..operators.model import BANK, EXPECTED, plain, with_confidence
 from ..storage import cut
-from . import limits, notes
+from . import delimited, limits, notes, paths, xlsx
+from .delimited import delimiter_of
 
 #: Header aliases by field, in order of priority (fixed values).
 BANK_ALIASES = {
@@ -47,9 +45,9 @@ EXPECTED_ALIASES = {
 }
 REQUIRED = {"banco": ["fecha_operacion", "monto", "descripcion"], "esperados": ["fecha", "monto", "descripcion"]}
 RAW = "archivo string, fila long, celdas map<string,string>, n long, error string, nota string"
+#: Bytes above which a delimited file is read in ranges, by many tasks.
+RANGED = 64 * 2**20
 _SPACES = re.compile(r"\s+")
-_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
 def header_key(text: str | None) -> str:
@@ -57,114 +55,27 @@ def header_key(text: str | None) -> str:
     return _SPACES.sub(" ", (text or "").strip()).lower().replace(" ", "_")
 
 
-def delimiter_of(text: str) -> str:
-    """Sniffed from the first 4096 characters among comma, semicolon, tab and bar; a comma where that fails."""
-    try:
-        return csv.Sniffer().sniff(text[:4096], delimiters=",;\t|").delimiter
-    except csv.Error:
-        return ","
-
-
 def csv_records(content: bytes, required: list[list[str]], kind: str, note: dict):
-    """(row number, cells) of a CSV file, the header being row 1; records without any text are left out."""
-    text = content.decode("utf-8")
+    """(row number, cells, how many) of a CSV file, the header being row 1; records without any text are left out.
+
+    Bytes that aren't UTF-8 become replacement characters.
+    """
+    text = content.decode("utf-8", "replace")
     note["delimiter"] = delimiter_of(text)
-    reader = csv.DictReader(io.StringIO(text, newline=""), delimiter=note["delimiter"])
-    if not reader.fieldnames:
-        raise ValueError("CSV sin encabezados (fieldnames vacios)")
-    keys = {header_key(h): h for h in reader.fieldnames}
-    missing = [group[0] for group in required if not any(a in keys for a in group)]
-    if missing:
-        raise ValueError(f"CSV {kind} sin columnas requeridas: {', '.join(missing)}")
-    for k, row in enumerate(reader, start=2):
-        cells = {key: row.get(h) for key, h in keys.items()}
-        flat = [x for v in row.values() for x in (v if isinstance(v, list) else [v])]
-        if any((x or "").strip() for x in flat):
-            yield k, cells, len(row)
-
-
-def _sheet_rows(book: zipfile.ZipFile, part: str, shared: list[str], dates: set[int]):
-    """Cells of a sheet by row number, as text; dates as yyyy-mm-dd."""
-    for _, row in ET.iterparse(io.BytesIO(book.read(part)), events=("end",)):
-        if row.tag != f"{_MAIN}row":
-            continue
-        cells: dict[int, str] = {}
-        for place, c in enumerate(row.findall(f"{_MAIN}c")):
-            ref = re.match(r"[A-Z]+", c.get("r", ""))
-            at = place
-            if ref:
-                at = 0
-                for ch in ref[0]:
-                    at = at * 26 + ord(ch) - 64
-                at -= 1
-            kind, v = c.get("t", "n"), c.find(f"{_MAIN}v")
-            if kind == "inlineStr":
-                value = "".join(t.text or "" for t in c.iter(f"{_MAIN}t"))
-            elif v is None or v.text is None:
-                continue
-            elif kind == "s":
-                value = shared[int(v.text)]
-            elif kind == "b":
-                value = str(v.text == "1")
-            elif kind == "n":
-                number = float(v.text)
-                if int(c.get("s", 0)) in dates:
-                    value = str((dt.datetime(1899, 12, 30) + dt.timedelta(days=number)).date())
-                else:
-                    value = str(int(v.text)) if re.fullmatch(r"-?\d+", v.text) else str(number)
-            else:
-                value = v.text
-            cells[at] = value
-        yield int(row.get("r", 0)), cells
-        row.clear()
-
-
-def xlsx_sheets(content: bytes):
-    """(name, rows) of the sheets of a workbook in order."""
-    book = zipfile.ZipFile(io.BytesIO(content))
-    for name in book.namelist():
-        if name.endswith((".xml", ".rels")) and b"<!DOCTYPE" in book.read(name)[:2000]:
-            raise ValueError("XLSX con DOCTYPE no permitido")
-    shared = []
-    if "xl/sharedStrings.xml" in book.namelist():
-        shared = ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in ET.fromstring(book.read("xl/sharedStrings.xml")).findall(f"{_MAIN}si")]
-    dates: set[int] = set()
-    if "xl/styles.xml" in book.namelist():
-        styles = ET.fromstring(book.read("xl/styles.xml"))
-        own = {int(f.get("numFmtId")): re.sub(r'"[^"]*"|\[[^\]]*\]', "", f.get("formatCode", "")).lower() for f in styles.iter(f"{_MAIN}numFmt")}
-        formats = [int(x.get("numFmtId", 0)) for x in styles.findall(f"{_MAIN}cellXfs/{_MAIN}xf")]
-        dates = {i for i, f in enumerate(formats) if 14 <= f <= 22 or 27 <= f <= 36 or 50 <= f <= 58 or re.search("[dy]|m(?!m?:)", own.get(f, ""))}
-    rels = {r.get("Id"): r.get("Target") for r in ET.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
-    for sheet in ET.fromstring(book.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"):
-        target = rels[sheet.get(f"{_REL}id")]
-        part = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
-        yield sheet.get("name"), _sheet_rows(book, part, shared, dates)
-
-
-def xlsx_records(content: bytes, required: list[list[str]], kind: str, note: dict):
-    """Records of the first sheet whose first row has every required column."""
-    for name, rows in xlsx_sheets(content):
-        header = next(rows, None)
-        if header is None or header[0] != 1:
-            continue
-        keys = {header_key(v): at for at, v in header[1].items() if header_key(v)}
-        if not all(any(a in keys for a in group) for group in required):
-            continue
-        note["hoja"] = name
-        for k, cells in rows:
-            row = {key: cells.get(at) for key, at in keys.items()}
-            if any((v or "").strip() for v in cells.values()):
-                yield k, row, len(header[1])
-        return
-    raise ValueError(f"XLSX {kind} sin hoja con columnas requeridas: {', '.join(g[0] for g in required)}")
-
-
-def raw_table(spark: SparkSession, path: str, kind: str, reader, aliases: dict[str, list[str]], cfg: Config) -> DataFrame:
-    """Records of every file under a path, parsed once and written.
+    reader = csv.reader(io.StringIO(text, newline=""), delimiter=note["delimiter"])
+    header = delimited.Header(next(reader, []), required, kind, header_key)
+    for k, record in enumerate((r for r in reader if r), start=2):
+        if row := header.cells(record):
+            yield k, *row
+
+
+def csv_table(spark: SparkSession, path: str, kind: str, aliases: dict[str, list[str]], cfg: Config, ranged: int | None = None) -> DataFrame:
+    """Records of every delimited file under a path, parsed once and written.
 
     A file that can't be read gives a row with its error; one that goes over a cap is left there. What the
     reader noticed about a file is a row of its own with `nota`.
     """
+    ranged = RANGED if ranged is None else ranged
     required = [aliases[name] for name in REQUIRED[kind]]
     schema = pa.schema([("archivo", pa.string()), ("fila", pa.int64()), ("celdas", pa.map_(pa.string(), pa.string())), ("n", pa.int64()), ("error", pa.string()), ("nota", pa.string())])
     most = limits.caps(cfg, "max_tabular_rows", "max_tabular_cells")
@@ -174,12 +85,12 @@ def raw_table(spark: SparkSession, path: str, kind: str, reader, aliases: dict[s
 
     def read(batches):
         for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                name, rows, note, counter = name.rsplit("/", 1)[-1], [], {}, limits.Counter(**most)
+            for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                name, rows, note, counter = paths.relative(path, file), [], {}, limits.Counter(**most)
                 try:
-                    for k, cells, n in reader(content, required, kind, note):
+                    for k, cells, n in csv_records(content.as_py(), required, kind, note):
                         counter.add(max_tabular_rows=1, max_tabular_cells=n)
-                        rows.append((name, k, list(cells.items()), n, None, None))
+                        rows.append((name, k, cells, n, None, None))
                         if len(rows) == 5000:
                             yield batch_of(rows)
                             rows = []
@@ -190,7 +101,23 @@ def raw_table(spark: SparkSession, path: str, kind: str, reader, aliases: dict[s
                 if rows:
                     yield batch_of(rows)
 
-    return cut(spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, RAW))
+    files = spark.read.format("binaryFile").load(path)
+    small = cut(files.where(F.col("length") <= ranged).select("path", "content").mapInArrow(read, RAW))
+    if files.where(F.col("length") > ranged).select("length").isEmpty():
+        return small
+    return small.unionByName(delimited.raw_table(spark, path, kind, required, header_key, cfg, ranged))
+
+
+def raw_table(spark: SparkSession, path: str, format_: str, kind: str, aliases: dict[str, list[str]], cfg: Config) -> DataFrame:
+    """Records of CSV or XLSX files."""
+    if format_ == "csv":
+        return csv_table(spark, path, kind, aliases, cfg)
+    return xlsx_table(spark.read.format("binaryFile").load(path), path, kind, aliases, cfg)
+
+
+def xlsx_table(files: DataFrame, root: str, kind: str, aliases: dict[str, list[str]], cfg: Config) -> DataFrame:
+    """Records of workbooks given as (path, content)."""
+    return xlsx.raw_table(files, root, kind, [aliases[name] for name in REQUIRED[kind]], header_key, cfg)
 
 
 def pick(name: str, aliases: dict[str, list[str]]) -> Column:
@@ -265,21 +192,29 @@ def expected_rows(raw: DataFrame, cfg: Config, origin: str) -> DataFrame:
     )
 
 
-def _read(spark: SparkSession, path: str, cfg: Config, kind: str, side: str, aliases: dict[str, list[str]], audit: notes.Audit | None) -> DataFrame:
-    raw = raw_table(spark, path, side, csv_records if kind == "csv" else xlsx_records, aliases, cfg)
+def _checked(raw: DataFrame, cfg: Config, kind: str, side: str, audit: notes.Audit | None) -> DataFrame:
     notes.tell(raw, notes.MESSAGES[kind, side], audit)
     limits.check(raw, cfg, f"{kind.upper()} {side}")
     return raw.where("nota IS NULL")
 
 
-def read_bank(spark: SparkSession, path: str, cfg: Config, kind: str, audit: notes.Audit | None = None) -> DataFrame:
-    """Bank rows of a CSV or XLSX file; the first bad row fails the read."""
-    typed = bank_rows(_read(spark, path, cfg, kind, "banco", BANK_ALIASES, audit), cfg, kind, strict_second_date=kind == "xlsx")
+def bank_of(raw: DataFrame, cfg: Config, kind: str, audit: notes.Audit | None = None) -> DataFrame:
+    """Bank rows of raw records; the first bad row fails the read."""
+    typed = cut(bank_rows(_checked(raw, cfg, kind, "banco", audit), cfg, kind, strict_second_date=kind == "xlsx"))
     first_error(typed, "Fila")
     return plain(typed, BANK)
 
 
-def read_expected(spark: SparkSession, path: str, cfg: Config, kind: str, audit: notes.Audit | None = None) -> DataFrame:
-    typed = expected_rows(_read(spark, path, cfg, kind, "esperados", EXPECTED_ALIASES, audit), cfg, kind)
+def expected_of(raw: DataFrame, cfg: Config, kind: str, audit: notes.Audit | None = None) -> DataFrame:
+    typed = cut(expected_rows(_checked(raw, cfg, kind, "esperados", audit), cfg, kind))
     first_error(typed, "Fila")
     return plain(typed, EXPECTED)
+
+
+def read_bank(spark: SparkSession, path: str, cfg: Config, kind: str, audit: notes.Audit | None = None) -> DataFrame:
+    """Bank rows of CSV or XLSX files."""
+    return bank_of(raw_table(spark, path, kind, "banco", BANK_ALIASES, cfg), cfg, kind, audit)
+
+
+def read_expected(spark: SparkSession, path: str, cfg: Config, kind: str, audit: notes.Audit | None = None) -> DataFrame:
+    return expected_of(raw_table(spark, path, kind, "esperados", EXPECTED_ALIASES, cfg), cfg, kind, audit)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from xml.etree import ElementTree as ET
+import io
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,22 +15,54 @@ from ..functions.identity import json_object, json_string, row_id
 from ..functions.mask import mask_account
 from ..operators.model import BANK, plain, with_confidence
 from ..storage import cut
-from . import limits, notes
+from . import limits, notes, paths, sax
 from .tabular import first_error
 
 FIELDS = ["fecha_operacion", "fecha_contable", "monto", "moneda", "descripcion", "referencia"]
 
 
-def movements(content: bytes):
-    """(bank, account, index from 1, texts by field); document types and entities are refused."""
-    if b"<!DOCTYPE" in content or b"<!ENTITY" in content:
-        raise ValueError("XML invalido: DOCTYPE o entidades no permitidas")
-    try:
-        root = ET.fromstring(content)
-    except ET.ParseError as e:
-        raise ValueError(f"XML invalido: {e}") from e
-    for k, node in enumerate(root.findall(".//movimiento"), start=1):
-        yield root.get("banco", ""), root.get("cuenta", ""), k, {f: (found.text or "") if (found := node.find(f)) is not None else "" for f in FIELDS}
+def movements(content: bytes) -> Iterator[tuple[str, str, int, dict[str, str]]]:
+    """(bank, account, index from 1, texts by field), while the file is read; document types and entities are refused.
+
+    A movement's fields are its own children; of several of one name the first counts, up to its first child.
+    """
+    root: dict[str, str] = {}
+    open_: list[dict] = []
+    stack: list[tuple[str, dict | None]] = []
+    done: list[dict] = []
+    seen = 0
+
+    def start(name, attributes):
+        nonlocal seen
+        if not stack:
+            root.update(attributes)
+        parent = stack[-1] if stack else None
+        # text is taken up to the first child
+        if parent and parent[1] is not None and parent[1]["at"] == len(stack):
+            parent[1]["field"] = None
+        if parent and parent[0] == "movimiento" and open_ and open_[-1]["depth"] == len(stack) and name in FIELDS and name not in open_[-1]["texts"]:
+            open_[-1]["texts"][name] = []
+            open_[-1].update(field=name, at=len(stack) + 1)
+        if name == "movimiento" and stack:
+            seen += 1
+            open_.append({"k": seen, "texts": {}, "field": None, "at": 0, "depth": len(stack) + 1})
+        stack.append((name, open_[-1] if open_ else None))
+
+    def end(name):
+        stack.pop()
+        if open_ and open_[-1]["at"] == len(stack) + 1:
+            open_[-1].update(field=None, at=0)
+        if open_ and open_[-1]["depth"] == len(stack) + 1:
+            done.append(open_.pop())
+
+    def text(t):
+        if open_ and open_[-1]["field"] and open_[-1]["at"] == len(stack):
+            open_[-1]["texts"][open_[-1]["field"]].append(t)
+
+    for _ in sax.feed(io.BytesIO(content), start, end, text):
+        for m in done:
+            yield root.get("banco", ""), root.get("cuenta", ""), m["k"], {f: "".join(m["texts"].get(f, ())) for f in FIELDS}
+        done.clear()
 
 
 def read_bank(spark: SparkSession, path: str, cfg: Config, audit: notes.Audit | None = None) -> DataFrame:
@@ -38,19 +71,24 @@ def read_bank(spark: SparkSession, path: str, cfg: Config, audit: notes.Audit |
     most = limits.caps(cfg, "max_xml_movimientos")
     ddl = ", ".join(f"{n} {'long' if n == 'fila' else 'string'}" for n in names)
 
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n == "fila" else pa.string()) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
+
     def read(batches):
         for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                name, rows, counter = name.rsplit("/", 1)[-1], [], limits.Counter(**most)
+            for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                name, rows, counter = paths.relative(path, file), [], limits.Counter(**most)
                 try:
-                    for bank, account, k, texts in movements(content):
+                    for bank, account, k, texts in movements(content.as_py()):
                         counter.add(max_xml_movimientos=1)
                         rows.append((name, k, bank, account, *texts.values(), None, None))
-                    rows.append((name, 0, *[None] * 9, f'{{"movimientos":{len(rows)}}}'))
+                        if len(rows) == 5000:
+                            yield batch_of(rows)
+                            rows = []
+                    rows.append((name, 0, *[None] * 9, f'{{"movimientos":{counter.seen["max_xml_movimientos"]}}}'))
                 except (ValueError, limits.Exceeded) as e:
-                    rows = [(name, 0, *[None] * 8, str(e), None)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n == "fila" else pa.string()) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
+                    rows.append((name, 0, *[None] * 8, str(e), None))
+                yield batch_of(rows)
 
     raw = cut(spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, ddl))
     notes.tell(raw, notes.MESSAGES["xml", "banco"], audit)
@@ -65,7 +103,7 @@ def read_bank(spark: SparkSession, path: str, cfg: Config, audit: notes.Audit |
     t = raw.select("archivo", "fila", error.alias("error"), day.alias("day"), second.alias("second"), value.alias("value"), parse.amount_text(c("monto")).alias("text"), currency.alias("currency"), parse.norm_text(c("descripcion")).alias("descr"), F.nullif(parse.norm_reference(c("referencia")), F.lit("")).alias("ref"), parse.norm_text(c("banco")).alias("bank"), parse.norm_text(c("cuenta")).alias("account"))
     js = json_string
     data = json_object(fecha_operacion=js(c("day").cast("string")), fecha_contable=js(c("second").cast("string")), monto=js(c("text")), moneda=js(c("currency")), descripcion=js(c("descr")), referencia=js(c("ref")))
-    typed = t.select(
+    typed = cut(t.select(
         row_id("TX-", c("archivo"), data, idx=c("fila")).alias("id"),
         F.when(c("account") != "", mask_account(c("account"))).alias("cuenta_mask"),
         F.nullif(c("bank"), F.lit("")).alias("banco"),
@@ -82,6 +120,6 @@ def read_bank(spark: SparkSession, path: str, cfg: Config, audit: notes.Audit |
         F.lit("xml").alias("origen"),
         c("fila").alias("fila_origen"),
         "archivo", "fila", "error",
-    )
+    ))
     first_error(typed, "Movimiento XML")
     return plain(typed, BANK)
