@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +49,25 @@ def columns(docs: DataFrame, **kinds: str) -> DataFrame:
 def few(small: DataFrame, most: int = 1_000_000) -> DataFrame:
     """Mark a materialized frame for broadcast if it has at most `most` (short) rows; else leave it to a shuffle."""
     return F.broadcast(small) if small.limit(most + 1).count() <= most else small
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches cut smaller, so that few texts at a time are Python objects."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+def freed(run: Callable) -> Callable:
+    """A function for mapInArrow that hands memory back to the system at its end; its worker lives on beside later stages."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return wrapped

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ._bytes import utf8, word_hashes
-from ._common import columns, count_words, cut, few, table
+from ._common import columns, count_words, cut, few, freed, table
 
 #: Bits of a parity sketch, at least, and for each difference that a linked set may have: unrelated sets stay apart at any size.
 SKETCH, SKETCH_EACH = 2048, 8
@@ -233,7 +233,7 @@ def summarize(docs: DataFrame, n: int, num: int, den: int, plan: list[tuple[int,
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     ddl = "doc_id long, n_shingles long, f1 long, f2 long, entries array<long>, sketch binary"
-    return docs.mapInArrow(run, ddl)
+    return docs.mapInArrow(freed(run), ddl)
 
 
 def _linked(x: set, y: set, num: int, den: int) -> bool:

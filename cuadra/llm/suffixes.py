@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytes import utf8, word_edges, word_hashes
-from ._common import columns, cut, table
+from ._common import columns, cut, freed, slices, table
 
 LENGTH, GRAM = 400, 128
 #: Bytes from which on a repeated passage is reported by op9 (fewer than nearly all 51 words of prose have), and of its anchors.
@@ -241,7 +241,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
             h, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
-    seen = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    seen = docs.select("text").mapInArrow(freed(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     seen = cut(seen)
     n_kinds, n_all, n_hot = seen.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") > hot).cast("int")), F.lit(0))).first()
     empty = "key long, doc_id long, start long, end long, shorter boolean"
@@ -364,7 +364,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
         out = pd.concat([x for x in (out, known) if len(x)] or [out])
         return out.astype({"key": "int64", "doc_id": "Int64", "start": "int64", "end": "int64", "shorter": "bool"}).drop_duplicates()
 
-    runs = docs.select("key", "doc_id", "text").mapInArrow(sort, "part int, run long, seq int, shared int, rest binary, b_shared int, b_rest binary, key long, doc_id long, at long")
+    runs = docs.select("key", "doc_id", "text").mapInArrow(freed(sort), "part int, run long, seq int, shared int, rest binary, b_shared int, b_rest binary, key long, doc_id long, at long")
     return runs.groupBy("part").applyInPandas(combine, empty)
 
 
@@ -381,7 +381,7 @@ def word_spans(docs: DataFrame, words: int, hot: int = HOT) -> DataFrame:
 
     length = TOKEN * words
     rows = docs.select("key", "doc_id", "text").where(F.octet_length("text") >= 2 * words - 1)
-    found = spans(rows.mapInArrow(tokenize, "key long, doc_id long, text binary"), length, TOKEN * min(GRAM_WORDS, words), hot)
+    found = spans(rows.mapInArrow(freed(tokenize), "key long, doc_id long, text binary"), length, TOKEN * min(GRAM_WORDS, words), hot)
     first, last = F.ceil(F.col("start") / TOKEN), F.floor((F.col("end") - length) / TOKEN)
     return found.select("key", "doc_id", first.cast("long").alias("start"), (last + words).cast("long").alias("end")).where(F.col("end") - F.col("start") >= words)
 
@@ -429,7 +429,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", n_repeated long" * bool(passage) + ", clean_text string" * with_text + "".join(f", `{c}` {kind}" for c, kind in kinds_of.items())
 
     def apply(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text, cuts in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
@@ -457,7 +457,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
             cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols, *(batch.column(c) for c in kinds_of)], names=[*names, *kinds_of])
 
-    return joined.select("doc_id", "text", "spans", *kinds_of).mapInArrow(apply, ddl)
+    return joined.select("doc_id", "text", "spans", *kinds_of).mapInArrow(freed(apply), ddl)
 
 
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
