@@ -70,7 +70,7 @@ def main(argv: list[str] | None = None) -> int:
             return 0 if result["ok"] else KIND_CODES.get(result["error_type"], KIND_CODES["ingestion"])
         mask = load(args.config).mask_por_defecto if args.mask is None else args.mask
         document = plans.run(_spark(args.log_level), args.config, args.bank, args.expected, args.out, mask=mask, dry_run=args.dry_run, enable_ocr=args.enable_ocr, **caps)
-        print(json.dumps({"run_id": document["run_id"], "matches": len(document["matches"]), "hallazgos": len(document["hallazgos"])}))
+        print(json.dumps({"run_id": document["run_id"], **{k: document.counts[k] for k in ("matches", "hallazgos")}}))
         return 0
     except Exception as error:
         category, code = classify(error)

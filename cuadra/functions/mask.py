@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,11 +23,10 @@ def mask_account(c: Column) -> Column:
 def mask_text(c: Column) -> Column:
     """Mask national ids (7 to 12 digits, dash, check digit), then runs of 10 to 20 digits but for their last four."""
     out = F.regexp_replace(c, r"\b[0-9]{6,11}([0-9]-[0-9kK])\b", "***$1")
-    # a digit is starred if it stands at place i of a run that goes on for four digits or more, 10 to 20 in all
-    places = [rf"(?<=\b[0-9]{{{i}}})[0-9](?=[0-9]{{{max(4, 9 - i)},{19 - i}}}\b)" for i in range(16)]
-    masked = F.regexp_replace(out, reduce(lambda a, b: f"{a}|{b}", places), "*")
-    # few texts have such a run, and to look for one takes a short pattern
-    return F.when(out.rlike(r"\b[0-9]{10,20}\b"), masked).otherwise(out)
+    # one short pattern for each length of run that the text has; most texts have none
+    found = F.regexp_extract_all(out, F.lit(r"\b[0-9]{10,20}\b"), F.lit(0))
+    starred = lambda t, n: F.regexp_replace(t, F.concat(F.lit(r"\b[0-9]{"), n.cast("string"), F.lit(r"}([0-9]{4})\b")), F.concat(F.repeat(F.lit("*"), n), F.lit("$1")))
+    return F.aggregate(F.array_distinct(F.transform(found, lambda r: F.length(r) - 4)), out, starred)
 
 
 def safe_cell(c: Column) -> Column:

@@ -6,6 +6,11 @@ import json
 import re
 from typing import Any
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.identity import json_list, json_object, json_string
+
 SCHEMA_VERSION = "1.0.0"
 SEMVER = re.compile(r"(0|[1-9]\d*)\.(0|[1-9]\d*)\.(0|[1-9]\d*)")
 ENTITIES = {"banco", "esperado", "match", "sistema"}
@@ -97,3 +102,24 @@ def validate_for_this_version(payload: dict[str, Any]) -> dict[str, Any]:
 def canonical(payload: dict[str, Any]) -> str:
     """ASCII, sorted keys, no spaces, a line feed at the end."""
     return json.dumps(payload, ensure_ascii=True, sort_keys=True, separators=(",", ":")) + "\n"
+
+
+def faults(matches: DataFrame, findings: DataFrame) -> int:
+    """How many rows of a run's frames break the contract of the producer; each id is in one match at most elsewhere."""
+    blank = lambda kinds, names: F.coalesce(*(F.when(F.coalesce(F.length(c), F.lit(0)) == 0, True) for c in names if kinds[c][0] is str and kinds[c][2]), F.lit(False))
+    lists = [c for c, (kind, _, least) in _MATCH.items() if kind is list and least]
+    bad = blank(_MATCH, _MATCH) | F.col("score").isNull() | F.col("bloqueado_por_confianza").isNull()
+    for c in lists:
+        bad = bad | (F.coalesce(F.size(c), F.lit(0)) == 0) | F.exists(c, lambda x: x.isNull())
+    bad_finding = blank(_FINDING, _FINDING) | F.col("detalles").isNull() | ~F.col("entidad").isin(*sorted(ENTITIES))
+    return sum(frame.agg(F.count_if(F.coalesce(wrong, F.lit(True)))).first()[0] for frame, wrong in ((matches, bad), (findings, bad_finding)))
+
+
+def lines(matches: DataFrame, findings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, linea) of both lists: each item as `canonical` writes it."""
+    js, c = json_string, F.col
+    truth = F.when(c("bloqueado_por_confianza"), F.lit("true")).otherwise(F.lit("false"))
+    texts = {k: js(c(k)) for k in ("id", "estado", "regla", "explicacion")}
+    m = json_object(**texts, score=c("score").cast("string"), bloqueado_por_confianza=truth, transacciones_bancarias=json_list(c("transacciones_bancarias")), movimientos_esperados=json_list(c("movimientos_esperados")))
+    h = json_object(**{k: js(c(k)) for k in ("id", "severidad", "tipo", "mensaje", "entidad", "entidad_id")}, detalles=c("detalles"))
+    return matches.select("id", m.alias("linea")), findings.select("id", h.alias("linea"))

@@ -19,14 +19,15 @@ from ..functions.mask import report_cell
 FIXED_TIME = (2000, 1, 1, 0, 0, 0)
 
 
-def tables(bank: DataFrame, expected: DataFrame, matches: DataFrame, findings: DataFrame, cfg: Config, run_id: str, mask: bool) -> dict[str, DataFrame]:
-    """Name to table, each in order of id."""
+def tables(bank: DataFrame, expected: DataFrame, matches: DataFrame, findings: DataFrame, cfg: Config, run_id: str, mask: bool, known: list[int] | None = None) -> dict[str, DataFrame]:
+    """Name to table, each in order of id. known: how many rows the four frames have, where that is known."""
     cell = lambda c: report_cell(c.cast("string"), mask)
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     c = F.col
     counts = [("Transacciones (banco)", bank), ("Movimientos (esperados)", expected), ("Matches", matches), ("Hallazgos", findings)]
-    summary = bank.sparkSession.createDataFrame([(1, "Run ID", run_id), (2, "Cliente", cfg.cliente), (7, "Mask", str(mask))], "k int, Campo string, Valor string")
-    for k, (name, frame) in enumerate(counts, start=3):
+    told = [(k, name, str(n)) for k, ((name, _), n) in enumerate(zip(counts, known, strict=True), start=3)] if known else []
+    summary = bank.sparkSession.createDataFrame([(1, "Run ID", run_id), (2, "Cliente", cfg.cliente), (7, "Mask", str(mask)), *told], "k int, Campo string, Valor string")
+    for k, (name, frame) in enumerate(() if known else counts, start=3):
         summary = summary.unionByName(frame.agg(F.count("*").cast("string").alias("Valor")).select(F.lit(k).alias("k"), F.lit(name).alias("Campo"), "Valor"))
     return {
         "Resumen": summary.orderBy("k").select("Campo", cell(c("Valor")).alias("Valor")),

@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Mapping
 from pathlib import Path
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import MODEL_VERSION, VERSION, Config, load, with_overrides
 from ..errors import ContractError, IngestionError, IoError, UserInputError, kind_of
+from ..functions.identity import json_object, json_string
 from ..operators.model import normalize_bank, normalize_expected
-from ..operators.reconcile import Result, invariant_violations, numbered, reconcile
+from ..operators.reconcile import invariant_violations, numbered, reconcile
 from ..sources import detector
-from . import contract, report
+from ..storage import delete
+from . import contract, report, store
 
 TEMPLATES = {
     "cartola_banco.csv": "fecha_operacion,fecha_contable,monto,moneda,descripcion,referencia,cuenta\n05/01/2026,05/01/2026,150000,CLP,\"Pago cliente\",FAC-1001,\n",
@@ -33,8 +36,8 @@ def file_hash(path: str | Path) -> str:
     return h.hexdigest()
 
 
-def fingerprint(config: Path, bank: Path, expected: Path, mask: bool, cfg: Config) -> dict[str, Any]:
-    return {"config_sha256": file_hash(config), "bank_sha256": file_hash(bank), "expected_sha256": file_hash(expected), "mask": mask, "permitir_ocr": cfg.permitir_ocr, "modelo_interno_version": MODEL_VERSION, "version": VERSION}
+def fingerprint(spark: SparkSession, config: Path, bank: Path, expected: Path, mask: bool, cfg: Config) -> dict[str, Any]:
+    return {"config_sha256": file_hash(config), "bank_sha256": store.digest(spark, bank), "expected_sha256": store.digest(spark, expected), "mask": mask, "permitir_ocr": cfg.permitir_ocr, "modelo_interno_version": MODEL_VERSION, "version": VERSION}
 
 
 def run_id_of(print_: dict[str, Any]) -> str:
@@ -42,25 +45,35 @@ def run_id_of(print_: dict[str, Any]) -> str:
 
 
 class AuditLog:
-    """Appends JSON lines with sorted keys; `seq` counts from 0 for each writer."""
+    """Appends JSON lines with sorted keys; `seq` counts from 0 for each writer. `files` for stores other than local ones."""
 
-    def __init__(self, path: str | Path, run_id: str | None):
-        self.path, self.run_id, self.seq = Path(path), run_id, 0
+    def __init__(self, path: str | Path, run_id: str | None, files: store.Files | None = None):
+        self.path, self.run_id, self.seq, self.files = path, run_id, 0, files
 
     def write(self, kind: str, message: str, details: dict[str, Any] | None = None) -> None:
-        self.write_all([(kind, message, details or {})])
+        event = {"seq": self.seq, "tipo": kind, "mensaje": message, "detalles": details or {}} | ({"run_id": self.run_id} if self.run_id else {})
+        self.append(json.dumps(event, ensure_ascii=True, sort_keys=True, separators=(",", ":")) + "\n")
+        self.seq += 1
 
-    def write_all(self, events: Iterable[tuple[str, str, dict[str, Any]]]) -> None:
-        with self.path.open("a", encoding="utf-8") as f:
-            for kind, message, details in events:
-                event = {"seq": self.seq, "tipo": kind, "mensaje": message, "detalles": details} | ({"run_id": self.run_id} if self.run_id else {})
-                f.write(json.dumps(event, ensure_ascii=True, sort_keys=True, separators=(",", ":")) + "\n")
-                self.seq += 1
+    def append(self, text: str) -> None:
+        if self.files is None or store.uri(self.path).startswith("file:"):
+            with open(str(self.path).removeprefix("file://"), "a", encoding="utf-8") as f:
+                f.write(text)
+        else:
+            self.files.put(self.path, [text], keep=True)
 
     def write_frame(self, events: DataFrame) -> None:
-        """Events in their order, streamed through the driver."""
-        rows = numbered(events).orderBy("seq").toLocalIterator()
-        self.write_all((r["tipo"], r["mensaje"], json.loads(r["detalles"])) for r in rows)
+        """Events in their order: rendered by all executors, appended once all are there."""
+        spark, js = events.sparkSession, json_string
+        rows = numbered(events, self.seq)
+        fixed = {"seq": F.col("seq").cast("string"), "tipo": js(F.col("tipo")), "mensaje": js(F.col("mensaje")), "detalles": F.col("detalles")}
+        line = json_object(**fixed, **({"run_id": js(F.lit(self.run_id))} if self.run_id else {}))
+        folder, n = store.ordered_parts(rows.select("seq", line.alias("linea")), "linea", "seq", separator="\n")
+        try:
+            (self.files or store.Files(spark)).put(self.path, [(folder, 0)], keep=True)
+        finally:
+            delete(spark, folder)
+        self.seq += n
 
 
 def _read(spark: SparkSession, cfg: Config, bank: Path, expected: Path, extract, recognize, audit=None) -> tuple[DataFrame, DataFrame]:
@@ -72,7 +85,7 @@ def _read(spark: SparkSession, cfg: Config, bank: Path, expected: Path, extract,
 def validate(spark: SparkSession, config: Path, bank: Path, expected: Path, *, enable_ocr: bool = False, extract=None, recognize=None, **caps: int | None) -> dict[str, Any]:
     """Read and normalize both sides in full and say whether they are fit for a run."""
     cfg = with_overrides(load(config), enable_ocr=enable_ocr, **caps)
-    wrong = [f"Formato no soportado para {flag}: {Path(p).name}. Soportados: {', '.join(sorted(known))}" for p, flag, known in ((bank, "--bank", detector.BANK_SUFFIXES), (expected, "--expected", detector.EXPECTED_SUFFIXES)) if detector.suffix_of(str(p)) not in known]
+    wrong = [f"Formato no soportado para {flag}: {Path(p).name}. Soportados: {', '.join(sorted(known))}" for p, flag, known in ((bank, "--bank", detector.BANK_SUFFIXES), (expected, "--expected", detector.EXPECTED_SUFFIXES)) if detector.kind_of(spark, str(p), known) not in known]
     if wrong:
         return {"ok": False, "errores": wrong, "error_type": "ingestion", "config": cfg.as_dict()}
     try:
@@ -88,23 +101,60 @@ def validate(spark: SparkSession, config: Path, bank: Path, expected: Path, *, e
     return {"ok": True, "config": cfg.as_dict(), "resumen": {"txs": n_b, "esperados": n_e}}
 
 
-def payload_of(result: Result, print_: dict[str, Any], run_id: str) -> dict[str, Any]:
-    matches = [r.asDict(recursive=True) for r in result.matches.orderBy("id").collect()]
-    findings = [r.asDict() | {"detalles": json.loads(r["detalles"])} for r in result.findings.orderBy("id").collect()]
-    return {"schema_version": contract.SCHEMA_VERSION, "run_id": run_id, "fingerprint": print_, "matches": matches, "hallazgos": findings}
+class Document(Mapping):
+    """A run's document: its lists stay in the store until they are asked for. `counts` has their lengths."""
+
+    def __init__(self, head: dict[str, Any], counts: dict[str, int], load: Callable[[], dict[str, Any]]):
+        self._head, self.counts, self._load, self._whole = head, counts, load, None
+
+    def __getitem__(self, key: str) -> Any:
+        if key in self._head:
+            return self._head[key]
+        self._whole = self._whole or self._load()
+        return self._whole[key]
+
+    def __iter__(self):
+        return iter(("schema_version", "run_id", "fingerprint", "matches", "hallazgos"))
+
+    def __len__(self) -> int:
+        return 5
 
 
-def run(spark: SparkSession, config: Path, bank: Path, expected: Path, out: Path, *, mask: bool = True, dry_run: bool = False, enable_ocr: bool = False, extract=None, recognize=None, **caps: int | None) -> dict[str, Any]:
-    """One run: run.json, audit.jsonl and, unless dry, the workbook. Returns the document."""
+def document_parts(matches: DataFrame, findings: DataFrame, head: dict[str, Any]) -> tuple[list, list[str], dict[str, int]]:
+    """What `Files.put` needs for the document, the folders in it, and the lengths of its lists."""
+    # an empty document is checked and written as a whole; the items go between its brackets
+    text = contract.canonical(contract.validate(head | {"matches": [], "hallazgos": []}))
+    before, _, rest = text.rpartition('"matches":[')
+    before, _, between = before.rpartition('"hallazgos":[')
+    m, h = contract.lines(matches, findings)
+    folders, counts = [], {}
+    for name, frame in (("hallazgos", h), ("matches", m)):
+        try:
+            folder, counts[name] = store.ordered_parts(frame, "linea", "id", "linea", separator=",")
+        except Exception:
+            for done in folders:
+                delete(matches.sparkSession, done)
+            raise
+        folders.append(folder)
+    return [before + '"hallazgos":[', (folders[0], 1), between + '"matches":[', (folders[1], 1), rest], folders, counts
+
+
+def run(spark: SparkSession, config: Path, bank: Path, expected: Path, out: Path, *, mask: bool = True, dry_run: bool = False, enable_ocr: bool = False, extract=None, recognize=None, index: bool = False, **caps: int | None) -> Mapping[str, Any]:
+    """One run: run.json, audit.jsonl and, unless dry, the workbook. Returns the document.
+
+    bank, expected and out may lie in any store, and the first two may be folders. The document and the audit trail are
+    rendered by all executors and appear once they are whole; with `index` there is a table of ids for `explain` too.
+    The workbook is one file of bounded rows and is written on the driver; only local stores get one.
+    """
     cfg = with_overrides(load(config), enable_ocr=enable_ocr, **caps)
-    print_ = fingerprint(config, bank, expected, mask, cfg)
-    run_id, out = run_id_of(print_), Path(out)
+    print_ = fingerprint(spark, config, bank, expected, mask, cfg)
+    run_id, out, files = run_id_of(print_), str(out), store.Files(spark)
     try:
-        out.mkdir(parents=True, exist_ok=True)
-        audit = AuditLog(out / "audit.jsonl", run_id)
-        audit.path.touch()
-    except OSError as e:
-        raise IoError("No se pudo preparar audit.jsonl.", {"archivo": str(out / "audit.jsonl")}, "Verifique permisos de escritura en --out.") from e
+        files.make_folder(out)
+        audit = AuditLog(f"{out}/audit.jsonl", run_id, files)
+        audit.append("")
+    except (OSError, Py4JJavaError) as e:
+        raise IoError("No se pudo preparar audit.jsonl.", {"archivo": f"{out}/audit.jsonl"}, "Verifique permisos de escritura en --out.") from e
     try:
         b, e = _read(spark, cfg, bank, expected, extract, recognize, audit.write)
     except IngestionError as error:
@@ -112,32 +162,60 @@ def run(spark: SparkSession, config: Path, bank: Path, expected: Path, out: Path
             audit.write("ingestion_limit", "Limite de ingesta excedido", error.details)
         raise
     b, e = b.cache(), e.cache()
+    folders: list[str] = []
     try:
         result = reconcile(b, e, cfg, run_id)
         if not invariant_violations(result.matches).isEmpty():
             raise ContractError("Invariante violada: id repetido en matches.")
+        head = {"schema_version": contract.SCHEMA_VERSION, "run_id": run_id, "fingerprint": print_}
+        wrong = {"schema_version": contract.SCHEMA_VERSION}
+        if contract.faults(result.matches, result.findings):
+            raise ContractError("Contrato run.json invalido al generar salida.", wrong)
         try:
-            document = contract.validate(payload_of(result, print_, run_id))
+            pieces, folders, counts = document_parts(result.matches, result.findings, head)
         except ValueError as error:
-            raise ContractError("Contrato run.json invalido al generar salida.", {"schema_version": contract.SCHEMA_VERSION}) from error
-        audit.write_frame(result.audit)
+            raise ContractError("Contrato run.json invalido al generar salida.", wrong) from error
+        known = {"txs": b.count(), "exps": e.count(), **counts}
+        audit.write_frame(result.audit_with(known))
         try:
-            (out / "run.json").write_text(contract.canonical(document), encoding="utf-8")
-            if not dry_run:
-                report.write_workbook(out / "reporte_conciliacion.xlsx", report.tables(b, e, result.matches, result.findings, cfg, run_id, mask))
-        except OSError as error:
-            raise IoError("No se pudo escribir la salida.", {"archivo": str(out)}, "Verifique permisos, ruta de salida y espacio disponible.") from error
-        return document
+            files.put(f"{out}/run.json", pieces)
+            if index:
+                write_index(result.matches, result.findings, f"{store.uri(out)}/{INDEX}")
+            if not dry_run and store.uri(out).startswith("file:"):
+                sheets = report.tables(b, e, result.matches, result.findings, cfg, run_id, mask, [known[k] for k in ("txs", "exps", "matches", "hallazgos")])
+                report.write_workbook(f"{out.removeprefix('file://')}/reporte_conciliacion.xlsx", sheets)
+        except (OSError, Py4JJavaError) as error:
+            raise IoError("No se pudo escribir la salida.", {"archivo": out}, "Verifique permisos, ruta de salida y espacio disponible.") from error
+        return Document(head, counts, lambda: json.loads(files.read(f"{out}/run.json")))
     finally:
+        for folder in folders:
+            delete(spark, folder)
         b.unpersist()
         e.unpersist()
 
 
-def explain(run_dir: Path, wanted: str) -> dict[str, Any]:
-    """The match or finding with an id, of a run's document."""
+#: Folder of the table of ids beside a document.
+INDEX = "indice"
+
+
+def write_index(matches: DataFrame, findings: DataFrame, path: str) -> None:
+    """(clase, id, linea) as Parquet: ranges of ids, sorted, with Bloom filters; a lookup reads what may hold its id."""
+    m, h = contract.lines(matches, findings)
+    both = m.select(F.lit("match").alias("clase"), "*").unionByName(h.select(F.lit("hallazgo").alias("clase"), "*"))
+    ordered = both.repartitionByRange("id").sortWithinPartitions("id")
+    ordered.write.mode("overwrite").option("parquet.bloom.filter.enabled#id", "true").parquet(path)
+
+
+def explain(run_dir: Path, wanted: str, spark: SparkSession | None = None) -> dict[str, Any]:
+    """The match or finding with an id: from a run's table of ids where there is one and a session, else from its document."""
+    if spark is not None and store.Files(spark).exists(f"{run_dir}/{INDEX}/_SUCCESS"):
+        found = spark.read.parquet(f"{store.uri(run_dir)}/{INDEX}").where(F.col("id") == wanted).orderBy(F.desc("clase")).limit(1).collect()
+        if not found:
+            raise UserInputError(f"No existe match ni hallazgo con id {wanted}.")
+        return json.loads(found[0]["linea"])
     path = Path(run_dir) / "run.json"
     try:
-        document = contract.validate_for_reader(json.loads(path.read_text(encoding="utf-8")))
+        document = contract.validate_for_this_version(json.loads(path.read_text(encoding="utf-8")))
     except (OSError, ValueError) as e:
         raise ContractError(f"run.json ausente o invalido: {e}") from e
     for item in [*document["matches"], *document["hallazgos"]]:

@@ -32,3 +32,11 @@ def delete(spark: SparkSession, path: str) -> None:
     context = spark.sparkContext
     place = context._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path names a folder of whatever store it lies in."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(context._jsc.hadoopConfiguration())
+    return system.exists(place) and system.getFileStatus(place).isDirectory()
