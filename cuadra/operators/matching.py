@@ -38,9 +38,10 @@ from .graph import components
 LISTED = 64
 
 
-def flat_bank(bank: DataFrame) -> DataFrame:
-    """The columns that matching reads."""
+def flat_bank(bank: DataFrame, *more: str) -> DataFrame:
+    """The columns that matching reads, after those of `more`."""
     return bank.select(
+        *more,
         F.col("id").alias("tx_id"),
         F.col("fecha_operacion.valor").alias("tx_fecha"),
         F.col("monto.valor").alias("tx_monto"),
@@ -57,8 +58,9 @@ def flat_bank(bank: DataFrame) -> DataFrame:
     )
 
 
-def flat_expected(expected: DataFrame) -> DataFrame:
+def flat_expected(expected: DataFrame, *more: str) -> DataFrame:
     return expected.select(
+        *more,
         F.col("id").alias("exp_id"),
         F.col("fecha.valor").alias("exp_fecha"),
         F.col("monto.valor").alias("exp_monto"),
@@ -73,9 +75,9 @@ def flat_expected(expected: DataFrame) -> DataFrame:
     )
 
 
-def blocking_reason(cfg: Config, tx: str = "tx_conf", exp: str = "exp_conf") -> Column:
-    """Why a pair may not settle by itself: the first check that fails, or null."""
-    least = F.lit(float(cfg.umbral_confianza_campos))
+def blocking_reason(cfg: Config | Column, tx: str = "tx_conf", exp: str = "exp_conf") -> Column:
+    """Why a pair may not settle by itself: the first check that fails, or null. cfg: or the least confidence of fields."""
+    least = F.lit(float(cfg.umbral_confianza_campos)) if isinstance(cfg, Config) else cfg
     checks = [F.when(F.col(f"{tx}.bloquea_autoconcilia"), F.coalesce(F.nullif(F.col(f"{tx}.motivo_bloqueo_autoconcilia"), F.lit("")), F.lit("Bloqueado por politica de confianza.")))]
     for name, text in (("fecha", "fecha_operacion"), ("monto", "monto"), ("descripcion", "descripcion"), ("referencia", "referencia")):
         checks.append(F.when(F.col(f"{tx}.{name}") < least, F.lit(f"Confianza insuficiente en {text} (banco).")))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import identity, mask, parse
-from ..operators import matching, model
+from ..operators import many, matching, model
 from ..operators import reconcile as rec
 from ..sources import notes, pdf, tabular, xml
 from ..storage import delete, shared_dir
@@ -121,6 +121,14 @@ def finding_amb_monto_fecha(spark, sf_dir):
     return _outcomes(spark, sf_dir).where("fase = 2 AND outcome = 'ambigua'").select("tx_id", _join("candidatos"))
 
 
+def many_clients(spark, sf_dir):
+    """Two clients with the same ids in one plan; one asks for more before it settles."""
+    runs = [many.Run("uno", RUN, CFG), many.Run("dos", "r1", Config(cliente="Otro", umbral_autoconcilia=0.95))]
+    sides = [x.withColumn("cliente", F.explode(F.array(*(F.lit(r.cliente) for r in runs)))) for x in relations(spark, sf_dir)]
+    made = many.reconcile(*sides, runs).matches
+    return made.select("run_id", F.get("transacciones_bancarias", F.lit(0)).alias("tx_id"), F.get("movimientos_esperados", F.lit(0)).alias("exp_id"), "regla", "estado")
+
+
 def _kind(kind: str):
     def query(spark, sf_dir):
         return _result(spark, sf_dir).findings.where(F.col("tipo") == kind).select("id", "entidad_id", "severidad")
@@ -152,7 +160,7 @@ def blocking_reason(spark, sf_dir):
 
 def estado_decision(spark, sf_dir):
     found = _outcomes(spark, sf_dir, True)
-    return rec.matches_of(found, CFG, RUN).select(F.get("transacciones_bancarias", F.lit(0)).alias("tx_id"), "regla", "score", "estado", "bloqueado_por_confianza")
+    return rec.matches_of(found, rec.Terms.of(CFG, RUN)).select(F.get("transacciones_bancarias", F.lit(0)).alias("tx_id"), "regla", "score", "estado", "bloqueado_por_confianza")
 
 
 def parse_monto(spark, sf_dir):
@@ -461,6 +469,7 @@ QUERIES = {
     "mask_texto": (mask_texto, f"SELECT doc_id, {_STARS} AS texto FROM documents"),
     "csv_injection": (csv_injection, f"SELECT c_custkey, CASE WHEN left(t, 1) IN ('=', '+', '-', '@') THEN chr(39) || t ELSE t END AS celda FROM (SELECT c_custkey, {_CELL} AS t FROM customer)"),
     "tx_id_hash": (tx_id_hash, f"""SELECT tx_id, 'TX-' || substr(sha256('{{"data":{{"descripcion":"Pago","fecha_contable":null,"fecha_operacion":"' || tx_fecha || '","moneda":"CLP","monto":"' || tx_monto || '","referencia":' || coalesce('"' || tx_ref || '"', 'null') || '}},"file":"banco.csv","row":' || k || '}}'), 1, 12) AS id FROM ({_TX})"""),
+    "many_clients": (many_clients, _with(_P2, "SELECT run_id, tx_id, exp_id, regla, CASE WHEN score >= u THEN 'conciliado' WHEN regla = 'ref_exacta' THEN 'pendiente' ELSE 'sugerido' END AS estado FROM mat, (VALUES ('r0', 0.85::DOUBLE), ('r1', 0.95::DOUBLE)) v(run_id, u)")),
     "match_id_hash": (match_id_hash, _with(_P2, "SELECT id, tx_id FROM mat")),
     "finding_id_hash": (finding_id_hash, _with(_P2, "SELECT id, tipo, entidad_id FROM finding")),
     "confidence_fields": (confidence_fields, f"""SELECT tx_id, o AS origen, s AS score, CASE WHEN o = 'xml' THEN 'alta' WHEN o = 'pdf_ocr' THEN 'baja' WHEN o = 'csv' AND s >= 0.85 THEN 'alta' WHEN s >= 0.55 THEN 'media' ELSE 'baja' END AS nivel
