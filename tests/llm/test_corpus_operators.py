@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cuadra.llm import filter_audit, line_dedup, resampling
+from cuadra.llm import filter_audit, line_dedup, resampling, sharding
 
 from .test_operators import ODD, docs, words
 
@@ -172,3 +172,43 @@ def test_confirmed_keys_that_share_half_their_hash():
     drops = lambda i, none: known.drops(asked, np.full(6, i), np.full(6, none)).tolist()
     assert drops(2, False) == [True, False, True, True, False, False]
     assert drops(0, True) == [True, True, False, True, False, False]
+
+
+def shards_of(spark, frame):
+    return sorted(map(tuple, sharding.shard(frame).collect()), key=repr)
+
+
+@pytest.mark.parametrize("sizes", [(256, 16), (2, 1)])
+def test_shards_are_the_same_under_any_layout(spark, monkeypatch, sizes):
+    # with few ranges and samples, as large tables have, boundaries follow from a sparse draw
+    monkeypatch.setattr(sharding, "RANGES_PER_SHARD", sizes[0])
+    monkeypatch.setattr(sharding, "SAMPLES_PER_RANGE", sizes[1])
+    rng = random.Random(8)
+    rows = [(k if k % 50 else None, rng.choice(["x", "longer text "]) * rng.randint(0, 30) + str(k % 400)) for k in range(1500)]
+    three, five = (shards_of(spark, docs(spark, r).repartition(n)) for n, r in ((3, rows), (5, rows[::-1])))
+    assert three == five
+    by = collections.defaultdict(list)
+    for doc_id, size, crc, law, shard, slot, grown in three:
+        by[shard].append((slot, size))
+    assert sorted(by) == list(range(8)) and all(sorted(s for s, _ in v) == list(range(len(v))) for v in by.values())
+    want = sorted((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows if i is not None)
+    assert sorted(r[:3] for r in three if r[0] is not None) == want
+    if sizes[0] == 256:
+        total = sum(size for v in by.values() for _, size in v)
+        assert all(abs(sum(size for _, size in v) - total / 8) < total / 50 for v in by.values())
+    # keys of a shard lie between those of its neighbours, but for ranges that were subdivided
+    keys = {s: sorted(r[2] for r in three if r[4] == s) for s in by}
+    assert sum(keys[s][-1] > keys[s + 1][0] for s in range(7)) <= (0 if sizes[0] == 256 else 7)
+
+
+def test_whole_documents_are_written_to_their_shards(spark, tmp_path):
+    rows = [*ODD, (None, "again"), (None, "again"), (7, "a text " * 50), *[(8, "copy")] * 900]
+    frame = docs(spark, rows).withColumn("shard", F.lit("clash")).withColumn("own", F.length("text"))
+    sharding.write_shards(frame, str(tmp_path / "s"))
+    back = spark.read.parquet(str(tmp_path / "s"))
+    got = sorted(((r["doc_id"], r["text"]) for r in back.collect()), key=repr)
+    assert got == sorted(rows, key=repr) and {"own", "key", "shard"} <= set(back.columns)
+    sizes = [r["b"] for r in back.groupBy("shard").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("b")).collect()]
+    assert len(sizes) == 8 or max(sizes) > 20_000
+    sharding.write_shards(docs(spark, []), str(tmp_path / "e"))
+    assert (tmp_path / "e").exists()
