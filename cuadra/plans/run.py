@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 from ..config import MODEL_VERSION, VERSION, Config, load, with_overrides
 from ..errors import ContractError, IngestionError, IoError, UserInputError, kind_of
 from ..functions.identity import json_object, json_string
+from ..operators.hooks import Hooks, applied
 from ..operators.model import normalize_bank, normalize_expected
 from ..operators.reconcile import invariant_violations, numbered, reconcile
 from ..sources import detector
 from ..storage import delete
 from . import contract, report, store
 
+NO_HOOKS = Hooks()
 TEMPLATES = {
     "cartola_banco.csv": "fecha_operacion,fecha_contable,monto,moneda,descripcion,referencia,cuenta\n05/01/2026,05/01/2026,150000,CLP,\"Pago cliente\",FAC-1001,\n",
     "movimientos_esperados.csv": "id,fecha,monto,moneda,descripcion,referencia,tercero\nEXP-1,05/01/2026,150000,CLP,\"Factura 1001\",FAC-1001,\n",
@@ -110,7 +112,11 @@ class Document(Mapping):
     def __getitem__(self, key: str) -> Any:
         if key in self._head:
             return self._head[key]
-        self._whole = self._whole or self._load()
+        if self._whole is None:
+            whole = self._load()
+            if whole["run_id"] != self._head["run_id"]:
+                raise ContractError("run.json es de otra corrida.", {"run_id": whole["run_id"]})
+            self._whole = whole
         return self._whole[key]
 
     def __iter__(self):
@@ -139,7 +145,7 @@ def document_parts(matches: DataFrame, findings: DataFrame, head: dict[str, Any]
     return [before + '"hallazgos":[', (folders[0], 1), between + '"matches":[', (folders[1], 1), rest], folders, counts
 
 
-def run(spark: SparkSession, config: Path, bank: Path, expected: Path, out: Path, *, mask: bool = True, dry_run: bool = False, enable_ocr: bool = False, extract=None, recognize=None, index: bool = False, **caps: int | None) -> Mapping[str, Any]:
+def run(spark: SparkSession, config: Path, bank: Path, expected: Path, out: Path, *, mask: bool = True, dry_run: bool = False, enable_ocr: bool = False, extract=None, recognize=None, index: bool = False, hooks: Hooks = NO_HOOKS, **caps: int | None) -> Mapping[str, Any]:
     """One run: run.json, audit.jsonl and, unless dry, the workbook. Returns the document.
 
     bank, expected and out may lie in any store, and the first two may be folders. The document and the audit trail are
@@ -161,7 +167,7 @@ def run(spark: SparkSession, config: Path, bank: Path, expected: Path, out: Path
         if "limit" in error.details:
             audit.write("ingestion_limit", "Limite de ingesta excedido", error.details)
         raise
-    b, e = b.cache(), e.cache()
+    b, e = applied(b, hooks.bank, "banco").cache(), applied(e, hooks.expected, "esperados").cache()
     folders: list[str] = []
     try:
         result = reconcile(b, e, cfg, run_id)
@@ -186,6 +192,8 @@ def run(spark: SparkSession, config: Path, bank: Path, expected: Path, out: Path
                 report.write_workbook(f"{out.removeprefix('file://')}/reporte_conciliacion.xlsx", sheets)
         except (OSError, Py4JJavaError) as error:
             raise IoError("No se pudo escribir la salida.", {"archivo": out}, "Verifique permisos, ruta de salida y espacio disponible.") from error
+        if hooks.finished is not None:
+            hooks.finished(out)
         return Document(head, counts, lambda: json.loads(files.read(f"{out}/run.json")))
     finally:
         for folder in folders:

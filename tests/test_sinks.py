@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuadra.config import Config
-from cuadra.errors import IngestionError
+from cuadra.errors import ContractError, IngestionError
 from cuadra.operators import reconcile as rec
+from cuadra.operators.hooks import Hooks
 from cuadra.plans import contract, store
 from cuadra.plans import run as plans
 from cuadra.sources import detector
@@ -132,3 +133,17 @@ def test_digests(spark, tmp_path):
     assert store.digest(spark, tmp_path / "d") != root
     with pytest.raises(FileNotFoundError):
         store.digest(spark, tmp_path / "nothing")
+
+
+def test_hooks_change_cells_and_nothing_else(spark, inputs, tmp_path):
+    seen = []
+    known = F.col("referencia").isNotNull()
+    same = lambda b: b.withColumn("referencia", F.when(known, F.col("referencia").withField("valor", F.lit("FAC-1001"))))
+    inputs |= {"bank": tmp_path / "bank" / "b07.csv"}
+    run = lambda hooks, out="o": plans.run(spark, **inputs, out=tmp_path / out, dry_run=True, hooks=hooks)
+    plain, hooked = run(Hooks(), "p"), run(Hooks(bank=same, finished=seen.append))
+    assert [m["regla"] for m in plain["matches"]].count("ref_exacta") == 0 and [m["regla"] for m in hooked["matches"]].count("ref_exacta") == 1
+    assert seen == [str(tmp_path / "o")]
+    for bad, text in ((lambda b: b.drop("banco"), "columnas"), (lambda b: b.limit(1), "filas"), (lambda b: b.union(b), "filas")):
+        with pytest.raises(ContractError, match=text):
+            run(Hooks(bank=bad))
