@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import columns, cut, let, table
+from ._common import columns, cut, let, slices, table
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -167,21 +167,24 @@ def lattice(units: DataFrame, pieces: Pieces, parts: int) -> DataFrame:
 
 
 def long_lattice(units: DataFrame, pieces: Pieces, parts: int) -> DataFrame:
-    """The same for units of any length; an edge is (rank, e, size, s, id). Substrings are made block by block."""
+    """The same for units of any length; an edge is (rank, e, size, s, id). Substrings are made block by block, and a unit
+    is a number until its edges are together."""
     spark = units.sparkSession
     rows = [(p, pieces.ranks[s] if len(p) > 1 else _SINGLE, len(p), i) for p, i, s in pieces.rows]
     known = F.broadcast(spark.createDataFrame(rows, "piece string, rank int, size int, id int"))
+    keyed = cut(units.select("unit", F.monotonically_increasing_id().alias("uid")))
     bases = F.sequence(F.lit(0), F.floor((F.length("unit") - 1) / BLOCK).cast("int"))
-    blocks = _grouped(units, parts).select("unit", F.explode(F.transform(bases, lambda b: F.struct((b * BLOCK).alias("base"), F.substring(F.col("unit"), b * BLOCK + 1, F.lit(BLOCK + pieces.longest - 1)).alias("t")))).alias("block"))
+    blocks = keyed.select("uid", F.transform(bases, lambda b: F.struct((b * BLOCK).alias("base"), F.substring(F.col("unit"), b * BLOCK + 1, F.lit(BLOCK + pieces.longest - 1)).alias("t"))).alias("blocks"))
+    blocks = blocks.select("uid", F.explode("blocks").alias("block")).select("uid", "block.*").repartition(parts, "uid", "base")
 
     def subs(t: Column) -> Column:
         starts = F.sequence(F.lit(0), F.least(F.lit(BLOCK), F.length(t)) - 1)
         return F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length(t) - i)), lambda n: F.struct(i.alias("i"), F.substring(t, i + 1, n).alias("sub")))))
 
-    found = blocks.select("unit", F.col("block.base").alias("base"), F.explode(subs(F.col("block.t"))).alias("s"))
+    found = blocks.select("uid", "base", F.explode(subs(F.col("t"))).alias("s"))
     edges = found.join(known, F.col("s.sub") == F.col("piece")).withColumn("s", F.col("base") + F.col("s.i"))
     edge = F.struct("rank", (F.col("s") + F.col("size")).alias("e"), "size", "s", "id")
-    return edges.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    return keyed.join(edges.groupBy("uid").agg(F.sort_array(F.collect_list(edge)).alias("edges")), "uid").select("unit", "edges")
 
 
 def _open(edge: Column) -> Column:
@@ -219,10 +222,10 @@ def _merge_bits(n: Column, edges: Column) -> Column:
     return let(F.transform(edges, masks), symbols)
 
 
-def _merge_long(n: Column, edges: Column) -> Column:
-    """End of the symbol at each position, 0 where none starts, of units of any length.
+def _merge_short(n: Column, edges: Column) -> Column:
+    """End of the symbol at each position, 0 where none starts, of a short unit with characters that have no piece.
 
-    The state is the ends as an array, which each merge writes anew: a unit of n characters takes n * n steps.
+    The state is the ends as an array, which each merge writes anew.
     """
 
     def step(ends, x):
@@ -233,6 +236,43 @@ def _merge_long(n: Column, edges: Column) -> Column:
     return F.aggregate(F.filter(edges, lambda x: x["e"] > x["s"] + 1), F.transform(F.sequence(F.lit(1), n), lambda i: i), step)
 
 
+def _walk_long(unit: str, start: np.ndarray, end: np.ndarray, ids: np.ndarray, bytes_: list[int]) -> list[int]:
+    """Piece ids of a long unit: its edges in order of ranks, each joined if it parts two neighbouring symbols.
+
+    The ends of symbols are one list that is written in place, so a unit takes steps as it has edges. Spark's arrays can't
+    be written in place; a fold over them would copy all n symbols for each edge.
+    """
+    ends = list(range(1, len(unit) + 1))
+    joins = np.flatnonzero(end > start + 1)
+    for s, e in zip(start[joins].tolist(), end[joins].tolist(), strict=True):
+        mid = ends[s]
+        if 0 < mid < e and ends[mid] == e:
+            ends[s], ends[mid] = e, 0
+    left = np.array(ends, np.int64)
+    whole = left[start] == end
+    known = dict(zip(start[whole].tolist(), ids[whole].tolist(), strict=True))
+    out: list[int] = []
+    for s in np.flatnonzero(left).tolist():
+        if s in known:
+            out.append(known[s])
+        else:
+            out.extend(bytes_[b] for b in unit[s : s + 1].encode())
+    return out
+
+
+def _encode_long(lattices: DataFrame, pieces: Pieces) -> DataFrame:
+    """(unit, ids) of long units from their edges."""
+    own = pieces.bytes_
+
+    def run(batches):
+        for batch in slices(batches, 1):
+            unit, edges = batch.column("unit")[0].as_py(), batch.column("edges").flatten()
+            end, start, ids = (edges.field(k).to_numpy(zero_copy_only=False) for k in ("e", "s", "id"))
+            yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array([_walk_long(unit, start, end, ids, own)], pa.list_(pa.int32()))], names=["unit", "ids"])
+
+    return lattices.mapInArrow(run, "unit string, ids array<int>")
+
+
 def _viterbi_fold(n: Column, edges: Column, scores: Column, missing: float) -> Column:
     """The same for the path with the highest sum of scores, ties to the longer last piece."""
     best = F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ends"))
@@ -266,14 +306,15 @@ def encode_units(units: DataFrame, pieces: Pieces, n_units: int) -> DataFrame:
     parts = max(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_units // UNITS_A_TASK))
     n = F.length("unit")
     short = lattice(units.where(n <= SHORT), pieces, parts)
-    full = long_lattice(units.where(n > SHORT), pieces, parts)
+    long = units.where(n > SHORT)
+    full = None if long.isEmpty() else long_lattice(long, pieces, parts)
     if not pieces.bpe:
         scores = [0.0] * (max(r[1] for r in pieces.rows) + 1)
         for _, i, s in pieces.rows:
             scores[i] = s
 
     def solve(edges: Column) -> Column:
-        ends = _merge_long(n, edges) if pieces.bpe else _viterbi_fold(n, edges, F.array(*[F.lit(float(s)) for s in scores]), min(scores) - 10.0)
+        ends = _merge_short(n, edges) if pieces.bpe else _viterbi_fold(n, edges, F.array(*[F.lit(float(s)) for s in scores]), min(scores) - 10.0)
         return let(ends, lambda z: _ids(F.col("unit"), z, edges, bytes_))
 
     opened = F.transform("edges", _open)
@@ -283,7 +324,9 @@ def encode_units(units: DataFrame, pieces: Pieces, n_units: int) -> DataFrame:
         done = short.select("unit", F.coalesce(own, let(opened, solve)).alias("ids"))
     else:
         done = short.select("unit", let(opened, solve).alias("ids"))
-    return done.union(full.select("unit", solve(F.col("edges")).alias("ids")))
+    if full is None:
+        return done
+    return done.union(_encode_long(full, pieces) if pieces.bpe else full.select("unit", solve(F.col("edges")).alias("ids")))
 
 
 def _flat(chunk: pa.Array) -> memoryview:
@@ -315,8 +358,8 @@ def encode(docs: DataFrame, pieces: Pieces, carry: tuple[str, ...] = ("doc_id",)
     With `decoded`, the texts that the ids stand for come along (see `decode`), made by the same workers.
 
     The encodings of all distinct units are broadcast where they take at most `broadcast_bytes` and their
-    hashes differ; beyond that they are joined to the units of each text and gathered by text. A unit of n
-    characters that can't be parted takes n * n steps (see `_merge_long`), so one of a million is slow.
+    hashes differ; beyond that they are joined to the units of each text and gathered by text. A unit that
+    can't be parted takes steps as it has characters; its edges, some ten a character, are one row.
     """
     spark = docs.sparkSession
     rows = docs.select(*carry, docs["text"].cast("string").alias("_text"))

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cuadra.llm import filter_audit, line_dedup, resampling, sharding
+from cuadra.llm import filter_audit, line_dedup, pieces, resampling, sharding
 
 from .test_operators import ODD, docs, words
 
@@ -212,3 +212,20 @@ def test_whole_documents_are_written_to_their_shards(spark, tmp_path):
     assert len(sizes) == 8 or max(sizes) > 20_000
     sharding.write_shards(docs(spark, []), str(tmp_path / "e"))
     assert (tmp_path / "e").exists()
+
+
+def test_long_units_take_steps_as_they_have_characters(spark):
+    import time
+
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_FILE)
+    rng = random.Random(9)
+    letters = "".join(rng.choice("abcdefghij") for _ in range(5000))
+    rows = [(1, "the" * 66_667), (2, letters), (3, "x" * 63 + "日本" * 40), (4, "".join(rng.choice("ACGT") for _ in range(20_000))), (5, "short words here"), (6, "\U0001f999" * 100)]
+    model = pieces.Pieces.load()
+    began = time.time()
+    got = {r["doc_id"]: r["ids"] for r in pieces.encode(docs(spark, rows), model).collect()}
+    took = time.time() - began
+    assert all(got[i] == library.encode(t) for i, t in rows)
+    assert took < 120
