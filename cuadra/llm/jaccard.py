@@ -266,7 +266,7 @@ def by_runs(frame: DataFrame, keys: list[str], order: list[str], solve, schema:
 
     ddl = ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'boolean'}" for f in schema)
     parts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return frame.repartition(parts, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, ddl)
+    return frame.repartition(parts, *keys).sortWithinPartitions(*keys, *order).mapInArrow(freed(run), ddl)
 
 
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -320,7 +320,7 @@ def _near_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
 
     left, right = (sets.select(F.col("rep").alias(f"{k}_id"), F.col("n_shingles").alias(f"{k}_n"), F.col("sketch").alias(f"{k}_sketch")) for k in "lr")
     both = pairs.join(left, F.col("a") == F.col("l_id")).join(right, F.col("b") == F.col("r_id"))
-    return both.select("a", "b", "l_n", "r_n", "l_sketch", "r_sketch").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "l_n", "r_n", "l_sketch", "r_sketch").mapInArrow(freed(run), "a long, b long")
 
 
 def cells(members: DataFrame, weight: str, most: float) -> DataFrame:

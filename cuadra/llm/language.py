@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import columns, table
+from ._common import columns, freed, slices, table
 
 #: Labelled documents of each language that are used for training (expected; the sample is drawn by hash).
 DOCS_PER_LANG = 1500
@@ -123,7 +123,7 @@ def fit(labelled: DataFrame, per_lang: int = DOCS_PER_LANG) -> Model:
         yield pa.RecordBatch.from_pydict({"lang": pa.array(lang, pa.int32()), "at": pa.array(at, pa.int32()), "n": pa.array(sums[lang, at], pa.int64())})
 
     # at most languages x buckets rows, within MODEL_BYTES
-    got = drawn.mapInArrow(count, "lang int, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
+    got = drawn.mapInArrow(freed(count), "lang int, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
     sums = np.zeros((len(langs), width))
     sums[got["lang"].to_numpy(), got["at"].to_numpy()] = got["n"].to_numpy()
     grams, scripts = sums[:, :buckets] + SMOOTHING, sums[:, buckets:]
@@ -256,7 +256,7 @@ def detect(docs: DataFrame, model: Model, with_spans: bool = False, carry: tuple
             doubt = 1 + math.exp(-max(-50.0, min(50.0, margin)))
             return model.langs[best], float(letters[best] / letters.sum()) / doubt, spans, 1 / doubt
 
-        for batch in batches:
+        for batch in slices(batches):
             got = [one(x) for x in batch.column("text").to_pylist()]
             cols = [batch.column("doc_id"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             if with_spans:
@@ -265,7 +265,7 @@ def detect(docs: DataFrame, model: Model, with_spans: bool = False, carry: tuple
                 cols.append(pa.array([g[3] for g in got], pa.float64()))
             yield pa.RecordBatch.from_arrays([*cols, *(batch.column(c) for c in kinds_of)], names=[*schema.names, *kinds_of])
 
-    return columns(docs, **({"doc_id": "long", "text": "string"} | kinds_of)).mapInArrow(judge, ddl)
+    return columns(docs, **({"doc_id": "long", "text": "string"} | kinds_of)).mapInArrow(freed(judge), ddl)
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
