@@ -95,7 +95,7 @@ def hot_case(seed, amounts, days, n_tx, n_exp):
     return txs, exps
 
 
-@pytest.mark.parametrize(("case", "most"), [((1, 2, 60, 120, 60), 64), ((2, 1, 200, 900, 90), 1), ((3, 3, 40, 300, 12), 1), ((4, 1, 30, 400, 60), 0), ((5, 2, 300, 700, 240), 2)])
+@pytest.mark.parametrize(("case", "most"), [((1, 2, 60, 120, 60), 64), ((2, 1, 80, 500, 40), 1), ((3, 3, 40, 300, 12), 1), ((4, 1, 30, 400, 60), 0), ((5, 2, 120, 500, 120), 2)])
 def test_hot_islands_equal_the_sequential_fold(spark, case, most):
     txs, exps = hot_case(*case)
     bank, expected = frames(spark, txs, exps)
