@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import cut
+from ..storage import cut, tidy
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,6 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
         hop = large.withColumnRenamed("u", "w").join(least.withColumnRenamed("u", "of"), F.col("w") == F.col("of"))
         small = hop.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v")))
         now = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        tidy(now.sparkSession)
     roots = now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
     tops = now.select(F.col("v").alias("node")).distinct().join(roots.select("node"), "node", "left_anti")
     return cut(roots.select("node", "root").union(tops.select("node", F.col("node").alias("root"))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,15 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and copies that nothing refers to any more, before a loop makes many more.
+
+    Spark does so whenever the driver happens to collect its garbage; a driver with little to do may wait for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder: the one that `spark.checkpoint.dir` names, or in local mode a temporary one of our own."""
     context = spark.sparkContext
