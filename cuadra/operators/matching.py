@@ -36,6 +36,8 @@ from .graph import components
 
 #: Transactions of an amount and day up to which an island holds their ids; those of larger days are asked for.
 LISTED = 64
+#: Partitions of rows that list candidates, for each of a shuffle's.
+SPREAD = 4
 
 
 def flat_bank(bank: DataFrame, *more: str) -> DataFrame:
@@ -111,8 +113,17 @@ def by_reference(tx: DataFrame, exp: DataFrame) -> tuple[DataFrame, DataFrame]:
     return judged.select("tx_id", "tx_ref", "tx_monto_texto", "tx_conf", "outcome", "conjunto", "exp"), sets
 
 
+def by_set(vague: DataFrame) -> DataFrame:
+    """Ambiguous outcomes dealt by their sets to many partitions that aren't put together again (a join after it keeps as
+    many as a shuffle has).
+
+    What is written from one of these repeats few different lists, and Parquet keeps each once.
+    """
+    return vague.repartition(SPREAD * int(vague.sparkSession.conf.get("spark.sql.shuffle.partitions")), "conjunto")
+
+
 def listed(found: DataFrame, sets: DataFrame) -> DataFrame:
-    """Outcomes with the candidates themselves: `candidatos` in place of `conjunto`."""
+    """Outcomes with the candidates themselves, in whatever form `sets` has them, in place of `conjunto`."""
     return found.join(sets.withColumnRenamed("conjunto", "c_"), F.col("conjunto") == F.col("c_"), "left").drop("conjunto", "c_")
 
 

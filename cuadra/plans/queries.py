@@ -98,7 +98,10 @@ def match_ref_exacta(spark, sf_dir):
 
 
 def finding_amb_ref(spark, sf_dir):
-    return matching.listed(*matching.by_reference(*_flat(spark, sf_dir))).where("outcome = 'ambigua'").select("tx_id", F.col("tx_ref").alias("ref"), _join("candidatos"))
+    found, sets = matching.by_reference(*_flat(spark, sf_dir))
+    # a set's text is made once, before it meets the rows that list it
+    told = matching.listed(matching.by_set(found.where("outcome = 'ambigua'").select("tx_id", "tx_ref", "conjunto")), sets.select("conjunto", _join("candidatos")))
+    return told.select("tx_id", F.col("tx_ref").alias("ref"), "candidatos")
 
 
 def finding_monto_difiere(spark, sf_dir):
