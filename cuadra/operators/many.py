@@ -72,10 +72,13 @@ def reconcile(bank: DataFrame, expected: DataFrame, runs: list[Run]) -> rec.Resu
     found = found.withColumn("de", number).join(table.drop("cliente"), F.col("de") == F.col("numero"))
     found = found.withColumn("motivo", matching.blocking_reason(F.col("campos"))).drop("tx_conf", "exp_conf", "de", "numero", "campos")
     found = cut(found.withColumns({c: _own(c) for c in ("tx_id", "exp_id", "tx_ref")}))
-    sets = cut(sets.select("conjunto", json_list(F.transform("candidatos", _own)).alias("cands")))
     by = ("run_id",)
     terms = rec.Terms(F.col("run_id"), F.col("dias"), F.col("umbral"), by)
     named = table.select("cliente", "run_id")
     b, e = bank.join(named, "cliente"), expected.join(named, "cliente")
-    made, seen = rec.matches_of(found, terms), rec.findings_of(found, sets, b, e, terms)
-    return rec.Result(made.drop("delta"), seen.drop("orden"), rec.audit_of(made, seen, b, e, by=by, runs=table.select("run_id")))
+    made = rec.matches_of(found, terms)
+
+    def seen() -> DataFrame:
+        return rec.findings_of(found, cut(sets.select("conjunto", json_list(F.transform("candidatos", _own)).alias("cands"))), b, e, terms)
+
+    return rec.Result(made.drop("delta"), seen, lambda findings, counts: rec.audit_of(made, findings, b, e, counts, by, table.select("run_id")))
