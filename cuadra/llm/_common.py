@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import cut, shared_dir  # noqa: F401
+from ..storage import cut, freed, shared_dir  # noqa: F401
 
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -56,18 +54,3 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
-
-
-def freed(run: Callable) -> Callable:
-    """A function for mapInArrow that hands memory back to the system at its end; its worker lives on beside later stages."""
-
-    def wrapped(batches):
-        try:
-            yield from run(batches)
-        finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-                trim(0)
-
-    return wrapped
