@@ -20,7 +20,7 @@ from ..functions import parse
 from ..functions.identity import json_object, json_string, row_id
 from ..functions.mask import mask_account
 from ..operators.model import BANK, EXPECTED, plain, with_confidence
-from ..storage import cut
+from ..storage import cut, freed, one_file_a_batch
 from . import delimited, limits, notes, paths, xlsx
 from .delimited import delimiter_of
 
@@ -69,8 +69,8 @@ def csv_records(content: bytes, required: list[list[str]], kind: str, note: dict
             yield k, *row
 
 
-def csv_table(spark: SparkSession, path: str, kind: str, aliases: dict[str, list[str]], cfg: Config, ranged: int | None = None) -> DataFrame:
-    """Records of every delimited file under a path, parsed once and written.
+def csv_table(spark: SparkSession, path: str, kind: str, aliases: dict[str, list[str]], cfg: Config, ranged: int | None = None, written: bool = True) -> DataFrame:
+    """Records of every delimited file under a path, parsed once and written, or for the caller to write.
 
     A file that can't be read gives a row with its error; one that goes over a cap is left there. What the
     reader noticed about a file is a row of its own with `nota`.
@@ -102,16 +102,19 @@ def csv_table(spark: SparkSession, path: str, kind: str, aliases: dict[str, list
                     yield batch_of(rows)
 
     files = spark.read.format("binaryFile").load(path)
-    small = cut(files.where(F.col("length") <= ranged).select("path", "content").mapInArrow(read, RAW))
+    small = files.where(F.col("length") <= ranged).select("path", "content").mapInArrow(freed(read), RAW)
+    if written:
+        with one_file_a_batch(spark):
+            small = cut(small)
     if files.where(F.col("length") > ranged).select("length").isEmpty():
         return small
     return small.unionByName(delimited.raw_table(spark, path, kind, required, header_key, cfg, ranged))
 
 
-def raw_table(spark: SparkSession, path: str, format_: str, kind: str, aliases: dict[str, list[str]], cfg: Config) -> DataFrame:
+def raw_table(spark: SparkSession, path: str, format_: str, kind: str, aliases: dict[str, list[str]], cfg: Config, written: bool = True) -> DataFrame:
     """Records of CSV or XLSX files."""
     if format_ == "csv":
-        return csv_table(spark, path, kind, aliases, cfg)
+        return csv_table(spark, path, kind, aliases, cfg, written=written)
     return xlsx_table(spark.read.format("binaryFile").load(path), path, kind, aliases, cfg)
 
 
@@ -135,20 +138,27 @@ def first_error(frame: DataFrame, label: str) -> None:
         raise IngestionError(f"{bad['error']}" if not bad["fila"] else f"{label} {bad['fila']}: {bad['error']}", {"archivo": bad["archivo"]})
 
 
-def bank_rows(raw: DataFrame, cfg: Config, origin: str, strict_second_date: bool) -> DataFrame:
-    """Typed bank rows with an `error` column."""
-    cell = {name: pick(name, BANK_ALIASES) for name in BANK_ALIASES}
-    day, second = parse.date(cell["fecha_operacion"]), parse.date(cell["fecha_contable"])
-    value, text = parse.amount(cell["monto"]), parse.amount_text(cell["monto"])
-    currency = parse.norm_currency(cell["moneda"], cfg.moneda_default)
+def bank_cells(raw: DataFrame, cfg: Config, strict_second_date: bool) -> DataFrame:
+    """What the cells of bank rows say, with an `error` column."""
+    # each cell is looked up once, and each value read once for itself and for the error
+    t = raw.select("archivo", "fila", "n", F.col("error").alias("own"), "nota", *(pick(name, BANK_ALIASES).alias(name) for name in BANK_ALIASES))
+    c = F.col
+    t = t.select(
+        "archivo", "fila", "n", "own", "nota", parse.date(c("fecha_operacion")).alias("day"), parse.date(c("fecha_contable")).alias("second"), (parse.strip(c("fecha_contable")) != "").alias("dated"), parse.amounts(c("monto")).alias("amounts"),
+        parse.norm_currency(c("moneda"), cfg.moneda_default).alias("currency"), parse.norm_text(c("descripcion")).alias("descr"), F.nullif(parse.norm_reference(c("referencia")), F.lit("")).alias("ref"), parse.norm_text(c("cuenta")).alias("account"),
+    )
     error = F.coalesce(
-        F.col("error"),
-        F.when(day.isNull(), F.lit("fecha_operacion invalida")),
-        F.when(F.lit(strict_second_date) & second.isNull() & (parse.strip(cell["fecha_contable"]) != ""), F.lit("fecha_contable invalida")),
-        F.when(value.isNull(), F.lit("monto invalido")),
-        F.when(currency.isNull(), F.lit("moneda invalida")),
+        c("own"),
+        F.when(c("day").isNull(), F.lit("fecha_operacion invalida")),
+        F.when(F.lit(strict_second_date) & c("second").isNull() & c("dated"), F.lit("fecha_contable invalida")),
+        F.when(c("amounts.valor").isNull(), F.lit("monto invalido")),
+        F.when(c("currency").isNull(), F.lit("moneda invalida")),
     )
-    t = raw.select("archivo", "fila", "n", error.alias("error"), day.alias("day"), second.alias("second"), value.alias("value"), text.alias("text"), currency.alias("currency"), parse.norm_text(cell["descripcion"]).alias("descr"), F.nullif(parse.norm_reference(cell["referencia"]), F.lit("")).alias("ref"), parse.norm_text(cell["cuenta"]).alias("account"))
+    return t.select("archivo", "fila", "n", "nota", F.when(c("nota").isNull(), error).alias("error"), "day", "second", c("amounts.valor").alias("value"), c("amounts.texto").alias("text"), "currency", "descr", "ref", "account")
+
+
+def bank_rows(t: DataFrame, origin: str) -> DataFrame:
+    """Typed bank rows of their cells."""
     js = json_string
     data = json_object(fecha_operacion=js(F.col("day").cast("string")), fecha_contable=js(F.col("second").cast("string")), monto=js(F.col("text")), moneda=js(F.col("currency")), descripcion=js(F.col("descr")), referencia=js(F.col("ref")))
     return t.select(
@@ -167,16 +177,23 @@ def bank_rows(raw: DataFrame, cfg: Config, origin: str, strict_second_date: bool
         F.col("archivo").alias("archivo_origen"),
         F.lit(origin).alias("origen"),
         F.col("fila").alias("fila_origen"),
-        "archivo", "fila", "n", "error",
     )
 
 
-def expected_rows(raw: DataFrame, cfg: Config, origin: str) -> DataFrame:
-    cell = {name: pick(name, EXPECTED_ALIASES) for name in EXPECTED_ALIASES}
-    day, value, text = parse.date(cell["fecha"]), parse.amount(cell["monto"]), parse.amount_text(cell["monto"])
-    currency = parse.norm_currency(cell["moneda"], cfg.moneda_default)
-    error = F.coalesce(F.col("error"), F.when(day.isNull(), F.lit("fecha invalida")), F.when(value.isNull(), F.lit("monto invalido")), F.when(currency.isNull(), F.lit("moneda invalida")))
-    t = raw.select("archivo", "fila", "n", error.alias("error"), day.alias("day"), value.alias("value"), text.alias("text"), currency.alias("currency"), parse.norm_text(cell["descripcion"]).alias("descr"), F.nullif(parse.norm_reference(cell["referencia"]), F.lit("")).alias("ref"), F.nullif(parse.norm_text(cell["tercero"]), F.lit("")).alias("third"), parse.norm_text(cell["id"]).alias("own"))
+def expected_cells(raw: DataFrame, cfg: Config) -> DataFrame:
+    """What the cells of expected rows say, with an `error` column."""
+    t = raw.select("archivo", "fila", "n", F.col("error").alias("own_error"), "nota", *(pick(name, EXPECTED_ALIASES).alias(name) for name in EXPECTED_ALIASES))
+    c = F.col
+    t = t.select(
+        "archivo", "fila", "n", "own_error", "nota", parse.date(c("fecha")).alias("day"), parse.amounts(c("monto")).alias("amounts"), parse.norm_currency(c("moneda"), cfg.moneda_default).alias("currency"), parse.norm_text(c("descripcion")).alias("descr"),
+        F.nullif(parse.norm_reference(c("referencia")), F.lit("")).alias("ref"), F.nullif(parse.norm_text(c("tercero")), F.lit("")).alias("third"), parse.norm_text(c("id")).alias("own"),
+    )
+    error = F.coalesce(c("own_error"), F.when(c("day").isNull(), F.lit("fecha invalida")), F.when(c("amounts.valor").isNull(), F.lit("monto invalido")), F.when(c("currency").isNull(), F.lit("moneda invalida")))
+    return t.select("archivo", "fila", "n", "nota", F.when(c("nota").isNull(), error).alias("error"), "day", c("amounts.valor").alias("value"), c("amounts.texto").alias("text"), "currency", "descr", "ref", "third", "own")
+
+
+def expected_rows(t: DataFrame, origin: str) -> DataFrame:
+    """Typed expected rows of their cells."""
     js = json_string
     data = json_object(fecha=js(F.col("day").cast("string")), monto=js(F.col("text")), moneda=js(F.col("currency")), descripcion=js(F.col("descr")), referencia=js(F.col("ref")), tercero=js(F.col("third")))
     return t.select(
@@ -188,33 +205,33 @@ def expected_rows(raw: DataFrame, cfg: Config, origin: str) -> DataFrame:
         with_confidence(F.col("descr"), origin).alias("descripcion"),
         with_confidence(F.col("ref"), origin).alias("referencia"),
         with_confidence(F.col("third"), origin, 0.20).alias("tercero"),
-        "archivo", "fila", "n", "error",
     )
 
 
-def _checked(raw: DataFrame, cfg: Config, kind: str, side: str, audit: notes.Audit | None) -> DataFrame:
-    notes.tell(raw, notes.MESSAGES[kind, side], audit)
-    limits.check(raw, cfg, f"{kind.upper()} {side}")
-    return raw.where("nota IS NULL")
+def _checked(cells: DataFrame, cfg: Config, kind: str, side: str, audit: notes.Audit | None) -> DataFrame:
+    """The cells, written once, before confidences and ids widen them; the first bad row fails the read."""
+    with one_file_a_batch(cells.sparkSession):
+        cells = cut(cells)
+    notes.tell(cells, notes.MESSAGES[kind, side], audit)
+    limits.check(cells, cfg, f"{kind.upper()} {side}")
+    rows = cells.where("nota IS NULL")
+    first_error(rows, "Fila")
+    return rows
 
 
 def bank_of(raw: DataFrame, cfg: Config, kind: str, audit: notes.Audit | None = None) -> DataFrame:
     """Bank rows of raw records; the first bad row fails the read."""
-    typed = cut(bank_rows(_checked(raw, cfg, kind, "banco", audit), cfg, kind, strict_second_date=kind == "xlsx"))
-    first_error(typed, "Fila")
-    return plain(typed, BANK)
+    return plain(bank_rows(_checked(bank_cells(raw, cfg, strict_second_date=kind == "xlsx"), cfg, kind, "banco", audit), kind), BANK)
 
 
 def expected_of(raw: DataFrame, cfg: Config, kind: str, audit: notes.Audit | None = None) -> DataFrame:
-    typed = cut(expected_rows(_checked(raw, cfg, kind, "esperados", audit), cfg, kind))
-    first_error(typed, "Fila")
-    return plain(typed, EXPECTED)
+    return plain(expected_rows(_checked(expected_cells(raw, cfg), cfg, kind, "esperados", audit), kind), EXPECTED)
 
 
 def read_bank(spark: SparkSession, path: str, cfg: Config, kind: str, audit: notes.Audit | None = None) -> DataFrame:
     """Bank rows of CSV or XLSX files."""
-    return bank_of(raw_table(spark, path, kind, "banco", BANK_ALIASES, cfg), cfg, kind, audit)
+    return bank_of(raw_table(spark, path, kind, "banco", BANK_ALIASES, cfg, written=False), cfg, kind, audit)
 
 
 def read_expected(spark: SparkSession, path: str, cfg: Config, kind: str, audit: notes.Audit | None = None) -> DataFrame:
-    return expected_of(raw_table(spark, path, kind, "esperados", EXPECTED_ALIASES, cfg), cfg, kind, audit)
+    return expected_of(raw_table(spark, path, kind, "esperados", EXPECTED_ALIASES, cfg, written=False), cfg, kind, audit)
