@@ -36,6 +36,8 @@ from .graph import components
 
 #: Transactions of an amount and day up to which an island holds their ids; those of larger days are asked for.
 LISTED = 64
+#: Ids of expected rows that a list of one amount and day holds at most.
+HELD = 4096
 #: Partitions of rows that list candidates, for each of a shuffle's.
 SPREAD = 4
 
@@ -135,19 +137,24 @@ def date_islands(tx: DataFrame, exp: DataFrame, window: int) -> DataFrame:
     return days.select("monto", "fecha", F.sum(fresh.cast("int")).over(order).alias("isla"))
 
 
-def band_candidates(tx: DataFrame, exp: DataFrame, window: int) -> DataFrame:
-    """Pairs of equal amount whose dates lie within the window.
+def band_candidates(tx: DataFrame, exp: DataFrame, window: int, most: int = HELD) -> DataFrame:
+    """Pairs of equal amount whose dates lie within the window: the columns of `tx`, exp_id, exp_monto, exp_fecha, delta.
 
     Days are cut into spans of the window's width, so what lies within it is in the same span or the next to
-    either side: an equi-join on amount and span, however many dates an amount has.
+    either side: an equi-join on amount and span, however many dates an amount has. Expected rows of an amount and day
+    are joined as one list, or several of at most `most` ids, so a transaction meets days and not their rows; lists are
+    opened once they have met.
     """
     width = max(1, window)
     span = lambda day: F.floor(F.datediff(day, F.lit("1970-01-01")) / width)
     left = tx.withColumn("tx_span", span("tx_fecha"))
-    right = exp.withColumn("exp_span", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: span("exp_fecha") + i)))
+    place = F.row_number().over(Window.partitionBy("exp_monto", "exp_fecha").orderBy("exp_id"))
+    known = exp.where("exp_monto IS NOT NULL AND exp_fecha IS NOT NULL").select("exp_id", "exp_monto", "exp_fecha", F.floor((place - 1) / most).alias("parte"))
+    days = known.groupBy("exp_monto", "exp_fecha", "parte").agg(F.collect_list("exp_id").alias("exp_ids"))
+    right = days.withColumn("exp_span", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: span("exp_fecha") + i)))
     close = F.abs(F.datediff("tx_fecha", "exp_fecha"))
-    pairs = left.join(right, (F.col("tx_monto") == F.col("exp_monto")) & (F.col("tx_span") == F.col("exp_span")) & (close <= window))
-    return pairs.withColumn("delta", close).drop("tx_span", "exp_span")
+    met = left.join(right, (F.col("tx_monto") == F.col("exp_monto")) & (F.col("tx_span") == F.col("exp_span")) & (close <= window))
+    return met.select(*tx.columns, "exp_monto", "exp_fecha", close.alias("delta"), F.explode("exp_ids").alias("exp_id"))
 
 
 def with_islands(rows: DataFrame, islands: DataFrame) -> DataFrame:
