@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -193,31 +194,45 @@ def _open(edge: Column) -> Column:
     return F.struct((end - size).alias("s"), end.alias("e"), edge.bitwiseAND(F.lit(2**_ID - 1)).cast("int").alias("id"))
 
 
-def _bit(i: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), i)
+def _masks() -> list[Column]:
+    """By end << 5 | size of an edge: its two ends as bits, those and all bits between, and all bits but those between.
+
+    Written as texts, which Spark turns into arrays once.
+    """
+    ends, whole, rest = ([0] * 2 ** (_END + _LEN) for _ in range(3))
+    for end in range(1, SHORT + 1):
+        for size in range(1, min(end, 2**_LEN - 1) + 1):
+            low, high, k = 1 << end - size, 1 << end, end << _LEN | size
+            ends[k], whole[k], rest[k] = low | high, 2 * high - low, ~(high - 2 * low)
+    return [F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>") for numbers in (ends, whole, rest)]
 
 
 def _merge_bits(n: Column, edges: Column) -> Column:
-    """Start << 16 | id of the symbols of a short unit, in order, where each has a piece; else null.
+    """End, size and id (as in an edge) of the symbols of a short unit, in order, where each has a piece; else null.
 
     The state is a number whose bit i says that a symbol starts (or the unit ends) at i. An edge applies if its
-    ends are set and exactly one bit between them is; that bit goes.
+    ends are set and exactly one bit between them is; that bit goes. What this costs is the number of expressions
+    an edge passes, so masks come from tables and the test that most edges fail is first.
     """
+    tables = dict(zip(("ends", "whole", "rest"), _masks(), strict=True))
 
     def masks(edge):
-        x = _open(edge)
-        return let(x, lambda x: F.struct(_bit(x["s"]).bitwiseOR(_bit(x["e"])).alias("ends"), (_bit(x["e"]) - _bit(x["s"] + 1)).alias("inner"), F.shiftleft(x["s"].cast("long"), _ID).bitwiseOR(x["id"].cast("long")).alias("out"), (x["e"] - x["s"]).alias("size")))
+        place = F.shiftright(edge, _ID).bitwiseAND(F.lit(2 ** (_END + _LEN) - 1)).cast("int")
+        return let(place, lambda k: F.struct(*(F.get(t, k).alias(name) for name, t in tables.items()), edge.bitwiseAND(F.lit(2 ** (_END + _LEN + _ID) - 1)).alias("out")))
+
+    def holds(state, x, bits):
+        return (F.bit_count(state.bitwiseAND(x["whole"])) == bits) & (state.bitwiseAND(x["ends"]) == x["ends"])
 
     def step(state, x):
-        between = state.bitwiseAND(x["inner"])
-        fits = (state.bitwiseAND(x["ends"]) == x["ends"]) & (between != 0) & (between.bitwiseAND(between - 1) == 0)
-        return F.when(fits, state - between).otherwise(state)
+        return F.when(holds(state, x, 3), state.bitwiseAND(x["rest"])).otherwise(state)
 
     def symbols(edges):
-        state = F.aggregate(edges, _bit(n + 1) - 1, step)
-        left = let(state, lambda z: F.filter(edges, lambda x: (z.bitwiseAND(x["ends"]) == x["ends"]) & (z.bitwiseAND(x["inner"]) == 0)))
-        whole = lambda y: F.aggregate(y, F.lit(0), lambda a, x: a + x["size"]) == n
-        return let(left, lambda y: F.when(whole(y), F.array_sort(F.transform(y, lambda x: x["out"]))))
+        def left(state):
+            # one edge a symbol at most: pieces differ
+            return let(F.filter(edges, lambda x: holds(state, x, 2)), lambda y: F.when(F.size(y) == F.bit_count(state) - 1, F.sort_array(F.transform(y, lambda x: x["out"]))))
+
+        # a bit for each character and the end; a power of two less one would overflow for the longest
+        return let(F.aggregate(edges, F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), n + 1)), step), left)
 
     return let(F.transform(edges, masks), symbols)
 
@@ -382,7 +397,7 @@ def encode(docs: DataFrame, pieces: Pieces, carry: tuple[str, ...] = ("doc_id",)
             lens = np.concatenate([pc.binary_length(c).to_numpy(zero_copy_only=False) for c in chunks] or [np.zeros(0, np.int64)]).astype(np.int64) // 2
             values = np.concatenate([np.frombuffer(_flat(c), ">u2") for c in chunks] or [np.zeros(0, ">u2")]).astype(np.uint16)
             del got, chunks
-            shared = spark.sparkContext.broadcast((h, np.concatenate([[0], np.cumsum(lens)]).astype(np.uint32), values))
+            shared = spark.sparkContext.broadcast((h, np.concatenate([[0], np.cumsum(lens)]).astype(np.uint32), values.tobytes()))
 
             def run(batches):
                 keys, ends, values = shared.value
@@ -392,13 +407,15 @@ def encode(docs: DataFrame, pieces: Pieces, carry: tuple[str, ...] = ("doc_id",)
                 def look(new: list[str]) -> dict[str, bytes]:
                     """Encodings of some words, those of all their units found in one search."""
                     split = [find.findall(BLANK + w) for w in new]
-                    units = list({u for parts in split for u in parts})
+                    # nearly all units are words of their own, so they aren't made distinct
+                    units = [u for parts in split for u in parts]
                     hashed = np.array([xxhash.xxh64_intdigest(u.encode(), seed=42) for u in units], np.uint64).view(np.int64)
-                    at = np.searchsorted(keys, hashed)
-                    there = at < len(keys)
-                    there[there] = keys[at[there]] == hashed[there]
-                    found = {u: values[ends[k] : ends[k + 1]].tobytes() if ok else np.array(_bare_ids(u, own), np.uint16).tobytes() for u, k, ok in zip(units, at.tolist(), there.tolist(), strict=True)}
-                    return {w: b"".join(map(found.__getitem__, parts)) for w, parts in zip(new, split, strict=True)}
+                    at = np.minimum(np.searchsorted(keys, hashed), max(len(keys) - 1, 0))
+                    there = keys[at] == hashed if len(keys) else np.zeros(len(at), bool)
+                    first, last = (2 * ends[k].astype(np.int64) if len(keys) else at for k in (at, at + 1))
+                    codes = [values[a:b] if ok else np.array(_bare_ids(u, own), np.uint16).tobytes() for u, a, b, ok in zip(units, first.tolist(), last.tolist(), there.tolist(), strict=True)]
+                    each = iter(codes)
+                    return {w: next(each) if len(parts) == 1 else b"".join(islice(each, len(parts))) for w, parts in zip(new, split, strict=True)}
 
                 for batch in batches:
                     for start in range(0, batch.num_rows, 500):
