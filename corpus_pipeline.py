@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from cuadra.llm import jaccard, language, mixing, pieces, suffixes
 from cuadra.llm._common import columns, cut, few, shared_dir
-from cuadra.storage import delete
+from cuadra.storage import delete, rows_a_batch
 
 #: Texts whose main language is less certain than this go, as do those without a letter; other languages in them don't count.
 LEAST_CERTAIN = 0.2
 #: Passages of so many words in a row that occur twice are taken out, as are repeated strings of op9's length.
 PASSAGE_WORDS = 51
+#: Texts that a worker is handed at a time while a stage is written: heaps and workers of earlier stages are held beside them.
+TEXTS_A_BATCH = 1000
 DOCUMENTS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
 
 
@@ -119,9 +121,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        with rows_a_batch(spark, TEXTS_A_BATCH):
+            docs = stage(spark, docs, sf_dir)
+            if k < len(STAGES) - 1:
+                docs.write.parquet(f"{folder}/{k}")
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
             if k:
                 delete(spark, f"{folder}/{k - 1}")

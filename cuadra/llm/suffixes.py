@@ -19,6 +19,7 @@ parted by how far before the anchor they start, and each part is keyed by the by
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -226,18 +227,19 @@ def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, passage: int = 0, run: int = RUN, chunk: int = CHUNK) -> DataFrame:
+def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, passage: int = 0, run: int = RUN, chunk: int = CHUNK, read: Callable = utf8) -> DataFrame:
     """(key, doc_id, start, end, shorter): byte ranges of documents covered by strings that occur elsewhere too.
 
     `docs` has key, doc_id and text (a string or its bytes); rows with an equal key are equal. With `passage`, a
-    smaller length, strings of that many bytes are found by the way; their ranges have `shorter`.
+    smaller length, strings of that many bytes are found by the way; their ranges have `shorter`. `read` makes the
+    bytes to search of a text, in the worker that searches them.
     """
     spark = docs.sparkSession
     least = passage or length
 
     def count(batches):
         for batch in batches:
-            found = [anchors(data, least, gram)[0] for t in batch.column("text").to_pylist() if t for _, data in _chunks(utf8(t), least, chunk)]
+            found = [anchors(data, least, gram)[0] for few_ in slices([batch]) for t in few_.column("text").to_pylist() if t for _, data in _chunks(read(t), least, chunk)]
             h, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
@@ -253,10 +255,10 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
 
     def occurrences(batches):
         """(row, bytes, hash, whether it is hot, anchor, first window, last window) in whole texts."""
-        for batch in batches:
+        for batch in slices(batches):
             ids = zip(batch.column("key").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)
             for key, doc_id, text in ids:
-                raw, held = utf8(text), None
+                raw, held = read(text), None
                 for start, data in _chunks(raw, least, chunk):
                     h, at, first, last = anchors(data, least, gram)
                     pick = np.nonzero(_has(wanted.value, h))[0]
@@ -374,14 +376,10 @@ def word_spans(docs: DataFrame, words: int, hot: int = HOT) -> DataFrame:
     The same search over one token a word; of the windows it finds, those that start where a word does count.
     """
 
-    def tokenize(batches):
-        for batch in batches:
-            found = pa.array([tokens(utf8(t)) for t in batch.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), found], names=["key", "doc_id", "text"])
-
     length = TOKEN * words
     rows = docs.select("key", "doc_id", "text").where(F.octet_length("text") >= 2 * words - 1)
-    found = spans(rows.mapInArrow(freed(tokenize), "key long, doc_id long, text binary"), length, TOKEN * min(GRAM_WORDS, words), hot)
+    # read where they are searched: a worker of its own would hold memory beside each
+    found = spans(rows, length, TOKEN * min(GRAM_WORDS, words), hot, read=lambda text: tokens(utf8(text)))
     first, last = F.ceil(F.col("start") / TOKEN), F.floor((F.col("end") - length) / TOKEN)
     return found.select("key", "doc_id", first.cast("long").alias("start"), (last + words).cast("long").alias("end")).where(F.col("end") - F.col("start") >= words)
 

@@ -22,20 +22,26 @@ def cut(frame: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def one_file_a_batch(spark: SparkSession) -> Iterator[None]:
-    """While a copy of what workers read from whole files is written, they are handed one file at a time.
-
-    Else a batch holds all files of a task, as many bytes as a partition has.
-    """
+def rows_a_batch(spark: SparkSession, most: int) -> Iterator[None]:
+    """While frames are written, workers are handed at most so many rows at a time; a batch is held on both sides at once."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
-    spark.conf.set(name, "1")
+    # below 1 there is no bound
+    spark.conf.set(name, str(most if int(before) < 1 else min(most, int(before))))
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def one_file_a_batch(spark: SparkSession):
+    """While a copy of what workers read from whole files is written, they are handed one file at a time.
+
+    Else a batch holds all files of a task, as many bytes as a partition has.
+    """
+    return rows_a_batch(spark, 1)
+
+
 def freed(run: Callable) -> Callable:
     """A function for mapInArrow that hands memory back to the system at its end; its worker lives on beside later stages."""
 
