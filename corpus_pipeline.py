@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuadra.llm import jaccard, language, mixing, pieces, suffixes
 from cuadra.llm._common import columns, cut, few, shared_dir
-from cuadra.storage import delete, rows_a_batch
+from cuadra.storage import delete, few_rows_a_batch, rows_a_batch
 
 #: Texts whose main language is less certain than this go, as do those without a letter; other languages in them don't count.
 LEAST_CERTAIN = 0.2
 #: Passages of so many words in a row that occur twice are taken out, as are repeated strings of op9's length.
 PASSAGE_WORDS = 51
-#: Texts that a worker is handed at a time while a stage is written: heaps and workers of earlier stages are held beside them.
+#: Texts that a worker is handed at a time in any stage: heaps and workers of earlier stages are held beside them.
 TEXTS_A_BATCH = 1000
 DOCUMENTS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
 
@@ -24,6 +26,19 @@ def _documents(docs: DataFrame) -> DataFrame:
     return columns(docs, **DOCUMENTS)
 
 
+def _few_texts(stage: Callable) -> Callable:
+    """A stage whose frame hands workers few texts at a time, also where it is written after the stage has returned."""
+
+    @wraps(stage)
+    def bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        out = stage(spark, few_rows_a_batch(docs, TEXTS_A_BATCH), sf_dir)
+        spark.createDataFrame([], "none int")  # makes the caller's session the active one again
+        return out
+
+    return bounded
+
+
+@_few_texts
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a language that is recognized, learned from the labels of those not held out; `lang` becomes it.
 
@@ -37,6 +52,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return _documents(kept.drop("lang").withColumnRenamed("lang_pred", "lang"))
 
 
+@_few_texts
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of five-word shingles at 0.8 join, the one with the smallest id stays (null ids last).
 
@@ -75,6 +91,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return _documents(kept)
 
 
+@_few_texts
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take repeated passages out of every text; a document of which nothing is left goes.
 
@@ -95,6 +112,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixing.emit(_documents(docs))
 
 
+@_few_texts
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The piece ids of every document: doc_id, lang, source, ids. A null or empty text has no ids; rows stay as many."""
     return pieces.encode(_documents(docs), pieces.Pieces.load(), ("doc_id", "lang", "source"))
