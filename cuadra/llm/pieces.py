@@ -150,15 +150,21 @@ def _grouped(units: DataFrame, parts: int) -> DataFrame:
     return units.repartition(parts, "unit")
 
 
+def _fixed(spark: SparkSession, rows: list[tuple], **kinds: pa.DataType) -> DataFrame:
+    """A small table, by way of Arrow: of rows as a list Spark makes a job with workers of its own, which live on."""
+    columns_ = zip(zip(*rows, strict=True), kinds.items(), strict=True)
+    return spark.createDataFrame(pa.table({name: pa.array(c, kind) for c, (name, kind) in columns_}))
+
+
 def lattice(units: DataFrame, pieces: Pieces, parts: int) -> DataFrame:
     """(unit, edges): the pieces that each unit of up to SHORT characters holds, as packed numbers in the order of
     ranks, by explode, equi-join and group."""
     spark = units.sparkSession
     # fixed tables: at most 2^16 pieces, and the substrings of each length
     rows = [(p, len(p), ((pieces.ranks[s] if len(p) > 1 else _SINGLE) << _END + _LEN + _ID) | (len(p) << _ID) | i) for p, i, s in pieces.rows]
-    known = F.broadcast(spark.createDataFrame(rows, "piece string, size int, packed long").withColumn("h", F.xxhash64("piece")))
+    known = F.broadcast(_fixed(spark, rows, piece=pa.string(), size=pa.int32(), packed=pa.int64()).withColumn("h", F.xxhash64("piece")))
     cuts = [(size, [i << _LEN | n for i in range(size) for n in range(1, min(pieces.longest, size - i) + 1)]) for size in range(1, SHORT + 1)]
-    spans = F.broadcast(spark.createDataFrame(cuts, "size int, cuts array<int>"))
+    spans = F.broadcast(_fixed(spark, cuts, size=pa.int32(), cuts=pa.list_(pa.int32())))
     each = _grouped(units, parts).join(spans, F.length("unit") == F.col("size")).select("unit", F.explode("cuts").alias("cut"))
     subs = each.select("unit", F.expr(f"shiftright(cut, {_LEN}) + (cut & {2**_LEN - 1})").alias("e"), F.expr(f"substring(unit, shiftright(cut, {_LEN}) + 1, cut & {2**_LEN - 1})").alias("sub"))
     # a join on numbers is several times faster than one on strings; equal hashes are checked
@@ -172,7 +178,7 @@ def long_lattice(units: DataFrame, pieces: Pieces, parts: int) -> DataFrame:
     is a number until its edges are together."""
     spark = units.sparkSession
     rows = [(p, pieces.ranks[s] if len(p) > 1 else _SINGLE, len(p), i) for p, i, s in pieces.rows]
-    known = F.broadcast(spark.createDataFrame(rows, "piece string, rank int, size int, id int"))
+    known = F.broadcast(_fixed(spark, rows, piece=pa.string(), rank=pa.int32(), size=pa.int32(), id=pa.int32()))
     keyed = cut(units.select("unit", F.monotonically_increasing_id().alias("uid")))
     bases = F.sequence(F.lit(0), F.floor((F.length("unit") - 1) / BLOCK).cast("int"))
     blocks = keyed.select("uid", F.transform(bases, lambda b: F.struct((b * BLOCK).alias("base"), F.substring(F.col("unit"), b * BLOCK + 1, F.lit(BLOCK + pieces.longest - 1)).alias("t"))).alias("blocks"))

@@ -19,3 +19,12 @@ def test_units_around_the_longest_short_one(spark):
     got = dict(pieces.encode(docs, model).collect())
     for k, text in enumerate(texts):
         assert got[k] == (sp.encode(text) if text else []), text
+
+
+def test_fixed_tables_need_no_workers(spark):
+    model = pieces.Pieces.load()
+    units = spark.createDataFrame([("the",), ("☃" * 3,)], "unit string").checkpoint()
+    for make in (pieces.lattice, pieces.long_lattice):
+        plan = make(units, model, 2)._jdf.queryExecution().optimizedPlan().toString()
+        # the only rows from a job are the units' own
+        assert plan.count("LogicalRDD") == 1 + (make is pieces.long_lattice), plan[:2000]
