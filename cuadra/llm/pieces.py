@@ -14,7 +14,9 @@ a piece become their bytes.
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from itertools import islice
 
@@ -25,7 +27,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import columns, cut, let, slices, table
+from ..storage import tidy
+from ._common import columns, cut, freed, let, slices, table
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -35,6 +38,8 @@ SHORT, BLOCK = 62, 128
 UNITS_A_TASK = 25_000
 #: Encodings of the distinct units are broadcast to the tasks up to so many bytes.
 BROADCAST_BYTES = 96 * 2**20
+#: Bytes of the digest that names a text where its rare units are joined.
+DIGEST = 12
 #: Words whose encodings a worker keeps at hand.
 KEPT_WORDS = 120_000
 WORDS = f"{BLANK}*[^{BLANK}]+|{BLANK}+"
@@ -365,8 +370,91 @@ def _words(text: str | None, pattern: re.Pattern) -> list[str]:
     return text.split(" ")
 
 
-def _bare_ids(unit: str, bytes_: list[int]) -> list[int]:
-    return [bytes_[b] for b in unit.encode()]
+def _bare(unit: str, bytes_: list[int]) -> bytes:
+    """The ids of a unit that holds no piece, two bytes each."""
+    return np.array([bytes_[b] for b in unit.encode()], ">u2").tobytes()
+
+
+def _shared(spark: SparkSession, got: pa.Table):
+    """Hashes (sorted), ends and ids, two bytes each, of a table (h, ids), for the workers."""
+    chunks = [c for c in got.column("ids").chunks if len(c)]
+    lens = np.concatenate([pc.binary_length(c).to_numpy(zero_copy_only=False) for c in chunks] or [np.zeros(0, np.int64)]).astype(np.int64) // 2
+    return spark.sparkContext.broadcast((got.column("h").to_numpy(), np.concatenate([[0], np.cumsum(lens)]).astype(np.uint32), b"".join(_flat(c) for c in chunks)))
+
+
+def _looking(table: tuple, find: re.Pattern) -> Callable:
+    """A function for workers: the units of each of some words, and the encodings of all of them in turn, None where the
+    table has none; those of all words are found in one search."""
+    keys, ends, values = table
+
+    def look(new: list[str]) -> tuple[list[list[str]], list[bytes | None]]:
+        split = [find.findall(BLANK + w) for w in new]
+        # nearly all units are words of their own, so they aren't made distinct
+        units = [u for parts in split for u in parts]
+        hashed = np.array([xxhash.xxh64_intdigest(u.encode(), seed=42) for u in units], np.uint64).view(np.int64)
+        at = np.minimum(np.searchsorted(keys, hashed), max(len(keys) - 1, 0))
+        there = keys[at] == hashed if len(keys) else np.zeros(len(at), bool)
+        first, last = (2 * ends[k].astype(np.int64) if len(keys) else at for k in (at, at + 1))
+        return split, [values[a:b] if ok else None for a, b, ok in zip(first.tolist(), last.tolist(), there.tolist(), strict=True)]
+
+    return look
+
+
+def _opened(split: list[list[str]], look: Callable, kept: dict[str, bytes]) -> dict[str, list[tuple[str, bytes | None]]]:
+    """See that `kept` has the words of some texts; those with a unit that the table lacks are returned by units instead."""
+    new = list({w for words in split for w in words}.difference(kept))
+    if len(kept) + len(new) > KEPT_WORDS:
+        still = {w: kept[w] for words in split for w in words if w in kept}
+        kept.clear()
+        kept.update(still)
+    parts, codes = look(new)
+    each, odd = iter(codes), {}
+    for w, units in zip(new, parts, strict=True):
+        mine = list(islice(each, len(units)))
+        if None in mine:
+            odd[w] = list(zip(units, mine, strict=True))
+        else:
+            kept[w] = mine[0] if len(mine) == 1 else b"".join(mine)
+    return odd
+
+
+def _rare(words: list[str], odd: dict[str, list[tuple[str, bytes | None]]]) -> tuple[set[str], list[str]]:
+    """The words of a text that aren't kept, and the units in them that the table lacks, in an order of their own."""
+    own = odd.keys() & words
+    return own, sorted({u for w in own for u, code in odd[w] if code is None})
+
+
+def _batch(part: pa.RecordBatch, carry: tuple[str, ...], lists: list[bytes]) -> pa.RecordBatch:
+    flat = np.frombuffer(b"".join(lists), ">u2").astype(np.int32)
+    ids = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) // 2 for x in lists])]).astype(np.int32), flat)
+    return pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), ids], names=[*carry, "ids"])
+
+
+def _digest(raw: bytes) -> bytes:
+    return hashlib.blake2b(raw, digest_size=DIGEST).digest()
+
+
+def _often(rows: DataFrame, seen: DataFrame, coded: DataFrame, pieces: Pieces, bytes_: int, most: int) -> pa.Table:
+    """(h, ids) of the units that have most places, in `most` of the `bytes_` that all encodings take.
+
+    Places are counted in a share of the texts, drawn by hash. Which units these are decides where an encoding is found,
+    never what it is. A unit that shares its hash with another isn't among them.
+    """
+    # a share of the texts has that share of the units or more
+    drawn = rows.where(F.pmod(F.xxhash64("_text"), F.lit(10**6)) < int(min(1.0, most / bytes_) * 10**6))
+    words = drawn.select(F.explode(words_of(F.col("_text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    units = words.select(F.explode(units_of(F.col("word"), pieces)).alias("unit"), "n").groupBy("unit").agg(F.sum("n").alias("n"))
+    h = F.xxhash64("unit")
+    alone = seen.groupBy(h.alias("h")).count().where("count = 1").select("h")
+    found = cut(coded.join(units, "unit").select(h.alias("h"), "ids", F.least("n", F.lit(1000)).alias("n")).join(alone, "h", "left_semi"))
+    left, least, part = most, 0, 0
+    for n, size in sorted(map(tuple, found.groupBy("n").agg(F.sum(F.octet_length("ids") + 12)).collect()), reverse=True):
+        if size > left:
+            # of the last ones as many as there is room for, by hash
+            least, part = n, 950 * left // size
+            break
+        left -= size
+    return found.where((F.col("n") > least) | (F.pmod("h", F.lit(1000)) < part) & (F.col("n") == least)).select("h", "ids").sort("h").toArrow()
 
 
 def encode(docs: DataFrame, pieces: Pieces, carry: tuple[str, ...] = ("doc_id",), broadcast_bytes: int = BROADCAST_BYTES, decoded: bool = False) -> DataFrame:
@@ -379,7 +467,8 @@ def encode(docs: DataFrame, pieces: Pieces, carry: tuple[str, ...] = ("doc_id",)
     With `decoded`, the texts that the ids stand for come along (see `decode`), made by the same workers.
 
     The encodings of all distinct units are broadcast where they take at most `broadcast_bytes` and their
-    hashes differ; beyond that they are joined to the units of each text and gathered by text. A unit that
+    hashes differ. Beyond that those of frequent units are, which most places of a text have; what else a text has is
+    joined to the encodings and gathered by text, and meets the text, which travels compressed. A unit that
     can't be parted takes steps as it has characters; its edges, some ten a character, are one row.
     """
     spark = docs.sparkSession
@@ -399,59 +488,76 @@ def encode(docs: DataFrame, pieces: Pieces, carry: tuple[str, ...] = ("doc_id",)
         got = coded.select(F.xxhash64("unit").alias("h"), "ids").sort("h").toArrow()
         h = got.column("h").to_numpy()
         if len(h) < 2 or (h[1:] != h[:-1]).all():
-            chunks = [c for c in got.column("ids").chunks if len(c)]
-            lens = np.concatenate([pc.binary_length(c).to_numpy(zero_copy_only=False) for c in chunks] or [np.zeros(0, np.int64)]).astype(np.int64) // 2
-            values = np.concatenate([np.frombuffer(_flat(c), ">u2") for c in chunks] or [np.zeros(0, ">u2")]).astype(np.uint16)
-            del got, chunks
-            shared = spark.sparkContext.broadcast((h, np.concatenate([[0], np.cumsum(lens)]).astype(np.uint32), values.tobytes()))
+            shared = _shared(spark, got)
+            del got
 
             def run(batches):
-                keys, ends, values = shared.value
+                look = _looking(shared.value, find)
                 # encodings of words, each without the first of its blanks
                 kept: dict[str, bytes] = {}
-
-                def look(new: list[str]) -> dict[str, bytes]:
-                    """Encodings of some words, those of all their units found in one search."""
-                    split = [find.findall(BLANK + w) for w in new]
-                    # nearly all units are words of their own, so they aren't made distinct
-                    units = [u for parts in split for u in parts]
-                    hashed = np.array([xxhash.xxh64_intdigest(u.encode(), seed=42) for u in units], np.uint64).view(np.int64)
-                    at = np.minimum(np.searchsorted(keys, hashed), max(len(keys) - 1, 0))
-                    there = keys[at] == hashed if len(keys) else np.zeros(len(at), bool)
-                    first, last = (2 * ends[k].astype(np.int64) if len(keys) else at for k in (at, at + 1))
-                    codes = [values[a:b] if ok else np.array(_bare_ids(u, own), np.uint16).tobytes() for u, a, b, ok in zip(units, first.tolist(), last.tolist(), there.tolist(), strict=True)]
-                    each = iter(codes)
-                    return {w: next(each) if len(parts) == 1 else b"".join(islice(each, len(parts))) for w, parts in zip(new, split, strict=True)}
-
-                for batch in batches:
-                    for start in range(0, batch.num_rows, 500):
-                        part = batch.slice(start, 500)
-                        split = [_words(t, words) for t in part.column("_text").to_pylist()]
-                        new = list({u for units in split for u in units}.difference(kept))
-                        if len(kept) + len(new) > KEPT_WORDS:
-                            kept = {u: kept[u] for units in split for u in units if u in kept}
-                        kept.update(look(new))
-                        lists = [b"".join(map(kept.__getitem__, units)) for units in split]
-                        flat = np.frombuffer(b"".join(lists), np.uint16).astype(np.int32)
-                        ids = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) // 2 for x in lists])]).astype(np.int32), flat)
-                        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), ids], names=[*carry, "ids"])
+                for part in slices(batches):
+                    split = [_words(t, words) for t in part.column("_text").to_pylist()]
+                    for w, units in _opened(split, look, kept).items():
+                        kept[w] = b"".join(_bare(u, own) if code is None else code for u, code in units)
+                    yield _batch(part, carry, [b"".join(map(kept.__getitem__, ws)) for ws in split])
 
             return rows.mapInArrow(lambda batches: back(run(batches)), out)
-    # the join: each text's distinct units with their encodings, gathered by text
-    keyed = rows.withColumn("_key", F.sha2(F.coalesce("_text", F.lit("")), 256))
-    pairs = keyed.select("_key", F.explode(F.array_distinct(F.flatten(F.transform(words_of(F.col("_text")), lambda w: units_of(w, pieces))))).alias("unit")).distinct()
-    gathered = pairs.join(coded.select("unit", "ids"), "unit").groupBy("_key").agg(F.collect_list(F.struct("unit", "ids")).alias("_coded")).withColumnRenamed("_key", "_of")
+    # what the steps before have shuffled isn't held beside what comes
+    tidy(spark)
+    often = _shared(spark, _often(rows, seen, coded, pieces, 12 * n + size, broadcast_bytes))
+    del seen
+    tidy(spark)
+
+    def rare(batches):
+        """(place, unit) of the units that aren't broadcast; a place is a text's digest and a number."""
+        look, kept, told = _looking(often.value, find), {}, set()
+        for part in slices(batches):
+            texts = list({t for t in part.column("_text").to_pylist() if t})
+            split = [_words(t, words) for t in texts]
+            odd, places, units = _opened(split, look, kept), [], []
+            for t, ws in zip(texts, split, strict=True):
+                few_ = _rare(ws, odd)[1]
+                if few_ and (key := _digest(t.encode())) not in told:
+                    # copies of a text ask once a worker
+                    told.add(key)
+                    places += [key + k.to_bytes(4, "big") for k in range(len(few_))]
+                    units += few_
+            if units:
+                yield pa.RecordBatch.from_arrays([pa.array(places, pa.binary()), pa.array(units, pa.string())], names=["place", "unit"])
+
+    met = rows.select("_text").mapInArrow(freed(rare), "place binary, unit string").join(coded, "unit")
+    code = F.concat(F.substring("place", DIGEST + 1, 4), F.col("ids")).alias("code")
+    # dealt out before they are gathered: sets of the few that a task has would take more than these
+    gathered = cut(met.select(F.substring("place", 1, DIGEST).alias("_of"), code).repartition("_of").groupBy("_of").agg(F.collect_set("code").alias("_coded")))
+    del coded, met
+    tidy(spark)
+
+    def pack(batches):
+        codec = pa.Codec("zstd", compression_level=1)
+        for part in slices(batches):
+            raw = [t.encode() if t else None for t in part.column("_text").to_pylist()]
+            made = [pa.array([t and _digest(t) for t in raw], pa.binary()), pa.array([t and len(t) for t in raw], pa.int64()), pa.array([t and codec.compress(t, asbytes=True) for t in raw], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), *made], names=[*carry, "_key", "_size", "_zipped"])
 
     def run_joined(batches):
-        for batch in batches:
-            got = []
-            for text, coded_ in zip(batch.column("_text").to_pylist(), batch.column("_coded").to_pylist(), strict=True):
-                by = {c["unit"]: np.frombuffer(c["ids"], ">u2").tolist() for c in coded_ or ()}
-                got.append([i for u in (find.findall(BLANK + text.replace(" ", BLANK)) if text else ()) for i in (by[u] if u in by else _bare_ids(u, own))])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(got, pa.list_(pa.int32()))], names=[*carry, "ids"])
-
-    joined = keyed.join(gathered, F.col("_key") == F.col("_of"), "left").select(*carry, "_text", "_coded")
-    return joined.mapInArrow(lambda batches: back(run_joined(batches)), out)
+        look, kept, codec = _looking(often.value, find), {}, pa.Codec("zstd")
+        for part in slices(batches):
+            split = [_words(codec.decompress(z, size, asbytes=True).decode() if size else None, words) for z, size in zip(part.column("_zipped").to_pylist(), part.column("_size").to_pylist(), strict=True)]
+            odd, lists = _opened(split, look, kept), []
+            for ws, coded_ in zip(split, part.column("_coded").to_pylist(), strict=True):
+                mine, few_ = _rare(ws, odd)
+                by = {int.from_bytes(c[:4], "big"): c[4:] for c in coded_ or ()}
+                codes = {u: by[k] if k in by else _bare(u, own) for k, u in enumerate(few_)}
+                # kept while this text is put together
+                kept.update({w: b"".join(codes[u] if c is None else c for u, c in odd[w]) for w in mine})
+                lists.append(b"".join(map(kept.__getitem__, ws)))
+                for w in mine:
+                    del kept[w]
+            yield _batch(part, carry, lists)
+
+    zipped = rows.mapInArrow(freed(pack), f"{ddl}, _key binary, _size long, _zipped binary")
+    joined = zipped.join(gathered, F.col("_key") == F.col("_of"), "left").select(*carry, "_size", "_zipped", "_coded")
+    return joined.mapInArrow(freed(lambda batches: back(run_joined(batches))), out)
 
 
 def _decoder(spark: SparkSession, pieces: Pieces):
