@@ -216,9 +216,10 @@ def _filter(anchors_: DataFrame, n: int) -> np.ndarray:
     bits = min(max(FILTER_BITS[0], int(np.ceil(np.log2(max(1, n) * 16)))), FILTER_BITS[1])
     slot = F.shiftrightunsigned("h", 64 - bits)
     words = anchors_.select(F.shiftright(slot, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 as int))").alias("b"))
-    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     out = np.zeros(2**bits // 64, np.uint64)
-    out[got["w"].to_numpy()] = got["b"].to_numpy().astype(np.int64).view(np.uint64)
+    # by way of Arrow: up to 2^22 words, which as rows would be Python objects on the driver
+    for batch in words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow().to_batches():
+        out[batch.column("w").to_numpy()] = batch.column("b").to_numpy().view(np.uint64)
     return out
 
 
