@@ -467,7 +467,7 @@ def encode(docs: DataFrame, pieces: Pieces, carry: tuple[str, ...] = ("doc_id",)
     With `decoded`, the texts that the ids stand for come along (see `decode`), made by the same workers.
 
     The encodings of all distinct units are broadcast where they take at most `broadcast_bytes` and their
-    hashes differ. Beyond that those of frequent units are, which most places of a text have; what else a text has is
+    hashes differ. Beyond that those of frequent units are, in half as many bytes, which most places of a text have; what else a text has is
     joined to the encodings and gathered by text, and meets the text, which travels compressed. A unit that
     can't be parted takes steps as it has characters; its edges, some ten a character, are one row.
     """
@@ -504,7 +504,8 @@ def encode(docs: DataFrame, pieces: Pieces, carry: tuple[str, ...] = ("doc_id",)
             return rows.mapInArrow(lambda batches: back(run(batches)), out)
     # what the steps before have shuffled isn't held beside what comes
     tidy(spark)
-    often = _shared(spark, _often(rows, seen, coded, pieces, 12 * n + size, broadcast_bytes))
+    # half, as workers hold texts and what is joined to them too
+    often = _shared(spark, _often(rows, seen, coded, pieces, 12 * n + size, broadcast_bytes // 2))
     del seen
     tidy(spark)
 
