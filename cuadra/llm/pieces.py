@@ -410,11 +410,14 @@ def _opened(split: list[list[str]], look: Callable, kept: dict[str, bytes]) -> d
     parts, codes = look(new)
     each, odd = iter(codes), {}
     for w, units in zip(new, parts, strict=True):
-        mine = list(islice(each, len(units)))
+        if len(units) == 1 and (code := next(each)) is not None:
+            kept[w] = code
+            continue
+        mine = [None] if len(units) == 1 else list(islice(each, len(units)))
         if None in mine:
             odd[w] = list(zip(units, mine, strict=True))
         else:
-            kept[w] = mine[0] if len(mine) == 1 else b"".join(mine)
+            kept[w] = b"".join(mine)
     return odd
 
 
